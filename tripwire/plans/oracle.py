@@ -52,7 +52,7 @@ BEFORE = "(j.login_us < i.login_us OR (j.login_us = i.login_us AND j.event_id <
 
 _I_COLS = ["event_id", "user_id", "login_us", "country_key", "asn_key", "subnet", "device", "success",
            "fail", "hour", "dow", "is_weekend", "missing_country", "missing_asn", "missing_device_info",
-           "is_attack_ip", "is_ato", "ip", "country", "device_type", "rtt_ms"]
+           "is_attack_ip", "is_ato", "ip", "country", "device_type", "rtt_ms", "asn", "login_ts"]
 
 
 def history_ctes() -> str:
@@ -170,3 +170,89 @@ def finalize(sql: str, doubles=(), ints=()) -> str:
     if not rep:
         return sql
     return f"SELECT * REPLACE ({', '.join(rep)}) FROM ({sql}) q"
+
+
+def graph_ctes() -> str:
+    """CTE ``GF``: entity-side graph features from self-joins on each entity key."""
+    parts = []
+    spec = {"subnet": ("subnet", True, True), "asn": ("asn_key", True, False),
+            "country": ("country_key", False, False), "device": ("device", True, False)}
+    for kind, (k, fails, hour) in spec.items():
+        extra = ""
+        if fails:
+            extra += f""",
+  count(j.event_id) AS {kind}_events, COALESCE(sum(j.fail), 0) AS {kind}_fails,
+  count(DISTINCT j.user_id) FILTER (WHERE j.fail = 1) AS {kind}_failed_users,
+  count(DISTINCT j.user_id) FILTER (WHERE i.login_us - j.login_us <= 600000000) AS {kind}_u10"""
+        if hour:
+            extra += f""",
+  count(DISTINCT j.user_id) FILTER (WHERE i.login_us - j.login_us <= 3600000000) AS {kind}_u1h"""
+        parts.append(f"""
+G_{kind} AS (SELECT i.event_id, count(DISTINCT j.user_id) AS {kind}_users{extra}
+  FROM L i LEFT JOIN L j ON j.{k} = i.{k} AND {BEFORE} GROUP BY i.event_id)""")
+    parts.append("""
+G0 AS (SELECT * FROM G_subnet JOIN G_asn USING (event_id) JOIN G_country USING (event_id) JOIN G_device USING (event_id)),
+G1 AS (SELECT event_id,
+  ln(1 + subnet_users) AS gf_subnet_user_count_before, ln(1 + asn_users) AS gf_asn_user_count_before,
+  ln(1 + country_users) AS gf_country_user_count_before, ln(1 + device_users) AS gf_device_user_count_before,
+  CASE WHEN subnet_events > 0 THEN subnet_fails / subnet_events ELSE 0.0 END AS gf_subnet_failure_rate_prior,
+  CASE WHEN asn_events > 0 THEN asn_fails / asn_events ELSE 0.0 END AS gf_asn_failure_rate_prior,
+  CASE WHEN device_events > 0 THEN device_fails / device_events ELSE 0.0 END AS gf_device_failure_rate_prior,
+  ln(1 + subnet_failed_users) AS gf_subnet_failed_user_count_before,
+  ln(1 + asn_failed_users) AS gf_asn_failed_user_count_before,
+  ln(1 + device_failed_users) AS gf_device_failed_user_count_before,
+  ln(1 + subnet_u10) AS gf_subnet_user_count_10min, ln(1 + subnet_u1h) AS gf_subnet_user_count_1hour,
+  ln(1 + asn_u10) AS gf_asn_user_count_10min, ln(1 + device_u10) AS gf_device_user_count_10min,
+  asn_users AS asn_user_count_before_raw, subnet_u10 AS subnet_user_count_10min_raw,
+  device_u10 AS device_user_count_10min_raw
+  FROM G0),
+GF AS (SELECT *,
+  CAST(gf_subnet_failed_user_count_before > 2.0 AND gf_subnet_failure_rate_prior > 0.5 AS INTEGER) AS gf_subnet_has_high_failure_pressure,
+  CAST(gf_device_failed_user_count_before > 1.5 AND gf_device_failure_rate_prior > 0.5 AS INTEGER) AS gf_device_has_high_failure_pressure
+  FROM G1)""")
+    return ",".join(parts)
+
+
+MODEL_SQL = ("least(1e0, 0.55e0 * (CAST((event_id * 7919 + user_id * 104729) % 1009 AS DOUBLE) / 1009e0)"
+             " + 0.45e0 * is_ato + 0.2e0 * is_attack_ip)")
+GRAPH_SQL = "CAST((event_id * 6007 + user_id * 31) % 997 AS DOUBLE) / 997e0"
+RULE_SQL = "CAST((event_id * 389 + user_id * 17) % 11 AS DOUBLE) / 10e0"
+
+
+def scored_ctes() -> str:
+    """CTE ``SC``: logins with the fixture's surrogate model / graph / rule scores."""
+    return f"""
+SC AS (SELECT L.*, {MODEL_SQL} AS model_score, {GRAPH_SQL} AS graph_anomaly_score, {RULE_SQL} AS rule_score FROM L)"""
+
+
+RULE_CASES = [
+    ("subnet_user_count_10min_raw > 10", 0.4, "High Subnet Pressure (10m)"),
+    ("device_user_count_10min_raw > 5", 0.3, "Shared Device Anomaly"),
+    ("success_after_fail_burst = 1", 0.6, "Post-Burst Login Success"),
+    ("mature_account_multi_entity_drift = 1", 0.4, "High-Confidence Account Drift"),
+    ("new_country_and_fail_burst = 1", 0.5, "Cross-Border Brute Force"),
+    ("is_attack_ip = 1", 0.9, "Known Malicious Infrastructure"),
+]
+
+
+def featured_ctes() -> str:
+    """CTE ``FT``: features + rule score + surrogate model score + precision boost (dense logins)."""
+    score = "0.0" + "".join(f" + CASE WHEN {c} THEN {w} ELSE 0.0 END" for c, w, _ in RULE_CASES)
+    reasons = "concat_ws('; ', " + ", ".join(f"CASE WHEN {c} THEN '{t}' END" for c, _, t in RULE_CASES) + ")"
+    b = [("success_after_fail_burst = 1", 0.40, "SUCCESS_AFTER_BRUTEFORCE; "),
+         ("gf_asn_failure_rate_prior > 0.5 AND asn_user_count_before_raw > 100 AND "
+          "(fail_count_10min >= 1 OR user_login_hour_deviation > 8)", 0.25, "BOTNET_INFRA_PRESSURE; "),
+         ("new_device_and_new_subnet = 1 AND first_time_country = 1 AND n > 50", 0.30, "MATURE_GEO_INFRA_MIGRATION; "),
+         ("success = 1 AND first_time_country = 1 AND first_time_subnet = 1 AND gf_asn_failure_rate_prior > 0.3",
+          0.30, "STEALTH_GEO_PIVOT; ")]
+    boost = "0.0" + "".join(f" + CASE WHEN {c} THEN {w} ELSE 0.0 END" for c, w, _ in b)
+    tags = " || ".join(f"CASE WHEN {c} THEN '{t}' ELSE '' END" for c, _, t in b)
+    return f"""
+FX AS (SELECT h.*, g.* EXCLUDE (event_id), {MODEL_SQL} AS model_score,
+  {GRAPH_SQL} AS graph_anomaly_score FROM HF h JOIN GF g USING (event_id)),
+FR AS (SELECT *, least(1.0, {score}) AS rule_score,
+  CASE WHEN {reasons} = '' THEN 'Baseline' ELSE {reasons} END AS rule_reasons,
+  row_number() OVER (ORDER BY model_score DESC, event_id) AS top_rank FROM FX),
+FB AS (SELECT *, CASE WHEN top_rank <= 5000 THEN {boost} ELSE 0.0 END AS rule_boost,
+  CASE WHEN top_rank <= 5000 THEN {tags} ELSE '' END AS reason_tags FROM FR),
+FT AS (SELECT *, least(greatest(model_score + rule_boost * 1.2, 0.0), 1.0) AS final_score FROM FB)"""

@@ -1,3 +1,5 @@
 """Import every query module so that all queries are registered."""
 
 from . import queries_history  # noqa: F401
+from . import queries_graph  # noqa: F401
+from . import queries_triage  # noqa: F401

@@ -26,8 +26,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     conf = dict(REQUIRED_CONF)
     conf.update({
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "16g",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     })
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -47,6 +49,7 @@ def prepare(spark: SparkSession) -> SparkSession:
             spark.conf.set(k, v)
         except Exception:  # pragma: no cover - static conf on some deployments
             pass
+    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -64,3 +67,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df, enabled: bool = True):
+    """Cut the lineage: write ``df`` to the shared checkpoint folder and read it back.
+
+    Used where a frame feeds several branches (so it is not recomputed) and before
+    long chains (so a lost executor does not replay the whole plan).
+    """
+    if not enabled:
+        return df
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
