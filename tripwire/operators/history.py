@@ -52,153 +52,149 @@ def _ft(*keys) -> Column:
     return (F.row_number().over(ordered(*keys)) == 1).cast("int")
 
 
+def _ow(*keys) -> str:
+    return f"(PARTITION BY {', '.join(keys)} ORDER BY login_us, event_id)"
+
+
+def _pw(*keys) -> str:
+    return f"(PARTITION BY {', '.join(keys)} ORDER BY login_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+def _trail(v: str, keys: str, width_us: int) -> str:
+    """SQL form of :func:`trailing_prior_sum`."""
+    return (f"(sum({v}) OVER (PARTITION BY {keys} ORDER BY login_us RANGE BETWEEN {width_us} PRECEDING AND CURRENT ROW)"
+            f" - sum({v}) OVER (PARTITION BY {keys}, login_us ORDER BY event_id"
+            f" ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")
+
+
 def user_history(logins: DataFrame, repartition: bool = True) -> DataFrame:
     """All behaviour features of one login relative to the same user's earlier logins.
 
     Input: prepared logins. Output: input columns + behaviour features + helper columns
     (prefixed ``h_``) that later stages (entity passes, streaming parity) reuse.
+    Expressions are SQL text (one JVM call per stage instead of thousands of Column calls).
     """
     df = logins.repartition("user_id") if repartition else logins
     u = "user_id"
-    p = prior(u)
+    p = _pw(u)
     cols = [
-        (F.row_number().over(ordered(u)) - 1).alias("h_n"),
-        F.lag("login_us").over(ordered(u)).alias("h_prev_us"),
-        F.first("login_us").over(p).alias("h_first_us"),
-        F.coalesce(F.sum("is_weekend").over(p), F.lit(0)).alias("h_weekend_prior"),
-        F.coalesce(F.sum("hour").over(p), F.lit(0)).alias("h_hour_sum"),
-        F.coalesce(F.sum("fail").over(p), F.lit(0)).cast("bigint").alias("user_fail_count_prior"),
-        F.coalesce(F.sum("success").over(p), F.lit(0)).cast("bigint").alias("user_success_count_prior"),
-        trailing_prior_sum("fail", u, TEN_MIN_US).cast("bigint").alias("fail_count_10min"),
-        trailing_prior_sum("fail", u, ONE_HOUR_US).cast("bigint").alias("fail_count_1hour"),
-        trailing_prior_sum("success", u, TEN_MIN_US).cast("bigint").alias("success_count_10min"),
+        f"row_number() OVER {_ow(u)} - 1 AS h_n",
+        f"lag(login_us) OVER {_ow(u)} AS h_prev_us",
+        f"first(login_us) OVER {p} AS h_first_us",
+        f"coalesce(sum(is_weekend) OVER {p}, 0) AS h_weekend_prior",
+        f"coalesce(sum(hour) OVER {p}, 0) AS h_hour_sum",
+        f"CAST(coalesce(sum(fail) OVER {p}, 0) AS BIGINT) AS user_fail_count_prior",
+        f"CAST(coalesce(sum(success) OVER {p}, 0) AS BIGINT) AS user_success_count_prior",
+        f"CAST({_trail('fail', u, TEN_MIN_US)} AS BIGINT) AS fail_count_10min",
+        f"CAST({_trail('fail', u, ONE_HOUR_US)} AS BIGINT) AS fail_count_1hour",
+        f"CAST({_trail('success', u, TEN_MIN_US)} AS BIGINT) AS success_count_10min",
     ]
     for name, key in ENTITIES:
-        w = ordered(u, key)
+        ft = "first_time_device_combo" if name == "device" else f"first_time_{name}"
+        w = _ow(u, key)
         cols += [
-            _ft(u, key).alias(f"first_time_{name}" if name != "device" else "first_time_device_combo"),
-            F.lag("login_us").over(w).alias(f"h_last_{name}_us"),
+            f"CAST(row_number() OVER {w} = 1 AS INT) AS {ft}",
+            f"lag(login_us) OVER {w} AS h_last_{name}_us",
             # first failing row of (user, entity): input of failed-user counts per entity
-            ((F.col("fail") == 1) & (F.coalesce(F.sum("fail").over(w.rowsBetween(UNB, -1)), F.lit(0)) == 0))
-            .cast("int").alias(f"h_first_fail_{name}"),
-            F.lead("login_us").over(w).alias(f"h_next_{name}_us"),
-            F.lead("event_id").over(w).alias(f"h_next_{name}_eid"),
+            f"CAST(fail = 1 AND coalesce(sum(fail) OVER {_pw(u, key)}, 0) = 0 AS INT) AS h_first_fail_{name}",
+            f"lead(login_us) OVER {w} AS h_next_{name}_us",
+            f"lead(event_id) OVER {w} AS h_next_{name}_eid",
         ]
     for name, keys in PAIRS:
-        w = ordered(u, *keys)
-        cols.append(_ft(u, *keys).alias(f"h_ft_{name}"))
+        w = _ow(u, *keys)
+        cols.append(f"CAST(row_number() OVER {w} = 1 AS INT) AS h_ft_{name}")
         if name != "country_asn":
-            cols.append(F.lag("login_us").over(w).alias(f"h_last_{name}_us"))
-    df = df.select("*", *cols)
+            cols.append(f"lag(login_us) OVER {w} AS h_last_{name}_us")
+    df = df.selectExpr("*", *cols)
 
-    ft4 = (F.col("first_time_country") + F.col("first_time_asn") + F.col("first_time_subnet")
-           + F.col("first_time_device_combo"))
-    g = F.col("user_success_count_prior")
-    df = df.select(
+    ft4 = "(first_time_country + first_time_asn + first_time_subnet + first_time_device_combo)"
+    fts = {"country": "first_time_country", "asn": "first_time_asn", "subnet": "first_time_subnet",
+           "device": "first_time_device_combo"}
+    df = df.selectExpr(
         "*",
-        *[F.coalesce(F.sum(f"first_time_{n if n != 'device' else 'device_combo'}").over(p), F.lit(0))
-          .alias(f"h_cnt_{n}") for n, _ in ENTITIES],
-        (F.row_number().over(ordered(u, g)) - 1).cast("bigint").alias("consecutive_failures_prior"),
-        trailing_prior_sum(ft4, u, TEN_MIN_US).cast("bigint").alias("new_entities_10min"),
-        trailing_prior_sum(ft4, u, ONE_HOUR_US).cast("bigint").alias("new_entities_1hour"),
-        trailing_prior_sum("first_time_subnet", u, ONE_HOUR_US).cast("bigint").alias("new_subnets_1hour"),
-        trailing_prior_sum("first_time_device_combo", u, ONE_HOUR_US).cast("bigint")
-        .alias("new_device_combos_1hour"),
+        *[f"coalesce(sum({fts[n]}) OVER {p}, 0) AS h_cnt_{n}" for n, _ in ENTITIES],
+        f"CAST(row_number() OVER {_ow(u, 'user_success_count_prior')} - 1 AS BIGINT) AS consecutive_failures_prior",
+        f"CAST({_trail(ft4, u, TEN_MIN_US)} AS BIGINT) AS new_entities_10min",
+        f"CAST({_trail(ft4, u, ONE_HOUR_US)} AS BIGINT) AS new_entities_1hour",
+        f"CAST({_trail('first_time_subnet', u, ONE_HOUR_US)} AS BIGINT) AS new_subnets_1hour",
+        f"CAST({_trail('first_time_device_combo', u, ONE_HOUR_US)} AS BIGINT) AS new_device_combos_1hour",
     )
-    return df.select("*", *behaviour_columns())
-
-
-def behaviour_columns() -> list[Column]:
+    df = df.selectExpr("*", "CASE WHEN h_n >= 2 THEN ((h_prev_us - h_first_us) / 1e6) / (h_n - 1) ELSE 1.0 END AS h_gap0",
+                       "CASE WHEN h_n >= 2 THEN h_hour_sum / h_n ELSE CAST(hour AS DOUBLE) END AS h_mhour",
+                       "CASE WHEN h_n > 0 THEN h_weekend_prior / h_n ELSE 0.0 END AS h_wrate",
+                       "CASE WHEN h_prev_us IS NULL THEN 0.0 ELSE (login_us - h_prev_us) / 1e6 END AS h_since",
+                       "greatest(1, least(h_n, 100)) AS h_rate_base",
+                       "CAST(success = 1 AND fail_count_10min >= 3 AS INT) AS success_after_fail_burst")
+    df = df.selectExpr("*", "CASE WHEN h_gap0 = 0 THEN 1.0 ELSE h_gap0 END AS h_mean_gap",
+                       "CASE WHEN h_n >= 2 THEN least(abs(hour - h_mhour), 24 - abs(hour - h_mhour)) ELSE 0.0 END"
+                       " AS user_login_hour_deviation")
+    return df.selectExpr("*", *behaviour_exprs())
+
+
+def behaviour_exprs() -> list[str]:
     """Feature expressions over the helper columns (no windows)."""
-    n = F.col("h_n")
-    us = F.col("login_us")
-    gap = F.when(n >= 2, ((F.col("h_prev_us") - F.col("h_first_us")) / 1e6) / (n - 1)).otherwise(F.lit(1.0))
-    mean_gap = F.when(gap == 0, F.lit(1.0)).otherwise(gap)
-    h = F.col("hour").cast("double")
-    mhour = F.when(n >= 2, F.col("h_hour_sum") / n).otherwise(h)
-    rdiff = F.abs(h - mhour)
-    hdev = F.when(n >= 2, F.least(rdiff, 24 - rdiff)).otherwise(F.lit(0.0))
-    since = F.when(F.col("h_prev_us").isNull(), F.lit(0.0)).otherwise((us - F.col("h_prev_us")) / 1e6)
-    wrate = F.when(n > 0, F.col("h_weekend_prior") / n).otherwise(F.lit(0.0))
-    f10, s10 = F.col("fail_count_10min"), F.col("success_count_10min")
-    ok = F.col("success") == 1
-    ftc, fta, fts, ftd = (F.col("first_time_country"), F.col("first_time_asn"),
-                          F.col("first_time_subnet"), F.col("first_time_device_combo"))
-    mature = n >= 20
-    safb = (ok & (f10 >= 3)).cast("int")
-    rate_base = F.greatest(F.lit(1), F.least(n, F.lit(100)))
-
-    def secs(last):
-        return F.when(F.col(last).isNull(), F.lit(0.0)).otherwise((us - F.col(last)) / 1e6)
+    def secs(n):
+        return f"CASE WHEN h_last_{n}_us IS NULL THEN 0.0 ELSE (login_us - h_last_{n}_us) / 1e6 END"
 
     out = [
-        F.log1p(n).alias("user_login_count_prior"),
-        F.sin(F.lit(2 * 3.141592653589793) * h / 24).alias("login_hour_sin"),
-        F.cos(F.lit(2 * 3.141592653589793) * h / 24).alias("login_hour_cos"),
-        F.col("dow").alias("login_day_of_week"),
-        wrate.alias("user_weekend_login_rate_prior"),
-        (((F.col("is_weekend") == 1) & (wrate < 0.1)) | ((F.col("is_weekend") == 0) & (wrate > 0.9)))
-        .cast("int").alias("weekend_behavior_deviation"),
-        F.log1p(F.col("h_cnt_country")).alias("user_country_count_prior"),
-        F.log1p(F.col("h_cnt_asn")).alias("user_asn_count_prior"),
-        F.log1p(F.col("h_cnt_subnet")).alias("user_subnet_count_prior"),
-        F.log1p(F.col("h_cnt_device")).alias("user_device_combo_count_prior"),
+        "log1p(h_n) AS user_login_count_prior",
+        "sin(2 * pi() * hour / 24) AS login_hour_sin",
+        "cos(2 * pi() * hour / 24) AS login_hour_cos",
+        "dow AS login_day_of_week",
+        "h_wrate AS user_weekend_login_rate_prior",
+        "CAST((is_weekend = 1 AND h_wrate < 0.1) OR (is_weekend = 0 AND h_wrate > 0.9) AS INT) AS weekend_behavior_deviation",
+        "log1p(h_cnt_country) AS user_country_count_prior",
+        "log1p(h_cnt_asn) AS user_asn_count_prior",
+        "log1p(h_cnt_subnet) AS user_subnet_count_prior",
+        "log1p(h_cnt_device) AS user_device_combo_count_prior",
     ]
     for name, _ in ENTITIES:
         ft = "first_time_device_combo" if name == "device" else f"first_time_{name}"
-        out += [
-            (1 - F.col(ft)).alias(f"seen_{name}_before"),
-            secs(f"h_last_{name}_us").alias(f"secs_since_last_{name}_for_user"),
-            (secs(f"h_last_{name}_us") / mean_gap).alias(f"recency_{name}_normalized"),
-        ]
+        out += [f"1 - {ft} AS seen_{name}_before", f"{secs(name)} AS secs_since_last_{name}_for_user",
+                f"{secs(name)} / h_mean_gap AS recency_{name}_normalized"]
     for name in ("country_device", "asn_device", "subnet_device"):
-        out += [
-            (1 - F.col(f"h_ft_{name}")).alias(f"seen_{name}_before"),
-            secs(f"h_last_{name}_us").alias(f"secs_since_last_{name}_for_user"),
-        ]
+        out += [f"1 - h_ft_{name} AS seen_{name}_before", f"{secs(name)} AS secs_since_last_{name}_for_user"]
     out += [
-        F.col("h_ft_country_device").alias("first_time_country_device_combo"),
-        F.col("h_ft_asn_device").alias("first_time_asn_device_combo"),
-        F.col("h_ft_subnet_device").alias("first_time_subnet_device_combo"),
-        F.col("h_ft_country_asn").alias("first_time_country_asn"),
-        mhour.alias("user_mean_login_hour_prior"),
-        hdev.alias("user_login_hour_deviation"),
-        F.when(n >= 2, F.least(mean_gap, F.lit(100.0))).otherwise(F.lit(0.0))
-        .alias("user_mean_time_between_logins_prior"),
-        since.alias("time_since_last_login_sec"),
-        F.when(n >= 2, F.least(since / mean_gap, F.lit(100.0))).otherwise(F.lit(0.0))
-        .alias("time_gap_deviation_ratio"),
-        F.when(n > 0, F.col("user_fail_count_prior") / n).otherwise(F.lit(0.0)).alias("user_failure_rate_prior"),
-        (ok & (F.col("consecutive_failures_prior") >= 3)).cast("int").alias("success_after_consecutive_fails"),
-        f10.alias("recent_fail_burst"),
-        safb.alias("success_after_fail_burst"),
-        F.when(f10 + s10 > 0, f10 / (f10 + s10)).otherwise(F.lit(0.0)).alias("recent_fail_success_ratio"),
-        (F.col("h_cnt_country") / rate_base).alias("country_change_rate_prior"),
-        (F.col("h_cnt_asn") / rate_base).alias("asn_change_rate_prior"),
-        (F.col("h_cnt_subnet") / rate_base).alias("subnet_change_rate_prior"),
-        (F.col("h_cnt_device") / rate_base).alias("device_change_rate_prior"),
-        (mature & (ftc == 1)).cast("int").alias("mature_account_new_country"),
-        (mature & (ftd == 1)).cast("int").alias("mature_account_new_device"),
-        (mature & ((ftc + fta + fts + ftd) >= 2)).cast("int").alias("mature_account_multi_entity_drift"),
-        (ftd * fts).alias("new_device_and_new_subnet"),
-        ((ftc == 1) & (f10 >= 3)).cast("int").alias("new_country_and_fail_burst"),
-        ((fta == 1) & (hdev > 4)).cast("int").alias("new_asn_and_unusual_hour"),
-        (safb * ftd).alias("success_after_fail_and_new_device"),
+        "h_ft_country_device AS first_time_country_device_combo",
+        "h_ft_asn_device AS first_time_asn_device_combo",
+        "h_ft_subnet_device AS first_time_subnet_device_combo",
+        "h_ft_country_asn AS first_time_country_asn",
+        "h_mhour AS user_mean_login_hour_prior",
+        "CASE WHEN h_n >= 2 THEN least(h_mean_gap, 100.0) ELSE 0.0 END AS user_mean_time_between_logins_prior",
+        "h_since AS time_since_last_login_sec",
+        "CASE WHEN h_n >= 2 THEN least(h_since / h_mean_gap, 100.0) ELSE 0.0 END AS time_gap_deviation_ratio",
+        "CASE WHEN h_n > 0 THEN user_fail_count_prior / h_n ELSE 0.0 END AS user_failure_rate_prior",
+        "CAST(success = 1 AND consecutive_failures_prior >= 3 AS INT) AS success_after_consecutive_fails",
+        "fail_count_10min AS recent_fail_burst",
+        "CASE WHEN fail_count_10min + success_count_10min > 0 THEN fail_count_10min / "
+        "(fail_count_10min + success_count_10min) ELSE 0.0 END AS recent_fail_success_ratio",
+        "h_cnt_country / h_rate_base AS country_change_rate_prior",
+        "h_cnt_asn / h_rate_base AS asn_change_rate_prior",
+        "h_cnt_subnet / h_rate_base AS subnet_change_rate_prior",
+        "h_cnt_device / h_rate_base AS device_change_rate_prior",
+        "CAST(h_n >= 20 AND first_time_country = 1 AS INT) AS mature_account_new_country",
+        "CAST(h_n >= 20 AND first_time_device_combo = 1 AS INT) AS mature_account_new_device",
+        "CAST(h_n >= 20 AND first_time_country + first_time_asn + first_time_subnet + first_time_device_combo >= 2"
+        " AS INT) AS mature_account_multi_entity_drift",
+        "first_time_device_combo * first_time_subnet AS new_device_and_new_subnet",
+        "CAST(first_time_country = 1 AND fail_count_10min >= 3 AS INT) AS new_country_and_fail_burst",
+        "CAST(first_time_asn = 1 AND user_login_hour_deviation > 4 AS INT) AS new_asn_and_unusual_hour",
+        "success_after_fail_burst * first_time_device_combo AS success_after_fail_and_new_device",
         # user side of the infrastructure graph (same state, graph naming)
-        F.log1p(F.col("h_cnt_subnet")).alias("gf_user_subnet_count_before"),
-        F.log1p(F.col("h_cnt_asn")).alias("gf_user_asn_count_before"),
-        F.log1p(F.col("h_cnt_country")).alias("gf_user_country_count_before"),
-        F.log1p(F.col("h_cnt_device")).alias("gf_user_device_count_before"),
-        fts.alias("gf_edge_user_subnet_new"),
-        fta.alias("gf_edge_user_asn_new"),
-        ftc.alias("gf_edge_user_country_new"),
-        ftd.alias("gf_edge_user_device_new"),
-        F.col("h_ft_subnet_device").alias("gf_edge_user_subnet_device_new"),
-        F.col("h_ft_country_device").alias("gf_edge_user_country_device_new"),
-        F.col("h_ft_asn_device").alias("gf_edge_user_asn_device_new"),
-        (fts + fta + ftc + ftd).alias("gf_new_entity_count"),
-        (1.0 * fts + 1.0 * fta + 0.75 * ftc + 1.25 * ftd + 1.5 * F.col("h_ft_subnet_device"))
-        .alias("gf_user_drift_score"),
+        "log1p(h_cnt_subnet) AS gf_user_subnet_count_before",
+        "log1p(h_cnt_asn) AS gf_user_asn_count_before",
+        "log1p(h_cnt_country) AS gf_user_country_count_before",
+        "log1p(h_cnt_device) AS gf_user_device_count_before",
+        "first_time_subnet AS gf_edge_user_subnet_new",
+        "first_time_asn AS gf_edge_user_asn_new",
+        "first_time_country AS gf_edge_user_country_new",
+        "first_time_device_combo AS gf_edge_user_device_new",
+        "h_ft_subnet_device AS gf_edge_user_subnet_device_new",
+        "h_ft_country_device AS gf_edge_user_country_device_new",
+        "h_ft_asn_device AS gf_edge_user_asn_device_new",
+        "first_time_subnet + first_time_asn + first_time_country + first_time_device_combo AS gf_new_entity_count",
+        "1.0D * first_time_subnet + 1.0D * first_time_asn + 0.75D * first_time_country + 1.25D * first_time_device_combo"
+        " + 1.5D * h_ft_subnet_device AS gf_user_drift_score",
     ]
     return out
 

@@ -2,29 +2,37 @@
 
 Runs after :func:`tripwire.operators.history.user_history`, which already gives every row
 its first-(user, entity) flag, its first-failure-(user, entity) flag and the time of the
-user's next row on the entity. Each entity kind is then one skew-safe pass
-(:func:`tripwire.operators.sweep.entity_pass`) over a narrow frame; the results are joined
-back to the wide history frame once, on ``event_id``.
+user's next row on the entity. All four entity kinds then go through one skew-safe sweep
+(:func:`tripwire.operators.sweep.entity_sweep`): one shuffle keyed by (kind, entity, time
+bucket), one pivot back by ``event_id``, one join to the wide history frame.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..session import materialize
 from .history import ONE_HOUR_US, TEN_MIN_US
-from .sweep import DEFAULT_BUCKET_US, entity_pass
-
-# entity kind -> (key column, trailing distinct-user windows, failure features?)
-KINDS = {
-    "subnet": ("subnet", [("user_count_10min", TEN_MIN_US), ("user_count_1hour", ONE_HOUR_US)], True),
-    "asn": ("asn_key", [("user_count_10min", TEN_MIN_US)], True),
-    "country": ("country_key", [], False),
-    "device": ("device", [("user_count_10min", TEN_MIN_US)], True),
-}
+from .sweep import DEFAULT_BUCKET_US, Kind, entity_sweep
+
 _FT = {"subnet": "first_time_subnet", "asn": "first_time_asn", "country": "first_time_country",
        "device": "first_time_device_combo"}
+_KEY = {"subnet": "subnet", "asn": "asn_key", "country": "country_key", "device": "device"}
+
+
+def entity_kinds() -> list[Kind]:
+    out = []
+    for kind in ("subnet", "asn", "country", "device"):
+        sums = {"users": _FT[kind]}
+        windows = {}
+        if kind != "country":
+            sums.update({"fails": "fail", "events": "1", "failed_users": f"h_first_fail_{kind}"})
+            windows["users_10min"] = TEN_MIN_US
+        if kind == "subnet":
+            windows["users_1hour"] = ONE_HOUR_US
+        out.append(Kind(kind, _KEY[kind], sums, windows, f"h_next_{kind}_us", f"h_next_{kind}_eid"))
+    return out
+
 
 GRAPH_ENTITY_FEATURES = [
     "gf_subnet_user_count_before", "gf_asn_user_count_before", "gf_country_user_count_before",
@@ -36,55 +44,45 @@ GRAPH_ENTITY_FEATURES = [
 ]
 
 
-def entity_counts(hist: DataFrame, bucket_us: int = DEFAULT_BUCKET_US, checkpoint: bool = True) -> DataFrame:
+def entity_counts(hist: DataFrame, bucket_us: int = DEFAULT_BUCKET_US, checkpoint: bool = True,
+                  extra_kinds: list[Kind] | None = None) -> DataFrame:
     """Raw prior counts per entity kind, one row per event (narrow).
 
-    The narrow frame is checkpointed before each pass: every pass reads its input twice
-    (local prefix and per-bucket totals), and the chain stays short after a lost executor.
+    The narrow input is checkpointed: the sweep reads it twice (local prefix and
+    per-bucket totals), and a lost executor does not replay the user pass.
     """
-    cols = ["event_id", "user_id", "login_us", "fail", "subnet", "asn_key", "country_key", "device"]
-    for k in KINDS:
+    cols = ["event_id", "user_id", "login_us", "fail", "ip", *_KEY.values()]
+    for k in _FT:
         cols += [_FT[k], f"h_first_fail_{k}", f"h_next_{k}_us", f"h_next_{k}_eid"]
     x = materialize(hist.select(*cols), checkpoint)
-    for i, (kind, (key, windows, failures)) in enumerate(KINDS.items()):
-        sums = {f"{kind}_users": F.col(_FT[kind])}
-        if failures:
-            sums.update({f"{kind}_fails": F.col("fail"), f"{kind}_events": F.lit(1),
-                         f"{kind}_failed_users": F.col(f"h_first_fail_{kind}")})
-        x = entity_pass(x, key, sums=sums, windows=[(f"{kind}_{n}", w) for n, w in windows],
-                        next_cols=(f"h_next_{kind}_us", f"h_next_{kind}_eid"), bucket_us=bucket_us, prefix="n_")
-        if i < len(KINDS) - 1:
-            x = materialize(x, checkpoint)
-    return x.select("event_id", *[c for c in x.columns if c.startswith("n_")])
+    return entity_sweep(x, entity_kinds() + list(extra_kinds or []), bucket_us)
 
 
 def graph_features(hist: DataFrame, bucket_us: int = DEFAULT_BUCKET_US, checkpoint: bool = True) -> DataFrame:
-    """History frame + the 16 entity-side graph features."""
+    """History frame + the 16 entity-side graph features (+ raw counts used by thresholds)."""
     n = entity_counts(hist, bucket_us, checkpoint)
 
     def rate(k):
-        return F.when(F.col(f"n_{k}_events") > 0, F.col(f"n_{k}_fails") / F.col(f"n_{k}_events")).otherwise(F.lit(0.0))
+        return f"CASE WHEN {k}_events > 0 THEN {k}_fails / {k}_events ELSE 0.0D END"
 
-    feats = n.select(
+    feats = n.selectExpr(
         "event_id",
-        *[F.log1p(F.col(f"n_{k}_users")).alias(f"gf_{k}_user_count_before") for k in KINDS],
-        *[rate(k).alias(f"gf_{k}_failure_rate_prior") for k in ("subnet", "asn", "device")],
-        *[F.log1p(F.col(f"n_{k}_failed_users")).alias(f"gf_{k}_failed_user_count_before")
-          for k in ("subnet", "asn", "device")],
-        F.log1p(F.col("n_subnet_user_count_10min")).alias("gf_subnet_user_count_10min"),
-        F.log1p(F.col("n_subnet_user_count_1hour")).alias("gf_subnet_user_count_1hour"),
-        F.log1p(F.col("n_asn_user_count_10min")).alias("gf_asn_user_count_10min"),
-        F.log1p(F.col("n_device_user_count_10min")).alias("gf_device_user_count_10min"),
+        *[f"log1p({k}_users) AS gf_{k}_user_count_before" for k in ("subnet", "asn", "country", "device")],
+        *[f"{rate(k)} AS gf_{k}_failure_rate_prior" for k in ("subnet", "asn", "device")],
+        *[f"log1p({k}_failed_users) AS gf_{k}_failed_user_count_before" for k in ("subnet", "asn", "device")],
+        "log1p(subnet_users_10min) AS gf_subnet_user_count_10min",
+        "log1p(subnet_users_1hour) AS gf_subnet_user_count_1hour",
+        "log1p(asn_users_10min) AS gf_asn_user_count_10min",
+        "log1p(device_users_10min) AS gf_device_user_count_10min",
         # raw (not log-damped) counts, for count thresholds
-        F.col("n_asn_users").alias("asn_user_count_before_raw"),
-        F.col("n_subnet_user_count_10min").alias("subnet_user_count_10min_raw"),
-        F.col("n_device_user_count_10min").alias("device_user_count_10min_raw"),
+        "asn_users AS asn_user_count_before_raw",
+        "subnet_users_10min AS subnet_user_count_10min_raw",
+        "device_users_10min AS device_user_count_10min_raw",
     )
-    feats = feats.select(
+    feats = feats.selectExpr(
         "*",
-        ((F.col("gf_subnet_failed_user_count_before") > 2.0) & (F.col("gf_subnet_failure_rate_prior") > 0.5))
-        .cast("int").alias("gf_subnet_has_high_failure_pressure"),
-        ((F.col("gf_device_failed_user_count_before") > 1.5) & (F.col("gf_device_failure_rate_prior") > 0.5))
-        .cast("int").alias("gf_device_has_high_failure_pressure"),
-    )
+        "CAST(gf_subnet_failed_user_count_before > 2.0D AND gf_subnet_failure_rate_prior > 0.5D AS INT)"
+        " AS gf_subnet_has_high_failure_pressure",
+        "CAST(gf_device_failed_user_count_before > 1.5D AND gf_device_failure_rate_prior > 0.5D AS INT)"
+        " AS gf_device_has_high_failure_pressure")
     return hist.join(feats, "event_id")

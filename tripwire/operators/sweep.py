@@ -10,72 +10,87 @@ time buckets; inside a (key, bucket) a window gives the local prefix, and the to
 all earlier buckets of the key (a window over the small per-bucket aggregate) are added.
 A hot key is thus spread over as many tasks as it has buckets.
 
-``entity_pass``: trailing-window distinct counts as a delta sweep. Each row emits +1 at
-its own position and -1 at whichever comes first: the next row of the same member on
-this key (same position as that row, ordered just after it) or expiry at ``t + w`` (a
-later phase, so the window bound is inclusive). The running sum at a row's own position
-is the number of distinct members with a prior row within the window.
+``entity_sweep``: prior sums and trailing-window distinct counts for several entity kinds
+in one shuffle. Each row emits, per kind, one "own" event and, per window, one closing
+event: -1 at whichever comes first of the next row of the same member on this key
+(ordered just after that row) or expiry at ``t + w`` (a later phase, so the window bound
+is inclusive). The running sum at a row's own position counts the distinct members with
+a prior row within the window. Own events are then pivoted back to one row per event.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UNB = Window.unboundedPreceding
 ORDER = ["_t", "_ph", "_tie", "_kind"]
 DEFAULT_BUCKET_US = 3600 * 1_000_000
 
 
 def running_prior_sums(ev: DataFrame, key: str, order: list[str], values: list[str],
-                       time_col: str, bucket_us: int = DEFAULT_BUCKET_US, prefix: str = "S_") -> DataFrame:
+                       time_col: str, bucket_us: float = DEFAULT_BUCKET_US, prefix: str = "S_") -> DataFrame:
     """Add ``prefix + v`` = sum of ``v`` over strictly earlier rows (by ``order``) of the same ``key``."""
-    ev = ev.withColumn("_bkt", F.floor(F.col(time_col) / F.lit(bucket_us)).cast("bigint"))
+    ev = ev.selectExpr("*", f"CAST(floor({time_col} / {bucket_us!r}) AS BIGINT) AS _bkt")
+    ordr = ", ".join(order)
     tot = ev.groupBy(key, "_bkt").agg(*[F.sum(v).alias(f"_tot_{v}") for v in values])
-    cw = Window.partitionBy(key).orderBy("_bkt").rowsBetween(UNB, -1)
-    carry = tot.select(key, "_bkt", *[F.coalesce(F.sum(f"_tot_{v}").over(cw), F.lit(0)).alias(f"_c_{v}")
-                                      for v in values])
-    ww = Window.partitionBy(key, "_bkt").orderBy(*order).rowsBetween(UNB, -1)
-    local = ev.select("*", *[F.coalesce(F.sum(v).over(ww), F.lit(0)).alias(f"_w_{v}") for v in values])
+    carry = tot.selectExpr(key, "_bkt", *[
+        f"coalesce(sum(_tot_{v}) OVER (PARTITION BY {key} ORDER BY _bkt ROWS BETWEEN UNBOUNDED PRECEDING "
+        f"AND 1 PRECEDING), 0) AS _c_{v}" for v in values])
+    local = ev.selectExpr("*", *[
+        f"coalesce(sum({v}) OVER (PARTITION BY {key}, _bkt ORDER BY {ordr} ROWS BETWEEN UNBOUNDED PRECEDING "
+        f"AND 1 PRECEDING), 0) AS _w_{v}" for v in values])
     out = local.join(carry, [key, "_bkt"], "left")
-    keep = [c for c in ev.columns if c != "_bkt"]
-    return out.select(*keep, *[(F.col(f"_w_{v}") + F.coalesce(F.col(f"_c_{v}"), F.lit(0))).alias(prefix + v)
-                               for v in values])
+    keep = [f"`{c}`" for c in ev.columns if c != "_bkt"]
+    return out.selectExpr(*keep, *[f"_w_{v} + coalesce(_c_{v}, 0) AS {prefix}{v}" for v in values])
 
 
-def entity_pass(df: DataFrame, key: Column | str, sums: dict[str, Column] | None = None,
-                windows: list[tuple[str, int]] | None = None, next_cols: tuple[str, str] | None = None,
-                bucket_us: int = DEFAULT_BUCKET_US, prefix: str = "S_") -> DataFrame:
-    """One shuffle on ``key``: prior sums of ``sums`` and trailing distinct counts per window.
+@dataclass
+class Kind:
+    """One entity kind of the sweep.
 
-    ``next_cols`` = (next time, next event id) of the same member on this key; without it
-    every row is its own member (a trailing *count* instead of a distinct count).
-    Output: the input rows with ``prefix + name`` for every sum and window name.
+    ``key``: SQL expression of the entity; ``sums``: name -> SQL value summed over prior rows;
+    ``windows``: name -> width in microseconds (trailing distinct members, inclusive bound);
+    ``next_us`` / ``next_eid``: the member's next row on this key (None: each row is its own
+    member, giving trailing counts).
     """
-    sums = sums or {}
-    windows = windows or []
-    key = F.col(key) if isinstance(key, str) else key
-    names = list(sums) + [n for n, _ in windows]
-    t, eid = F.col("login_us"), F.col("event_id")
-
-    def ev(tc, ph, tie, kind, vals):
-        return F.struct(tc.cast("bigint").alias("_t"), F.lit(ph).cast("int").alias("_ph") if isinstance(ph, int)
-                        else ph.cast("int").alias("_ph"), tie.cast("bigint").alias("_tie"),
-                        F.lit(kind).alias("_kind"), *[v.cast("bigint").alias(f"_v_{n}") for n, v in vals.items()])
-
-    own_vals = {**sums, **{n: F.lit(1) for n, _ in windows}}
-    items = [ev(t, 0, eid, 0, own_vals)]
-    for wn, w in windows:
-        vals = {**{n: F.lit(0) for n in sums}, **{n: F.lit(-1 if n == wn else 0) for n, _ in windows}}
-        if next_cols:
-            nus, neid = F.col(next_cols[0]), F.col(next_cols[1])
-            use_next = nus.isNotNull() & (nus <= t + F.lit(w))
-            items.append(ev(F.when(use_next, nus).otherwise(t + F.lit(w)),
-                            F.when(use_next, 0).otherwise(1), F.when(use_next, neid).otherwise(eid), 1, vals))
-        else:
-            items.append(ev(t + F.lit(w), 1, eid, 1, vals))
-    base = df.columns
-    x = df.select("*", key.alias("_key"), F.explode(F.array(*items)).alias("_e")).select(
-        *base, "_key", *[F.col(f"_e.{c}").alias(c) for c in ORDER], *[F.col(f"_e._v_{n}").alias(f"_v_{n}") for n in names])
-    r = running_prior_sums(x, "_key", ORDER, [f"_v_{n}" for n in names], "_t", bucket_us, prefix="_S")
-    return r.where(F.col("_kind") == 0).select(*base, *[F.col(f"_S_v_{n}").alias(prefix + n) for n in names])
+    name: str
+    key: str
+    sums: dict[str, str] = field(default_factory=dict)
+    windows: dict[str, int] = field(default_factory=dict)
+    next_us: str | None = None
+    next_eid: str | None = None
+
+
+def entity_sweep(df: DataFrame, kinds: list[Kind], bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
+    """One row per ``event_id`` with ``{kind}_{name}`` for every sum and window of every kind."""
+    vals = sorted({n for k in kinds for n in list(k.sums) + list(k.windows)})
+
+    def struct(kind: Kind, t, ph, tie, flag, v: dict[str, str]):
+        fields = [f"'{kind.name}' AS _en", f"CAST({kind.key} AS STRING) AS _key", f"CAST({t} AS BIGINT) AS _t",
+                  f"CAST({ph} AS INT) AS _ph", f"CAST({tie} AS BIGINT) AS _tie", f"{flag} AS _kind"]
+        fields += [f"CAST({v.get(n, '0')} AS BIGINT) AS {n}" for n in vals]
+        return "named_struct(" + ", ".join(f"'{f.split(' AS ')[-1]}', {f.rsplit(' AS ', 1)[0]}" for f in fields) + ")"
+
+    items = []
+    for k in kinds:
+        own = {**k.sums, **{n: "1" for n in k.windows}}
+        items.append(struct(k, "login_us", 0, "event_id", 0, own))
+        for wn, w in k.windows.items():
+            close = {wn: "-1"}
+            if k.next_us:
+                use = f"({k.next_us} IS NOT NULL AND {k.next_us} <= login_us + {w})"
+                items.append(struct(k, f"CASE WHEN {use} THEN {k.next_us} ELSE login_us + {w} END",
+                                    f"CASE WHEN {use} THEN 0 ELSE 1 END",
+                                    f"CASE WHEN {use} THEN {k.next_eid} ELSE event_id END", 1, close))
+            else:
+                items.append(struct(k, f"login_us + {w}", 1, "event_id", 1, close))
+    x = df.selectExpr("event_id", f"explode(array({', '.join(items)})) AS _e")
+    x = x.selectExpr("event_id", "_e._en AS _en", "concat(_e._en, '\u0001', _e._key) AS _k",
+                     *[f"_e.{c} AS {c}" for c in ORDER], *[f"_e.{n} AS {n}" for n in vals])
+    r = running_prior_sums(x, "_k", ORDER, vals, "_t", bucket_us, prefix="S_")
+    own = r.where("_kind = 0")
+    aggs = [F.max(F.when(F.col("_en") == k.name, F.col(f"S_{n}"))).alias(f"{k.name}_{n}")
+            for k in kinds for n in list(k.sums) + list(k.windows)]
+    return own.groupBy("event_id").agg(*aggs)

@@ -97,38 +97,28 @@ def fixture_logins(spark: SparkSession, sf_dir: str, dense: bool = False) -> Dat
     10-minute / 1-hour windows are well filled.
     """
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    us = S.epoch_us(F.col("ts")) - F.lit(FIXTURE_EPOCH_US)
-    e = ev.select("event_id", "user_id", "event_type", "value", k.alias("k"), us.alias("us"))
-    u, kk = F.col("user_id"), F.col("k")
-
-    def cs(x):
-        return x.cast("string")
-
-    country = (F.when(kk == 13, F.lit(None).cast("string"))
-               .when(kk < 80, F.concat(F.lit("C"), cs(u % 6)))
-               .otherwise(F.concat(F.lit("C"), cs((u + kk) % 6))))
-    asn = (F.when(kk == 17, F.lit(None).cast("bigint"))
-           .when(kk < 70, F.lit(1000) + u % 12)
-           .otherwise(F.lit(1000) + (u + kk) % 12))
-    ip = F.when(kk == 19, F.lit(None).cast("string")).otherwise(F.concat(
-        F.lit("10."), cs(u % 4), F.lit("."),
-        cs(F.when(kk < 60, u % 16).otherwise((u + kk) % 16)), F.lit("."), cs(kk)))
-    device_type = F.when(kk < 75, "desktop").when(kk < 90, "mobile").otherwise("tablet")
-    os_name = F.concat(F.lit("OS"), cs(F.when(kk < 75, u % 3).otherwise(kk % 5)))
-    browser = F.when(kk == 23, F.lit(None).cast("string")).otherwise(
-        F.concat(F.lit("B"), cs(F.when(kk < 75, u % 4).otherwise((u + kk) % 4))))
-    off = F.expr("us div 240") if dense else F.col("us")
-    return e.select(
+    e = ev.selectExpr("event_id", "user_id", "event_type", "value",
+                      "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k",
+                      f"timestampdiff(MICROSECOND, {S.EPOCH_NTZ}, ts) - {FIXTURE_EPOCH_US} AS us")
+    off = "us div 240" if dense else "us"
+    out = e.selectExpr(
         "event_id", "user_id",
-        S.from_epoch_us(F.lit(FIXTURE_EPOCH_US) + off).alias("login_ts"),
-        ip.alias("ip"), country.alias("country"), asn.alias("asn"),
-        device_type.alias("device_type"), os_name.alias("os_name"), browser.alias("browser"),
-        F.when(F.col("event_type") == "error", 0).otherwise(1).alias("success"),
-        F.col("value").alias("rtt_ms"),
-        F.when(kk >= 95, 1).otherwise(0).alias("is_attack_ip"),
-        F.when((kk >= 97) & (F.col("event_type") == "purchase"), 1).otherwise(0).alias("is_ato"),
-    ).select([F.col(f.name).cast(f.dataType).alias(f.name) for f in LOGIN_SCHEMA.fields])
+        f"timestampadd(MICROSECOND, {FIXTURE_EPOCH_US} + {off}, {S.EPOCH_NTZ}) AS login_ts",
+        "CASE WHEN k = 19 THEN NULL ELSE concat('10.', CAST(user_id % 4 AS STRING), '.', "
+        "CAST(CASE WHEN k < 60 THEN user_id % 16 ELSE (user_id + k) % 16 END AS STRING), '.', CAST(k AS STRING)) END AS ip",
+        "CASE WHEN k = 13 THEN NULL WHEN k < 80 THEN concat('C', CAST(user_id % 6 AS STRING)) "
+        "ELSE concat('C', CAST((user_id + k) % 6 AS STRING)) END AS country",
+        "CASE WHEN k = 17 THEN NULL WHEN k < 70 THEN 1000 + user_id % 12 ELSE 1000 + (user_id + k) % 12 END AS asn",
+        "CASE WHEN k < 75 THEN 'desktop' WHEN k < 90 THEN 'mobile' ELSE 'tablet' END AS device_type",
+        "concat('OS', CAST(CASE WHEN k < 75 THEN user_id % 3 ELSE k % 5 END AS STRING)) AS os_name",
+        "CASE WHEN k = 23 THEN NULL ELSE concat('B', CAST(CASE WHEN k < 75 THEN user_id % 4 "
+        "ELSE (user_id + k) % 4 END AS STRING)) END AS browser",
+        "CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS success",
+        "value AS rtt_ms",
+        "CASE WHEN k >= 95 THEN 1 ELSE 0 END AS is_attack_ip",
+        "CASE WHEN k >= 97 AND event_type = 'purchase' THEN 1 ELSE 0 END AS is_ato",
+    )
+    return out.selectExpr(*[f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in LOGIN_SCHEMA.fields])
 
 
 def prepare_logins(df: DataFrame, keep_rejects: bool = False) -> DataFrame:
@@ -137,27 +127,26 @@ def prepare_logins(df: DataFrame, keep_rejects: bool = False) -> DataFrame:
     Rows without a timestamp cannot be placed in time; they are removed here
     (use :func:`rejected_logins` to see them).
     """
-    ts = F.col("login_ts")
-    out = df.where(ts.isNotNull()) if not keep_rejects else df
-    return out.select(
+    out = df.where("login_ts IS NOT NULL") if not keep_rejects else df
+    u = S.UNKNOWN
+    return out.selectExpr(
         "event_id", "user_id", "login_ts",
-        S.epoch_us(ts).alias("login_us"),
+        f"timestampdiff(MICROSECOND, {S.EPOCH_NTZ}, login_ts) AS login_us",
         "ip", "country", "asn", "device_type", "os_name", "browser", "rtt_ms",
-        S.norm_flag("success", 1).alias("success"),
-        (1 - S.norm_flag("success", 1)).alias("fail"),
-        S.norm_flag("is_attack_ip", 0).alias("is_attack_ip"),
-        S.norm_flag("is_ato", 0).alias("is_ato"),
-        S.entity_key("country").alias("country_key"),
-        S.entity_key("asn").alias("asn_key"),
-        S.ip_subnet("ip").alias("subnet"),
-        S.device_combo("device_type", "os_name", "browser").alias("device"),
-        F.col("country").isNull().cast("int").alias("missing_country"),
-        F.col("asn").isNull().cast("int").alias("missing_asn"),
-        (F.col("device_type").isNull() | F.col("os_name").isNull() | F.col("browser").isNull())
-        .cast("int").alias("missing_device_info"),
-        S.login_hour(ts).alias("hour"),
-        S.day_of_week(ts).alias("dow"),
-        S.is_weekend(ts).alias("is_weekend"),
+        "coalesce(CAST(success AS INT), 1) AS success",
+        "1 - coalesce(CAST(success AS INT), 1) AS fail",
+        "coalesce(CAST(is_attack_ip AS INT), 0) AS is_attack_ip",
+        "coalesce(CAST(is_ato AS INT), 0) AS is_ato",
+        f"coalesce(CAST(country AS STRING), '{u}') AS country_key",
+        f"coalesce(CAST(asn AS STRING), '{u}') AS asn_key",
+        f"CASE WHEN ip IS NULL OR instr(ip, '.') = 0 THEN '{u}' ELSE substring_index(ip, '.', 3) END AS subnet",
+        f"concat_ws('-', coalesce(device_type, '{u}'), coalesce(os_name, '{u}'), coalesce(browser, '{u}')) AS device",
+        "CAST(country IS NULL AS INT) AS missing_country",
+        "CAST(asn IS NULL AS INT) AS missing_asn",
+        "CAST(device_type IS NULL OR os_name IS NULL OR browser IS NULL AS INT) AS missing_device_info",
+        "hour(login_ts) AS hour",
+        "weekday(login_ts) AS dow",
+        "CAST(weekday(login_ts) >= 5 AS INT) AS is_weekend",
     )
 
 
