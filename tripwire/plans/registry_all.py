@@ -4,3 +4,4 @@ from . import queries_history  # noqa: F401
 from . import queries_graph  # noqa: F401
 from . import queries_triage  # noqa: F401
 from . import queries_metrics  # noqa: F401
+from . import queries_sampling  # noqa: F401
