@@ -5,3 +5,4 @@ from . import queries_graph  # noqa: F401
 from . import queries_triage  # noqa: F401
 from . import queries_metrics  # noqa: F401
 from . import queries_sampling  # noqa: F401
+from . import queries_extras  # noqa: F401
