@@ -40,7 +40,8 @@ def finalize(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         col = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            out.append((F.round(col.cast("double") * 1e6) / 1e6).alias(f.name))
+            r = F.round(col.cast("double") * 1e6) / 1e6
+            out.append(F.when(r == 0, F.lit(0.0)).otherwise(r).alias(f.name))  # no -0.0
         elif isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
             out.append(col.cast("bigint").alias(f.name))
         else:

@@ -166,7 +166,7 @@ def with_ctes(*parts: str) -> str:
 
 def finalize(sql: str, doubles=(), ints=()) -> str:
     """Wrap a query so doubles are rounded to 6 places and integers are BIGINT."""
-    rep = [f"round(CAST({c} AS DOUBLE) * 1e6) / 1e6 AS {c}" for c in doubles] + [f"CAST({c} AS BIGINT) AS {c}" for c in ints]
+    rep = [f"CASE WHEN round(CAST({c} AS DOUBLE) * 1e6) = 0 THEN CAST(0 AS DOUBLE) ELSE round(CAST({c} AS DOUBLE) * 1e6) / 1e6 END AS {c}" for c in doubles] + [f"CAST({c} AS BIGINT) AS {c}" for c in ints]
     if not rep:
         return sql
     return f"SELECT * REPLACE ({', '.join(rep)}) FROM ({sql}) q"

@@ -6,3 +6,4 @@ from . import queries_triage  # noqa: F401
 from . import queries_metrics  # noqa: F401
 from . import queries_sampling  # noqa: F401
 from . import queries_extras  # noqa: F401
+from . import queries_prep  # noqa: F401
