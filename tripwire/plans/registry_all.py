@@ -7,3 +7,4 @@ from . import queries_metrics  # noqa: F401
 from . import queries_sampling  # noqa: F401
 from . import queries_extras  # noqa: F401
 from . import queries_prep  # noqa: F401
+from . import queries_graph2  # noqa: F401
