@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.history import user_history
 from ..operators.infra import graph_features
 from ..operators.rules import precision_boost, rule_score
+from ..session import materialize
 from ..sources.logins import load_fixture
 
 # a small bucket so the fixture's 3-hour span is cut into many buckets (exercises the carry)
@@ -33,8 +34,11 @@ def features(spark: SparkSession, sf_dir: str, dense: bool = True, bucket_us: in
 
 
 def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features + rule score + surrogate model score + precision boost → ``final_score``."""
-    f = features(spark, sf_dir)
+    """Features + rule score + surrogate model score + precision boost → ``final_score``.
+
+    The feature table is written once to the checkpoint folder: scoring, the top-N boost,
+    both tiers and the roll-ups all read it (no recomputation of the window plans)."""
+    f = materialize(features(spark, sf_dir))
     e, u = F.col("event_id"), F.col("user_id")
     model = F.least(F.lit(1.0), 0.55 * (((e * 7919 + u * 104729) % 1009).cast("double") / 1009.0)
                     + 0.45 * F.col("is_ato") + 0.2 * F.col("is_attack_ip"))

@@ -181,3 +181,18 @@ q("run_stats", lambda s, d: (lambda f: T.run_stats(f, T.critical_tier(f), T.susp
   " (SELECT count(*) FROM CR) AS critical_alerts, (SELECT count(*) FROM SU) AS suspicious_alerts FROM FT",
   ["rf_score_max", "final_score_max", "final_score_min"],
   ["total_rows", "known_atos", "critical_alerts", "suspicious_alerts"], "2.5")
+
+
+# ---- flagship: users with a successful login right after >= 3 failures in 10 minutes ----
+def _flagship(s, d):
+    f = featured(s, d).where("success_after_fail_burst = 1")
+    g = f.groupBy("user_id").agg(F.count(F.lit(1)).alias("burst_logins"), F.max("rule_score").alias("max_rule_score"),
+                                 F.max("final_score").alias("max_final_score"))
+    return g.orderBy(F.col("burst_logins").desc(), F.col("max_rule_score").desc(), F.col("user_id")).limit(10)
+
+
+q("brute_force_success_top_users", _flagship,
+  FTQ() + "\nSELECT user_id, count(*) AS burst_logins, max(rule_score) AS max_rule_score,"
+  " max(final_score) AS max_final_score FROM FT WHERE success_after_fail_burst = 1 GROUP BY user_id"
+  " ORDER BY burst_logins DESC, max_rule_score DESC, user_id LIMIT 10",
+  ["max_rule_score", "max_final_score"], ["user_id", "burst_logins"], "7")
