@@ -9,3 +9,4 @@ from . import queries_extras  # noqa: F401
 from . import queries_prep  # noqa: F401
 from . import queries_graph2  # noqa: F401
 from . import queries_models  # noqa: F401
+from . import queries_io  # noqa: F401
