@@ -69,19 +69,25 @@ q("write_json_report", _json_report,
   ["total_rows", "known_atos", "critical_alerts", "suspicious_alerts"])
 
 
-# ---- streaming (stateful operators: rows-only in the driver, stream = batch in tests) ----
+# ---- streaming: deterministic, and equal to the batch plans, so checked against the same SQL ----
+HQ = lambda: O.with_ctes(O.fixture_ctes(True), O.history_ctes())
+GQ = lambda: O.with_ctes(O.fixture_ctes(True), O.graph_ctes())
+_SU = ["event_id", "user_id", "consecutive_failures_prior", "fail_count_10min", "new_entities_1hour",
+       "first_time_subnet"]
+_SE = ["event_id", "gf_subnet_user_count_before", "gf_subnet_failure_rate_prior", "gf_subnet_user_count_10min",
+       "gf_subnet_user_count_1hour"]
+
+
 def _stream(s, d, entities=False):
     base = scratch(s, "stream")
     src = write_log_files(fixture_logins(s, d, True), os.path.join(base, "in"), 8)
     return run_user_state(s, src, os.path.join(base, "out"), 2, with_entities=entities)
 
 
-q("stream_user_state", lambda s, d: _stream(s, d).select(
-    "event_id", "user_id", "h_n", "consecutive_failures_prior", "fail_count_10min", "new_entities_1hour",
-    "first_time_subnet"), section="2.15")
-q("stream_entity_state", lambda s, d: _stream(s, d, True).select(
-    "event_id", "gf_subnet_user_count_before", "gf_subnet_failure_rate_prior", "gf_subnet_user_count_10min",
-    "gf_subnet_user_count_1hour"), section="2.15")
+q("stream_user_state", lambda s, d: _stream(s, d).select(*_SU, F.col("h_n").alias("prior_logins")),
+  HQ() + f"\nSELECT {', '.join(_SU)}, n AS prior_logins FROM HF", [], _SU + ["prior_logins"], "2.15")
+q("stream_entity_state", lambda s, d: _stream(s, d, True).select(*_SE),
+  GQ() + f"\nSELECT {', '.join(_SE)} FROM GF", _SE[1:], ["event_id"], "2.15")
 
 
 def _stream_score(s, d):
@@ -95,13 +101,21 @@ def _stream_score(s, d):
     def score_fn(batch):
         return surrogate_scores(batch.join(labels, "event_id"))
 
-    scores, topk = os.path.join(base, "scores"), os.path.join(base, "topk")
-    score_batches(s, stream, score_fn, scores, topk, k=500)
+    scores, topk, conf = os.path.join(base, "scores"), os.path.join(base, "topk"), os.path.join(base, "conf")
+    score_batches(s, stream, score_fn, scores, topk, k=500, confusion_out=conf)
     last = sorted(p for p in os.listdir(topk) if p.startswith("b"))[-1]
-    return s.read.parquet(os.path.join(topk, last)).select("event_id", "model_score", "is_ato")
-
-
-q("stream_score_topk", _stream_score, section="2.15")
+    return s.read.parquet(os.path.join(topk, last)), s.read.parquet(conf)
+
+
+_SCQ = lambda: O.with_ctes(O.fixture_ctes(True), O.scored_ctes())
+q("stream_score_topk", lambda s, d: _stream_score(s, d)[0].select("event_id", "model_score", "is_ato"),
+  _SCQ() + "\nSELECT event_id, model_score, is_ato FROM SC ORDER BY model_score DESC, event_id LIMIT 500",
+  ["model_score"], ["event_id", "is_ato"], "2.15")
+q("stream_confusion", lambda s, d: _stream_score(s, d)[1].agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "tn", "fn")]),
+  _SCQ() + "\nSELECT sum(CASE WHEN is_ato = 1 AND model_score >= 0.5 THEN 1 ELSE 0 END) AS tp,"
+  " sum(CASE WHEN is_ato = 0 AND model_score >= 0.5 THEN 1 ELSE 0 END) AS fp,"
+  " sum(CASE WHEN is_ato = 0 AND model_score < 0.5 THEN 1 ELSE 0 END) AS tn,"
+  " sum(CASE WHEN is_ato = 1 AND model_score < 0.5 THEN 1 ELSE 0 END) AS fn FROM SC", [], ["tp", "fp", "tn", "fn"], "2.15")
 q("state_size", lambda s, d: prepare_logins(fixture_logins(s, d)).agg(
     F.countDistinct("user_id").alias("tracked_users"), F.countDistinct("subnet").alias("tracked_subnets")),
   LQ() + "\nSELECT count(DISTINCT user_id) AS tracked_users, count(DISTINCT subnet) AS tracked_subnets FROM L",

@@ -82,3 +82,8 @@ q("tag_counts", lambda s, d: featured(s, d).select(F.explode(S.tag_split("reason
   O.with_ctes(O.fixture_ctes(True), O.history_ctes(), O.graph_ctes(), O.featured_ctes())
   + ", TG AS (SELECT unnest(list_filter(list_transform(string_split(reason_tags, ';'), lambda x: trim(x)), lambda x: x != ''))"
   " AS tag FROM FT)\nSELECT tag, count(*) AS n FROM TG GROUP BY tag", [], ["n"])
+q("ml_project", lambda s, d: P.ml_project(load_fixture(s, d).select(
+    "event_id", "user_id", "ip", "country_key", "success", "hour", "is_weekend", "missing_asn", "device_type",
+    "is_attack_ip", "is_ato")),
+  LQ() + "\nSELECT success, hour, is_weekend, missing_asn, device_type, is_ato FROM L", [],
+  ["success", "hour", "is_weekend", "missing_asn", "is_ato"])

@@ -76,14 +76,22 @@ def run_entity_state(spark: SparkSession, user_out: str, schema, out: str, check
 
 
 def score_batches(spark: SparkSession, features: DataFrame, score_fn, scores_out: str, topk_out: str, k: int = 5000,
-                  checkpoint: str | None = None):
+                  checkpoint: str | None = None, threshold: float = 0.5, confusion_out: str | None = None):
     """foreachBatch scorer: append (event, user, score, label) per micro-batch; merge the batch's
-    best k into the running top-k (bounded: 2k rows per merge); keep confusion counts per batch."""
+    best k into the running top-k (bounded: 2k rows per merge); append the batch's confusion
+    counts at ``threshold`` (their sum over batches is the run's confusion matrix)."""
     ck = checkpoint or scratch(spark, "score-ckpt")
 
     def each(batch: DataFrame, batch_id: int):
         s = score_fn(batch).select("event_id", "user_id", "login_us", "model_score", "is_ato")
         s.write.mode("append").parquet(scores_out)
+        if confusion_out:
+            p = (F.col("model_score") >= threshold).cast("int")
+            y = F.col("is_ato")
+            s.agg(F.lit(batch_id).alias("batch_id"),
+                  F.sum(((y == 1) & (p == 1)).cast("long")).alias("tp"), F.sum(((y == 0) & (p == 1)).cast("long")).alias("fp"),
+                  F.sum(((y == 0) & (p == 0)).cast("long")).alias("tn"), F.sum(((y == 1) & (p == 0)).cast("long")).alias("fn")) \
+                .write.mode("append").parquet(confusion_out)
         best = s.orderBy(F.col("model_score").desc(), F.col("event_id")).limit(k)
         prev_path = os.path.join(topk_out, f"b{batch_id - 1}")
         if batch_id > 0 and os.path.exists(prev_path):
