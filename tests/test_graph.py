@@ -19,7 +19,7 @@ def test_svd_matches_numpy(spark):
             edges.append((f"S{s}", f"D{d}", float(rng.integers(1, 3))))
     df = spark.createDataFrame(edges, "a string, b string, weight double")
     k = 3
-    emb, s = graph_svd_fit(df, k=k, oversample=8, iterations=30, checkpoint_every=5)
+    emb, s = graph_svd_fit(df, k=k, oversample=8, iterations=4)
     got = {r["node"]: np.array(r["vec"]) for r in emb.collect()}
     nodes = sorted(got)
     idx = {n: i for i, n in enumerate(nodes)}

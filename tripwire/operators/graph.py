@@ -3,13 +3,15 @@
 The adjacency matrix is never materialised: it is an edge table ``(src, dst, w)`` (both
 directions). The SVD is block subspace iteration: each round multiplies the current basis
 by the adjacency with one join + grouped sum (partial aggregation, so a hub node does not
-overload one task), then re-orthonormalises with the k x k Gram matrix (Cholesky on the
-driver: only k*k numbers travel). A final Rayleigh-Ritz step gives the singular triplets.
+overload one task), then re-orthonormalises with the k x k Gram matrix (on the
+driver: only k*k numbers travel; an eigen-decomposition of the Gram keeps it stable when the
+graph is rank deficient). A final Rayleigh-Ritz step gives the singular triplets.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,27 +55,34 @@ def _multiply(adj: DataFrame, q: DataFrame, k: int) -> DataFrame:
 
 
 def _gram(y: DataFrame, k: int) -> np.ndarray:
+    """Y^T Y: one partial k x k product per partition (numpy), summed on the driver."""
     cs = _vcols(k)
-    row = y.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"g_{i}_{j}") for i, a in enumerate(cs)
-                  for j, b in enumerate(cs) if j >= i]).collect()[0]
-    g = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            g[i, j] = g[j, i] = row[f"g_{i}_{j}"] or 0.0
-    return g
+
+    def part(batches):
+        g = np.zeros((k, k))
+        for pdf in batches:
+            a = pdf[cs].to_numpy(dtype=float)
+            g += a.T @ a
+        yield pd.DataFrame({"g": [g.ravel().tolist()]})
+
+    rows = y.select(*cs).mapInPandas(part, "g array<double>").collect()  # one row per partition
+    return sum(np.array(r["g"]).reshape(k, k) for r in rows)
 
 
 def _apply(y: DataFrame, m: np.ndarray, k_out: int, k_in: int) -> DataFrame:
-    """Rows times a small matrix: q'_j = sum_i q_i * m[i, j] (literal coefficients, JVM-side)."""
-    cs = _vcols(k_in)
-    out = []
-    for j in range(k_out):
-        e = None
-        for i in range(k_in):
-            t = F.col(cs[i]) * F.lit(float(m[i, j]))
-            e = t if e is None else e + t
-        out.append(e.alias(f"q{j}"))
-    return y.select("node", *out)
+    """Rows times a small matrix (numpy inside the tasks; the matrix travels in the closure)."""
+    cin, cout = _vcols(k_in), _vcols(k_out)
+    mm = np.asarray(m, dtype=float)
+
+    def part(batches):
+        for pdf in batches:
+            out = pdf[cin].to_numpy(dtype=float) @ mm
+            res = pd.DataFrame(out, columns=cout)
+            res.insert(0, "node", pdf["node"].values)
+            yield res
+
+    schema = "node string, " + ", ".join(f"{c} double" for c in cout)
+    return y.select("node", *cin).mapInPandas(part, schema)
 
 
 def graph_svd_fit(edges: DataFrame, k: int = 16, oversample: int = 8, iterations: int = 12,
@@ -88,24 +97,33 @@ def graph_svd_fit(edges: DataFrame, k: int = 16, oversample: int = 8, iterations
                                .alias(f"q{i}") for i in range(b)])
     q = materialize(q)
     for it in range(iterations):
-        y = _multiply(adj, q, b)
-        g = _gram(y, b)
-        lc = np.linalg.cholesky(g + 1e-12 * np.trace(g) * np.eye(b))
-        q = _apply(y, np.linalg.inv(lc).T, b, b)  # Y L^-T has orthonormal columns
-        if checkpoint_every and (it + 1) % checkpoint_every == 0:
-            q = materialize(q)
-    # Rayleigh-Ritz: B = Q^T A Q, eigen-decomposition, keep the k largest |eigenvalues|
+        # Y is read twice (Gram, then the update): write it once, so no round recomputes the chain
+        y = materialize(_multiply(adj, q, b), bool(checkpoint_every))
+        d, v = np.linalg.eigh(_gram(y, b))
+        # Y V D^-1/2: orthonormal columns; near-null directions are kept but not blown up
+        q = _apply(y, v / np.sqrt(np.maximum(d, d.max() * 1e-14)), b, b)
+    # Rayleigh-Ritz on the generalized problem (Q^T A Q) x = lambda (Q^T Q) x, restricted to the
+    # well-conditioned part of Q^T Q, then keep the k largest |eigenvalues|
     aq = _multiply(adj, q, b)
     cs = _vcols(b)
     j = aq.select("node", *[F.col(c).alias(f"a{c}") for c in cs]).join(q, "node")
-    row = j.agg(*[F.sum(F.col(f"a{ci}") * F.col(cj)).alias(f"b_{i}_{jj}")
-                  for i, ci in enumerate(cs) for jj, cj in enumerate(cs)]).collect()[0]
+    row = j.agg(*[F.sum(F.col(f"a{ci}") * F.col(cj)).alias(f"b_{i}_{jj}") for i, ci in enumerate(cs)
+                  for jj, cj in enumerate(cs)],
+                *[F.sum(F.col(ci) * F.col(cj)).alias(f"m_{i}_{jj}") for i, ci in enumerate(cs)
+                  for jj, cj in enumerate(cs) if jj >= i]).collect()[0]
     bm = np.array([[row[f"b_{i}_{jj}"] or 0.0 for jj in range(b)] for i in range(b)])
     bm = (bm + bm.T) / 2
-    lam, v = np.linalg.eigh(bm)
+    mm = np.zeros((b, b))
+    for i in range(b):
+        for jj in range(i, b):
+            mm[i, jj] = mm[jj, i] = row[f"m_{i}_{jj}"] or 0.0
+    dm, vm = np.linalg.eigh(mm)
+    keep = dm > dm.max() * 1e-10
+    w = vm[:, keep] / np.sqrt(dm[keep])
+    lam, u = np.linalg.eigh(w.T @ bm @ w)
     order = np.argsort(-np.abs(lam))[:k]
     s = np.abs(lam[order])
-    rot = v[:, order] * np.sqrt(s)[None, :]
+    rot = (w @ u[:, order]) * np.sqrt(s)[None, :]
     emb = _apply(q, rot, k, b)
     return emb.select("node", F.array(*[F.col(f"q{i}") for i in range(k)]).alias("vec")), s
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -70,12 +71,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df, enabled: bool = True):
-    """Cut the lineage: write ``df`` to the shared checkpoint folder and read it back.
+    """Cut the lineage: write ``df`` as Parquet under the shared checkpoint folder, read it back.
 
-    Used where a frame feeds several branches (so it is not recomputed) and before
-    long chains (so a lost executor does not replay the whole plan).
+    Used where a frame feeds several branches (so it is not recomputed), where range bounds
+    or generated ids must stay fixed between two reads, and before long chains (a lost
+    executor then replays from the files, not from the source). One job writes it; an eager
+    ``checkpoint()`` would compute the plan twice (count, then write).
     """
     if not enabled:
         return df
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", uuid.uuid4().hex)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
