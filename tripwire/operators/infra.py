@@ -59,8 +59,12 @@ def entity_counts(hist: DataFrame, bucket_us: int = DEFAULT_BUCKET_US, checkpoin
 
 
 def graph_features(hist: DataFrame, bucket_us: int = DEFAULT_BUCKET_US, checkpoint: bool = True) -> DataFrame:
-    """History frame + the 16 entity-side graph features (+ raw counts used by thresholds)."""
-    n = entity_counts(hist, bucket_us, checkpoint)
+    """History frame + the 16 entity-side graph features (+ raw counts used by thresholds).
+
+    The history frame is written once (Parquet, columnar): the sweep reads a few of its
+    columns, the final join reads all of them; neither recomputes the window plans."""
+    hist = materialize(hist, checkpoint)
+    n = entity_counts(hist, bucket_us, checkpoint=False)
 
     def rate(k):
         return f"CASE WHEN {k}_events > 0 THEN {k}_fails / {k}_events ELSE 0.0D END"
