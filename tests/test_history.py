@@ -145,3 +145,25 @@ def test_partition_invariance(spark):
         base = base or h
         assert h == base
     spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_bucketed_history_equals_windows(spark):
+    from tripwire.operators.history import BEHAVIOUR_FEATURES
+    from tripwire.operators.history_bucketed import user_history_bucketed, user_history_auto
+    rnd = random.Random(5)
+    rows = hand_rows()
+    e = len(rows)
+    # one hot user with most rows, spread over many buckets
+    for i in range(300):
+        rows.append(dict(eid=e + i, user=99, us=rnd.randrange(0, 4 * 3600) * S, ok=rnd.randrange(2),
+                         ip=f"10.{rnd.randrange(2)}.{rnd.randrange(4)}.1", country=f"C{rnd.randrange(3)}"))
+    df = _frame(spark, rows)
+    cols = ["event_id", *BEHAVIOUR_FEATURES, "h_next_subnet_us", "h_next_device_eid", "h_first_fail_asn"]
+    a = {r["event_id"]: r for r in user_history(df).select(*cols).collect()}
+    b = {r["event_id"]: r for r in user_history_bucketed(df, 300 * S).select(*cols).collect()}
+    assert a.keys() == b.keys()
+    for eid in a:
+        for c in cols:
+            assert a[eid][c] == pytest.approx(b[eid][c]), (eid, c)
+    auto = user_history_auto(df, max_user_rows=100, bucket_us=300 * S).select(*cols)
+    assert auto.count() == len(a)

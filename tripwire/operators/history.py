@@ -119,6 +119,11 @@ def user_history(logins: DataFrame, repartition: bool = True) -> DataFrame:
         f"CAST({_trail('first_time_subnet', u, ONE_HOUR_US)} AS BIGINT) AS new_subnets_1hour",
         f"CAST({_trail('first_time_device_combo', u, ONE_HOUR_US)} AS BIGINT) AS new_device_combos_1hour",
     )
+    return derive(df)
+
+
+def derive(df: DataFrame) -> DataFrame:
+    """Helper columns -> behaviour features (shared by the window and the bucketed plans)."""
     df = df.selectExpr("*", "CASE WHEN h_n >= 2 THEN ((h_prev_us - h_first_us) / 1e6) / (h_n - 1) ELSE 1.0 END AS h_gap0",
                        "CASE WHEN h_n >= 2 THEN h_hour_sum / h_n ELSE CAST(hour AS DOUBLE) END AS h_mhour",
                        "CASE WHEN h_n > 0 THEN h_weekend_prior / h_n ELSE 0.0 END AS h_wrate",

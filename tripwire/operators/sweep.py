@@ -29,21 +29,36 @@ ORDER = ["_t", "_ph", "_tie", "_kind"]
 DEFAULT_BUCKET_US = 3600 * 1_000_000
 
 
-def running_prior_sums(ev: DataFrame, key: str, order: list[str], values: list[str],
-                       time_col: str, bucket_us: float = DEFAULT_BUCKET_US, prefix: str = "S_") -> DataFrame:
-    """Add ``prefix + v`` = sum of ``v`` over strictly earlier rows (by ``order``) of the same ``key``."""
+def running_prior_sums(ev: DataFrame, key: str, order: list[str], values: list, time_col: str,
+                       bucket_us: float = DEFAULT_BUCKET_US, prefix: str = "S_") -> DataFrame:
+    """Add ``prefix + v`` = aggregate of ``v`` over strictly earlier rows (by ``order``) of the same ``key``.
+
+    ``values``: column names (summed) or (column, "sum" | "max" | "min") pairs. Sums start at 0;
+    max / min are null when there is no earlier row.
+    """
+    specs = [(v, "sum") if isinstance(v, str) else tuple(v) for v in values]
     ev = ev.selectExpr("*", f"CAST(floor({time_col} / {bucket_us!r}) AS BIGINT) AS _bkt")
     ordr = ", ".join(order)
-    tot = ev.groupBy(key, "_bkt").agg(*[F.sum(v).alias(f"_tot_{v}") for v in values])
+    tot = ev.groupBy(key, "_bkt").agg(*[getattr(F, a)(v).alias(f"_tot_{v}") for v, a in specs])
+    pre = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+    def z(a, e):
+        return f"coalesce({e}, 0)" if a == "sum" else e
+
     carry = tot.selectExpr(key, "_bkt", *[
-        f"coalesce(sum(_tot_{v}) OVER (PARTITION BY {key} ORDER BY _bkt ROWS BETWEEN UNBOUNDED PRECEDING "
-        f"AND 1 PRECEDING), 0) AS _c_{v}" for v in values])
+        f"{z(a, f'{a}(_tot_{v}) OVER (PARTITION BY {key} ORDER BY _bkt {pre})')} AS _c_{v}" for v, a in specs])
     local = ev.selectExpr("*", *[
-        f"coalesce(sum({v}) OVER (PARTITION BY {key}, _bkt ORDER BY {ordr} ROWS BETWEEN UNBOUNDED PRECEDING "
-        f"AND 1 PRECEDING), 0) AS _w_{v}" for v in values])
+        f"{z(a, f'{a}({v}) OVER (PARTITION BY {key}, _bkt ORDER BY {ordr} {pre})')} AS _w_{v}" for v, a in specs])
     out = local.join(carry, [key, "_bkt"], "left")
     keep = [f"`{c}`" for c in ev.columns if c != "_bkt"]
-    return out.selectExpr(*keep, *[f"_w_{v} + coalesce(_c_{v}, 0) AS {prefix}{v}" for v in values])
+
+    def comb(v, a):
+        if a == "sum":
+            return f"_w_{v} + coalesce(_c_{v}, 0)"
+        # greatest / least skip nulls
+        return f"{'greatest' if a == 'max' else 'least'}(_w_{v}, _c_{v})"
+
+    return out.selectExpr(*keep, *[f"{comb(v, a)} AS {prefix}{v}" for v, a in specs])
 
 
 @dataclass

@@ -80,3 +80,13 @@ def _sql(cols, dense):
 
 for _name, (_cols, _dense) in GROUPS.items():
     add(_name, _spark(_cols, _dense), _sql(_cols, _dense), "2.6/2.7")
+
+
+def _bucketed(spark, sf_dir):
+    from ..operators.history_bucketed import user_history_bucketed
+    # 20-minute buckets: every user's 3-hour dense history is cut into ~9 pieces
+    return finalize(user_history_bucketed(load_fixture(spark, sf_dir, True), 20 * 60 * 1_000_000)
+                    .select("event_id", *BEHAVIOUR_FEATURES))
+
+
+add("behaviour_features_bucketed", _bucketed, _sql(list(BEHAVIOUR_FEATURES), True), "2.6")
