@@ -132,8 +132,10 @@ def alert_for_user(critical: DataFrame, suspicious: DataFrame, users: DataFrame
     feed = critical.withColumn("_tier", F.lit(0)).unionByName(suspicious.withColumn("_tier", F.lit(1)))
     if users is not None:
         feed = feed.join(users.select("user_id").distinct(), "user_id", "left_semi")
-    w = Window.partitionBy("user_id").orderBy("_tier", "alert_rank")
-    return feed.select("*", F.row_number().over(w).alias("_r")).where("_r = 1").drop("_r", "_tier")
+    # min_by is a partial aggregate: a user with very many alerts is reduced map-side
+    cols = [c for c in feed.columns if c not in ("user_id", "_tier")]
+    best = feed.groupBy("user_id").agg(F.min_by(F.struct(*cols), F.struct("_tier", "alert_rank")).alias("_a"))
+    return best.select("user_id", *[F.col(f"_a.{c}").alias(c) for c in cols])
 
 
 def label_distribution(df: DataFrame, label: str = "is_ato", by: str | None = None) -> DataFrame:
