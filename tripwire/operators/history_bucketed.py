@@ -40,7 +40,7 @@ def _explode(df: DataFrame, kinds: list[dict], fields: dict[str, str]) -> DataFr
         rev = k.get("reverse", False)
         t = "-login_us" if rev else "login_us"
         tie = "-event_id" if rev else "event_id"
-        own = {f: e for f, (e, _) in k["values"].items()}
+        own = {f: spec[0] for f, spec in k["values"].items()}
         own.update({f: e for f, (e, _) in k.get("windows", {}).items()})  # +v here, -v at expiry
         items.append(struct(k["name"], k["key"], t, 0, tie, 0, own))
         for f, (e, w) in k.get("windows", {}).items():
@@ -53,9 +53,9 @@ def _explode(df: DataFrame, kinds: list[dict], fields: dict[str, str]) -> DataFr
 def _pass(df: DataFrame, kinds: list[dict], bucket_us: int) -> DataFrame:
     fields, aggs = {}, {}
     for k in kinds:
-        for f, (_, a) in k["values"].items():
-            aggs[f] = a
-            fields[f] = NEXT_T if f.startswith("nx_") else ("BIGINT")
+        for f, spec in k["values"].items():
+            aggs[f] = spec[1]
+            fields[f] = spec[2] if len(spec) > 2 else (NEXT_T if f.startswith("nx_") else "BIGINT")
         for f in k.get("windows", {}):
             aggs[f] = "sum"
             fields[f] = "BIGINT"
@@ -135,3 +135,40 @@ def user_history_auto(logins: DataFrame, max_user_rows: int = 2_000_000,
     if heaviest_user_rows(logins) > max_user_rows:
         return user_history_bucketed(logins, bucket_us)
     return user_history(logins)
+
+
+PREV_T = "STRUCT<t: BIGINT, e: BIGINT, a: STRING, s: STRING, d: STRING, c: STRING>"
+
+
+def sequence_shifts_bucketed(df: DataFrame, geo_jump_minutes: int = 60,
+                             bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
+    """:func:`extras.sequence_shifts` for hot users: the previous row is the running max of
+    (time, id, values) and the previous success time a running max, both split by time bucket."""
+    kinds = [{"name": "u", "key": "CAST(user_id AS STRING)", "values": {
+        "pv": ("named_struct('t', login_us, 'e', event_id, 'a', asn_key, 's', subnet, 'd', device, 'c', country_key)",
+               "max", PREV_T),
+        "ps": ("CASE WHEN success = 1 THEN login_us END", "max")}}]
+    r = _pass(df.select("event_id", "user_id", "login_us", "success", "asn_key", "subnet", "device", "country_key"),
+              kinds, bucket_us)
+    x = df.join(r, "event_id")
+    return x.selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        "CASE WHEN pv IS NULL THEN 0.0D ELSE (login_us - pv.t) / 1e6 END AS inter_arrival_sec",
+        "CASE WHEN ps IS NULL THEN NULL ELSE (login_us - ps) / 1e6 END AS session_recency_sec",
+        "CAST(pv IS NOT NULL AND pv.a != asn_key AS INT) AS asn_pivot",
+        "CAST(pv IS NOT NULL AND pv.s != subnet AS INT) AS subnet_shift",
+        "CAST(pv IS NOT NULL AND pv.d != device AS INT) AS device_drift",
+        f"CAST(pv IS NOT NULL AND pv.c != country_key AND login_us - pv.t <= {geo_jump_minutes * 60_000_000} AS INT)"
+        " AS geo_jump")
+
+
+def hour_zscore_bucketed(df: DataFrame, days: int = 30, bucket_us: int = 24 * 3600 * 1_000_000) -> DataFrame:
+    """:func:`extras.hour_zscore` for hot users: trailing sums of 1, h, h^2 as expiry events."""
+    w = days * 24 * 3600 * 1_000_000
+    kinds = [{"name": "u", "key": "CAST(user_id AS STRING)", "values": {},
+              "windows": {"zc": ("1", w), "zs": ("hour", w), "zq": ("hour * hour", w)}}]
+    r = _pass(df.select("event_id", "user_id", "login_us", "hour"), kinds, bucket_us)
+    x = df.join(r, "event_id").selectExpr("*", "CASE WHEN zc >= 2 THEN zs / zc END AS _m")
+    x = x.selectExpr("*", "CASE WHEN zc >= 2 THEN sqrt(greatest(zq / zc - _m * _m, 0.0D)) END AS _sd")
+    return x.selectExpr(*[f"`{c}`" for c in df.columns],
+                        f"CASE WHEN _sd IS NULL OR _sd = 0 THEN 0.0D ELSE (hour - _m) / _sd END AS hour_zscore_{days}d")

@@ -76,3 +76,23 @@ q("percent_tiers", lambda s, d: X.percent_tiers(scored(s, d), "model_score", (0.
   " (ORDER BY model_score DESC, event_id) - 1 AS pos, count(*) OVER () AS total_n FROM SC)\n"
   "SELECT event_id, CASE WHEN pos < ceil(total_n * 0.001) THEN 'top_0.1pct' ELSE 'top_0.5pct' END AS tier FROM P"
   " WHERE pos < ceil(total_n * 0.005)", [], ["event_id"])
+
+
+# hot-user-safe forms, checked against the same SQL as the window forms
+def _shifts_b(s, d):
+    from ..operators.history_bucketed import sequence_shifts_bucketed
+    return sequence_shifts_bucketed(load_fixture(s, d, True), 60, TEST_BUCKET_US).select(
+        "event_id", "inter_arrival_sec", "session_recency_sec", "asn_pivot", "subnet_shift", "device_drift", "geo_jump")
+
+
+def _z_b(s, d):
+    from ..operators.history_bucketed import hour_zscore_bucketed
+    return hour_zscore_bucketed(load_fixture(s, d), 30).select("event_id", "hour_zscore_30d")
+
+
+from .catalog import REGISTRY as _R  # noqa: E402
+
+q("sequence_shifts_bucketed", _shifts_b, None)
+_R["sequence_shifts_bucketed"].sql = _R["sequence_shifts"].sql
+q("hour_zscore_30d_bucketed", _z_b, None)
+_R["hour_zscore_30d_bucketed"].sql = _R["hour_zscore_30d"].sql
