@@ -40,6 +40,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -51,9 +52,34 @@ def prepare(spark: SparkSession) -> SparkSession:
         except Exception:  # pragma: no cover - static conf on some deployments
             pass
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tripwire`` importable in the Python workers (pandas UDFs, stateful streaming).
+
+    The package is zipped once per application into the shared checkpoint folder and
+    registered with ``addPyFile``; Spark distributes it to every executor."""
+    import zipfile
+    sc = spark.sparkContext
+    key = "spark.tripwire.pyfile"
+    if sc.getLocalProperty(key) or getattr(sc, "_tripwire_pyfile", None):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    zpath = os.path.join(ensure_checkpoint_dir(spark), f"pyfiles-{uuid.uuid4().hex}", "tripwire.zip")
+    local = zpath[len("file:"):] if zpath.startswith("file:") else zpath
+    os.makedirs(os.path.dirname(local), exist_ok=True)
+    with zipfile.ZipFile(local, "w") as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("tripwire", os.path.relpath(full, pkg)))
+    sc.addPyFile(local)
+    sc._tripwire_pyfile = local
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
