@@ -1,9 +1,9 @@
-"""Streaming entity state, chained after the user state in the same query.
+"""Streaming entity state: the second hop after the user state (its output folder as a stream).
 
 ``groupBy(entity).applyInPandasWithState`` keeps per entity: prior event and failure
-counts, the users seen (with the time each was last seen, for the trailing distinct-user
-windows) and the users that failed there. Entries older than the longest window only
-matter for the "seen before" counts, so they are kept as a count, not per time.
+counts, the users seen with the time each was last seen there (for the trailing
+distinct-user windows) and the users that failed there. Without a TTL this is exact
+(stream = batch); with ``ttl_us`` the user sets of busy entities stay bounded.
 """
 
 from __future__ import annotations
@@ -24,8 +24,11 @@ def _schema(kind: str, passthrough: str) -> str:
             f"gf_{kind}_user_count_1hour double")
 
 
-def entity_state(features: DataFrame, kind: str = "subnet", key: str = "subnet") -> DataFrame:
-    """Add the ``gf_{kind}_*`` prior features to a (streaming) frame of user-state rows."""
+def entity_state(features: DataFrame, kind: str = "subnet", key: str = "subnet", ttl_us: int | None = None) -> DataFrame:
+    """Add the ``gf_{kind}_*`` prior features to a (streaming) frame of user-state rows.
+
+    The seen-user set of a busy entity grows with its users; ``ttl_us`` (off by default, so
+    that stream = batch) forgets users not seen there for that long."""
     passthrough = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in features.schema.fields)
     names = [f.name for f in features.schema.fields]
     out_cols = names + [f"gf_{kind}_user_count_before", f"gf_{kind}_failure_rate_prior",
@@ -34,29 +37,25 @@ def entity_state(features: DataFrame, kind: str = "subnet", key: str = "subnet")
     longest = max(WINDOWS.values())
 
     def update(k, pdfs, state):
-        st = json.loads(state.get[0]) if state.exists else {"events": 0, "fails": 0, "users": {}, "failed": [],
-                                                           "last": None}
+        st = json.loads(state.get[0]) if state.exists else {"events": 0, "fails": 0, "users": {}, "failed": {}}
         rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["login_us", "event_id"])
         out = []
-        failed = set(st["failed"])
         for r in rows.itertuples(index=False):
             t = int(r.login_us)
-            win = {w: sum(1 for last in st["users"].values() if last is not None and t - last <= width)
-                   for w, width in WINDOWS.items()}
+            win = {w: sum(1 for last in st["users"].values() if t - last <= width) for w, width in WINDOWS.items()}
             out.append(tuple(getattr(r, c) for c in names) + (
                 math.log1p(len(st["users"])), st["fails"] / st["events"] if st["events"] else 0.0,
-                math.log1p(len(failed)), math.log1p(win["10min"]), math.log1p(win["1hour"])))
+                math.log1p(len(st["failed"])), math.log1p(win["10min"]), math.log1p(win["1hour"])))
             u = str(int(r.user_id))
             st["users"][u] = t
             st["events"] += 1
             if int(r.success) == 0:
                 st["fails"] += 1
-                failed.add(u)
-        if len(rows):
-            t = int(rows["login_us"].max())
-            # evict: times older than the longest window are no longer needed (the user stays "seen")
-            st["users"] = {u: (x if x is not None and t - x <= longest else None) for u, x in st["users"].items()}
-        st["failed"] = sorted(failed)
+                st["failed"][u] = t
+        if ttl_us is not None and len(rows):
+            now = int(rows["login_us"].max())
+            st["users"] = {u: x for u, x in st["users"].items() if now - x <= max(ttl_us, longest)}
+            st["failed"] = {u: x for u, x in st["failed"].items() if now - x <= ttl_us}
         state.update((json.dumps(st),))
         if out:
             yield pd.DataFrame(out, columns=out_cols)

@@ -35,7 +35,7 @@ def _fresh():
             "seen": {k: {} for k, _ in KINDS}, "ev": [], "ent": []}
 
 
-def _update(key, pdfs, state):
+def _update(key, pdfs, state, ttl_us=None):
     st = json.loads(state.get[0]) if state.exists else _fresh()
     rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["login_us", "event_id"])
     out = []
@@ -74,13 +74,24 @@ def _update(key, pdfs, state):
             st["ent"].append([t, n_new])
         for k, v in vals.items():
             st["seen"][k][v] = t
+    if ttl_us is not None and st["last"] is not None:
+        # optional bound on the state: forget entities not seen for ttl_us (then stream != batch)
+        now = st["last"][0]
+        st["seen"] = {k: {v: x for v, x in m.items() if now - x <= ttl_us} for k, m in st["seen"].items()}
     state.update((json.dumps(st),))
     if out:
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT_SCHEMA.split(", ")])
 
 
-def stream_user_state(prepared: DataFrame) -> DataFrame:
-    """Streaming (or batch) prepared logins -> per-row user history features, stateful by user."""
+def stream_user_state(prepared: DataFrame, ttl_us: int | None = None) -> DataFrame:
+    """Streaming (or batch) prepared logins -> per-row user history features, stateful by user.
+
+    ``ttl_us`` (off by default, so that stream = batch) forgets entities a user has not used
+    for that long, bounding the state of very long-lived users."""
     x = prepared.select("event_id", "user_id", "login_us", "success", "country_key", "asn_key", "subnet", "device")
-    return x.groupBy("user_id").applyInPandasWithState(_update, OUT_SCHEMA, STATE_SCHEMA, "append",
+
+    def fn(key, pdfs, state):
+        return _update(key, pdfs, state, ttl_us)
+
+    return x.groupBy("user_id").applyInPandasWithState(fn, OUT_SCHEMA, STATE_SCHEMA, "append",
                                                        GroupStateTimeout.NoTimeout)
