@@ -29,3 +29,16 @@ def test_scan_prunes_columns(spark):
     df = load_fixture(spark, SF001).select("event_id", "user_id")
     p = df._jdf.queryExecution().sparkPlan().toString()
     assert "value" not in p.split("ReadSchema:")[1].split("\n")[0]
+
+
+def test_top_k_exact_with_hot_ties(spark):
+    from pyspark.sql import functions as F
+
+    from tripwire.plans.ordering import top_k
+    df = spark.range(0, 60000).select(F.col("id").alias("event_id"),
+                                      F.when(F.col("id") % 3 == 0, F.lit(0.9)).otherwise(F.rand(7)).alias("s"))
+    df = df.cache()
+    ref = sorted(tuple(r) for r in df.orderBy(F.col("s").desc(), "event_id").limit(700).collect())
+    for merge_limit in (10, 10 ** 7):  # global-position path and bounded-limit path
+        got = sorted(tuple(r) for r in top_k(df, "s", 700, merge_limit=merge_limit).collect())
+        assert got == ref

@@ -102,8 +102,9 @@ def classification_report(df: DataFrame, label: str, pred: str) -> DataFrame:
 
 
 def top_k_rows(df: DataFrame, score: str, k: int, tie: str = "event_id") -> DataFrame:
-    """The k best rows by score (ties: lower id first); bounded, no global sort."""
-    return df.orderBy(F.col(score).desc(), F.col(tie).asc()).limit(k)
+    """The k best rows by score (ties: lower id first); bounded, no single-task merge at scale."""
+    from ..plans.ordering import top_k
+    return top_k(df, score, k, tie)
 
 
 def precision_recall_at_k(df: DataFrame, label: str, score: str, ks=KS, tie: str = "event_id",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ordering import top_k
+
 # fixed values: rule weights, thresholds and reason texts of the SOC rule score
 # (the two pressure rules compare log1p(users) > log1p(10) / log1p(5); the raw counts are compared)
 RULES = [
@@ -67,11 +69,10 @@ def boost_columns():
 def precision_boost(df: DataFrame, score_col: str = "model_score", top_n: int = BOOST_TOP_N) -> DataFrame:
     """Boost only the ``top_n`` rows by score (ties: lower ``event_id`` first).
 
-    The top-N ids are a bounded set (``top_n`` rows, TakeOrderedAndProject), so they are
+    The top-N ids are a bounded set (``top_n`` rows, exact :func:`top_k`), so they are
     broadcast and written back with a left join on ``event_id``.
     """
-    top = df.orderBy(F.col(score_col).desc(), F.col("event_id").asc()).limit(top_n) \
-        .select("event_id", F.lit(1).alias("_in_top"))
+    top = top_k(df.select("event_id", score_col), score_col, top_n).select("event_id", F.lit(1).alias("_in_top"))
     boost, tags = boost_columns()
     x = df.join(F.broadcast(top), "event_id", "left")
     in_top = F.col("_in_top").isNotNull()

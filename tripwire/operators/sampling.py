@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordering import with_position
+from ..plans.ordering import top_k, with_position
 
 # fixed values: sampling sizes and ratios
 NEG_PER_POS = 50
@@ -72,8 +72,8 @@ def hard_negative_sample(df: DataFrame, label: str = "is_ato", hard_col: str = "
     pos = df.where(F.col(label) == 1).withColumn("part", F.lit("positive"))
     negs = df.where(F.col(label) == 0)
     nneg = _one(negs.agg(F.count(F.lit(1)).alias("_nn")))
-    # bounded: at most n_hard rows (TakeOrderedAndProject)
-    hard = negs.orderBy(F.col(hard_col).desc(), F.col("event_id").asc()).limit(n_hard)
+    # bounded: at most n_hard rows (exact top-k)
+    hard = top_k(negs, hard_col, n_hard)
     hard = _one(hard).join(F.broadcast(nneg), "_j").where(F.col("_nn") > n_hard).select(*df.columns)
     rest = negs.join(F.broadcast(hard.select("event_id")), "event_id", "left_anti")  # drop_hard_negatives
     rest = with_position(rest.select("*", hash_order(seed).alias("_h")), ["_h", "event_id"], "_pos")

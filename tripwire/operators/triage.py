@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..plans.ordering import with_position
+from ..plans.ordering import top_k, with_position
 
 # fixed values: tier cut-offs, queue sizes and console labels
 CRITICAL_CUT = 0.50
@@ -30,8 +30,8 @@ def critical_tier(df: DataFrame, score: str = "final_score") -> DataFrame:
 
 
 def suspicious_tier(df: DataFrame, score: str = "model_score", top: int = SUSPICIOUS_TOP) -> DataFrame:
-    """The ``top`` rows by model score, ranked (bounded: a limit, then a small window)."""
-    t = df.orderBy(F.col(score).desc(), F.col("event_id").asc()).limit(top)
+    """The ``top`` rows by model score, ranked (exact bounded top-k, then a small window)."""
+    t = top_k(df, score, top)
     r = F.row_number().over(Window.orderBy(F.col(score).desc(), F.col("event_id").asc()))
     return t.select(F.lit("SUSPICIOUS").alias("alert_tier"), r.alias("alert_rank"), *df.columns)
 
@@ -41,7 +41,7 @@ def alert_feed(critical: DataFrame, suspicious: DataFrame) -> DataFrame:
 
 
 def top_alerts(df: DataFrame, risk: str = "final_risk", cut: float = ALERT_CUT, top: int = ALERT_LIST_TOP) -> DataFrame:
-    return df.where(F.col(risk) >= cut).orderBy(F.col(risk).desc(), F.col("event_id").asc()).limit(top)
+    return top_k(df.where(F.col(risk) >= cut), risk, top)
 
 
 def user_risk(df: DataFrame, risk: str = "final_risk", model: str = "model_score",

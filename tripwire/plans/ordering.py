@@ -74,3 +74,28 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], group: list[s
     out = piv.join(t.select(*group, "prob", "_h", "_lo"), [*group, "prob"])
     return out.select(*group, "prob", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) *
                                        (F.col("_h") - F.col("_lo"))).alias("quantile"))
+
+
+def top_k(df: DataFrame, score: str, k: int, tie: str = "event_id", slack: int = 4,
+          merge_limit: int = 1_000_000, accuracy: int = 100_000) -> DataFrame:
+    """Exactly the ``k`` best rows by ``score`` desc, ties by ``tie`` asc, at any input size.
+
+    ``orderBy().limit(k)`` merges (partitions x k) rows in one task. Instead: an approximate
+    quantile (a bounded sketch) gives a threshold a few times k from the top; only rows at or
+    above it are ranked, with ``limit`` when they are few, else with global positions (hot
+    ties at the threshold are still spread over all tasks). Falls back to all rows when the
+    sketch overshoots. Scalars (counts, the threshold) are the only things on the driver.
+    """
+    order = [F.col(score).desc(), F.col(tie).asc()]
+    n = df.count()
+    if n <= max(slack * k, merge_limit):
+        return df.orderBy(*order).limit(k)
+    frac = min(1.0, slack * k / n)
+    t = df.agg(F.percentile_approx(score, 1.0 - frac, accuracy)).collect()[0][0]
+    cand = df.where(F.col(score) >= F.lit(t))
+    c = cand.count()
+    if c < k:
+        cand, c = df, n
+    if c <= max(slack * k, merge_limit):
+        return cand.orderBy(*order).limit(k)
+    return with_position(cand, order, "_rk").where(F.col("_rk") < k).drop("_rk")
