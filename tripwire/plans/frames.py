@@ -44,4 +44,5 @@ def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
                     + 0.45 * F.col("is_ato") + 0.2 * F.col("is_attack_ip"))
     graph = ((e * 6007 + u * 31) % 997).cast("double") / 997.0
     x = rule_score(f.select("*", model.alias("model_score"), graph.alias("graph_anomaly_score")))
-    return precision_boost(x, "model_score")
+    # scored + boosted table written once: both tiers and every roll-up read it
+    return materialize(precision_boost(x, "model_score"))
