@@ -42,3 +42,16 @@ def test_top_k_exact_with_hot_ties(spark):
     for merge_limit in (10, 10 ** 7):  # global-position path and bounded-limit path
         got = sorted(tuple(r) for r in top_k(df, "s", 700, merge_limit=merge_limit).collect())
         assert got == ref
+
+
+def test_entity_windows_are_split_by_time_bucket(spark):
+    import re
+
+    from tripwire.operators.infra import entity_counts
+    h = user_history(load_fixture(spark, SF001, True))
+    p = entity_counts(h, checkpoint=False)._jdf.queryExecution().sparkPlan().toString()
+    # windows keyed by the entity key (_k = kind|entity); the user windows are keyed by user_id
+    windows = [ln for ln in p.splitlines() if re.search(r"\bWindow \[", ln) and "_k#" in ln]
+    assert windows, p
+    for ln in windows:
+        assert "_bkt" in ln, ln  # keyed by (key, bucket), or ordered by bucket over the aggregate
