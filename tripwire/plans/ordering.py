@@ -87,12 +87,16 @@ def top_k(df: DataFrame, score: str, k: int, tie: str = "event_id", slack: int =
     sketch overshoots. Scalars (counts, the threshold) are the only things on the driver.
     """
     order = [F.col(score).desc(), F.col(tie).asc()]
-    n = df.count()
+    # one pass: the row count and a few upper quantiles from the same sketch
+    fracs = [10.0 ** -e for e in range(9, 0, -1)]
+    row = df.agg(F.count(F.lit(1)).alias("n"),
+                 F.percentile_approx(score, [1.0 - f for f in fracs], accuracy).alias("q")).collect()[0]
+    n = row["n"]
     if n <= max(slack * k, merge_limit):
         return df.orderBy(*order).limit(k)
-    frac = min(1.0, slack * k / n)
-    t = df.agg(F.percentile_approx(score, 1.0 - frac, accuracy)).collect()[0][0]
-    cand = df.where(F.col(score) >= F.lit(t))
+    # the highest threshold expected to keep at least slack * k rows
+    i = next((j for j, f in enumerate(fracs) if f * n >= slack * k), len(fracs) - 1)
+    cand = df.where(F.col(score) >= F.lit(row["q"][i]))
     c = cand.count()
     if c < k:
         cand, c = df, n
