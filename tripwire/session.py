@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_HANDED_OUT: list[str] = []
+
 # Settings the library depends on for determinism (UTC calendar functions,
 # adaptive re-planning for skew and partition coalescing).
 REQUIRED_CONF = {
@@ -59,40 +61,47 @@ def prepare(spark: SparkSession) -> SparkSession:
 def ship_package(spark: SparkSession) -> None:
     """Make ``tripwire`` importable in the Python workers (pandas UDFs, stateful streaming).
 
-    The package is zipped once per application into the shared checkpoint folder and
-    registered with ``addPyFile``; Spark distributes it to every executor."""
+    The package is zipped once per application on the driver and registered with
+    ``addPyFile``; Spark's own file server hands it to every executor, whatever the file system
+    of the checkpoint folder is."""
     import zipfile
     sc = spark.sparkContext
-    key = "spark.tripwire.pyfile"
-    if sc.getLocalProperty(key) or getattr(sc, "_tripwire_pyfile", None):
+    if getattr(sc, "_tripwire_pyfile", None):
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    zpath = os.path.join(ensure_checkpoint_dir(spark), f"pyfiles-{uuid.uuid4().hex}", "tripwire.zip")
-    local = zpath[len("file:"):] if zpath.startswith("file:") else zpath
-    os.makedirs(os.path.dirname(local), exist_ok=True)
-    with zipfile.ZipFile(local, "w") as z:
+    zpath = os.path.join(tempfile.mkdtemp(prefix="tripwire-py-"), "tripwire.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
         for root, _, files in os.walk(pkg):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.join("tripwire", os.path.relpath(full, pkg)))
-    sc.addPyFile(local)
-    sc._tripwire_pyfile = local
+    sc.addPyFile(zpath)
+    sc._tripwire_pyfile = zpath
+
+
+def is_local(spark: SparkSession) -> bool:
+    """One machine: the driver and all tasks share its folders."""
+    return spark.sparkContext.master.split("[")[0] == "local"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment (a shared filesystem). Only
-    when it is unset, as in local tests, a fresh scratch folder is created.
+    The deployment sets it on a cluster (a file system that all executors reach); without it a
+    cluster session is an error, since a folder of one machine would lose rows. Only a
+    ``local[...]`` session, as in tests, gets a scratch folder.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="tripwire-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="tripwire-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if getattr(sc, "_tripwire_ckpt", None) != d:
+        sc.setCheckpointDir(d)
+        sc._tripwire_ckpt = d
     return d
 
 
@@ -107,6 +116,24 @@ def materialize(df, enabled: bool = True):
     if not enabled:
         return df
     spark = df.sparkSession
-    path = os.path.join(ensure_checkpoint_dir(spark), "tables", uuid.uuid4().hex)
+    path = scratch_path(spark, "tables")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path below the shared folder; :func:`release` deletes all that were handed out."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+    _HANDED_OUT.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the written intermediate tables of the session (call it when their results are
+    stored). Uses Spark's file system API, so that any URI works. Returns how many went."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _HANDED_OUT:
+        p = jvm.org.apache.hadoop.fs.Path(_HANDED_OUT.pop())
+        n += bool(p.getFileSystem(conf).delete(p, True))
+    return n
