@@ -1,13 +1,77 @@
-"""Pipeline over ``documents``: each stage's rows are written and read again by the next."""
+"""Pipeline over ``documents``: each stage's rows are written and read again by the next.
+
+quality classifier -> toxicity -> n-gram Jaccard join -> mixing -> SentencePiece encoding.
+A stage is a function of (spark, docs, sf_dir); all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tripwire.llm import mixing, ngram_join, pieces, quality, toxicity
+from tripwire.llm.common import materialize, prepare, table
+
+#: A document is kept from this quality score on.
+QUALITY_CUT = 0.3
+
+
+def _columns(df: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches QUALITY_CUT."""
+    prepare(spark)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return model.score(docs, _columns(docs)).where(F.col("score") >= QUALITY_CUT).select(*_columns(docs))
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not toxic."""
+    prepare(spark)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return model.score(docs, _columns(docs)).where(~F.col("toxic")).select(*_columns(docs))
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies (five words, similarity 0.8): the smallest id's."""
+    prepare(spark)
+    return ngram_join.deduplicate(docs, words=5, threshold_pct=80)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for every copy taken."""
+    prepare(spark)
+    return mixing.mixed(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every whole text."""
+    import public_tokenizers
+
+    prepare(spark)
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id", "source"),
+                         outputs=("n_tokens", "ids", "ids_sha256"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("n-gram Jaccard join", dedup_stage),
+    ("mixing", mixing_stage),
+    ("SentencePiece encoding", encoding_stage),
+]
+
+#: The stages hold trained models and a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs)
     return docs

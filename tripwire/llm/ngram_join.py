@@ -186,7 +186,8 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      threshold_pct: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, links): each row's class, each class, and links between classes.
 
-    rows: id, size, gid (null for an empty set); classes: gid, size, min_id; links: u, v, a
+    rows: id, tk (hash of the text), size, gid (null for an empty set); classes: gid, size, min_id,
+    rep (its first row by id, null last); links: u, v, a
     subset of the pairs at or above the threshold with the same connected components.
     """
     n, pct = words, threshold_pct
@@ -196,11 +197,11 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     signed = materialize(_signatures(docs, n, pct, shingle_histogram(docs, "text", n, bits), bits))
 
     classes = (signed.where("size > 0").groupBy("size", "d1", "d2")
-               .agg(F.min(F.struct("id", "tk")).alias("rep"), F.min("id").alias("min_id"),
+               .agg(F.min(F.struct(F.col("id").isNull().alias("noid"), "id", "tk")).alias("rep"), F.min("id").alias("min_id"),
                     F.first("pd").alias("pd"), F.first("prefix").alias("prefix")))
     classes = materialize(classes.withColumn("gid", F.monotonically_increasing_id()))
-    rows = signed.select("id", "size", "d1", "d2").join(
-        classes.select("size", "d1", "d2", "gid"), ["size", "d1", "d2"], "left").select("id", "size", "gid")
+    rows = signed.select("id", "tk", "size", "d1", "d2").join(
+        classes.select("size", "d1", "d2", "gid"), ["size", "d1", "d2"], "left").select("id", "tk", "size", "gid")
 
     # groups: equal size and prefix, at most about PAIR_LIMIT classes each
     narrow = classes.select("gid", "size", "pd")
@@ -278,17 +279,38 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sides = (meets.select("b1", "b2", F.col("b1").alias("blk"))
              .unionByName(meets.where("b1 <> b2").select("b1", "b2", F.col("b2").alias("blk"))))
     in_blocks = (sides.join(held, "blk").groupBy("b1", "b2").applyInPandas(_block_links(n, pct), "u long, v long"))
-    return rows, classes.select("gid", "size", "min_id"), checked.unionByName(in_blocks)
+    return rows, classes.select("gid", "size", "min_id", "rep"), checked.unionByName(in_blocks)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
-                    threshold_pct: int = 80) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links)."""
+def _resolved(docs: DataFrame, id_col: str, text_col: str, words: int, threshold_pct: int) -> DataFrame:
+    """id, tk, size, component_id, and rep: the one row (by id, null last, and text) that stands for the component."""
     rows, classes, links = similarity_links(docs, id_col, text_col, words, threshold_pct)
     comp = components(links).select(F.col("node").alias("gid"), "component")
     classes = classes.join(comp, "gid", "left").withColumn("component", F.coalesce("component", "gid"))
-    least = classes.groupBy("component").agg(F.min("min_id").alias("component_id"))
-    named = classes.select("gid", "component").join(least, "component").select("gid", "component_id")
-    out = rows.join(named, "gid", "left")
+    least = classes.groupBy("component").agg(F.min("min_id").alias("component_id"), F.min("rep").alias("rep"))
+    named = classes.select("gid", "component").join(least, "component").select("gid", "component_id", "rep")
+    return rows.join(named, "gid", "left")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
+                    threshold_pct: int = 80) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links)."""
+    out = _resolved(docs, id_col, text_col, words, threshold_pct)
     return out.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("n_shingles"),
                       F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
+                threshold_pct: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: the one of the smallest id, rows without an id last;
+    of rows that repeat id and text the first by all columns. Documents without words all stay."""
+    out = _resolved(docs, id_col, text_col, words, threshold_pct)
+    key = (F.coalesce("id", F.lit(0)).alias("__id"), F.col("id").isNull().alias("__no"), F.col("tk").alias("__tk"))
+    keep = out.where((F.col("size") == 0) | ((F.col("rep.tk") == F.col("tk")) & F.col("rep.id").eqNullSafe(F.col("id"))))
+    keep = keep.select(*key, (F.col("size") == 0).alias("__blank")).distinct()
+    whole = [F.col(f"`{c}`") for c in docs.columns]
+    mine = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("__id"), F.col(id_col).cast("long").isNull().alias("__no"),
+                       F.xxhash64(F.col(text_col)).alias("__tk"), F.struct(*whole).alias("__row"))
+    kept = mine.join(keep, ["__id", "__no", "__tk"])
+    one = (kept.where("not __blank").groupBy("__id", "__no", "__tk").agg(F.min("__row").alias("__row")).select("__row.*"))
+    return one.unionByName(kept.where("__blank").select("__row.*"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import mixing, pieces, quality, toxicity
 from .common import prepare, table
 from .ngram_join import near_duplicates
 
@@ -26,3 +28,49 @@ def query(fn):
 def op1_ngram_jaccard(spark, sf_dir):
     """Components of documents whose 4-word shingle sets have Jaccard >= 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, threshold_pct=85)
+
+
+def _model_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op3_sentencepiece(spark, sf_dir):
+    """Ids of every document and their decoding, as digests."""
+    return pieces.encode(table(spark, sf_dir, "documents"), _model_path(),
+                         outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def fold(doc_id="doc_id"):
+    """crc32 of the decimal id, modulo 5; rows with 0 are held out of training."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
+
+
+@query
+def op9_quality(spark, sf_dir):
+    """Quality score of every document; labels of the held-out fold are not seen."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), use=fold() != 0)
+    out = model.score(docs, [F.col("doc_id")])
+    return out.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score",
+                      (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    """Expected severity of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), use=fold() != 0)
+    return model.score(docs, [F.col("doc_id")])
+
+
+@query
+def op8_mixing(spark, sf_dir):
+    """Words that the mix takes from every document."""
+    mix, rows = mixing.plan(table(spark, sf_dir, "documents"))
+    tree = mixing.shards(mix, mix.decide(rows), 8).groupBy("skey", "blk").agg(F.collect_set("shard").alias("shards"))
+    out = mix.decide(rows).join(tree, (F.col("__skey") == F.col("skey")) & (F.col("__blk") == F.col("blk")), "left")
+    return out.select("doc_id", F.col("__size").alias("size"), F.col("__words").alias("source_size"),
+                      F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"),
+                      F.when(F.col("__copies") > 0, F.array_sort("shards")).alias("shards"))
