@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, quality, toxicity
+from . import chat, mixing, pieces, pq_dedup, quality, topk, toxicity
 from .common import prepare, table
 from .ngram_join import near_duplicates
 
@@ -74,3 +74,63 @@ def op8_mixing(spark, sf_dir):
     return out.select("doc_id", F.col("__size").alias("size"), F.col("__words").alias("source_size"),
                       F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"),
                       F.when(F.col("__copies") > 0, F.array_sort("shards")).alias("shards"))
+
+
+@query
+def op5_chat_format(spark, sf_dir):
+    """Formatted conversations, read back from the examples; conversation -7 holds control strings."""
+    planted = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)],
+                                  "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.examples(turns))
+
+
+ORACLE["op5_chat_format"] = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(replace(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&lbr;'), ']', '&rbr;'), chr(10), '&nl;'))
+        + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&lbr;')) + 11 AS n FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+  sum(n)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
+@query
+def op6_exact_topk(spark, sf_dir):
+    """The 5 best of all other vectors for every vector whose id is divisible by 50."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+ORACLE["op6_exact_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@query
+def op7_pq_near_dedup(spark, sf_dir):
+    """Links of every vector to vectors of its label with cosine >= 0.98."""
+    return pq_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op7_pq_near_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS u, vec_id AS w FROM v UNION SELECT r.u, l.w FROM reach r JOIN l ON r.w = l.u),
+c AS (SELECT u, min(w) AS component_id FROM reach GROUP BY u),
+n AS (SELECT u, count(*) AS n_links FROM l GROUP BY u)
+SELECT e.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, coalesce(c.component_id, e.vec_id) AS component_id,
+  coalesce(c.component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN c ON c.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id"""
