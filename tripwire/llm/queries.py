@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, pieces, pq_dedup, quality, topk, toxicity
+from . import chat, licenses, mixing, pieces, pq_dedup, quality, token_counts, topk, toxicity
 from .common import prepare, table
 from .ngram_join import near_duplicates
 
@@ -108,9 +108,9 @@ def op6_exact_topk(spark, sf_dir):
 
 
 ORACLE["op6_exact_topk"] = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2]))::BIGINT AS score
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5"""
@@ -124,8 +124,8 @@ def op7_pq_near_dedup(spark, sf_dir):
 
 ORACLE["op7_pq_near_dedup"] = """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
 reach AS (SELECT vec_id AS u, vec_id AS w FROM v UNION SELECT r.u, l.w FROM reach r JOIN l ON r.w = l.u),
@@ -134,3 +134,22 @@ n AS (SELECT u, count(*) AS n_links FROM l GROUP BY u)
 SELECT e.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, coalesce(c.component_id, e.vec_id) AS component_id,
   coalesce(c.component_id, e.vec_id) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN c ON c.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id"""
+
+
+@query
+def op2_license_scan(spark, sf_dir):
+    """Licence paragraphs of every document: family, calibrated probability, best template."""
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(docs)).drop("line")
+
+
+@query
+def op4_token_counts(spark, sf_dir):
+    """Tokens of every document, and after the edits that hide personal data."""
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    counted = token_counts.count(table(spark, sf_dir, "documents"), ranks, pattern)
+    out = token_counts.recount(counted, ranks, pattern, token_counts.redactions)
+    return out.select("doc_id", "n_tokens", "n_edits", "n_tokens_edited", "chars_encoded",
+                      F.length("text_edited").cast("long").alias("n_chars_edited"), F.size("tree_tokens").cast("long").alias("n_leaves"))
