@@ -182,8 +182,8 @@ def fit(docs: DataFrame, text_col: str = "text") -> LicenseModel:
     made = materialize(_training(spark, corpus).withColumn("f", features(F.col("line"))))
     cv = CountVectorizer(inputCol="f", outputCol="x", binary=True, minDF=1, vocabSize=1 << 16).fit(made.where("size(f) > 0"))
     seen = cv.transform(made).withColumn("label", F.col("family").cast("double"))
-    lr = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", regParam=0.002, elasticNetParam=0.3,
-                            standardization=False, maxIter=40).fit(seen.where("fold <> 0"))
+    lr = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", regParam=0.0005, elasticNetParam=0.1,
+                            standardization=False, maxIter=60).fit(seen.where("fold <> 0"))
     raw = lr.transform(seen.where("fold = 0")).select("family", vector_to_array("rawPrediction").alias("z"))
     # negative log likelihood on the unseen variations for a few temperatures
     grid = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0]

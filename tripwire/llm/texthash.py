@@ -127,7 +127,7 @@ def sequence_hash(h: np.ndarray, n: int) -> np.ndarray:
     out = h[:len(h) - n + 1].copy()
     for i in range(1, n):
         out = out * _BASE + h[i:len(h) - n + 1 + i]
-    return mix(out + _U(n) * _STEP)
+    return mix(out + _U(n * int(_STEP) % (1 << 64)))
 
 
 def shingle_sets(s: Slice, n: int) -> list[np.ndarray]:

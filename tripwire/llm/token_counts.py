@@ -186,15 +186,15 @@ def recount(counted: DataFrame, ranks_path: str, pattern: str, edits: str | Call
     more = [F.col(edits)] if isinstance(edits, str) else []
     src = counted.select(*(F.col(c) for c in keep), F.col(text_col).cast("string").alias("__text"), "tree_chars", "tree_tokens",
                          *[m.alias("__edits") for m in more])
-    k = len(keep)
+    k, in_column = len(keep), bool(more)
 
     def rows(b: pa.RecordBatch):
         counter = _counter(shared.value, pattern)
-        given = b.column(k + 3).to_pylist() if more else None
+        given = b.column(k + 3).to_pylist() if in_column else None
         out = []
         for i, (t, c, n) in enumerate(zip(*(b.column(k + j).to_pylist() for j in range(3)), strict=True)):
             doc = Document(t or "", np.array(c or [], np.int64), np.array(n or [], np.int64))
-            do = [tuple(x.values()) for x in given[i] or ()] if more else edits(doc.text)
+            do = [tuple(x.values()) for x in given[i] or ()] if in_column else edits(doc.text)
             do = cleaned(do, len(doc.text))
             again = doc.edit(do, counter)
             out.append((doc.text, len(do), doc.n_tokens, again, doc.chars[0].astype(np.int32), doc.tokens[0].astype(np.int32)))

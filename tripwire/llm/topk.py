@@ -63,7 +63,11 @@ def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     if q.dtype != c.dtype:
         q, c = q.astype(np.int64), c.astype(np.int64)
     if q.dtype == np.int64 and q.size and c.size and int(np.abs(q).max()) * int(np.abs(c).max()) * q.shape[1] >= 1 << 63:
-        raise OverflowError("inner products do not fit 64 bits")
+        q, c = q.astype(object), c.astype(object)  # whole numbers of any size
+        out = q @ c.T
+        if max(abs(x) for x in out.ravel()) >= 1 << 63:
+            raise OverflowError("inner products do not fit 64 bits")
+        return out.astype(np.int64)
     return (q @ c.T).astype(np.int64)
 
 
@@ -82,7 +86,7 @@ def _node_lists(k: int, nodes: int):
     def run(p: pd.DataFrame) -> pd.DataFrame:
         q, c = p[p["isq"]], p[~p["isq"]]
         if q.empty or c.empty:
-            return pd.DataFrame({"q": [], "node": [], "c": [], "s": [], "least": []})
+            return pd.DataFrame([], columns=["q", "node", "c", "s", "least"])
         qm, cm, qi, ci = _matrix(q["v"]), _matrix(c["v"]), q["id"].to_numpy(), c["id"].to_numpy()
         qr, cr = q["rid"].to_numpy(), c["rid"].to_numpy()
         out = []
@@ -130,7 +134,7 @@ def _sufficient(k: int, nodes: int):
     def run(p: pd.DataFrame) -> pd.DataFrame:
         q, c = p[p["isq"]], p[~p["isq"]]
         if q.empty or c.empty:
-            return pd.DataFrame({"q": [], "id": [], "c": [], "s": []})
+            return pd.DataFrame([], columns=["q", "id", "c", "s"])
         qm, cm, qi, ci = _matrix(q["v"]), _matrix(c["v"]), q["id"].to_numpy(), c["id"].to_numpy()
         qr = q["rid"].to_numpy()
         cut, bound = np.array(q["cut"].tolist()), q["bound"].to_numpy()
