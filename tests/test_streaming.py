@@ -5,10 +5,11 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tripwire.operators.history import user_history
-from tripwire.sources.logins import fixture_logins, load_fixture
-from tripwire.streaming.runner import run_user_state, write_log_files
+from tripwire.sources.logins import fixture_logins, load_fixture, prepare_logins, read_logins
+from tripwire.streaming.runner import latest_batch, login_stream, run_user_state, running_top_k, score_batches, write_log_files
 
 from .conftest import SF001
 
@@ -58,3 +59,59 @@ def test_chained_entity_state_equals_batch(spark):
     assert got.keys() == exp.keys()
     diff = [e for e in got if got[e] != pytest.approx(exp[e])]
     assert not diff, [(e, got[e], exp[e]) for e in diff[:3]]
+
+
+def test_late_rows_come_out_marked(spark, batch):
+    """Files in reverse time order: every row comes out once, late ones marked, none lost."""
+    d = tempfile.mkdtemp(prefix="tw-stream-")
+    rows = fixture_logins(spark, SF001, True)
+    src = write_log_files(rows, os.path.join(d, "in"), 4, 3 - F.floor(F.col("event_id") * 4 / rows.count()))
+    out = run_user_state(spark, src, os.path.join(d, "out"), 1)
+    got = {r["event_id"]: r for r in out.collect()}
+    assert out.count() == len(got) == len(batch)
+    late = [r for r in got.values() if r["late"]]
+    assert late and len(late) < len(got)
+    assert all(r["time_since_last_login_sec"] == 0 for r in late)  # a negative gap counts as 0
+
+
+@pytest.mark.parametrize("prefix", ["", "file:"])
+def test_running_top_k_and_confusion_over_many_batches(spark, prefix):
+    d = prefix + tempfile.mkdtemp(prefix="tw-stream-")
+    rows = fixture_logins(spark, SF001, True)
+    src = write_log_files(rows, f"{d}/in", 14)
+    feats = prepare_logins(login_stream(spark, src, 1))
+
+    def score(b):
+        return b.withColumn("model_score", F.col("event_id") * 7919 % 1009 / 1009)
+    score_batches(spark, feats, score, f"{d}/s", f"{d}/t", k=50, confusion_out=f"{d}/c")
+    assert latest_batch(spark, f"{d}/t") >= 12
+    want = score(load_fixture(spark, SF001, True)).orderBy(F.col("model_score").desc(), "event_id").limit(50)
+    assert [r["event_id"] for r in want.collect()] == [r["event_id"] for r in running_top_k(spark, f"{d}/t").orderBy(
+        F.col("model_score").desc(), "event_id").collect()]
+    c = spark.read.parquet(f"{d}/c").groupBy().sum("tp", "fp", "tn", "fn").first()
+    assert sum(c) == rows.count() == spark.read.parquet(f"{d}/s").count()
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tripwire.session import ensure_checkpoint_dir
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None),
+                           sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn"))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(fake)
+
+
+def test_release_deletes_intermediate_tables(spark):
+    from tripwire.session import materialize, release
+    release(spark)
+    t = materialize(spark.range(5))
+    path = t.inputFiles()[0][len("file://"):]
+    assert os.path.exists(path) and release(spark) == 1 and not os.path.exists(path)
+
+
+def test_a_log_lacking_a_column_is_an_error(spark):
+    d = tempfile.mkdtemp(prefix="tw-csv-")
+    spark.createDataFrame([("1", "x")], "`User ID` string, Extra string").write.option("header", True).csv(d + "/l")
+    with pytest.raises(ValueError, match="Login Timestamp"):
+        read_logins(spark, d + "/l")

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from ..operators import triage as T
 from ..sources import sinks as K
 from ..sources.logins import fixture_logins, prepare_logins, read_logins
-from ..streaming.runner import run_user_state, score_batches, scratch, write_log_files
+from ..streaming.runner import children, login_stream, run_user_state, running_top_k, score_batches, scratch, write_log_files
 from . import oracle as O
 from .catalog import add, finalize
 from .frames import featured, surrogate_scores
@@ -40,6 +38,24 @@ q("read_logins_csv", _csv_roundtrip,
   " is_ato FROM L", ["rtt_ms"], ["user_id", "login_us", "asn", "success", "is_attack_ip", "is_ato"])
 
 
+def _full_log(s, d):
+    """The raw log's own 15 columns in its order, one half with dates, one with epoch seconds; read as a table and as a stream."""
+    base, rows = scratch(s, "full-csv"), fixture_logins(s, d)
+    K.write_full_log_csv(rows.where("event_id % 2 = 0"), f"{base}/a")
+    K.write_full_log_csv(rows.where("event_id % 2 = 1"), f"{base}/b", epoch_seconds=True)
+    cols = [c for c in _RAW_COLS if c != "event_id"]
+    a = prepare_logins(read_logins(s, f"{base}/a", "csv")).select(cols)
+    out = f"{base}/out"
+    w = prepare_logins(login_stream(s, f"{base}/b", 2, "csv")).writeStream.format("parquet").option("path", out)
+    w.option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start().awaitTermination()
+    return a.unionByName(s.read.parquet(out).select(cols))
+
+
+q("read_logins_full_header", _full_log,
+  LQ() + "\nSELECT user_id, login_us, ip, country, asn, device_type, os_name, browser, success, rtt_ms, is_attack_ip,"
+  " is_ato FROM L", ["rtt_ms"], ["user_id", "login_us", "asn", "success", "is_attack_ip", "is_ato"])
+
+
 def _table_roundtrip(s, d):
     path = scratch(s, "critical")
     K.write_table(T.critical_tier(featured(s, d)).select("alert_tier", "alert_rank", "event_id", "final_score",
@@ -74,37 +90,50 @@ HQ = lambda: O.with_ctes(O.fixture_ctes(True), O.history_ctes())
 GQ = lambda: O.with_ctes(O.fixture_ctes(True), O.graph_ctes())
 _SU = ["event_id", "user_id", "consecutive_failures_prior", "fail_count_10min", "new_entities_1hour",
        "first_time_subnet"]
-_SE = ["event_id", "gf_subnet_user_count_before", "gf_subnet_failure_rate_prior", "gf_subnet_user_count_10min",
-       "gf_subnet_user_count_1hour"]
+_SE = ["event_id", "gf_subnet_user_count_1hour", "gf_country_user_count_before",
+       *[f"gf_{k}_{m}" for k in ("asn", "subnet", "device")
+         for m in ("user_count_before", "failure_rate_prior", "failed_user_count_before", "user_count_10min")]]
 
 
 def _stream(s, d, entities=False):
     base = scratch(s, "stream")
-    src = write_log_files(fixture_logins(s, d, True), os.path.join(base, "in"), 8)
-    return run_user_state(s, src, os.path.join(base, "out"), 2, with_entities=entities)
+    src = write_log_files(fixture_logins(s, d, True), f"{base}/in", 8)
+    return run_user_state(s, src, f"{base}/out", 2, with_entities=entities)
+
+
+def _late(s, d):
+    """Four files with interleaved times, one per batch: all rows come out, the late ones marked."""
+    base = scratch(s, "late")
+    src = write_log_files(fixture_logins(s, d, True), f"{base}/in", 4, F.col("event_id") % 4)
+    return run_user_state(s, src, f"{base}/out", 1)
 
 
 q("stream_user_state", lambda s, d: _stream(s, d).select(*_SU, F.col("h_n").alias("prior_logins")),
   HQ() + f"\nSELECT {', '.join(_SU)}, n AS prior_logins FROM HF", [], _SU + ["prior_logins"], "2.15")
 q("stream_entity_state", lambda s, d: _stream(s, d, True).select(*_SE),
   GQ() + f"\nSELECT {', '.join(_SE)} FROM GF", _SE[1:], ["event_id"], "2.15")
+q("stream_late_rows", lambda s, d: _late(s, d).select("event_id", "user_id", "late"),
+  O.with_ctes(O.fixture_ctes(True)) + "\nSELECT e.event_id, e.user_id, CASE WHEN EXISTS (SELECT 1 FROM L o WHERE o.user_id = e.user_id"
+  " AND o.event_id % 4 < e.event_id % 4 AND (o.login_us > e.login_us OR (o.login_us = e.login_us AND o.event_id > e.event_id)))"
+  " THEN 1 ELSE 0 END AS late FROM L e", [], ["event_id", "user_id", "late"], "2.15")
 
 
 def _stream_score(s, d):
+    """At least 12 micro-batches of scored rows."""
     base = scratch(s, "score")
-    src = write_log_files(fixture_logins(s, d, True), os.path.join(base, "in"), 8)
-    user_out = os.path.join(base, "feat")
-    feats = run_user_state(s, src, user_out, 2)
+    src = write_log_files(fixture_logins(s, d, True), f"{base}/in", 4)
+    user_out = f"{base}/feat"
+    feats = run_user_state(s, src, user_out, 1)
     labels = fixture_logins(s, d, True).select("event_id", "is_ato", "is_attack_ip")
-    stream = s.readStream.schema(feats.schema).parquet(user_out)
+    n = len([f for f in children(s, user_out) if f.endswith(".parquet")])
+    stream = s.readStream.schema(feats.schema).option("maxFilesPerTrigger", max(1, n // 12)).parquet(user_out)
 
     def score_fn(batch):
         return surrogate_scores(batch.join(labels, "event_id"))
 
-    scores, topk, conf = os.path.join(base, "scores"), os.path.join(base, "topk"), os.path.join(base, "conf")
+    scores, topk, conf = f"{base}/scores", f"{base}/topk", f"{base}/conf"
     score_batches(s, stream, score_fn, scores, topk, k=500, confusion_out=conf)
-    last = sorted(p for p in os.listdir(topk) if p.startswith("b"))[-1]
-    return s.read.parquet(os.path.join(topk, last)), s.read.parquet(conf)
+    return running_top_k(s, topk), s.read.parquet(conf), s.read.parquet(scores)
 
 
 _SCQ = lambda: O.with_ctes(O.fixture_ctes(True), O.scored_ctes())

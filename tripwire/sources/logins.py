@@ -6,7 +6,7 @@ Total order of events is ``(login_us, event_id)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,43 +47,61 @@ RAW_HEADER_MAP = {
 FIXTURE_EPOCH_US = 1704067200000000  # 2024-01-01 00:00:00 UTC
 
 
-def read_logins(spark: SparkSession, path: str, fmt: str = "csv", limit: int | None = None,
-                epoch_seconds: bool = False) -> DataFrame:
-    """Read a raw login log (CSV with the reference headers, or Parquet in our schema).
+# fixed values: columns that a raw log may lack
+OPTIONAL_HEADERS = {"Login Successful", "Is Account Takeover"}
+
 
-    CSV is read with an explicit all-string schema (no inference pass over 100 TB), then
-    cast column by column. ``event_id`` is the file position when absent: it is taken from
-    ``monotonically_increasing_id`` which is unique and follows file order within a scan.
+def read_logins(spark: SparkSession, path: str, fmt: str = "csv", limit: int | None = None,
+                id_col: str | None = None, number_repeats: bool = False) -> DataFrame:
+    """Read a raw login log (CSV with the log's headers in any order, or Parquet in our schema).
+
+    CSV columns are found by their header; extra columns stay out, a missing one is an error
+    (``OPTIONAL_HEADERS`` become null). All columns are read as strings (no inference pass over
+    100 TB) and cast one by one; the timestamp may be a date and time or epoch seconds.
+    ``event_id`` is ``id_col``, or else a hash of the file's name and the row's content, which
+    does not depend on how files are split. Rows of a file that are equal in every column share that
+    hash; ``number_repeats`` tells them apart (one shuffle by the hash).
     """
     if fmt == "parquet":
         df = spark.read.parquet(path)
     else:
-        hdr = T.StructType([T.StructField(h, T.StringType()) for h in RAW_HEADER_MAP] )
-        df = (spark.read.option("header", True).option("enforceSchema", False)
-              .schema(hdr).csv(path))
-        for src, dst in RAW_HEADER_MAP.items():
-            df = df.withColumnRenamed(src, dst)
-        ts = F.col("login_ts")
-        if epoch_seconds:
-            ts_col = S.from_epoch_us((ts.cast("double") * 1e6).cast("bigint"))
-        else:
-            ts_col = F.to_timestamp(ts).cast("timestamp_ntz")
-        df = df.select(
-            F.monotonically_increasing_id().alias("event_id"),
-            F.col("user_id").cast("bigint").alias("user_id"),
-            ts_col.alias("login_ts"),
-            "ip", "country",
-            F.col("asn").cast("bigint").alias("asn"),
-            "device_type", "os_name", "browser",
-            _bool_int("success").alias("success"),
-            F.col("rtt_ms").cast("double").alias("rtt_ms"),
-            _bool_int("is_attack_ip").alias("is_attack_ip"),
-            _bool_int("is_ato").alias("is_ato"),
-        )
+        df = parse_raw(spark.read.option("header", True).csv(path), id_col, number_repeats)
     df = df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in LOGIN_SCHEMA.fields])
     return df.limit(limit) if limit else df
 
 
+def parse_raw(raw: DataFrame, id_col: str | None = None, number_repeats: bool = False) -> DataFrame:
+    """Raw string columns under the log's headers -> the login schema (works on a stream too)."""
+    missing = [h for h in RAW_HEADER_MAP if h not in raw.columns and h not in OPTIONAL_HEADERS]
+    if missing:
+        raise ValueError(f"the log lacks the columns {missing}")
+    if id_col:
+        event_id = F.col(f"`{id_col}`").cast("bigint")
+    else:
+        name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+        event_id = F.xxhash64(name, *[F.col(f"`{c}`") for c in raw.columns])
+    x = raw.select(event_id.alias("event_id"), *[
+        (F.col(f"`{h}`") if h in raw.columns else F.lit(None)).cast("string").alias(c) for h, c in RAW_HEADER_MAP.items()])
+    if number_repeats and not id_col:
+        again = F.row_number().over(Window.partitionBy("event_id").orderBy("event_id"))
+        x = x.withColumn("event_id", F.when(again == 1, F.col("event_id")).otherwise(F.xxhash64("event_id", again)))
+    ts = F.trim("login_ts")
+    epoch = ts.rlike("^[0-9]+([.][0-9]*)?$")
+    us = (F.when(epoch, ts).cast("decimal(26,6)") * 1_000_000).cast("bigint")
+    return x.select(
+        "event_id",
+        F.col("user_id").cast("bigint").alias("user_id"),
+        F.when(epoch, S.from_epoch_us(us)).otherwise(F.try_to_timestamp(F.when(~epoch, ts)).cast("timestamp_ntz")).alias("login_ts"),
+        "ip", "country",
+        F.col("asn").cast("bigint").alias("asn"),
+        "device_type", "os_name", "browser",
+        _bool_int("success").alias("success"),
+        F.col("rtt_ms").cast("double").alias("rtt_ms"),
+        _bool_int("is_attack_ip").alias("is_attack_ip"),
+        _bool_int("is_ato").alias("is_ato"),
+    )
+
+
 def _bool_int(c: str):
     v = F.lower(F.trim(F.col(c)))
     return (F.when(v.isin("true", "1", "1.0", "yes"), 1)

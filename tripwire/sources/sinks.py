@@ -27,8 +27,27 @@ def write_raw_logins_csv(df: DataFrame, path: str) -> str:
     return path
 
 
+# fixed values: the header of the raw log, in its order
+RAW_HEADER = ["IP Address", "Country", "Region", "City", "ASN", "User Agent String", "OS Name and Version",
+              "Browser Name and Version", "Device Type", "User ID", "Login Timestamp", "Round-Trip Time [ms]",
+              "Login Successful", "Is Attack IP", "Is Account Takeover"]
+
+
+def write_full_log_csv(df: DataFrame, path: str, epoch_seconds: bool = False) -> str:
+    """Logins as a raw log with all its columns, in its order; those we do not hold are empty."""
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', login_ts)")
+    seconds = (us.cast("decimal(26,6)") / 1_000_000).cast("decimal(20,6)").cast("string")
+    cols = []
+    for h in RAW_HEADER:
+        c = RAW_HEADER_MAP.get(h)
+        value = F.lit(None) if c is None else seconds if c == "login_ts" and epoch_seconds else F.col(c)
+        cols.append(value.cast("string").alias(h))
+    df.select(cols).write.mode("overwrite").option("header", True).csv(path)
+    return path
+
+
 def write_json_report(df: DataFrame, path: str) -> str:
-    df.coalesce(1).write.mode("overwrite").json(path)  # a report: a handful of rows
+    df.write.mode("overwrite").json(path)
     return path
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import math
+from bisect import bisect_left, bisect_right, insort
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,19 +40,24 @@ def entity_state(features: DataFrame, kind: str = "subnet", key: str = "subnet",
     def update(k, pdfs, state):
         st = json.loads(state.get[0]) if state.exists else {"events": 0, "fails": 0, "users": {}, "failed": {}}
         rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["login_us", "event_id"])
+        times = sorted(st["users"].values())  # last times of the users: a window's users by bisection
         out = []
         for r in rows.itertuples(index=False):
             t = int(r.login_us)
-            win = {w: sum(1 for last in st["users"].values() if t - last <= width) for w, width in WINDOWS.items()}
+            upto = bisect_right(times, t)
+            win = {w: upto - bisect_left(times, t - width) for w, width in WINDOWS.items()}
             out.append(tuple(getattr(r, c) for c in names) + (
                 math.log1p(len(st["users"])), st["fails"] / st["events"] if st["events"] else 0.0,
                 math.log1p(len(st["failed"])), math.log1p(win["10min"]), math.log1p(win["1hour"])))
             u = str(int(r.user_id))
-            st["users"][u] = t
+            if u in st["users"]:
+                del times[bisect_left(times, st["users"][u])]
+            st["users"][u] = max(t, st["users"].get(u, t))
+            insort(times, st["users"][u])
             st["events"] += 1
             if int(r.success) == 0:
                 st["fails"] += 1
-                st["failed"][u] = t
+                st["failed"][u] = max(t, st["failed"].get(u, t))
         if ttl_us is not None and len(rows):
             now = int(rows["login_us"].max())
             st["users"] = {u: x for u, x in st["users"].items() if now - x <= max(ttl_us, longest)}

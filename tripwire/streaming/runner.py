@@ -3,41 +3,49 @@
 
 from __future__ import annotations
 
-import os
-import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-from ..sources.logins import LOGIN_SCHEMA, prepare_logins
+from ..session import scratch_path
+from ..sources.logins import LOGIN_SCHEMA, parse_raw, prepare_logins
 from .entity_state import entity_state
-from .user_state import stream_user_state
+from .user_state import KINDS, stream_user_state
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder."""
-    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
-
-
-def write_log_files(raw_logins: DataFrame, path: str, files: int) -> str:
-    """Write raw logins as ``files`` time-ordered Parquet files (file i holds an earlier time range
-    than file i+1), the shape of a log that lands in chunks."""
-    raw_logins.repartitionByRange(files, "login_ts", "event_id").sortWithinPartitions("login_ts", "event_id") \
-        .write.mode("overwrite").parquet(path)
-    # the file source takes files in modification-time order: make it the time order
-    local = path[len("file:"):] if path.startswith("file:") else path
-    if os.path.isdir(local):
-        parts = sorted(f for f in os.listdir(local) if f.startswith("part-"))
-        base = 1_600_000_000
-        for i, f in enumerate(parts):
-            os.utime(os.path.join(local, f), (base + i, base + i))
+    return scratch_path(spark, name)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names below a folder, on any file system; none if it does not exist."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def write_log_files(raw_logins: DataFrame, path: str, files: int, chunk: Column | None = None) -> str:
+    """Write raw logins as files that land one after the other: file i holds an earlier time range than
+    file i + 1, or the rows whose ``chunk`` is i. The file source takes files in the order they were
+    written, so this works on any file system. The time cuts are approximate quantiles (any cuts will do)."""
+    if chunk is None:
+        us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', login_ts)")
+        cuts = raw_logins.agg(F.percentile_approx(us, [i / files for i in range(1, files)], 1000)).first()[0] or []
+        chunk = reduce(lambda c, x: c + F.when(us > x, 1).otherwise(0), cuts, F.lit(0))
+    for i in range(files):
+        raw_logins.where(chunk == i).coalesce(1).write.mode("append").parquet(path)
     return path
 
 
-def login_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    return (spark.readStream.schema(LOGIN_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
-            .parquet(path))
+def login_stream(spark: SparkSession, path: str, files_per_trigger: int = 1, fmt: str = "parquet") -> DataFrame:
+    """Files of logins as a stream: Parquet in our schema, or CSV under the log's headers (of the files there now)."""
+    r = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
+    if fmt == "csv":
+        return parse_raw(r.option("header", True).schema(spark.read.option("header", True).csv(path).schema).csv(path))
+    return r.schema(LOGIN_SCHEMA).parquet(path)
 
 
 def run_user_state(spark: SparkSession, path: str, out: str, files_per_trigger: int = 1,
@@ -45,8 +53,8 @@ def run_user_state(spark: SparkSession, path: str, out: str, files_per_trigger:
                    with_entities: bool = False) -> DataFrame:
     """Run the stateful user-feature stream to the end of the input (``availableNow``) and
     return what it wrote. ``max_batches`` stops early (the stop-after-n-chunks option).
-    ``with_entities`` adds a second query (one stateful operator per query is the rule for
-    pandas state) that streams the user-state output into the subnet state."""
+    ``with_entities`` adds a second query for each entity kind (one stateful operator per query is the
+    rule for pandas state) that streams the user-state output into that kind's state."""
     ck = checkpoint or scratch(spark, "stream-ckpt")
     feats = stream_user_state(prepare_logins(login_stream(spark, path, files_per_trigger)))
     w = feats.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck) \
@@ -60,7 +68,11 @@ def run_user_state(spark: SparkSession, path: str, out: str, files_per_trigger:
         q = w.trigger(availableNow=True).start()
         q.awaitTermination()
     if with_entities:
-        return run_entity_state(spark, out, feats.schema, out + "-subnet", ck + "-subnet")
+        hops = [run_entity_state(spark, out, feats.schema, f"{out}-{kind}", f"{ck}-{kind}", kind, key) for kind, key in KINDS]
+        rows = spark.read.schema(feats.schema).parquet(out)
+        for (kind, _), h in zip(KINDS, hops, strict=True):
+            rows = rows.join(h.select("event_id", *[c for c in h.columns if c.startswith(f"gf_{kind}_")]), "event_id")
+        return rows
     return spark.read.schema(feats.schema).parquet(out)
 
 
@@ -77,27 +89,39 @@ def run_entity_state(spark: SparkSession, user_out: str, schema, out: str, check
 
 def score_batches(spark: SparkSession, features: DataFrame, score_fn, scores_out: str, topk_out: str, k: int = 5000,
                   checkpoint: str | None = None, threshold: float = 0.5, confusion_out: str | None = None):
-    """foreachBatch scorer: append (event, user, score, label) per micro-batch; merge the batch's
-    best k into the running top-k (bounded: 2k rows per merge); append the batch's confusion
-    counts at ``threshold`` (their sum over batches is the run's confusion matrix)."""
+    """foreachBatch scorer: (event, user, score, label) of each micro-batch, the running top-k and the batch's
+    confusion counts at ``threshold``. Everything is written to ``batch_id=<n>`` with overwrite, so a batch that
+    Spark replays after a failure counts once. The running top-k of a batch is merged from its own best
+    ``k`` and the folder of the latest earlier batch (at most 2k rows)."""
     ck = checkpoint or scratch(spark, "score-ckpt")
+    order = [F.col("model_score").desc(), F.col("event_id")]
 
     def each(batch: DataFrame, batch_id: int):
+        part = f"batch_id={batch_id}"
         s = score_fn(batch).select("event_id", "user_id", "login_us", "model_score", "is_ato")
-        s.write.mode("append").parquet(scores_out)
+        s.write.mode("overwrite").parquet(f"{scores_out}/{part}")
+        s = batch.sparkSession.read.schema(s.schema).parquet(f"{scores_out}/{part}")
         if confusion_out:
-            p = (F.col("model_score") >= threshold).cast("int")
-            y = F.col("is_ato")
-            s.agg(F.lit(batch_id).alias("batch_id"),
-                  F.sum(((y == 1) & (p == 1)).cast("long")).alias("tp"), F.sum(((y == 0) & (p == 1)).cast("long")).alias("fp"),
-                  F.sum(((y == 0) & (p == 0)).cast("long")).alias("tn"), F.sum(((y == 1) & (p == 0)).cast("long")).alias("fn")) \
-                .write.mode("append").parquet(confusion_out)
-        best = s.orderBy(F.col("model_score").desc(), F.col("event_id")).limit(k)
-        prev_path = os.path.join(topk_out, f"b{batch_id - 1}")
-        if batch_id > 0 and os.path.exists(prev_path):
-            best = best.unionByName(batch.sparkSession.read.parquet(prev_path))
-        best.orderBy(F.col("model_score").desc(), F.col("event_id")).limit(k) \
-            .write.mode("overwrite").parquet(os.path.join(topk_out, f"b{batch_id}"))
+            p, y = (F.col("model_score") >= threshold).cast("int"), F.col("is_ato")
+            cell = lambda a, b: F.coalesce(F.sum(((y == a) & (p == b)).cast("long")), F.lit(0))
+            s.agg(cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(0, 0).alias("tn"), cell(1, 0).alias("fn")) \
+                .write.mode("overwrite").parquet(f"{confusion_out}/{part}")
+        best = s.orderBy(*order).limit(k)
+        before = latest_batch(batch.sparkSession, topk_out, batch_id)
+        if before is not None:
+            best = best.unionByName(batch.sparkSession.read.schema(s.schema).parquet(f"{topk_out}/batch_id={before}"))
+        best.orderBy(*order).limit(k).write.mode("overwrite").parquet(f"{topk_out}/{part}")
 
     q = features.writeStream.foreachBatch(each).option("checkpointLocation", ck).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def latest_batch(spark: SparkSession, path: str, before: int | None = None) -> int | None:
+    """Largest batch number with a folder below ``path`` (less than ``before``)."""
+    ids = [int(n.split("=")[1]) for n in children(spark, path) if n.startswith("batch_id=")]
+    return max((i for i in ids if before is None or i < before), default=None)
+
+
+def running_top_k(spark: SparkSession, topk_out: str) -> DataFrame:
+    """The running top-k after the last batch."""
+    return spark.read.parquet(f"{topk_out}/batch_id={latest_batch(spark, topk_out)}")

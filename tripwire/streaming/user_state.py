@@ -2,10 +2,12 @@
 
 ``groupBy(user_id).applyInPandasWithState``: the state of a user is its counters, the last
 time each entity / pair was seen, and the events of the last hour (older ones are evicted
-on every update). Rows of a micro-batch are sorted per user; a row older than the user's
-last processed row is late: it is counted in the state and not emitted (the batch plan
-would have placed it earlier). With time-ordered input the output equals the batch
-windows (tested).
+on every update). Rows of a micro-batch are sorted per user. A row older than the user's
+last row is late (the batch plan would have placed it earlier): it is emitted too, marked
+``late = 1``, with the features that the state as it stands gives it (trailing windows end at
+the row's own time, a negative gap counts as 0), and it enters the counters. So every input
+row gives one output row. With time-ordered input nothing is late and the output equals the
+batch windows (tested).
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ OUT_SCHEMA = ("event_id long, user_id long, login_us long, h_n long, user_fail_c
               "first_time_country int, first_time_asn int, first_time_subnet int, first_time_device_combo int, "
               "h_cnt_country long, h_cnt_asn long, h_cnt_subnet long, h_cnt_device long, "
               "secs_since_last_country_for_user double, time_since_last_login_sec double, "
-              "success int, subnet string, asn_key string, device string, country_key string")
+              "late int, success int, subnet string, asn_key string, device string, country_key string")
 STATE_SCHEMA = "st string"
 
 
@@ -41,39 +43,44 @@ def _update(key, pdfs, state, ttl_us=None):
     out = []
     for r in rows.itertuples(index=False):
         pos = [int(r.login_us), int(r.event_id)]
-        if st["last"] is not None and pos <= st["last"]:
-            st["late"] += 1
-            continue
+        late = st["last"] is not None and pos <= st["last"]
         t = pos[0]
-        # evict what no window can see any more
-        st["ev"] = [e for e in st["ev"] if t - e[0] <= ONE_HOUR_US]
-        st["ent"] = [e for e in st["ent"] if t - e[0] <= ONE_HOUR_US]
+        if not late:
+            # evict what no window can see any more
+            st["ev"] = [e for e in st["ev"] if t - e[0] <= ONE_HOUR_US]
+            st["ent"] = [e for e in st["ent"] if t - e[0] <= ONE_HOUR_US]
         vals = {k: getattr(r, col) for k, col in KINDS}
         ft = {k: int(v not in st["seen"][k]) for k, v in vals.items()}
-        f10 = sum(1 for e in st["ev"] if e[1] == 1 and t - e[0] <= TEN_MIN_US)
-        f1h = sum(1 for e in st["ev"] if e[1] == 1)
-        s10 = sum(1 for e in st["ev"] if e[1] == 0 and t - e[0] <= TEN_MIN_US)
+
+        def trailing(events, width, wanted=None):
+            return sum(1 if wanted is not None else e[1] for e in events
+                       if 0 <= t - e[0] <= width and (wanted is None or e[1] == wanted))
+
         lc = st["seen"]["country"].get(vals["country"])
-        out.append((int(r.event_id), int(key[0]), t, st["n"], st["fails"], st["succ"], st["consec"], f10, f1h, s10,
-                    sum(e[1] for e in st["ent"] if t - e[0] <= TEN_MIN_US), sum(e[1] for e in st["ent"]),
+        out.append((int(r.event_id), int(key[0]), t, st["n"], st["fails"], st["succ"], st["consec"],
+                    trailing(st["ev"], TEN_MIN_US, 1), trailing(st["ev"], ONE_HOUR_US, 1), trailing(st["ev"], TEN_MIN_US, 0),
+                    trailing(st["ent"], TEN_MIN_US), trailing(st["ent"], ONE_HOUR_US),
                     ft["country"], ft["asn"], ft["subnet"], ft["device"],
                     *[len(st["seen"][k]) for k, _ in KINDS],
-                    0.0 if lc is None else (t - lc) / 1e6,
-                    0.0 if st["prev"] is None else (t - st["prev"]) / 1e6,
-                    int(r.success), vals["subnet"], vals["asn"], vals["device"], vals["country"]))
+                    0.0 if lc is None else max(0, t - lc) / 1e6,
+                    0.0 if st["prev"] is None else max(0, t - st["prev"]) / 1e6,
+                    int(late), int(r.success), vals["subnet"], vals["asn"], vals["device"], vals["country"]))
         fail = 1 - int(r.success)
         st["n"] += 1
         st["fails"] += fail
         st["succ"] += 1 - fail
-        st["consec"] = st["consec"] + 1 if fail else 0
-        st["prev"] = t
-        st["last"] = pos
         st["ev"].append([t, fail])
         n_new = sum(ft.values())
         if n_new:
             st["ent"].append([t, n_new])
         for k, v in vals.items():
-            st["seen"][k][v] = t
+            st["seen"][k][v] = max(t, st["seen"][k].get(v, t))
+        if late:
+            st["late"] += 1
+        else:
+            st["consec"] = st["consec"] + 1 if fail else 0
+            st["prev"] = t
+            st["last"] = pos
     if ttl_us is not None and st["last"] is not None:
         # optional bound on the state: forget entities not seen for ttl_us (then stream != batch)
         now = st["last"][0]
