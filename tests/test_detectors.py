@@ -30,3 +30,29 @@ def test_recon_loss_falls_and_outliers_score_high(spark):
     assert hist[-1] < hist[0]
     sc = recon.score(df, cols, ws).orderBy(F.col("recon_mse").desc()).limit(20).agg(F.sum("is_ato")).collect()[0][0]
     assert sc >= 15
+
+
+def test_every_tree_has_its_whole_sample(spark):
+    from tripwire.operators.detectors import iforest
+    for n, want in ((1000, 256), (100, 100), (20_000, 256)):
+        x = iforest.tree_samples(spark.range(n).selectExpr("id AS event_id", "id * 1.5 AS a"), ["a"], n, 100, 256, 42)
+        got = {r["tree"]: r["count"] for r in x.groupBy("tree").count().collect()}
+        assert got == dict.fromkeys(range(100), want)
+    # the candidates of a tree stay enough, and few, at any size
+    for n in (10**6, 10**9, 5 * 10**12):
+        assert 256 + 9 * 16 < iforest.candidate_rate(n, 256) * n < 1000
+        assert iforest.candidate_rate(n, 256) * 2**64 > 1000
+
+
+def test_tree_samples_do_not_depend_on_partitions(spark):
+    from tripwire.operators.detectors import iforest
+    a, b = (sorted(map(tuple, iforest.tree_samples(spark.range(5000).selectExpr("id AS event_id", "id * 1.5 AS a").repartition(k),
+                                                   ["a"], 5000, 7, 64, 1).collect())) for k in (1, 6))
+    assert a == b
+
+
+def test_detector_columns():
+    from tripwire.operators.history import BEHAVIOUR_FEATURES
+    from tripwire.plans import queries_models as Q
+    assert len(Q.IFOREST_COLS) == len(set(Q.IFOREST_COLS)) == 37 and len(Q.RECON_COLS) == len(set(Q.RECON_COLS)) == 32
+    assert set(Q.RECON_COLS) - set(BEHAVIOUR_FEATURES) == {"hour", "success"}

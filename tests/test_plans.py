@@ -55,3 +55,21 @@ def test_entity_windows_are_split_by_time_bucket(spark):
     assert windows, p
     for ln in windows:
         assert "_bkt" in ln, ln  # keyed by (key, bucket), or ordered by bucket over the aggregate
+
+
+def test_quantiles_of_a_value_that_most_rows_share(spark):
+    """Equal values are counted before they are dealt out: no task holds a value's rows, and results are exact."""
+    import numpy as np
+
+    from tripwire.plans.ordering import exact_quantiles
+    df = spark.range(20_000).selectExpr("id % 3 AS g", "IF(id % 50 = 0, id / 7, 0.0D) AS v")
+    probs = [0.0, 0.01, 0.5, 0.95, 0.99, 1.0]
+    x = df.toPandas()
+    got = {(r["g"], r["prob"]): r["quantile"] for r in exact_quantiles(df, "v", probs, ["g"]).collect()}
+    for g in range(3):
+        assert np.allclose([got[g, p] for p in probs], np.quantile(x[x.g == g].v, probs))
+    got = {r["prob"]: r["quantile"] for r in exact_quantiles(df, "v", probs).collect()}
+    assert np.allclose([got[p] for p in probs], np.quantile(x.v, probs))
+    zero = df.selectExpr("0.0D AS v")
+    assert {r["quantile"] for r in exact_quantiles(zero, "v", probs).collect()} == {0.0}
+    assert exact_quantiles(zero.limit(0), "v", probs).collect() == []

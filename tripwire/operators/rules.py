@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordering import top_k
@@ -19,13 +19,27 @@ RULES = [
 ]
 BASELINE_REASON = "Baseline"
 
-# fixed values: precision booster (top-N reranker) weights, thresholds and tags
+# fixed values: precision booster (top-N reranker): condition, weight and tag of each boost
 BOOST_TOP_N = 5000
 BOOST_WEIGHT = 1.2
-HIGH_ASN_FAILURE_RATE = 0.5
-HIGH_ASN_USER_COUNT = 100
-BOOST_TAGS = ("SUCCESS_AFTER_BRUTEFORCE; ", "BOTNET_INFRA_PRESSURE; ",
-              "MATURE_GEO_INFRA_MIGRATION; ", "STEALTH_GEO_PIVOT; ")
+BOOSTS = [
+    ("success_after_fail_burst = 1", 0.40, "SUCCESS_AFTER_BRUTEFORCE; "),
+    ("gf_asn_failure_rate_prior > 0.5 AND asn_user_count_before_raw > 100"
+     " AND (fail_count_10min >= 1 OR user_login_hour_deviation > 8)", 0.25, "BOTNET_INFRA_PRESSURE; "),
+    ("new_device_and_new_subnet = 1 AND first_time_country = 1 AND h_n > 50", 0.30, "MATURE_GEO_INFRA_MIGRATION; "),
+    ("success = 1 AND first_time_country = 1 AND first_time_subnet = 1 AND gf_asn_failure_rate_prior > 0.3",
+     0.30, "STEALTH_GEO_PIVOT; "),
+]
+
+
+def fired(rules):
+    """(sum of weights, texts that fired, in order) over (condition, weight, text) rows."""
+    total, texts = F.lit(0.0), []
+    for cond, weight, text in rules:
+        hit = F.coalesce(cond if isinstance(cond, Column) else F.expr(cond), F.lit(False))
+        total = total + F.when(hit, F.lit(weight)).otherwise(F.lit(0.0))
+        texts.append(F.when(hit, F.lit(text)))
+    return total, texts
 
 
 def _cond(col, op, v):
@@ -35,10 +49,8 @@ def _cond(col, op, v):
 
 def rule_score(df: DataFrame) -> DataFrame:
     """``rule_score`` = min(1, sum of fired weights); ``rule_reasons`` = '; '-joined names or 'Baseline'."""
-    score = F.lit(0.0)
-    for col, op, v, w, _ in RULES:
-        score = score + F.when(_cond(col, op, v), F.lit(w)).otherwise(F.lit(0.0))
-    reasons = F.concat_ws("; ", *[F.when(_cond(col, op, v), F.lit(txt)) for col, op, v, _, txt in RULES])
+    score, texts = fired([(_cond(col, op, v), w, text) for col, op, v, w, text in RULES])
+    reasons = F.concat_ws("; ", *texts)
     return df.select("*", F.least(F.lit(1.0), score).alias("rule_score"),
                      F.when(reasons == "", F.lit(BASELINE_REASON)).otherwise(reasons).alias("rule_reasons"))
 
@@ -49,21 +61,8 @@ def null_rules(df: DataFrame) -> DataFrame:
 
 def boost_columns():
     """(boost, tags) expressions over feature columns, before the top-N restriction."""
-    safb = F.col("success_after_fail_burst") == 1
-    asn_bad = (F.col("gf_asn_failure_rate_prior") > HIGH_ASN_FAILURE_RATE) & \
-              (F.col("asn_user_count_before_raw") > HIGH_ASN_USER_COUNT)
-    trigger = (F.col("fail_count_10min") >= 1) | (F.col("user_login_hour_deviation") > 8)
-    bot = asn_bad & trigger
-    mig = (F.col("new_device_and_new_subnet") == 1) & (F.col("first_time_country") == 1) & (F.col("h_n") > 50)
-    stealth = (F.col("success") == 1) & (F.col("first_time_country") == 1) & (F.col("first_time_subnet") == 1) & \
-              (F.col("gf_asn_failure_rate_prior") > 0.3)
-    conds = [safb, bot, mig, stealth]
-    weights = [0.40, 0.25, 0.30, 0.30]
-    boost = F.lit(0.0)
-    for cnd, w in zip(conds, weights):
-        boost = boost + F.when(cnd, F.lit(w)).otherwise(F.lit(0.0))
-    tags = F.concat(*[F.when(cnd, F.lit(t)).otherwise(F.lit("")) for cnd, t in zip(conds, BOOST_TAGS)])
-    return boost, tags
+    boost, tags = fired(BOOSTS)
+    return boost, F.concat_ws("", *tags)
 
 
 def precision_boost(df: DataFrame, score_col: str = "model_score", top_n: int = BOOST_TOP_N) -> DataFrame:

@@ -65,6 +65,21 @@ def stratified_split(df: DataFrame, label: str = "is_ato", test: float = 0.2, se
                     .otherwise("train").alias("split"))
 
 
+def without(df: DataFrame, drop: DataFrame, most: int = 50_000) -> DataFrame:
+    """``df`` without the event ids of ``drop``; these are broadcast only if at most ``most`` are counted."""
+    ids = drop.select("event_id")
+    if ids.limit(most + 1).count() <= most:
+        ids = F.broadcast(ids)
+    return df.join(ids, "event_id", "left_anti")
+
+
+def drop_hard_negatives(df: DataFrame, label: str = "is_ato", hard_col: str = "gf_user_drift_score",
+                        n_hard: int = HARD_NEGATIVES) -> DataFrame:
+    """The negatives without the ``n_hard`` of them with the highest ``hard_col``."""
+    negs = df.where(F.col(label) == 0)
+    return without(negs, top_k(negs, hard_col, n_hard))
+
+
 def hard_negative_sample(df: DataFrame, label: str = "is_ato", hard_col: str = "gf_user_drift_score",
                          n_hard: int = HARD_NEGATIVES, n_random: int = RANDOM_NEGATIVES, seed: int = SEED) -> DataFrame:
     """Positives + the n_hard negatives with the highest ``hard_col`` (only when there are more
@@ -75,7 +90,7 @@ def hard_negative_sample(df: DataFrame, label: str = "is_ato", hard_col: str = "
     # bounded: at most n_hard rows (exact top-k)
     hard = top_k(negs, hard_col, n_hard)
     hard = _one(hard).join(F.broadcast(nneg), "_j").where(F.col("_nn") > n_hard).select(*df.columns)
-    rest = negs.join(F.broadcast(hard.select("event_id")), "event_id", "left_anti")  # drop_hard_negatives
+    rest = without(negs, hard)
     rest = with_position(rest.select("*", hash_order(seed).alias("_h")), ["_h", "event_id"], "_pos")
     rand = rest.where(F.col("_pos") < n_random).select(*df.columns)
     return pos.unionByName(hard.withColumn("part", F.lit("hard"))).unionByName(rand.withColumn("part", F.lit("random")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..plans.ordering import top_k, with_position
+from ..plans.ordering import exact_quantiles, top_k, with_position
 
 # fixed values: tier cut-offs, queue sizes and console labels
 CRITICAL_CUT = 0.50
@@ -149,8 +149,17 @@ def run_stats(df: DataFrame, critical_n: DataFrame, suspicious_n: DataFrame, lab
               model: str = "model_score", final: str = "final_score") -> DataFrame:
     base = df.agg(F.count(F.lit(1)).alias("total_rows"), F.sum(F.col(label).cast("bigint")).alias("known_atos"),
                   F.max(model).alias("rf_score_max"), F.max(final).alias("final_score_max"),
-                  F.min(final).alias("final_score_min"))
-    c = critical_n.agg(F.count(F.lit(1)).alias("critical_alerts"))
-    s = suspicious_n.agg(F.count(F.lit(1)).alias("suspicious_alerts"))
-    j = F.lit(1)
-    return base.withColumn("_j", j).join(c.withColumn("_j", j), "_j").join(s.withColumn("_j", j), "_j").drop("_j")
+                  F.min(final).alias("final_score_min"), F.min(model).alias("rf_score_min"))
+    rows = [base, critical_n.agg(F.count(F.lit(1)).alias("critical_alerts")), suspicious_n.agg(F.count(F.lit(1)).alias("suspicious_alerts"))]
+    for name, col in (("rf", model), ("final", final)):
+        rows.append(exact_quantiles(df, col, [0.5]).agg(F.max("quantile").alias(f"{name}_score_median")))
+        for k, out in ((50, f"{name}_p_at_50"), (500, f"_{name}_hits")):
+            rows.append(top_k(df.select("event_id", label, col), col, k).agg(F.sum(F.col(label).cast("double")).alias(out)))
+    one = [r.withColumn("_j", F.lit(1)) for r in rows]  # one row each
+    out = one[0]
+    for r in one[1:]:
+        out = out.join(F.broadcast(r), "_j")
+    for name in ("rf", "final"):
+        out = out.withColumn(f"{name}_p_at_50", F.col(f"{name}_p_at_50") / 50)
+        out = out.withColumn(f"{name}_r_at_500", F.try_divide(F.col(f"_{name}_hits"), F.col("known_atos")))
+    return out.drop("_j", "_rf_hits", "_final_hits")

@@ -50,30 +50,32 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], group: list[s
                     checkpoint: bool = True) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy 'linear', SQL ``quantile_cont``).
 
-    Rows are globally ordered by (group, value) with :func:`with_position`; per group the two
-    neighbouring order statistics of each probability are picked by position. No group is
-    ever gathered into one task. Output: group columns, ``prob``, ``quantile``.
+    Equal values are counted first (``groupBy(group, value).count()``, combined on the map side), so
+    a value that most rows share is one row; cumulative counts over the distinct values, split at
+    range bounds of (group, value), then tell which value holds each order statistic. Neither a
+    group nor a value is ever gathered into one task. Output: group columns, ``prob``, ``quantile``.
     """
     group = group or []
     base = df.select(*group, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    pos = with_position(base, [*group, "_v"], "_pos", checkpoint=checkpoint)
-    if group:
-        cnt = base.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-        start = pos.groupBy(*group).agg(F.min("_pos").alias("_start"))
-        info = cnt.join(start, group)
-    else:
-        info = pos.agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_start"))
+    counted = materialize(base.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c")), checkpoint)
+    cum = global_prior_sums(counted, [*group, "_v"], ["_c"], "_before_", checkpoint=checkpoint)
+    cum = cum.withColumnRenamed("_before__c", "_before")
+    info = cum.groupBy(*group).agg(F.sum("_c").alias("_n"), F.min("_before").alias("_start")) if group else \
+        cum.agg(F.sum("_c").alias("_n"), F.min("_before").alias("_start")).where("_n is not null")
     t = info.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
     t = t.select(*group, "prob", "_start", ((F.col("_n") - 1) * F.col("prob")).alias("_h"))
     t = t.select("*", F.floor("_h").cast("bigint").alias("_lo"), F.ceil("_h").cast("bigint").alias("_hi"))
-    need = t.select(*group, "prob", (F.col("_start") + F.col("_lo")).alias("_p"), F.lit("lo").alias("_side")) \
-        .unionByName(t.select(*group, "prob", (F.col("_start") + F.col("_hi")).alias("_p"), F.lit("hi").alias("_side")))
-    got = need.join(pos.select(F.col("_pos").alias("_p"), "_v"), "_p")
-    piv = got.groupBy(*group, "prob").agg(F.max(F.when(F.col("_side") == "lo", F.col("_v"))).alias("_vlo"),
-                                          F.max(F.when(F.col("_side") == "hi", F.col("_v"))).alias("_vhi"))
-    out = piv.join(t.select(*group, "prob", "_h", "_lo"), [*group, "prob"])
-    return out.select(*group, "prob", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) *
-                                       (F.col("_h") - F.col("_lo"))).alias("quantile"))
+    # one row per group and probability, against the distinct values of its group
+    j = F.lit(1).alias("_j")
+    values, asked = cum.select(*group, "_v", "_c", "_before", j), materialize(t.select(*group, "prob", "_start", "_lo", "_hi", "_h", j), checkpoint)
+    if not group or asked.count() <= 20_000:
+        asked = F.broadcast(asked)
+    rank = F.col("_before") - F.col("_start")
+    near = values.join(asked, [*group, "_j"]).where((rank <= F.col("_hi")) & (rank + F.col("_c") > F.col("_lo")))
+    holds = lambda c: (rank <= F.col(c)) & (rank + F.col("_c") > F.col(c))
+    piv = near.groupBy(*group, "prob").agg(F.max(F.when(holds("_lo"), F.col("_v"))).alias("_vlo"), F.max(F.when(holds("_hi"), F.col("_v"))).alias("_vhi"),
+                                           F.first("_h").alias("_h"), F.first("_lo").alias("_lo"))
+    return piv.select(*group, "prob", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_h") - F.col("_lo"))).alias("quantile"))
 
 
 def top_k(df: DataFrame, score: str, k: int, tie: str = "event_id", slack: int = 4,

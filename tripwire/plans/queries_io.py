@@ -71,7 +71,8 @@ q("write_read_alerts", _table_roundtrip,
 
 def _json_report(s, d):
     f = featured(s, d)
-    stats = T.run_stats(f, T.critical_tier(f), T.suspicious_tier(f))
+    stats = T.run_stats(f, T.critical_tier(f), T.suspicious_tier(f)).select(
+        "total_rows", "known_atos", "rf_score_max", "final_score_max", "final_score_min", "critical_alerts", "suspicious_alerts")
     path = scratch(s, "report")
     K.write_json_report(stats, path)
     return K.read_json_report(s, path, stats.schema)

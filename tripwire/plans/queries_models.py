@@ -30,12 +30,21 @@ GF_USER = ["gf_user_subnet_count_before", "gf_user_asn_count_before", "gf_user_c
            "gf_user_device_count_before", "gf_edge_user_subnet_new", "gf_edge_user_asn_new", "gf_edge_user_country_new",
            "gf_edge_user_device_new", "gf_edge_user_subnet_device_new", "gf_edge_user_country_device_new",
            "gf_edge_user_asn_device_new", "gf_new_entity_count", "gf_user_drift_score"]
-# 37 graph-side inputs of the isolation forest
+# fixed values: the 37 graph-side inputs of the isolation forest
 IFOREST_COLS = GF_USER + GRAPH_ENTITY_FEATURES + [
-    "fail_count_10min", "fail_count_1hour", "new_entities_10min", "new_entities_1hour", "user_login_count_prior",
-    "time_gap_deviation_ratio", "user_failure_rate_prior", "consecutive_failures_prior"]
-# 32 behaviour inputs of the reconstruction network
-RECON_COLS = [c for c in BEHAVIOUR_FEATURES if c not in ("login_day_of_week",)][:32]
+    "user_login_count_prior", "user_login_hour_deviation", "time_gap_deviation_ratio", "fail_count_10min", "fail_count_1hour",
+    "recent_fail_burst", "success_after_fail_burst", "time_since_last_login_sec"]
+# fixed values: the 32 behaviour inputs of the reconstruction network
+RECON_COLS = [
+    "hour", "time_since_last_login_sec", "time_gap_deviation_ratio", "user_login_hour_deviation", "user_mean_login_hour_prior",
+    "first_time_country", "first_time_asn", "first_time_subnet", "first_time_device_combo",
+    "first_time_country_device_combo", "first_time_asn_device_combo",
+    "user_login_count_prior", "user_country_count_prior", "user_asn_count_prior",
+    "secs_since_last_country_for_user", "secs_since_last_device_for_user",
+    "success", "fail_count_10min", "fail_count_1hour", "success_after_fail_burst", "recent_fail_success_ratio",
+    "recency_country_normalized", "recency_asn_normalized", "recency_subnet_normalized", "recency_device_normalized",
+    "seen_country_before", "seen_asn_before", "seen_subnet_before", "seen_device_before",
+    "consecutive_failures_prior", "new_entities_10min", "new_entities_1hour"]
 SUPERVISED_COLS = list(BEHAVIOUR_FEATURES) + GF_USER + GRAPH_ENTITY_FEATURES
 
 
@@ -120,7 +129,7 @@ def _iforest(s, d):
     normal = tr.where("is_ato = 0")
     scaled_tr, stats = P.robust_scale(normal, IFOREST_COLS)
     cols = [f"{c}_rob" for c in IFOREST_COLS]
-    model = iforest.fit(scaled_tr.select("event_id", *cols), cols, n_trees=50)
+    model = iforest.fit(scaled_tr.select("event_id", *cols), cols)
     va_s = iforest.decision(P.robust_scale(va, IFOREST_COLS, stats)[0].select("event_id", "is_ato", *cols), model)
     bounds, _ = iforest.calibrate(va_s.where("is_ato = 0"), "iso_decision")
     te_s = iforest.decision(P.robust_scale(te, IFOREST_COLS, stats)[0].select("event_id", "is_ato", *cols), model)

@@ -127,12 +127,7 @@ q("drift_by_block", lambda s, d: D.drift_by_block(_hist(s, d), block=FIX_BLOCK,
   ["min", "median", "p95", "p99", "max"], ["block"], "2.15")
 
 
-def _drop_hard(s, d):
-    h = _hist(s, d).where("is_ato = 0")
-    hard = h.orderBy(F.col("gf_user_drift_score").desc(), F.col("event_id")).limit(500).select("event_id")
-    return h.join(F.broadcast(hard), "event_id", "left_anti").select("event_id")  # bounded: 500 ids
-
-
-q("drop_hard_negatives", _drop_hard,
+# the fixture has fewer negatives than the operator's default of 25 000
+q("drop_hard_negatives", lambda s, d: SP.drop_hard_negatives(_hist(s, d), n_hard=500).select("event_id"),
   HQ() + ", H AS (SELECT event_id FROM HF WHERE is_ato = 0 ORDER BY gf_user_drift_score DESC, event_id LIMIT 500)\n"
   "SELECT event_id FROM HF WHERE is_ato = 0 AND event_id NOT IN (SELECT event_id FROM H)", [], ["event_id"], "2.4")

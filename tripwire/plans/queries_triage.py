@@ -162,7 +162,7 @@ q("score_histogram", lambda s, d: T.score_histogram(_susp(s, d)),
   " (3, '60-80%', 0.6, 0.8), (4, '80-100%', 0.8, 1.0)) v(bin, range, lo, hi))\n"
   "SELECT b.bin, b.range, count(su.event_id) AS count FROM B b LEFT JOIN SU su ON su.final_score > b.lo"
   " AND su.final_score <= b.hi GROUP BY b.bin, b.range", [], ["bin", "count"], "2.5")
-q("attack_clusters", lambda s, d: T.attack_clusters(_crit(s, d).where(F.col("asn").isNotNull())),
+q("attack_clusters", lambda s, d: T.attack_clusters(_crit(s, d)),
   FTQ() + f", {CRIT}, A AS (SELECT 'ASN_NETWORK' AS type, 'AS' || CAST(asn AS VARCHAR) AS value,"
   " count(DISTINCT user_id) AS users, count(*) AS alerts, avg(final_score) AS risk FROM CR WHERE asn IS NOT NULL GROUP BY asn"
   " HAVING count(DISTINCT user_id) > 1 ORDER BY users DESC, asn LIMIT 5),"
@@ -178,8 +178,13 @@ q("risk_timeline", lambda s, d: T.risk_timeline(_susp(s, d)),
 q("run_stats", lambda s, d: (lambda f: T.run_stats(f, T.critical_tier(f), T.suspicious_tier(f)))(featured(s, d)),
   FTQ() + f", {CRIT}, {SUSP}\nSELECT count(*) AS total_rows, sum(is_ato) AS known_atos, max(model_score) AS rf_score_max,"
   " max(final_score) AS final_score_max, min(final_score) AS final_score_min,"
-  " (SELECT count(*) FROM CR) AS critical_alerts, (SELECT count(*) FROM SU) AS suspicious_alerts FROM FT",
-  ["rf_score_max", "final_score_max", "final_score_min"],
+  " (SELECT count(*) FROM CR) AS critical_alerts, (SELECT count(*) FROM SU) AS suspicious_alerts,"
+  " min(model_score) AS rf_score_min, quantile_cont(model_score, 0.5) AS rf_score_median, quantile_cont(final_score, 0.5) AS final_score_median, "
+  + ", ".join(f"(SELECT sum(is_ato) FROM (SELECT is_ato FROM FT ORDER BY {c} DESC, event_id LIMIT {k})) / {by} AS {n}_{m}"
+              for n, c in (("rf", "model_score"), ("final", "final_score"))
+              for m, k, by in (("p_at_50", 50, "50.0"), ("r_at_500", 500, "(SELECT sum(is_ato) FROM FT)"))) + " FROM FT",
+  ["rf_score_max", "final_score_max", "final_score_min", "rf_score_min", "rf_score_median", "final_score_median",
+   "rf_p_at_50", "rf_r_at_500", "final_p_at_50", "final_r_at_500"],
   ["total_rows", "known_atos", "critical_alerts", "suspicious_alerts"], "2.5")
 
 
