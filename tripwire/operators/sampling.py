@@ -3,10 +3,13 @@ and any engine can reproduce them; ranks come from global positions, never one p
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordering import top_k, with_position
+from ..plans.ordering import before, cut_rows, top_k, with_position
+from ..session import materialize
 
 # fixed values: sampling sizes and ratios
 NEG_PER_POS = 50
@@ -23,18 +26,21 @@ def hash_order(seed: int = SEED, id_col: str = "event_id"):
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
 
 
-def _one(df: DataFrame) -> DataFrame:
-    return df.withColumn("_j", F.lit(1))
+def temporal_split(df: DataFrame, train: float = 0.70, val: float = 0.80) -> DataFrame:
+    """By time position: first floor(0.70 n) train, up to floor(0.80 n) val, rest test.
+
+    Two cut points of (login_us, event_id) decide; the wide rows are not sorted."""
+    order = ["login_us", "event_id"]
+    n = df.count()
+    a, b = cut_rows(df, order, [math.floor(n * train), math.floor(n * val)])
+    return df.select("*", F.when(before(order, a), "train").when(before(order, b), "val").otherwise("test").alias("split"))
 
 
-def temporal_split(df: DataFrame, train: float = 0.70, val: float = 0.80) -> DataFrame:
-    """By time position: first floor(0.70 n) train, up to floor(0.80 n) val, rest test."""
-    pos = with_position(df, ["login_us", "event_id"], "_pos")
-    n = _one(df.agg(F.count(F.lit(1)).alias("_n")))
-    x = _one(pos).join(F.broadcast(n), "_j")  # one-row side
-    split = (F.when(F.col("_pos") < F.floor(F.col("_n") * train), "train")
-             .when(F.col("_pos") < F.floor(F.col("_n") * val), "val").otherwise("test"))
-    return x.select(*df.columns, split.alias("split"))
+def _first_by_hash(df: DataFrame, k: int, seed: int) -> DataFrame:
+    """The first ``k`` rows in hash order (ties by id)."""
+    x = df.withColumn("_h", hash_order(seed))
+    order = ["_h", "event_id"]
+    return x.where(before(order, cut_rows(x, order, [k])[0])).drop("_h")
 
 
 def _rank_within(df: DataFrame, part: str, seed: int) -> DataFrame:
@@ -48,21 +54,21 @@ def _rank_within(df: DataFrame, part: str, seed: int) -> DataFrame:
 def balanced_sample(df: DataFrame, label: str = "is_ato", seed: int = SEED,
                     neg_per_pos: int = NEG_PER_POS, min_neg: int = MIN_NEGATIVES) -> DataFrame:
     """All positives plus min(50 pos, neg) hash-ordered negatives (at least min(50 000, neg))."""
-    c = _one(df.agg(F.sum(F.col(label).cast("bigint")).alias("_p"),
-                    F.sum(1 - F.col(label).cast("bigint")).alias("_q")))
-    want = F.least(F.col("_p") * neg_per_pos, F.col("_q"))
-    want = F.when(want < min_neg, F.least(F.lit(min_neg), F.col("_q"))).otherwise(want)
-    neg = df.where(F.col(label) == 0).select("*", hash_order(seed).alias("_h"))
-    neg = with_position(neg, ["_h", "event_id"], "_pos")
-    neg = _one(neg).join(F.broadcast(c.select("_j", want.alias("_want"))), "_j").where(F.col("_pos") < F.col("_want"))
-    return df.where(F.col(label) == 1).unionByName(neg.select(*df.columns))
+    y = F.col(label).cast("bigint")
+    c = df.agg(F.coalesce(F.sum(y), F.lit(0)).alias("p"), F.coalesce(F.sum(1 - y), F.lit(0)).alias("q")).first()
+    want = max(min(c["p"] * neg_per_pos, c["q"]), min(min_neg, c["q"]))
+    return df.where(F.col(label) == 1).unionByName(_first_by_hash(df.where(F.col(label) == 0), want, seed))
 
 
 def stratified_split(df: DataFrame, label: str = "is_ato", test: float = 0.2, seed: int = SEED) -> DataFrame:
     """Per label, the first floor(0.2 n_label) rows in hash order are 'val', the rest 'train'."""
-    r = _rank_within(df, label, seed)
-    return r.select(*df.columns, F.when(F.col("_rank") < F.floor(F.col("_cnt") * test), "val")
-                    .otherwise("train").alias("split"))
+    x = df.withColumn("_h", hash_order(seed))
+    order, val = ["_h", "event_id"], F.lit(False)
+    for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect():  # one row per label
+        mine = F.col(label).eqNullSafe(F.lit(r[label]))
+        cut = cut_rows(x.where(mine), order, [math.floor(r["n"] * test)])[0]
+        val = val | (mine & before(order, cut))
+    return x.select(*df.columns, F.when(val, "val").otherwise("train").alias("split"))
 
 
 def without(df: DataFrame, drop: DataFrame, most: int = 50_000) -> DataFrame:
@@ -84,15 +90,13 @@ def hard_negative_sample(df: DataFrame, label: str = "is_ato", hard_col: str = "
                          n_hard: int = HARD_NEGATIVES, n_random: int = RANDOM_NEGATIVES, seed: int = SEED) -> DataFrame:
     """Positives + the n_hard negatives with the highest ``hard_col`` (only when there are more
     negatives than n_hard) + n_random hash-ordered negatives of the rest. Column ``part`` tells which."""
+    df = materialize(df)  # several branches read it
     pos = df.where(F.col(label) == 1).withColumn("part", F.lit("positive"))
     negs = df.where(F.col(label) == 0)
-    nneg = _one(negs.agg(F.count(F.lit(1)).alias("_nn")))
     # bounded: at most n_hard rows (exact top-k)
-    hard = top_k(negs, hard_col, n_hard)
-    hard = _one(hard).join(F.broadcast(nneg), "_j").where(F.col("_nn") > n_hard).select(*df.columns)
-    rest = without(negs, hard)
-    rest = with_position(rest.select("*", hash_order(seed).alias("_h")), ["_h", "event_id"], "_pos")
-    rand = rest.where(F.col("_pos") < n_random).select(*df.columns)
+    hard = top_k(negs, hard_col, n_hard) if negs.count() > n_hard else negs.limit(0)
+    hard = materialize(hard)
+    rand = _first_by_hash(without(negs, hard), n_random, seed)
     return pos.unionByName(hard.withColumn("part", F.lit("hard"))).unionByName(rand.withColumn("part", F.lit("random")))
 
 

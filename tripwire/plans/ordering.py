@@ -36,6 +36,23 @@ def with_position(df: DataFrame, order: list[Column | str], name: str = "pos",
     return out.select(*df.columns, (F.col("_off") + F.col("_lid")).alias(name))
 
 
+def cut_rows(df: DataFrame, order: list[str], positions: list[int]) -> list[tuple | None]:
+    """The ``order`` values of the rows at some 0-based positions (None beyond the end).
+
+    Only the ``order`` columns are sorted and written; a wide frame is then cut by comparing
+    with these few tuples (:func:`before`) and is not shuffled at all."""
+    at = with_position(df.select(*order), list(order), "_pos").where(F.col("_pos").isin([int(p) for p in positions]))
+    got = {r["_pos"]: tuple(r[c] for c in order) for r in at.collect()}  # at most one row per position
+    return [got.get(int(p)) for p in positions]
+
+
+def before(order: list[str], cut: tuple | None) -> Column:
+    """Whether a row stands before ``cut`` in ``order``."""
+    if cut is None:
+        return F.lit(True)
+    return F.struct(*[F.col(c) for c in order]) < F.struct(*[F.lit(v).alias(c) for c, v in zip(order, cut, strict=True)])
+
+
 def global_prior_sums(df: DataFrame, order: list[str], values: list[str], prefix: str = "cum_",
                       num_partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
     """For each row, sums of ``values`` over all rows strictly before it in ``order``."""
