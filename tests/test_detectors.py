@@ -56,3 +56,22 @@ def test_detector_columns():
     from tripwire.plans import queries_models as Q
     assert len(Q.IFOREST_COLS) == len(set(Q.IFOREST_COLS)) == 37 and len(Q.RECON_COLS) == len(set(Q.RECON_COLS)) == 32
     assert set(Q.RECON_COLS) - set(BEHAVIOUR_FEATURES) == {"hour", "success"}
+
+
+def test_saved_detectors_score_alike(spark):
+    import tempfile
+
+    import numpy as np
+
+    from tripwire.operators.detectors import iforest, recon
+    d = tempfile.mkdtemp(prefix="tw-model-")
+    df = spark.range(600).selectExpr("id AS event_id", "id % 17 / 17D AS a", "id % 5 / 5D AS b")
+    m = iforest.fit(df, ["a", "b"], n_trees=10)
+    again = iforest.load(spark, iforest.save(spark, m, f"{d}/forest"))
+    x, y = (np.array([r["_iso"] for r in iforest.score_samples(df, k).orderBy("event_id").collect()]) for k in (m, again))
+    assert np.array_equal(x, y) and again["offset"] == m["offset"]
+    ws, hist = recon.fit(df, df, ["a", "b"], epochs=3)
+    assert len(hist) == 3 and hist[-1] < hist[0] * 1.5
+    back, cols = recon.load(spark, recon.save(spark, ws, ["a", "b"], f"{d}/net"))
+    x, y = (np.array([r["recon_mse"] for r in recon.score(df, cols, k).orderBy("event_id").collect()]) for k in (ws, back))
+    assert np.array_equal(x, y)

@@ -12,9 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sweep import running_prior_sums
+from ..plans.ordering import global_prior_sums
+from ..session import materialize
 
-SCORE_BUCKET = 1.0 / 4096  # bucket width on the score axis for the running sums
 KS = (10, 50, 100, 500, 1000)
 
 
@@ -29,10 +29,14 @@ def score_curve(df: DataFrame, label: str, score: str, group=None) -> DataFrame:
     agg = df.groupBy(*g, F.col(score).cast("double").alias("_s")).agg(
         F.sum(F.col(label).cast("bigint")).alias("pos"),
         F.sum(1 - F.col(label).cast("bigint")).alias("neg"))
-    agg = agg.select("*", key.alias("_gk"))
-    r = running_prior_sums(agg, "_gk", ["_s"], ["pos", "neg"], "_s", SCORE_BUCKET, prefix="below_")
-    tot = agg.groupBy("_gk").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return r.join(F.broadcast(tot) if not g else tot, "_gk")
+    # running counts over (group, distinct score), split at range bounds: however scores pile up, no task holds a pile
+    agg = materialize(agg.select("*", key.alias("_gk")))
+    r = global_prior_sums(agg, ["_gk", "_s"], ["pos", "neg"], "_cum_")
+    tot = r.groupBy("_gk").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+                               F.min("_cum_pos").alias("_p0"), F.min("_cum_neg").alias("_n0"))
+    r = r.join(F.broadcast(tot) if not g else tot, "_gk")
+    return r.select(*[c for c in r.columns if c[:2] not in ("_c", "_p", "_n")],
+                    (F.col("_cum_pos") - F.col("_p0")).alias("below_pos"), (F.col("_cum_neg") - F.col("_n0")).alias("below_neg"))
 
 
 def roc_auc(df: DataFrame, label: str, score: str, group=None) -> DataFrame:

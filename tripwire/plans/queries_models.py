@@ -145,7 +145,7 @@ def _recon(s, d):
     sc_tr, stats = P.standard_scale(normal, RECON_COLS)
     cols = [f"{c}_std" for c in RECON_COLS]
     ws, hist = recon.fit(sc_tr.select(*cols), P.standard_scale(va.where("is_ato = 0"), RECON_COLS, stats)[0]
-                         .select(*cols), cols, epochs=4)
+                         .select(*cols), cols)
     te_s = recon.score(P.standard_scale(te, RECON_COLS, stats)[0].select("event_id", "is_ato", *cols), cols, ws)
     return te_s.select("event_id", "is_ato", "recon_mse")
 
