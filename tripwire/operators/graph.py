@@ -86,7 +86,7 @@ def _apply(y: DataFrame, m: np.ndarray, k_out: int, k_in: int) -> DataFrame:
 
 
 def graph_svd_fit(edges: DataFrame, k: int = 16, oversample: int = 8, iterations: int = 12,
-                  checkpoint_every: int = 1, seed: int = 7) -> tuple[DataFrame, np.ndarray]:
+                  seed: int = 7) -> tuple[DataFrame, np.ndarray]:
     """Top-k singular vectors of the symmetric weighted adjacency. Returns (node, vec) with
     vec = u * sqrt(s) sorted by singular value, and the singular values."""
     adj = materialize(symmetric(edges))
@@ -98,7 +98,7 @@ def graph_svd_fit(edges: DataFrame, k: int = 16, oversample: int = 8, iterations
     q = materialize(q)
     for it in range(iterations):
         # Y is read twice (Gram, then the update): write it once, so no round recomputes the chain
-        y = materialize(_multiply(adj, q, b), bool(checkpoint_every))
+        y = materialize(_multiply(adj, q, b))
         d, v = np.linalg.eigh(_gram(y, b))
         # Y V D^-1/2: orthonormal columns; near-null directions are kept but not blown up
         q = _apply(y, v / np.sqrt(np.maximum(d, d.max() * 1e-14)), b, b)
@@ -128,6 +128,23 @@ def graph_svd_fit(edges: DataFrame, k: int = 16, oversample: int = 8, iterations
     return emb.select("node", F.array(*[F.col(f"q{i}") for i in range(k)]).alias("vec")), s
 
 
+#: Vectors of one node type that may be broadcast.
+BROADCAST_NODES = 50_000
+
+
+def embedding_columns(k: int = 16) -> list[str]:
+    """Names of the flat embedding inputs: k components for each of three nodes, three cosines, three flags."""
+    return [f"{r}_v_{i}" for r in ("user", "sub", "dev") for i in range(k)] + [
+        "sim_user_sub", "sim_user_dev", "sim_sub_dev", "user_missing", "sub_missing", "dev_missing"]
+
+
+def flat_embeddings(df: DataFrame, vectors: DataFrame, k: int = 16, node_key=None) -> DataFrame:
+    """``df`` with all ``embedding_columns(k)``."""
+    x = embedding_features(df, vectors, k, node_key)
+    flat = [F.col(f"{r}_vec")[i].alias(f"{r}_v_{i}") for r in ("user", "sub", "dev") for i in range(k)]
+    return x.select(*df.columns, *flat, *embedding_columns(k)[3 * k:])
+
+
 def _dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
@@ -143,6 +160,11 @@ def embedding_features(df: DataFrame, vectors: DataFrame, dim: int, node_key=Non
     for role, col in (("user", "user_node"), ("sub", "sub_node"), ("dev", "dev_node")):
         v = vectors.select(F.col("node").alias(f"_{role}_k"),
                            F.transform("vec", lambda e: e.cast("double")).alias(f"_{role}_v"))
+        if node_key is None:
+            v = v.where(F.col(f"_{role}_k").startswith(f"{role.upper()}_"))
+        # subnets and devices are few and busy: broadcast them if a count shows it, so that hub events stay where they are
+        if role != "user" and v.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
+            v = F.broadcast(v)
         x = x.join(v, key(F.col(col)) == F.col(f"_{role}_k"), "left")
         x = x.select("*", F.col(f"_{role}_v").isNull().cast("int").alias(f"{role}_missing"),
                      F.coalesce(F.col(f"_{role}_v"), zero).alias(f"{role}_vec")).drop(f"_{role}_v", f"_{role}_k")
