@@ -6,8 +6,9 @@ asymmetric distances over sufficient probes, exact cosine rerank.
 2. A coarse quantiser and one codebook per subspace are trained on a bounded sample (SAMPLE rows by a
    hash). Every class goes to the inverted list of its nearest centroid within its label, with the
    codes of its residual and the length e of what the codes leave over.
-3. A class probes every list whose centroid is at most 2 r farther than its nearest one. By the triangle
-   inequality these probes are sufficient: no partner can stand in another list.
+3. A partner at distance r can stand in another list only if the plane between the two centroids is at most r
+   away, so a class probes the lists beyond such planes. These probes are sufficient: no partner can
+   stand in another list. Of two lists only the lower one's members probe.
 4. Inside a list, table look-ups give each probe's distance to each coded vector. The true distance
    differs from it by at most e, so candidates are those with distance <= r + e: none is lost.
 5. Candidates are reranked by the exact cosine in double precision.
@@ -16,6 +17,8 @@ Index and probes are exact by these bounds (measured recall 1.0); a bad sample o
 Lists are dealt to blocks of bounded size by a hash, and a task holds one block of probes and one of
 coded vectors; it returns the number of links per class and a spanning forest of its links, never
 the pairs. Every pair is met once: in the list of the coded side, by the probing side.
+Where vectors hardly cluster (equal distances all round), exact probes cover many lists; the work then
+tends to that of comparing a label's vectors in blocks.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows with
 a null label, link with nothing and name their own component; vectors of different lengths are not compared; a null
@@ -87,9 +90,16 @@ class Quantiser:
             self.books.append(flat[at:at + n * (b - a)].reshape(n, b - a))
             at += n * (b - a)
 
-    def distances(self, x: np.ndarray) -> np.ndarray:
-        d = (x * x).sum(1)[:, None] + (self.coarse * self.coarse).sum(1)[None, :] - 2 * x @ self.coarse.T
-        return np.sqrt(np.maximum(d, 0))
+    def probes(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """Nearest list of each vector, and whether it probes each list."""
+        c = self.coarse
+        d = (x * x).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * x @ c.T
+        own = d.argmin(1)
+        norm = (c * c).sum(1)
+        apart = np.sqrt(np.maximum(norm[:, None] + norm[None, :] - 2 * c @ c.T, 0))
+        # (d - d_own) / (2 * apart) is the distance to the plane between the centroids
+        near = d - d[np.arange(len(x)), own][:, None] <= 2 * radius * apart[own] + _SLACK
+        return own, (near & (np.arange(len(c))[None, :] > own[:, None])) | (np.arange(len(c))[None, :] == own[:, None])
 
     def codes(self, rest: np.ndarray) -> np.ndarray:
         return np.stack([((b * b).sum(1)[None, :] - 2 * rest[:, a:e] @ b.T).argmin(1)
@@ -112,12 +122,10 @@ def _index(models: dict, radius: float):
             for dim, g in p.groupby("dim"):
                 q = Quantiser(dim, *models[dim])
                 _, x = _unit(g["v"])
-                d = q.distances(x)
-                own = d.argmin(1)
+                own, probe = q.probes(x, radius)
                 rest = x - q.coarse[own]
                 codes = q.codes(rest)
                 err = np.linalg.norm(rest - q.decoded(codes), axis=1)
-                probe = d <= d.min(axis=1, keepdims=True) + 2 * radius + _SLACK
                 for i, (gid, lab) in enumerate(zip(g["gid"].tolist(), g["label"].tolist(), strict=True)):
                     out.append((gid, lab, dim, int(own[i]), np.flatnonzero(probe[i]), codes[i].astype(np.int32), float(err[i])))
             yield pd.DataFrame(out, columns=["gid", "label", "dim", "own", "probes", "codes", "err"])
@@ -140,8 +148,7 @@ def _scan(models: dict, cos: float, radius: float):
         for j, t in enumerate(q.tables(ax - q.coarse[own])):
             d += t[:, codes[:, j]]
         near = np.sqrt(np.maximum(d, 0)) <= radius + err[None, :] + _SLACK
-        # a pair of one list is met once; a pair of two lists is counted by the probe of the smaller list
-        near &= np.where((ao == own)[:, None], ai[:, None] < bi[None, :], (ao < own)[:, None])
+        near &= (ao != own)[:, None] | (ai[:, None] < bi[None, :])  # a pair of one list is met once
         i, j = np.nonzero(near)
         s = np.einsum("ij,ij->i", av[i], bv[j]) / (np.sqrt(np.einsum("ij,ij->i", av[i], av[i])) * np.sqrt(np.einsum("ij,ij->i", bv[j], bv[j])))
         odd = ~np.isfinite(s)  # overflow or underflow of extreme components: by the scaled vectors
@@ -167,19 +174,20 @@ def near_duplicates(vectors: DataFrame, cos: float = 0.98, id_col: str = "vec_id
     ship_package(spark)
     radius = math.sqrt(max(0.0, 2 - 2 * cos))
     x = F.col(vec_col)
+    kind = vectors.schema[vec_col].dataType.elementType.simpleString()  # floats stay floats; products are in doubles
     fine = (F.col(label_col).isNotNull() & x.isNotNull() & (F.size(x) > 0)
             & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
             & F.exists(x, lambda c: c != 0))
-    # 0.0 turns -0.0 into 0.0, so that equal vectors are one class
+    # + 0 turns -0.0 into 0.0, so that equal vectors are one class
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"),
-                          F.when(F.coalesce(fine, F.lit(False)), F.transform(x, lambda c: c.cast("double") + F.lit(0.0))).alias("v"))
+                          F.when(F.coalesce(fine, F.lit(False)), F.transform(x, lambda c: c + F.lit(0).cast(kind))).alias("v"))
     rows = materialize(rows.withColumn("d", F.when(F.col("v").isNotNull(), F.xxhash64("v"))))
     live = rows.where("v is not null")
     # equal vectors: one class (the vector itself is part of the key through its first and any hash-mate apart)
     classes = live.groupBy("label", "d", "v").agg(F.min("id").alias("min_id"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes.withColumn("gid", F.monotonically_increasing_id()).withColumn("dim", F.size("v")))
     n = classes.count()
-    lists = int(min(1024, max(4, 2 ** math.ceil(math.log2(math.sqrt(n + 1))))))
+    lists = int(min(1024, max(4, 2 ** math.ceil(math.log2(math.sqrt(n + 1) / 4)))))
     sample = classes.withColumn("h", F.xxhash64("v", F.lit(7))).orderBy("h", "gid").limit(SAMPLE)
     models = {r["dim"]: (r["coarse"], r["books"], r["sizes"]) for r in sample.groupBy("dim").applyInPandas(
         _train(lists), "dim int, coarse array<double>, books array<double>, sizes array<int>").collect()}
