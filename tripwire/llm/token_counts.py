@@ -55,13 +55,12 @@ class Counter:
 
     def counts(self, segments: list[str]) -> np.ndarray:
         known = self.known
-        if new := set(segments) - known.keys():
+        if new := [s for s in set(segments) if s not in known]:
             if len(known) + len(new) > TABLE_ROWS:
                 known.clear()
-                new = set(segments)
-            new = list(new)
-            for s, ids in zip(new, self.encoding.encode_ordinary_batch(new, num_threads=1), strict=True):
-                known[s] = len(ids)
+                new = list(set(segments))
+            encode = self.encoding.encode_ordinary  # a batch call would make a thread's task of every segment
+            known.update((s, len(encode(s))) for s in new)
         return np.fromiter(map(known.__getitem__, segments), np.int64, len(segments))
 
     def leaves(self, text: str) -> tuple[np.ndarray, np.ndarray]:
