@@ -153,3 +153,21 @@ def op4_token_counts(spark, sf_dir):
     out = token_counts.recount(counted, ranks, pattern, token_counts.redactions)
     return out.select("doc_id", "n_tokens", "n_edits", "n_tokens_edited", "chars_encoded",
                       F.length("text_edited").cast("long").alias("n_chars_edited"), F.size("tree_tokens").cast("long").alias("n_leaves"))
+
+
+def _shingle_sql(n: int, pct: int) -> str:
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+    lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {n} THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - {n - 2}), lambda i: array_to_string(ws[i:i + {n - 1}], ' ')) END)) AS g FROM w),
+k AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN k x ON x.doc_id = u JOIN k y ON y.doc_id = v WHERE 100 * c >= {pct} * (x.k + y.k - c)),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM w UNION SELECT r.u, l.v FROM reach r JOIN l ON r.v = l.u),
+m AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u)
+SELECT w.doc_id, coalesce(k.k, 0)::BIGINT AS n_shingles, m.component_id FROM w JOIN m ON m.u = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id"""
+
+
+ORACLE["op1_ngram_jaccard"] = _shingle_sql(4, 85)
