@@ -8,11 +8,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, prepare, ship_package
+from ..session import materialize, ship_package
+from ..session import prepare as _prepare
+
+#: Rows of an Arrow batch: some MB of text, so that a worker's memory does not depend on the partition's size.
+BATCH_ROWS = 1500
 
 __all__ = ["arrow_map", "bounded_broadcast", "materialize", "prepare", "ship_package", "table", "words_of"]
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """The library's session settings, and small Arrow batches for columns of whole texts."""
+    _prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,6 +36,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
         for b in batches:
             if b.num_rows:
                 yield from fn(b)
+        pa.default_memory_pool().release_unused()  # an idle worker gives back what it can
     return df.mapInArrow(run, schema)
 
 

@@ -84,7 +84,7 @@ def word_stems(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int, featurise: Callable, *,
                     use: Column | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 1) -> DataFrame:
-    """(y, indices, counts, tokens) of at most ``most`` labelled documents, picked by a hash of the id.
+    """(y, h, indices, counts, tokens) of at most ``most`` labelled documents, picked by a hash ``h`` of the id.
 
     Ids that are null, unlabelled, or labelled both ways are left out. ``use`` restricts the labels.
     Only the sample's ids (at most ``most`` rows) are broadcast; documents are never shuffled.
@@ -95,12 +95,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: in
     lab = (lab.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z"))
            .where("y = z").orderBy(F.xxhash64("__id", F.lit(seed)), "__id").limit(most).select("__id", F.col("y").cast("int").alias("y")))
     rows = (docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
-            .join(F.broadcast(lab), "__id").select("y", "text"))
+            .join(F.broadcast(lab), "__id").select("y", F.xxhash64("__id", F.lit(seed + 1)).alias("h"), "text"))
 
     def make(b: pa.RecordBatch):
         ends, idx, cnt, tok = [0], [], [], []
         with np.errstate(over="ignore"):
-            for s in slices(b.column(1)):
+            for s in slices(b.column(2)):
                 f, t, n = featurise(s)
                 key, c = np.unique(t.astype(np.int64) * SLOTS + f, return_counts=True)
                 of = np.searchsorted(key, np.arange(s.n + 1) * SLOTS)
@@ -110,40 +110,43 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: in
                 tok.extend(n.tolist())
         off = pa.array(ends, pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.ListArray.from_arrays(off, pa.array(np.concatenate(idx))),
+            [b.column(0), b.column(1), pa.ListArray.from_arrays(off, pa.array(np.concatenate(idx))),
              pa.ListArray.from_arrays(off, pa.array(np.concatenate(cnt))), pa.array(tok, pa.int64())],
-            names=["y", "indices", "counts", "tokens"])
+            names=["y", "h", "indices", "counts", "tokens"])
 
-    return arrow_map(rows, make, "y int, indices array<int>, counts array<int>, tokens long")
+    return arrow_map(rows, make, "y int, h long, indices array<int>, counts array<int>, tokens long")
 
 
 def scores(docs: DataFrame, weights: np.ndarray, featurise: Callable, keep: list[Column], link: Callable, fields: str,
            distinct: bool, text_col: str = "text") -> DataFrame:
     """``keep`` and the columns ``fields`` that ``link(sums, tokens)`` makes of each text's sparse dot product.
 
-    ``distinct``: a feature counts once for a text. The weights are one number for each slot (a fixed size).
+    ``distinct``: a feature counts once for a text. A column of ``keep`` named ``text_col`` is the text. The weights are one number for each slot (a fixed size).
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    src = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
-    kept = src.columns[:-1]
+    src = docs.select(*keep)
+    kept = src.columns
+    if text_col not in kept:  # a kept text is not sent twice
+        src = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    at = kept.index(text_col) if text_col in kept else len(kept)
 
     def run(b: pa.RecordBatch):
         w = shared.value
         sums, tokens = [], []
         with np.errstate(over="ignore"):
-            for s in slices(b.column(b.num_columns - 1)):
+            for s in slices(b.column(at)):
                 f, t, n = featurise(s)
                 x = w[f]
                 if distinct:
                     on = np.flatnonzero(x)
-                    _, at = np.unique(t[on].astype(np.int64) * SLOTS + f[on], return_index=True)
-                    t, x = t[on][at], x[on][at]
+                    _, one = np.unique(t[on].astype(np.int64) * SLOTS + f[on], return_index=True)
+                    t, x = t[on][one], x[on][one]
                 sums.append(np.bincount(t, weights=x, minlength=s.n))
                 tokens.append(n)
         made = link(np.concatenate(sums), np.concatenate(tokens))
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(v) for v in made.values())], names=[*kept, *made])
+        yield pa.RecordBatch.from_arrays([*b.columns[:len(kept)], *(pa.array(v) for v in made.values())], names=[*kept, *made])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + [fields])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:len(kept)]] + [fields])
     return arrow_map(src, run, schema)
 
 

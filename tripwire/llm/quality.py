@@ -54,17 +54,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", use: Col
     rows = labelled_sample(docs, labels, label_col, most, word_ngrams, use=use, id_col=id_col, text_col=text_col)
 
     def train(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.assign(first=[x[0] if len(x) else -1 for x in p["indices"]]).sort_values(["tokens", "first"])
+        p = p.sort_values(["h", "tokens"])
         data = [(y, np.asarray(i, np.int64), np.asarray(c) * (SCALE / max(t, 1)))
                 for y, i, c, t in zip(p["y"], p["indices"], p["counts"], p["tokens"], strict=True)]
         w, b = fit_logistic(data, SLOTS, EPOCHS, alpha=1.0, beta=0.2, l1=0.01, l2=0.05)
         on = np.flatnonzero(w)
         return pd.DataFrame({"slot": np.r_[on, -1].astype(np.int64), "w": np.r_[w[on], b], "rows": len(p)})
 
-    shard = F.pmod(F.hash("tokens", F.element_at("indices", 1)), F.lit(SHARDS))
-    parts = (rows.withColumn("indices", F.when(F.size("indices") > 0, F.col("indices")))
-             .withColumn("shard", F.coalesce(shard, F.lit(0))).withColumn("indices", F.coalesce("indices", F.array().cast("array<int>")))
-             .groupBy("shard").applyInPandas(train, "slot long, w double, rows long"))
+    parts = rows.groupBy(F.pmod("h", F.lit(SHARDS)).alias("shard")).applyInPandas(train, "slot long, w double, rows long")
     total = parts.groupBy("slot").agg(F.sum(F.col("w") * F.col("rows")).alias("w"), F.sum("rows").alias("rows")).toPandas()
     w = np.zeros(SLOTS)  # a row for each slot at most
     last = total[total["slot"] == -1]

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 
 SPAN, FAN = 32, 8
-TABLE_ROWS = 400_000
+TABLE_ROWS = 200_000
 _cut = re.compile(r"(?<=\S) (?=\S)").split
 
 TREE = "tree_chars array<int>, tree_tokens array<int>"

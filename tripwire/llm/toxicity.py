@@ -63,7 +63,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", use: Colum
     """Fit on at most ``most`` labelled documents; ``use`` restricts the rows of ``labels``."""
     ship_package(docs.sparkSession)
     rows = materialize(labelled_sample(docs, labels, label_col, most, word_stems, use=use, id_col=id_col, text_col=text_col)
-                       .select("y", "indices"))
+                       .select("y", "h", "indices"))
     count = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not count.get(0) or not count.get(1):
         return ToxicityModel(np.zeros(SLOTS), np.full(GRADES - 1, 40.0), sum(count.values()))
@@ -76,8 +76,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", use: Colum
     def train(p: pd.DataFrame) -> pd.DataFrame:
         mark = np.zeros(SLOTS, bool)
         mark[markers] = True
+        p = p.sort_values("h")
         data = [(y, np.asarray(i, np.int32)) for y, i in zip(p["y"], p["indices"], strict=True)]
-        data.sort(key=lambda r: (len(r[1]), r[1][:1].tolist()))
         hits = np.array([mark[i].sum() for y, i in data if y])
         low, high = np.quantile(hits, [1 / 3, 2 / 3])
         graded = [(0 if not y else 1 + int(mark[i].sum() > low) + int(mark[i].sum() > high), i, None) for y, i in data]
