@@ -3,11 +3,11 @@
 The library turns a text into one marked string: a leading marker, and a marker for every space.
 If no piece of the model has a marker after another character (checked when the model is
 opened), pieces cannot cross from one marked word into the next, so the marked string falls into
-chunks ``markers + characters`` that are segmented independently. Every worker keeps a table of
+chunks ``markers + characters`` that are segmented independently. Every task keeps a table of
 the distinct chunks it has met: each is segmented once, by the library, and a text's ids are
 the table's entries joined back by position. Decoding joins the decoded chunks in the same way.
 
-The table is local to a worker and starts afresh beyond ``TABLE_ROWS`` chunks: one table for the
+The table is local to a task and starts afresh beyond ``TABLE_ROWS`` chunks: one table for the
 whole corpus would have to shuffle every word of every text. Nothing is shuffled here at all.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to an empty
@@ -27,10 +27,10 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, ship_package
 
 MARK = "▁"
-TABLE_ROWS = 250_000
+TABLE_ROWS = 100_000
 OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
 
 
@@ -50,11 +50,10 @@ class ChunkTable:
     def chunks(self, text: str) -> list[str]:
         return self.cut(MARK + text.replace(" ", MARK)) if text else []
 
-    def learn(self, new: set[str]) -> None:
-        if len(self.ids) + len(new) > TABLE_ROWS:
+    def learn(self, rows: list[str]) -> None:
+        if len(self.ids) + len(rows) > TABLE_ROWS:
             self.ids.clear()
             self.text.clear()
-        rows = list(new)
         # the library puts a marker in front, which the chunk has already
         coded = self.sp.encode([c[1:] for c in rows], num_threads=1)
         coded = [i if len(c) > 1 else [self.sp.piece_to_id(MARK)] for c, i in zip(rows, coded, strict=True)]
@@ -67,10 +66,9 @@ class ChunkTable:
         """Joined decimal ids, and the decoded text, of each text."""
         cut = [self.chunks(t) for t in texts]
         need = {c for x in cut for c in x}
-        if new := need - self.ids.keys():
-            if len(self.ids) + len(new) > TABLE_ROWS:
-                new = need  # the table starts afresh
-            self.learn(new)
+        if new := [c for c in need if c not in self.ids]:
+            # beyond its size the table starts afresh
+            self.learn(new if len(self.ids) + len(new) <= TABLE_ROWS else list(need))
         ids, text = self.ids, self.text
         # decoding drops the marker in front of the text
         return [",".join([ids[c] for c in x]) for x in cut], ["".join([text[c] for c in x])[1:] for x in cut]
@@ -96,8 +94,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep: tuple
     with open(model_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # the vocabulary: fixed size
 
-    def rows(b: pa.RecordBatch):
-        table = _table(shared.value)
+    def rows(b: pa.RecordBatch, table: ChunkTable):
         texts = b.column(b.num_columns - 1).to_pylist()
         for i in range(0, len(texts), 256):
             ids, plain = table.run([t or "" for t in texts[i:i + 256]])
@@ -112,9 +109,18 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep: tuple
             yield pa.RecordBatch.from_arrays([*(part.column(j) for j in range(len(keep))), *(made[o]() for o in outputs)],
                                              names=[*keep, *outputs])
 
+    def run(batches):
+        table = ChunkTable(shared.value)  # a task's own: an idle worker keeps none of it
+        for b in batches:
+            if b.num_rows:
+                yield from rows(b, table)
+        del table
+        pa.default_memory_pool().release_unused()
+
     src = docs.select(*(F.col(c) for c in keep), F.col(text_col).cast("string").alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + [f"`{o}` {OUTPUTS[o]}" for o in outputs]
-    return arrow_map(src, rows, ", ".join(fields))
+    ship_package(docs.sparkSession)
+    return src.mapInArrow(run, ", ".join(fields))
 
 
 def decode(coded: DataFrame, model_path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
