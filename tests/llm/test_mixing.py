@@ -85,6 +85,31 @@ def test_the_mix_holds_the_copies(spark, many):
     assert Counter(tuple(r) for r in out.collect()) == +want
 
 
+def test_a_document_of_a_third_of_its_source(spark):
+    """Whatever its place in the permutation, the other documents fill what it leaves of the rest."""
+    rows = []
+    for k in range(24):
+        n = [100 + 37 * (i * (k + 3) % 41) for i in range(200)]
+        n.append(sum(n) // 2)
+        if k % 4 == 3:  # two of a fourth each
+            n[-1:] = [sum(n[:-1]) // 2] * 2
+        rows += [(1000 * k + i, "w " * m, None, f"s{k:02d}", None, None, None, None) for i, m in enumerate(n)]
+    _, _, got = plan_rows(spark, rows, 3)
+    taken, target = Counter(), {r["__skey"]: r["__target"] for r in got}
+    for r in got:
+        taken[r["__skey"]] += r["__copies"] * r["__size"]
+    assert {s: (taken[s], t) for s, t in target.items() if abs(taken[s] - t) > 0.002 * t} == {}
+
+
+def test_repeated_rows_are_passed_over_together(spark):
+    """Six rows of 100 words that are one unit stand in no other document's way."""
+    one = (0, "w " * 100, None, "s", None, None, None, None)
+    rows = [one] * 6 + [(i, f"w{i} " * 9, None, "s", None, None, None, None) for i in range(1, 201)]
+    _, _, got = plan_rows(spark, rows, 2)
+    assert abs(sum(r["__copies"] * r["__size"] for r in got) - got[0]["__target"]) <= 9
+    assert len({r["__copies"] for r in got if r["doc_id"] == 0}) == 1
+
+
 def test_two_sources_and_no_words(spark):
     rows = [(1, "a b", None, "s", None, None, None, None), (2, "", None, "t", None, None, None, None), (3, None, None, None, None, None, None, None)]
     _, _, got = plan_rows(spark, rows, 1)

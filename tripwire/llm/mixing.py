@@ -6,8 +6,11 @@
 2. Blocks. A source's documents are dealt by a hash of id and text into permuted blocks of about
    ``block_words`` words (at most MAX_BLOCKS in all, so that block tables stay bounded however
    large the corpus). A target is some whole passes over the source and a rest; the rest draws
-   blocks 0, 1, ... of the permutation, then part of the next block in hash order, and
-   last the one untaken document of that source whose size fits what is missing best.
+   blocks 0, 1, ... of the permutation, then part of the next block in hash order. What is still missing
+   is filled from the rest of the source, passing over documents larger than the gap, in at most
+   MAX_ROUNDS rounds until a thousandth of the target is missing, and last the untaken document that
+   fits best. Where none fits before, the smallest is taken and the last drawn ones that its
+   excess holds are left out, if that comes nearer to the target.
 3. Shards. The drawn blocks are quotas (source, blocks). Each node of a binary tree keeps a random
    half of its blocks on the left, which is a multivariate hypergeometric draw of the left
    quotas; the leaves are the output shards. Blocks of a shard are disjoint from those of others.
@@ -38,6 +41,8 @@ MOST = 2
 #: Words of a block, unless MAX_BLOCKS would not hold the corpus.
 BLOCK_WORDS = 20_000
 MAX_BLOCKS = 1 << 20
+#: Rounds that fill a gap, at most.
+MAX_ROUNDS = 16
 
 
 def _key(source: Column) -> Column:
@@ -84,7 +89,7 @@ class Mix:
         small, _ = bounded_broadcast(s.select(*[F.col(c).alias(f"__s_{c}") for c in s.columns]))
         j = sized.join(small, F.col("__skey") == F.col("__s_skey"))
         blk = _block(F.col("__h"), F.col("__s_blocks"))
-        extra = ((blk < F.col("__s_whole")) | ((blk == F.col("__s_whole")) & (F.col("__h") <= F.col("__s_cut_h")))
+        extra = ((_in(F.col("__h"), F.col("__size"), F.col("__s_fill")) & ~_in(F.bitwise_not("__h"), F.col("__size"), F.col("__s_drop")))
                  | (F.col("__h") == F.col("__s_pick_h")))
         return j.select(*_all(sized), F.col("__s_words").alias("__words"), F.col("__s_target").alias("__target"),
                         blk.alias("__blk"), (F.col("__s_passes") + F.when(F.coalesce(extra, F.lit(False)), 1).otherwise(0))
@@ -119,36 +124,88 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     src = materialize(src.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("words") / F.lit(per))).cast("long")))
 
     # equal hashes (repeated rows) are one unit
-    units = rows.where("__size > 0").groupBy(F.col("__skey").alias("skey"), F.col("__h").alias("h")).agg(F.sum("__size").alias("size"))
-    small, _ = bounded_broadcast(src)
-    units = units.join(small.where("rest > 0").select("skey", "rest", "blocks"), "skey")
-    units = materialize(units.withColumn("blk", _block(F.col("h"), F.col("blocks"))))
-    block = units.groupBy("skey", "blk").agg(F.sum("size").alias("size"), F.first("rest").alias("rest"))
-    # at most MAX_BLOCKS narrow rows in all, besides one for each source
-    done = F.sum("size").over(Window.partitionBy("skey").orderBy("blk").rowsBetween(Window.unboundedPreceding, 0))
-    block = block.withColumn("done", done)
-    border = block.where("done > rest").groupBy("skey").agg(F.min(F.struct("blk", F.expr("done - size").alias("before"))).alias("b"))
-    border = materialize(border.select("skey", F.col("b.blk").alias("whole"), F.col("b.before").alias("before")))
-    few, _ = bounded_broadcast(border)
-    inside = units.join(few, "skey").where("blk = whole")  # one block of each source
-    run = F.sum("size").over(Window.partitionBy("skey").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
-    cut = inside.withColumn("run", run).where("run <= rest").groupBy("skey").agg(
-        F.max("h").alias("cut_h"), F.max("run").alias("got"))
-    known = border.join(cut, "skey", "left").withColumn("got", F.coalesce("got", "before"))
-    known = materialize(known)
-    few, _ = bounded_broadcast(known)
-    left = units.join(few, "skey").where("blk > whole or (blk = whole and (cut_h is null or h > cut_h))")
-    miss = F.abs(F.col("rest") - F.col("got") - F.col("size"))
-    pick = (left.where(miss < F.col("rest") - F.col("got")).groupBy("skey")
-            .agg(F.min(F.struct(miss.alias("miss"), F.col("h"))).alias("p")).select("skey", F.col("p.h").alias("pick_h")))
-    # no border: a rest of 0 draws no block
-    src = (src.join(known.select("skey", "whole", "cut_h"), "skey", "left").join(pick, "skey", "left")
-           .withColumn("whole", F.coalesce("whole", F.lit(0))))
-    mix = Mix(materialize(src.select("skey", "words", "weight", "target", "passes", "blocks", "whole", "cut_h", "pick_h")),
+    units = rows.where("__size > 0").groupBy(F.col("__skey").alias("skey"), F.col("__h").alias("h")).agg(
+        F.sum("__size").alias("size"), F.max("__size").alias("row"))
+    small, _ = bounded_broadcast(src.where("rest > 0").select("skey", "blocks"))
+    units = materialize(units.join(small, "skey").withColumn("blk", _block(F.col("h"), F.col("blocks"))))
+    least = F.expr("goal div 1000").alias("least")
+    fill = _fill(units, src.where("rest > 0").select("skey", F.col("rest").alias("gap"), least))
+
+    # the document that fits best; where none fits, one too many, and taken units left out for its excess
+    short, _ = bounded_broadcast(fill.where("gap > 0"))
+    at = units.join(short, "skey")
+    taken = _in(F.col("h"), F.col("row"), F.struct("rules", "skip", "one"))
+    miss = F.abs(F.col("gap") - F.col("size"))
+    near = F.when(F.col("gap") <= F.col("least"), F.when(miss < F.col("gap"), miss)).otherwise(F.when(F.col("size") > F.col("gap"), F.col("size")))
+    over = materialize(at.where(~taken).withColumn("near", near).where("near is not null").groupBy("skey")
+                       .agg(F.min(F.struct("near", "size", "h")).alias("p"), F.first("gap").alias("short"), F.first("least").alias("least"))
+                       .select("skey", "short", F.col("p.h").alias("pick_h"), (F.col("p.size") - F.col("short")).alias("gap"), "least"))
+    few, _ = bounded_broadcast(over.where("gap > least").select("skey"))
+    # last drawn, first left out: the permutation backwards
+    held = at.where(taken).join(few, "skey").select("skey", "size", "row", "blocks", F.bitwise_not("h").alias("h"))
+    drop = _fill(held.withColumn("blk", _block(F.col("h"), F.col("blocks"))), over.select("skey", "gap", "least"))
+    drop = drop.drop("least").join(over.select("skey", "short", "pick_h"), "skey").where("abs(gap) < short")
+
+    rules = lambda t, name: t.select("skey", F.struct("rules", "skip", "one").alias(name))
+    src = (src.join(rules(fill, "fill"), "skey", "left").join(rules(drop, "drop"), "skey", "left")
+           .join(drop.select("skey", "pick_h"), "skey", "left"))
+    mix = Mix(materialize(src.select("skey", "words", "weight", "target", "passes", "blocks", "fill", "drop", "pick_h")),
               text_col, id_col, source_col, most, per)
     return mix, rows
 
 
+def _in(h: Column, row: Column, f: Column) -> Column:
+    """Whether ``f`` (of _fill) takes the rows of size ``row`` and hash ``h``; false for a null ``f``."""
+    by = F.exists(f["rules"], lambda r: (row <= r["upto"]) & (h <= r["cut"])) & ~F.array_contains(f["skip"], h)
+    return F.coalesce(by, F.lit(False)) | F.coalesce(h == f["one"], F.lit(False))
+
+
+def _fill(units: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Fill each source's gap (skey, gap, least) by its units (skey, h, blk, size, row): (skey, gap, least, rules, skip, one).
+
+    A round passes over the units larger than the gap and draws the others in hash order up to the first that
+    exceeds it, until at most ``least`` is missing; a unit that fits the gap exactly ends a source at once. A unit
+    is taken if a rule (upto, cut) holds its row size and hash, or it is ``one``. Rules know the size of a row only:
+    repeated rows that are too large together are passed over by ``skip``, one a round.
+    ``gap`` is what is missing after the last round.
+    """
+    none = [F.array().cast("array<struct<upto:bigint,cut:bigint>>").alias("rules"), F.array().cast("array<bigint>").alias("skip"),
+            F.lit(None).cast("long").alias("one")]
+    state, free = materialize(gaps.select("skey", "gap", "least", *none)), units
+    for _ in range(MAX_ROUNDS):
+        few, _ = bounded_broadcast(state.where("gap > least"))
+        open_ = (F.col("row") <= F.col("gap")) & ~F.array_contains("skip", F.col("h"))
+        free = free.select("skey", "h", "blk", "size", "row").join(few, "skey")
+        free = materialize(free.where(open_ & ~_in(F.col("h"), F.col("row"), F.struct("rules", "skip", "one")))
+                           .select("skey", "h", "blk", "size", "row", "gap"))
+        if not free.head(1):
+            break
+        block = free.groupBy("skey", "blk").agg(F.sum("size").alias("size"), F.max("h").alias("last"), F.first("gap").alias("gap"),
+                                                F.min(F.when(F.col("size") == F.col("gap"), F.col("h"))).alias("fits"))
+        # at most MAX_BLOCKS narrow rows in all, besides one for each source
+        done = F.sum("size").over(Window.partitionBy("skey").orderBy("blk").rowsBetween(Window.unboundedPreceding, 0))
+        border = materialize(block.withColumn("done", done).groupBy("skey").agg(
+            F.min(F.when(F.col("done") > F.col("gap"), F.col("blk"))).alias("border"), F.min("fits").alias("fits"),
+            F.max(F.when(F.col("done") <= F.col("gap"), F.struct("done", "last"))).alias("full")))
+        few, _ = bounded_broadcast(border.select("skey", "border", F.coalesce("full.done", F.lit(0)).alias("before")))
+        inside = free.join(few, "skey").where("blk = border")  # one block of each source
+        run = F.sum("size").over(Window.partitionBy("skey").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before")
+        inside = inside.withColumn("run", run).groupBy("skey").agg(
+            F.max(F.when(F.col("run") <= F.col("gap"), F.struct("run", "h"))).alias("cut"),
+            F.min(F.when(F.col("run") > F.col("gap"), F.struct("h", "row"))).alias("stop"))
+        drawn = border.join(inside, "skey", "left").select(
+            "skey", "fits", F.coalesce("cut.run", "full.done", F.lit(0)).alias("got"), F.coalesce("cut.h", "full.last").alias("cut"), "stop")
+        fits = F.col("fits").isNotNull()
+        rule = F.array(F.struct(F.col("gap").alias("upto"), "cut"))
+        new = state.join(drawn, "skey", "left").withColumn("left", F.when(fits, 0).otherwise(F.col("gap") - F.coalesce("got", F.lit(0))))
+        state = materialize(new.select(
+            "skey", F.col("left").cast("long").alias("gap"), "least",
+            F.when(fits | F.col("cut").isNull(), F.col("rules")).otherwise(F.concat("rules", rule)).alias("rules"),
+            F.when(~fits & (F.col("stop.row") <= F.col("left")), F.concat("skip", F.array("stop.h"))).otherwise(F.col("skip")).alias("skip"),
+            F.coalesce("fits", "one").alias("one")))
+    return state
+
+
 def shards(mix: Mix, decided: DataFrame, n: int) -> DataFrame:
     """(skey, blk, copy, shard): the splitting tree over the drawn blocks of ``decided`` rows.
 
