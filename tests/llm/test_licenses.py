@@ -25,6 +25,42 @@ def test_templates_are_found_and_confirmed(spark, model):
     assert all(k[1] == 1 for k in got)
 
 
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person
+obtaining a copy of this software and
+associated documentation files (the "Software"), to deal in the
+Software without restriction""",
+    "apache": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance
+# with the License. You may obtain a copy of the License at
+#   http://www.apache.org/licenses/LICENSE-2.0
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "gpl": """ * This program is free software: you can redistribute it
+ * and/or modify it under the terms of the GNU General
+ * Public License as published by the Free
+ * Software Foundation""",
+    "bsd": """Redistribution and use in source and binary forms,
+with or without modification, are permitted provided
+that the following conditions are met:""",
+}
+
+
+def test_wrapped_notices(spark, model):
+    got = scan(spark, model, [f"some words\nof a text\n \n{t}\n\nmore words" for t in WRAPPED.values()])
+    for i, (family, t) in enumerate(WRAPPED.items()):
+        mine = {k: r for k, r in got.items() if k[0] == i and r["family"] == family}
+        assert list(mine) == [(i, 3)], (family, got)
+        r = mine[i, 3]
+        assert r["confirmed"] and r["line"] == t.replace("\n", " ")
+
+
+def test_lines_of_a_run_stay_lines(spark, model):
+    got = scan(spark, model, ["Released under the MIT License.\nother words\nLicensed under CC BY 4.0."])
+    assert {k: (r["family"], r["confirmed"]) for k, r in got.items()} == {(0, 0): ("mit", True), (0, 2): ("creative_commons", True)}
+
+
 def test_variations_that_training_did_not_see(spark, model):
     texts = ["This document is Released under the MIT License, enjoy.", "*** Licensed under the Apache License, Version 2.0 ***",
              "THIS WORK IS LICENSED UNDER THE GNU GENERAL PUBLIC LICENSE, VERSION 3", "licensed under cc by-nc 4.0"]

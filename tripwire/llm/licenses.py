@@ -1,6 +1,7 @@
 """License scans: a trained paragraph classifier, confirmed by template comparison. DataFrame functions only.
 
-A paragraph is a line. Features are its word 1- to 3-grams that hold an *anchor* (license,
+A paragraph is a line, or a run of non-blank lines joined by blanks (a wrapped notice). A run is reported in place
+of its lines of the same family, with the number of its first line, if it confirms more templates than they do. Features are its word 1- to 3-grams that hold an *anchor* (license,
 copyright, permission, ...); a paragraph without an anchor has no features and is unknown, so only
 paragraphs with one are scored. Multinomial logistic regression (Spark ML, L1 and L2 terms, sparse
 weights) is trained on the templates below, on variations of them (a word left out, words of the
@@ -111,9 +112,12 @@ def words(line: Column) -> Column:
 
 
 def ngrams(w: Column, n: int) -> Column:
-    """The n-grams of an array of words, each joined by blanks."""
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))) \
-        .otherwise(F.array().cast("array<string>"))
+    """The n-grams of an array of words, each joined by blanks (no lambda reads ``w``: it would be made anew for each)."""
+    out = w
+    for k in range(1, n):
+        size = F.greatest(F.size(w) - k, F.lit(0))
+        out = F.zip_with(F.slice(out, F.lit(1), size), F.slice(w, F.lit(k + 1), size), lambda x, y: F.concat(x, F.lit(" "), y))
+    return out
 
 
 def features(line: Column) -> Column:
@@ -201,8 +205,20 @@ def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col:
     """(id, paragraph, family, prob, template, similarity, confirmed, line): paragraphs whose family is not unknown."""
     spark = docs.sparkSession
     has = f"(?i){_ANCHOR}"
-    hit = docs.where(F.rlike(F.col(text_col), F.lit(has))).select(F.col(id_col), F.posexplode(F.split(F.col(text_col), "\n")).alias("paragraph", "line"))
-    hit = materialize(hit.where(F.rlike("line", F.lit(has))))
+    text = docs.where(F.rlike(F.col(text_col), F.lit(has))).select(
+        F.col(id_col).alias("__id"), F.monotonically_increasing_id().alias("__doc"), F.split(F.col(text_col), "\n").alias("ls"))
+    text = materialize(text)  # numbered once
+    single = text.select("__id", "__doc", F.posexplode("ls").alias("paragraph", "line")).withColumn("last", F.col("paragraph"))
+    blank = F.transform("ls", lambda x: F.rlike(x, F.lit(r"^\s*$")))
+    edge = F.array(F.lit(True))
+    # a line and its neighbour: where runs of non-blank lines begin and end
+    first = F.zip_with("blank", F.concat(edge, F.slice("blank", F.lit(1), F.size("blank") - 1)), lambda x, y: ~x & y)
+    final = F.zip_with("blank", F.concat(F.slice("blank", F.lit(2), F.size("blank")), edge), lambda x, y: ~x & y)
+    at = lambda c: F.filter(F.transform(c, lambda x, i: F.when(x, i)), lambda x: x.isNotNull())
+    runs = text.withColumn("blank", blank).select("__id", "__doc", "ls", F.explode(F.arrays_zip(at(first).alias("a"), at(final).alias("z"))).alias("r"))
+    runs = runs.where("r.a < r.z").select("__id", "__doc", F.col("r.a").alias("paragraph"), F.array_join(
+        F.slice("ls", F.col("r.a") + 1, F.col("r.z") - F.col("r.a") + 1), " ").alias("line"), F.col("r.z").alias("last"))
+    hit = materialize(single.unionByName(runs).where(F.rlike("line", F.lit(has))))
     lines = hit.select("line").distinct()
     lines = materialize(lines.withColumn("lid", F.monotonically_increasing_id()))
     p = model.probabilities(lines)
@@ -214,10 +230,23 @@ def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col:
     t = t.select("family", "tid", F.size("g").alias("n"), F.explode("g").alias("g"))
     grams = lines.join(p, "lid").select("lid", "family", F.explode(F.array_distinct(ngrams(words(F.col("line")), 2))).alias("g"))
     like = grams.join(F.broadcast(t), ["family", "g"]).groupBy("lid", "tid", "n").agg(F.count(F.lit(1)).alias("c"))
-    like = like.select("lid", "tid", (F.col("c") / F.col("n")).alias("sim")).groupBy("lid").agg(F.max(F.struct("sim", (-F.col("tid")).alias("t"))).alias("b"))
+    like = like.select("lid", "tid", (F.col("c") / F.col("n")).alias("sim")).groupBy("lid").agg(
+        F.max(F.struct("sim", (-F.col("tid")).alias("t"))).alias("b"), F.sum((F.col("sim") >= CONFIRM).cast("int")).alias("n"))
     name = F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family") + 1)
     found = lines.join(p, "lid").join(like, "lid", "left").select(
-        "line", name.alias("family"), "prob", (-F.col("b.t")).cast("int").alias("template"), F.coalesce("b.sim", F.lit(0.0)).alias("similarity"))
+        "line", name.alias("family"), "prob", (-F.col("b.t")).cast("int").alias("template"), F.coalesce("b.sim", F.lit(0.0)).alias("similarity"),
+        F.coalesce("n", F.lit(0)).alias("__n"))
     found, _ = bounded_broadcast(materialize(found))
-    out = hit.join(found, "line")
-    return out.select(id_col, "paragraph", "family", "prob", "template", "similarity", (F.col("similarity") >= CONFIRM).alias("confirmed"), "line")
+    out = materialize(hit.join(found, "line"))
+    alone, run = out.where("paragraph = last"), out.where("paragraph < last and __n > 0")
+    r = run.select("__doc", "family", F.col("paragraph").alias("__a"), F.col("last").alias("__z"), "__n")
+    parts = alone.select("__doc", "family", "paragraph", F.col("__n").alias("__m")).join(r, ["__doc", "family"]).where("paragraph between __a and __z")
+    fewer = parts.groupBy("__doc", "family", "__a").agg(F.sum("__m").alias("__m"))
+    run = run.join(fewer, (run["__doc"] == fewer["__doc"]) & (run["family"] == fewer["family"]) & (run["paragraph"] == fewer["__a"]), "left") \
+        .where("__n > coalesce(__m, 0)").select(*[run[c] for c in out.columns])
+    run = materialize(run)
+    r = run.select(F.col("__doc").alias("__d"), F.col("family").alias("__f"), F.col("paragraph").alias("__a"), F.col("last").alias("__z"))
+    alone = alone.join(r, (F.col("__doc") == F.col("__d")) & (F.col("family") == F.col("__f"))
+                       & (F.col("paragraph") >= F.col("__a")) & (F.col("paragraph") <= F.col("__z")), "left_anti")
+    return alone.unionByName(run).select(F.col("__id").alias(id_col), "paragraph", "family", "prob", "template", "similarity",
+                                         (F.col("similarity") >= CONFIRM).alias("confirmed"), "line")
