@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, mixing, pieces, pq_dedup, quality, token_counts, topk, toxicity
+from . import chat, lexical, licenses, mixing, pieces, pq_dedup, quality, repair, sharding, token_counts, topk, toxicity
 from .common import prepare, table
 from .ngram_join import near_duplicates
 
@@ -171,3 +171,125 @@ SELECT w.doc_id, coalesce(k.k, 0)::BIGINT AS n_shingles, m.component_id FROM w J
 
 
 ORACLE["op1_ngram_jaccard"] = _shingle_sql(4, 85)
+
+
+@query
+def op11_sharding(spark, sf_dir):
+    """Shard and slot of every document under the law ``key``, with 16 and with 17 shards."""
+    out = sharding.shards(table(spark, sf_dir, "documents"), sharding.standard(16), sharding.standard(17))
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+#: CRC-32 of a list of byte values, as SQL over a column of such lists.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i::BIGINT))"
+
+
+def _crc_sql(byte_list: str) -> str:
+    return (f"xor(4294967295, list_reduce({byte_list}, lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT))")
+
+
+def _bytes_sql(text: str) -> str:
+    return f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+
+
+def _tree_sql(key: str, n: int) -> str:
+    """Best child of each level, by the draws written out."""
+    tree = sharding._levels(sharding.standard(n))
+
+    def best(kids):
+        draws = ", ".join(f"{{'d': ln((('0x' || md5({key} || '@{c}')[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) / {w}, 'c': '{c}'}}"
+                          for c, w in sorted(kids.items()))
+        return f"list_max([{draws}]).c"
+    out = best(tree[0][""])
+    for level in tree[1:]:
+        out = f"(SELECT CASE p " + " ".join(f"WHEN '{p}' THEN {best(kids)}" for p, kids in level.items()) + f" END FROM (SELECT {out} AS p))"
+    return f"split_part({out}, '/', 3)::INTEGER"
+
+
+ORACLE["op11_sharding"] = f"""
+WITH crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS t),
+d AS (SELECT doc_id, coalesce('k' || doc_id, 'null') AS k, coalesce(strlen(text), 0)::BIGINT + 1 AS size,
+  {_crc_sql(_bytes_sql("coalesce(text, '')"))}::BIGINT AS text_crc32 FROM documents, crc),
+p AS (SELECT *, {_tree_sql("k", 16)} AS shard, {_tree_sql("k", 17)} AS grown_shard FROM d)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, (row_number() OVER (PARTITION BY shard
+  ORDER BY md5(k), doc_id NULLS FIRST, size, text_crc32) - 1)::BIGINT AS slot, grown_shard FROM p"""
+
+
+@query
+def op12_conversation_repair(spark, sf_dir):
+    """Cheapest repair of every damaged conversation."""
+    turns = table(spark, sf_dir, "conversations")
+    left = F.when(repair.damage_kind() != 0, F.col("turn"))
+    span = F.max(left).cast("decimal(38,0)") - F.min(left) + 1 - F.countDistinct(left)
+    every = turns.groupBy("conv_id").agg(F.coalesce(span, F.lit(0)).cast("long").alias("gaps")) \
+        .withColumn("ck", repair.conversation_key())
+    read = repair.digests(repair.repair(repair.damaged(turns)))
+    counts = ("blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(read, "ck", "left").select(
+        "conv_id", "gaps", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+_CUT = "[\\x20\\x09-\\x0D]"
+_SAID = "[^\\x20\\x09-\\x0D]"
+
+# costs before a row from those after it (v), for the four states; z is the row's own penalty
+_BEFORE_SQL = """[least(3 + v[1], CASE WHEN stay THEN least(2 + z + v[3], CASE c WHEN 's' THEN z + v[2] WHEN 'u' THEN z + v[3] ELSE 999999999 END) ELSE 999999999 END),
+    least(3 + v[2], CASE WHEN stay THEN least(2 + z + v[3], CASE c WHEN 'u' THEN z + v[3] ELSE 999999999 END) ELSE 999999999 END),
+    least(3 + v[3], CASE WHEN stay THEN least(2 + z + v[4], CASE c WHEN 'a' THEN z + v[4] ELSE 999999999 END) ELSE 999999999 END),
+    least(3 + v[4], CASE WHEN stay THEN least(2 + z + v[3], CASE c WHEN 'u' THEN z + v[3] ELSE 999999999 END) ELSE 999999999 END)]"""
+
+ORACLE["op12_conversation_repair"] = f"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS t),
+t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, dense_rank() OVER (ORDER BY conv_id) AS k,
+  {_crc_sql(_bytes_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"))} % 20 AS h FROM conversations, crc),
+d AS (SELECT k, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role,
+  CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM t),
+o AS (SELECT k, turn, role, text, left(role, 1) AS c, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, md5(role || ':' || text)) AS i FROM d),
+f AS MATERIALIZED (SELECT *, fault NOT IN (1, 2) AS stay, (fault = 3)::BIGINT AS z FROM (SELECT *, CASE WHEN NOT regexp_matches(text, '{_SAID}') THEN 1
+  WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 2
+  WHEN NOT regexp_matches(text, '[.!?]{_CUT}*\\z') THEN 3 ELSE 0 END AS fault FROM o)),
+b AS (SELECT k, max(i) + 1 AS i, [0, 4, 2, 0]::BIGINT[] AS v FROM f GROUP BY k
+  UNION ALL SELECT k, i, [least(w[1], 2 + w[3], 4 + w[4]), least(w[2], 2 + w[3], 4 + w[4]), least(w[3], 2 + w[4]), least(w[4], 2 + w[3])]
+  FROM (SELECT b.k, f.i, {_BEFORE_SQL} AS w FROM b JOIN f ON f.k = b.k AND f.i = b.i - 1)),
+g AS (SELECT k, 1::BIGINT AS i, 1 AS s, '' AS audit, []::VARCHAR[] AS lines, 0::BIGINT AS cost FROM b WHERE i = 1
+  UNION ALL SELECT k, i + (e <> 'I')::BIGINT, CASE WHEN e = 'D' THEN s WHEN e = 'K' AND c = 's' THEN 2 WHEN s = 3 THEN 4 ELSE 3 END, audit || e,
+    CASE e WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text) ELSE
+      list_append(lines, CASE s WHEN 3 THEN 'assistant' ELSE 'user' END || ':' || CASE e WHEN 'I' THEN '' ELSE text END) END,
+    cost + CASE e WHEN 'D' THEN 3 WHEN 'I' THEN 2 WHEN 'R' THEN 2 + z ELSE z END
+  FROM (SELECT g.*, f.role, f.text, f.c, f.z, CASE WHEN 3 + y.v[s] = x.v[s] THEN 'D'
+      WHEN 2 + x.v[CASE s WHEN 3 THEN 4 ELSE 3 END] = x.v[s] THEN 'I'
+      WHEN CASE WHEN s = 1 AND c = 's' THEN z + y.v[2] WHEN s <> 3 AND c = 'u' THEN z + y.v[3] WHEN s = 3 AND c = 'a' THEN z + y.v[4] END = x.v[s] THEN 'K'
+      ELSE 'R' END AS e
+    FROM g JOIN b x ON x.k = g.k AND x.i = g.i LEFT JOIN b y ON y.k = g.k AND y.i = g.i + 1 LEFT JOIN f ON f.k = g.k AND f.i = g.i
+    WHERE f.i IS NOT NULL OR x.v[s] > 0)),
+r AS (SELECT k, arg_max(audit, length(audit)) AS audit, max(cost) AS cost, arg_max(lines, length(audit)) AS lines FROM g GROUP BY k),
+n AS (SELECT k, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+  count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (p || c NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(c) OVER (PARTITION BY k ORDER BY i) AS p FROM f) GROUP BY k)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, k FROM t) LEFT JOIN n USING (k) LEFT JOIN r USING (k)"""
+
+
+@query
+def op13_lexical_search(spark, sf_dir):
+    """The 50 best documents of every benchmark item."""
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+_TERMS_SQL = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+ORACLE["op13_lexical_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS_SQL} AS ts FROM documents),
+s AS (SELECT count(*) FILTER (len(ts) > 0)::BIGINT AS n, sum(len(ts))::BIGINT AS l FROM d),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS_SQL}) AS t FROM benchmark),
+p AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+w AS (SELECT t, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY t, n),
+m AS (SELECT r, doc_id, (50 + (50 * len(ts)::BIGINT * n) // l)::BIGINT AS m FROM d, s WHERE len(ts) > 0),
+f AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM q JOIN p USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY item_id, r, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, r) AS rank FROM f WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM o WHERE rank <= 50"""
