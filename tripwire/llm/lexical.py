@@ -111,6 +111,7 @@ class Index:
     forward: DataFrame     # (chunk, row, doc_id, cell, second, terms, impacts)
     blocks: DataFrame      # (chunk, term, blk, n, coords, maxima)
     batch: Batch
+    block: int
 
 
 def _vectors(docs: DataFrame, vocabulary: np.ndarray, id_col: str, text_col: str) -> DataFrame:
@@ -152,7 +153,7 @@ def weight(n: int, df: int) -> int:
     return math.floor(1000 * math.log((2 * n + 2) / (2 * df + 1)))
 
 
-def build(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+def build(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> Index:
     """Index every document for the queries ``pairs`` (item, term), at most MOST_PAIRS or one item."""
     spark = docs.sparkSession
     asked = pairs.collect()  # bounded, see above
@@ -207,8 +208,8 @@ def build(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: s
     forward = placed.withColumn("chunk", cut["first"] + F.pmod(F.xxhash64("row"), cut["n"]))
     ship_package(spark)
     co = _co_terms(batch)
-    blocks = forward.groupBy("chunk").applyInArrow(lambda t: _summaries(t, co), _BLOCKS_SQL)
-    return Index(forward, materialize(blocks), batch)
+    blocks = forward.groupBy("chunk").applyInArrow(lambda t: _summaries(t, co, block), _BLOCKS_SQL)
+    return Index(forward, materialize(blocks), batch, block)
 
 
 def _pivots(raw: DataFrame, number: np.ndarray, weights: np.ndarray, docs: int, length: int) -> np.ndarray:
@@ -259,7 +260,7 @@ _BLOCKS = pa.schema([("chunk", pa.int64()), ("term", pa.int32()), ("blk", pa.int
 _BLOCKS_SQL = "chunk long, term int, blk int, n int, coords array<int>, maxima array<int>"
 
 
-def _summaries(table: pa.Table, co: dict[int, np.ndarray]) -> pa.Table:
+def _summaries(table: pa.Table, co: dict[int, np.ndarray], block: int) -> pa.Table:
     """Blocks of every posting list of a chunk, with their coordinatewise maxima."""
     c = _Chunk(table)
     place = np.full(int(max(x[-1] for x in co.values())) + 1, -1, np.int64)
@@ -270,13 +271,13 @@ def _summaries(table: pa.Table, co: dict[int, np.ndarray]) -> pa.Table:
         at, which = c.entries(docs)
         to = place[c.terms[at]]
         on = to >= 0
-        blocks = -(-len(docs) // BLOCK)
+        blocks = -(-len(docs) // block)
         top = np.zeros((blocks, len(want)), np.int64)
-        np.maximum.at(top, (which[on] // BLOCK, to[on]), c.impacts[at[on]])
+        np.maximum.at(top, (which[on] // block, to[on]), c.impacts[at[on]])
         b, x = np.nonzero(top)
         term.append(np.full(blocks, t))
         blk.append(np.arange(blocks))
-        size.append(np.minimum(BLOCK, len(docs) - BLOCK * np.arange(blocks)))
+        size.append(np.minimum(block, len(docs) - block * np.arange(blocks)))
         per.append(np.bincount(b, minlength=blocks))
         coords.append(want[x])
         maxima.append(top[b, x])
@@ -321,7 +322,7 @@ def _best_first():
 
 def _evaluate(index: Index, picked: DataFrame, k: int) -> DataFrame:
     """(q, row, doc_id, score): the k best documents of each query in the picked blocks, scored exactly."""
-    terms, w = index.batch.terms, index.batch.weights
+    terms, w, block = index.batch.terms, index.batch.weights, index.block
 
     def score(docs: pa.Table, picks: pa.Table) -> pa.Table:
         out = []
@@ -336,7 +337,7 @@ def _evaluate(index: Index, picked: DataFrame, k: int) -> DataFrame:
             which, start = np.unique(q[by], return_index=True)
             wq = np.zeros(len(w), np.int64)
             for j, (lo, hi) in zip(which.tolist(), zip(start, np.append(start[1:], len(q)), strict=True), strict=True):
-                some = np.unique(np.concatenate([c.postings(at_term[t])[b * BLOCK:(b + 1) * BLOCK]
+                some = np.unique(np.concatenate([c.postings(at_term[t])[b * block:(b + 1) * block]
                                                  for t, b in zip(term[lo:hi].tolist(), blk[lo:hi].tolist(), strict=True)]))
                 wq[terms[j]] = w[terms[j]]
                 at, own = c.entries(some)
@@ -352,27 +353,30 @@ def _evaluate(index: Index, picked: DataFrame, k: int) -> DataFrame:
         .applyInArrow(score, "q int, row long, doc_id long, score long")
 
 
-def search(index: Index, k: int) -> DataFrame:
-    """(item_id, rank, doc_id, score): the k best documents with a score above 0 of every query."""
-    spark = index.forward.sparkSession
-    bound = materialize(bounds(index))
+def unskipped(index: Index, bound: DataFrame, k: int) -> DataFrame:
+    """The blocks whose bound reaches their query's threshold."""
     promising = Window.partitionBy("q").orderBy(F.desc("bound"), "chunk", "term", "blk")
     seeds = bound.withColumn("at", F.row_number().over(promising)).where(F.col("at") <= SEEDS * k)
     floor = _evaluate(index, seeds, k).withColumn("rank", F.row_number().over(_best_first())).where(F.col("rank") == k) \
         .select("q", F.col("score").alias("floor"))  # of queries with k documents in their seeds
-    left = bound.join(floor, "q", "left").where((F.col("bound") > 0) & (F.col("bound") >= F.coalesce("floor", F.lit(1))))
-    found = _evaluate(index, left, k)
+    return bound.join(floor, "q", "left").where((F.col("bound") > 0) & (F.col("bound") >= F.coalesce("floor", F.lit(1))))
+
+
+def search(index: Index, k: int) -> DataFrame:
+    """(item_id, rank, doc_id, score): the k best documents with a score above 0 of every query."""
+    spark = index.forward.sparkSession
+    found = _evaluate(index, unskipped(index, materialize(bounds(index)), k), k)
     items = spark.createDataFrame(list(enumerate(index.batch.items)), "q int, item_id long")  # of this batch
     return found.withColumn("rank", F.row_number().over(_best_first())).where(F.col("rank") <= k) \
         .join(F.broadcast(items), "q").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
 
 def rank(docs: DataFrame, items: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text",
-         item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+         item_col: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
     """The k best documents of every item, all items against all documents."""
     pairs = materialize(item_terms(items, item_col, item_text))
     out = None
     for m, r in _batches(pairs):
-        found = search(build(docs, pairs.where(F.pmod(F.xxhash64("item"), F.lit(m)) == r), id_col, text_col), k)
+        found = search(build(docs, pairs.where(F.pmod(F.xxhash64("item"), F.lit(m)) == r), id_col, text_col, block), k)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], "item_id long, rank int, doc_id long, score long")
