@@ -68,7 +68,7 @@ def main():
     timed("roc_auc", lambda: roc_auc(scored(spark, sf_dir), "is_ato", "model_score"))
     timed("pr_auc", lambda: average_precision(scored(spark, sf_dir), "is_ato", "model_score"))
     timed("rollups", lambda: T.attack_clusters(T.critical_tier(featured(spark, sf_dir))))
-    timed("forest_fit_score", lambda: queries_models._rf(spark, sf_dir, numTrees=20, maxDepth=8)[1])
+    timed("forest_fit_score", lambda: queries_models.detector(spark, sf_dir).transform(queries_models._test_part(spark, sf_dir)))
     total = round(time.time() - timings_start, 3)
     e2e = timings["triage_end_to_end"]
     out = {

@@ -75,3 +75,42 @@ def test_saved_detectors_score_alike(spark):
     back, cols = recon.load(spark, recon.save(spark, ws, ["a", "b"], f"{d}/net"))
     x, y = (np.array([r["recon_mse"] for r in recon.score(df, cols, k).orderBy("event_id").collect()]) for k in (ws, back))
     assert np.array_equal(x, y)
+
+
+def test_detector_bundle_round_trip(spark):
+    """Nulls, a value that training did not know, and clashing columns; the loaded detector scores and flags alike."""
+    import tempfile
+
+    from tripwire.operators.detectors import bundle
+    rng = np.random.default_rng(3)
+    rows = [(i, int(i % 20 == 0), float(rng.normal(3.0 * (i % 20 == 0))), None if i % 7 == 0 else float(rng.normal()),
+             [None, "desktop", "mobile"][i % 3], float(i % 5)) for i in range(800)]
+    df = spark.createDataFrame(rows, "event_id long, is_ato int, a double, b double, device_type string, gf_user_drift_score double")
+    m = bundle.train(df.where("event_id < 600"), df.where("event_id >= 600"), ["a", "b"], numTrees=20, maxDepth=6)
+    assert m.names() == ["a", "b", "device_type_Unknown", "device_type_desktop", "device_type_mobile"]
+    d = tempfile.mkdtemp(prefix="tw-model-") + "/m"
+    m.write().overwrite().save(d)
+    back = bundle.LoginDetectorModel.load(d)
+    new = df.withColumn("device_type", F.when(F.col("event_id") % 2 == 0, "tablet")).withColumn("_f", F.lit(1))
+    x, y = ([tuple(r) for r in k.transform(new).orderBy("event_id").select("event_id", "model_score", "model_flag", "_f").collect()] for k in (m, back))
+    assert x == y and len(x) == 800 and {r[2] for r in x} == {0, 1}
+    assert back.calibration() == m.calibration() and back.getOrDefault(back.threshold) == m.getOrDefault(m.threshold) > 0
+    assert m.calibration()["recall"] >= 0.7
+    # nulls count as 0
+    a = df.limit(1).select(F.lit(1).cast("long").alias("event_id"), F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b"),
+                           F.lit("mobile").alias("device_type"))
+    z = a.withColumn("a", F.lit(0.0)).withColumn("b", F.lit(0.0))
+    assert m.transform(a).first()["model_score"] == m.transform(z).first()["model_score"]
+
+
+def test_compare_names_a_winner(spark):
+    from tripwire.operators.detectors import bundle
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, int(i % 10 == 0), float(rng.normal(2.0 * (i % 10 == 0))), 1.0, 0.5) for i in range(600)],
+                               "event_id long, is_ato int, a double, c double, gf_user_drift_score double")
+    good = bundle.train(df, df, ["a"], (), "rf_balanced", numTrees=10, maxDepth=5)
+    poor = bundle.train(df, df, ["c"], (), "rf_balanced", numTrees=2, maxDepth=2)
+    t = {r["model"]: r for r in bundle.compare({"good": good, "poor": poor}, df).collect()}
+    assert t["good"]["winner"] == 1 and t["poor"]["winner"] == 0
+    assert t["good"]["pr_auc"] > t["poor"]["pr_auc"] and t["good"]["p_at_50"] > 0.5 and t["good"]["p_at_1000"] is None
+    assert t["good"]["tp"] + t["good"]["fn"] == 60 and t["good"]["threshold"] > 0

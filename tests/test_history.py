@@ -147,23 +147,33 @@ def test_partition_invariance(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
-def test_bucketed_history_equals_windows(spark):
+def test_split_users_equal_whole_users(spark):
+    """Users cut into buckets, down to a row each, get what one bucket gives, ties and the last hour at the edges included."""
     from tripwire.operators.history import BEHAVIOUR_FEATURES
-    from tripwire.operators.history_bucketed import user_history_bucketed, user_history_auto
     rnd = random.Random(5)
     rows = hand_rows()
     e = len(rows)
-    # one hot user with most rows, spread over many buckets
+    # one hot user with most rows
     for i in range(300):
-        rows.append(dict(eid=e + i, user=99, us=rnd.randrange(0, 4 * 3600) * S, ok=rnd.randrange(2),
+        rows.append(dict(eid=e + i, user=99, us=rnd.randrange(0, 9 * 3600, 60) * S, ok=rnd.randrange(2),
                          ip=f"10.{rnd.randrange(2)}.{rnd.randrange(4)}.1", country=f"C{rnd.randrange(3)}"))
     df = _frame(spark, rows)
-    cols = ["event_id", *BEHAVIOUR_FEATURES, "h_next_subnet_us", "h_next_device_eid", "h_first_fail_asn"]
+    cols = ["event_id", *BEHAVIOUR_FEATURES, *[f"h_{x}_{n}_{y}" for n in ("country", "asn", "subnet", "device")
+                                               for x, y in (("next", "us"), ("next", "eid"), ("last", "us"))],
+            *[f"h_first_fail_{n}" for n in ("country", "asn", "subnet", "device")]]
     a = {r["event_id"]: r for r in user_history(df).select(*cols).collect()}
-    b = {r["event_id"]: r for r in user_history_bucketed(df, 300 * S).select(*cols).collect()}
-    assert a.keys() == b.keys()
-    for eid in a:
-        for c in cols:
-            assert a[eid][c] == pytest.approx(b[eid][c]), (eid, c)
-    auto = user_history_auto(df, max_user_rows=100, bucket_us=300 * S).select(*cols)
-    assert auto.count() == len(a)
+    for most in (100, 20, 1):
+        b = {r["event_id"]: r for r in user_history(df, most).select(*cols).collect()}
+        assert a.keys() == b.keys()
+        for eid in a:
+            for c in cols:
+                assert a[eid][c] == pytest.approx(b[eid][c]), (most, eid, c)
+
+
+def test_a_cut_user_is_spread(spark):
+    """No bucket of a busy user holds more than a few times the rows asked for when they are even in time."""
+    from tripwire.operators.history import split_users
+    df = _frame(spark, [dict(eid=i, user=1, us=i * 60 * S, ok=1, ip="1.2.3.4", country="C") for i in range(6000)])
+    x, busy = split_users(df, 500)
+    per = [r["count"] for r in x.groupBy("_bkt").count().collect()]
+    assert max(per) <= 1000 and len(per) >= 12 and sum(per) == 6000 and busy.count() == 1

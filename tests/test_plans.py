@@ -19,8 +19,20 @@ def test_user_windows_share_one_exchange(spark):
     assert p.count("Exchange hashpartitioning") == 1, p
 
 
+def test_no_window_over_the_rows_of_a_user(spark):
+    """Windows over logins are keyed by (user, bucket); those keyed by a user run along its buckets."""
+    import re
+    h = user_history(load_fixture(spark, SF001, True), max_rows=20)
+    p = h._jdf.queryExecution().sparkPlan().toString()
+    windows = [ln for ln in p.splitlines() if re.search(r"\bWindow \[", ln)]
+    assert windows
+    for ln in windows:
+        assert "_bkt" in ln.rsplit("], [", 2)[-2] or "_bkt" in ln.rsplit("], [", 1)[-1], ln
+
+
 def test_no_single_partition_window(spark):
-    for df in (graph_features(user_history(load_fixture(spark, SF001, True))), featured(spark, SF001)):
+    for df in (graph_features(user_history(load_fixture(spark, SF001, True)), checkpoint=False),
+               user_history(load_fixture(spark, SF001, True), max_rows=20), featured(spark, SF001)):
         p = df._jdf.queryExecution().sparkPlan().toString()
         assert "SinglePartition" not in p.split("TakeOrderedAndProject")[0] or "Window" not in p, p
 

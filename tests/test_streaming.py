@@ -1,5 +1,5 @@
-"""Stream = batch: the stateful user stream gives the batch window values, for several
-chunkings of the log and across a restart from the checkpoint."""
+"""Stream = batch: the stateful streams give the batch plans' values for several chunkings of the log, for rows in
+any order within the watermark's delay, and across a restart from the checkpoint."""
 
 import os
 import tempfile
@@ -7,71 +7,143 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from tripwire.operators.history import user_history
+from tripwire.operators.history import BEHAVIOUR_FEATURES, user_history
+from tripwire.operators.infra import GRAPH_ENTITY_FEATURES, graph_features
 from tripwire.sources.logins import fixture_logins, load_fixture, prepare_logins, read_logins
-from tripwire.streaming.runner import latest_batch, login_stream, run_user_state, running_top_k, score_batches, write_log_files
+from tripwire.streaming.runner import (
+    append_scores,
+    children,
+    land_chunks,
+    latest_batch,
+    login_stream,
+    read_scores,
+    run_states,
+    run_user_state,
+    running_top_k,
+    score_batches,
+    tracked,
+    write_log_files,
+)
 
 from .conftest import SF001
 
-COLS = ["h_n", "user_fail_count_prior", "consecutive_failures_prior", "fail_count_10min", "fail_count_1hour",
-        "success_count_10min", "new_entities_10min", "new_entities_1hour", "first_time_country", "first_time_subnet",
-        "h_cnt_device", "time_since_last_login_sec"]
+@pytest.fixture(autouse=True)
+def few_state_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+COLS = [*BEHAVIOUR_FEATURES, *GRAPH_ENTITY_FEATURES]
 
 
 @pytest.fixture(scope="module")
 def batch(spark):
-    h = user_history(load_fixture(spark, SF001, True)).select("event_id", *COLS)
+    h = graph_features(user_history(load_fixture(spark, SF001, True))).select("event_id", *COLS)
     return {r["event_id"]: tuple(r[c] for c in COLS) for r in h.collect()}
 
 
-@pytest.mark.parametrize("files,per_trigger", [(4, 1), (9, 2)])
+def read(out, cols=COLS):
+    return {r["event_id"]: tuple(r[c] for c in cols) for r in out.collect()}
+
+
+def assert_same(got, batch):
+    assert got.keys() == batch.keys()
+    diff = [e for e in got if got[e] != pytest.approx(batch[e], abs=1e-9)]
+    assert not diff, (len(diff), diff[:5])
+
+
+# 3 batches; 10 batches
+@pytest.mark.parametrize("files,per_trigger", [(9, 3), (10, 1)])
 def test_stream_equals_batch(spark, batch, files, per_trigger):
     d = tempfile.mkdtemp(prefix="tw-stream-")
     src = write_log_files(fixture_logins(spark, SF001, True), os.path.join(d, "in"), files)
-    out = run_user_state(spark, src, os.path.join(d, "out"), per_trigger)
-    got = {r["event_id"]: tuple(r[c] for c in COLS) for r in out.collect()}
-    assert got.keys() == batch.keys()
-    diff = [e for e in got if got[e] != pytest.approx(batch[e])]
-    assert not diff, diff[:5]
+    out = run_user_state(spark, src, os.path.join(d, "out"), per_trigger, with_entities=True)
+    assert_same(read(out), batch)
+    assert out.where("late = 1 or late_at_entity = 1").count() == 0
 
 
-def test_restart_from_checkpoint(spark, batch):
+def test_rows_in_any_order_within_the_delay(spark, batch):
+    """Files with interleaved times: each batch spans all the time, the watermark's delay covers it."""
     d = tempfile.mkdtemp(prefix="tw-stream-")
-    src = write_log_files(fixture_logins(spark, SF001, True), os.path.join(d, "in"), 6)
-    ck, out = os.path.join(d, "ck"), os.path.join(d, "out")
-    run_user_state(spark, src, out, 1, checkpoint=ck, max_batches=2)
-    res = run_user_state(spark, src, out, 1, checkpoint=ck)  # resumes where it stopped
-    got = {r["event_id"]: tuple(r[c] for c in COLS) for r in res.collect()}
-    assert got.keys() == batch.keys()
-    assert all(got[e] == pytest.approx(batch[e]) for e in got)
+    src = write_log_files(fixture_logins(spark, SF001, True), os.path.join(d, "in"), 4, F.col("event_id") * 7 % 4)
+    out = run_user_state(spark, src, os.path.join(d, "out"), 1, with_entities=True, delay="4 hours")
+    assert_same(read(out), batch)
+    assert out.where("late = 1 or late_at_entity = 1").count() == 0
 
 
-def test_chained_entity_state_equals_batch(spark):
-    from tripwire.operators.infra import graph_features
-    cols = ["gf_subnet_user_count_before", "gf_subnet_failure_rate_prior", "gf_subnet_failed_user_count_before",
-            "gf_subnet_user_count_10min", "gf_subnet_user_count_1hour"]
-    b = graph_features(user_history(load_fixture(spark, SF001, True))).select("event_id", *cols)
-    exp = {r["event_id"]: tuple(r[c] for c in cols) for r in b.collect()}
+def test_restart_from_checkpoint(spark, batch):
     d = tempfile.mkdtemp(prefix="tw-stream-")
-    src = write_log_files(fixture_logins(spark, SF001, True), os.path.join(d, "in"), 5)
-    out = run_user_state(spark, src, os.path.join(d, "out"), 1, with_entities=True)
-    got = {r["event_id"]: tuple(r[c] for c in cols) for r in out.collect()}
-    assert got.keys() == exp.keys()
-    diff = [e for e in got if got[e] != pytest.approx(exp[e])]
-    assert not diff, [(e, got[e], exp[e]) for e in diff[:3]]
+    src = write_log_files(fixture_logins(spark, SF001, True), os.path.join(d, "in"), 6)
+    ck, out = os.path.join(d, "ck"), os.path.join(d, "out")
+    first = run_user_state(spark, src, out, 1, checkpoint=ck, max_batches=2)
+    n = first.count()
+    assert 0 < n < len(batch)
+    res = run_user_state(spark, src, out, 1, checkpoint=ck, with_entities=True)  # resumes where it stopped
+    assert_same(read(res), batch)
 
 
-def test_late_rows_come_out_marked(spark, batch):
+def test_late_rows_come_out_marked_and_counted(spark, batch):
     """Files in reverse time order: every row comes out once, late ones marked, none lost."""
     d = tempfile.mkdtemp(prefix="tw-stream-")
     rows = fixture_logins(spark, SF001, True)
     src = write_log_files(rows, os.path.join(d, "in"), 4, 3 - F.floor(F.col("event_id") * 4 / rows.count()))
-    out = run_user_state(spark, src, os.path.join(d, "out"), 1)
+    at = run_states(spark, src, os.path.join(d, "out"), 1, f"{d}/ck", with_entities=True)
+    out = run_user_state(spark, src, os.path.join(d, "out"), 1, f"{d}/ck", with_entities=True)  # nothing new
     got = {r["event_id"]: r for r in out.collect()}
     assert out.count() == len(got) == len(batch)
     late = [r for r in got.values() if r["late"]]
     assert late and len(late) < len(got)
     assert all(r["time_since_last_login_sec"] == 0 for r in late)  # a negative gap counts as 0
+    counted = tracked(spark, at["user"], "place").agg(F.sum("value.late")).first()[0]
+    assert counted == len(late)
+
+
+def test_a_timer_forgets_without_new_rows(spark):
+    """Two users; one stops, the other goes on for hours: the first one's last hour is emptied, the totals stay."""
+    from tripwire.sources.logins import LOGIN_SCHEMA
+    d = tempfile.mkdtemp(prefix="tw-stream-")
+    for i in range(4):
+        spark.sql(f"""SELECT id AS event_id, CASE WHEN id = 0 THEN 1 ELSE 2 END AS user_id,
+          TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 50 * id) AS login_ts, '1.2.3.4' AS ip, 'C' AS country, 1L AS asn, 'd' AS device_type,
+          'o' AS os_name, 'b' AS browser, 1 AS success, 1D AS rtt_ms, 0 AS is_attack_ip, 0 AS is_ato FROM range({i}, {i + 1})""") \
+            .select([F.col(f.name).cast(f.dataType) for f in LOGIN_SCHEMA.fields]).coalesce(1).write.mode("append").parquet(f"{d}/in")
+    at = run_states(spark, f"{d}/in", f"{d}/out", 1, f"{d}/ck", with_entities=True, end=False)
+    held = {r["key"][0] for r in tracked(spark, at["user"], "recent").collect()}
+    assert held == {2}
+    assert {r["key"][0] for r in tracked(spark, at["user"], "totals").collect()} == {1, 2}
+    users = tracked(spark, at["entity"], "recent").where("key.kind = 'country'").collect()
+    assert "2" in str(users) and spark.read.parquet(f"{d}/out").count() == 3  # the last row waits for the watermark
+
+
+def test_forgetting_by_event_time(spark):
+    """``ttl_us`` bounds the maps: entities not used for an hour go."""
+    d = tempfile.mkdtemp(prefix="tw-stream-")
+    src = write_log_files(fixture_logins(spark, SF001, True), os.path.join(d, "in"), 3)
+    kept = run_states(spark, src, f"{d}/a", 1, f"{d}/cka")
+    less = run_states(spark, src, f"{d}/b", 1, f"{d}/ckb", ttl_us=3600 * 1_000_000)
+    assert 0 <= tracked(spark, less["user"], "seen", True).count() < tracked(spark, kept["user"], "seen", True).count()
+
+
+def test_chunks_hold_exactly_n_rows(spark):
+    d = tempfile.mkdtemp(prefix="tw-stream-")
+    src = land_chunks(fixture_logins(spark, SF001, True), f"{d}/in", 300)
+    sizes = {n: spark.read.parquet(f"{src}/{n}").count() for n in children(spark, src) if n.startswith("chunk=")}
+    assert sizes == {"chunk=0": 300, "chunk=1": 300, "chunk=2": 300, "chunk=3": 100}
+
+
+def test_a_replayed_batch_counts_once(spark):
+    d = tempfile.mkdtemp(prefix="tw-stream-")
+    rows = load_fixture(spark, SF001, True)
+
+    def score(b):
+        return b.withColumn("model_score", F.col("event_id") / 1000)
+    for batch_id in (0, 1, 1, 0):
+        append_scores(rows.where(F.col("event_id") % 2 == batch_id), batch_id, score, f"{d}/s", f"{d}/t", 20, confusion_out=f"{d}/c")
+    rows.limit(5).write.parquet(f"{d}/s/batch_id=7")  # a batch that broke off before its commit
+    got = read_scores(spark, f"{d}/s")
+    assert sorted(r["event_id"] for r in got.collect()) == sorted(r["event_id"] for r in rows.select("event_id").collect())
 
 
 @pytest.mark.parametrize("prefix", ["", "file:"])

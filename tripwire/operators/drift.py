@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordering import exact_quantiles, with_position
+from ..plans.ordering import before, cut_rows, exact_quantiles
 
 # fixed values: features watched for drift
 DRIFT_FEATURES = ["user_login_count_prior", "user_country_count_prior", "user_asn_count_prior",
@@ -37,11 +37,10 @@ def _stats(long: DataFrame, keys: list[str]) -> DataFrame:
 def drift_early_late(df: DataFrame, features=DRIFT_FEATURES, edge: int = 100_000, label: str = "is_ato") -> DataFrame:
     """First vs last ``edge`` rows by time: mean, median, p95, p99, max per part and the late/early
     ratios (mean, p99, max); label prevalence as the pseudo-feature ``label_prevalence``."""
-    pos = with_position(df, ["login_us", "event_id"], "_pos")
-    n = df.agg(F.count(F.lit(1)).alias("_n")).withColumn("_j", F.lit(1))
-    x = pos.withColumn("_j", F.lit(1)).join(F.broadcast(n), "_j")
-    early = x.where(F.col("_pos") < edge).withColumn("part", F.lit("early"))
-    late = x.where(F.col("_pos") >= F.col("_n") - edge).withColumn("part", F.lit("late"))
+    order, n = ["login_us", "event_id"], df.count()
+    a, b = cut_rows(df, order, [edge, max(0, n - edge)])
+    early = df.where(before(order, a)).withColumn("part", F.lit("early"))
+    late = df.where(~before(order, b)).withColumn("part", F.lit("late")) if n else df.limit(0).withColumn("part", F.lit("late"))
     both = early.unionByName(late).select("part", *features, F.col(label).cast("double").alias("label_prevalence"))
     st = _stats(_long(both, list(features) + ["label_prevalence"], ["part"]), ["feature", "part"])
     e = st.where("part = 'early'").drop("part")
@@ -55,9 +54,13 @@ def drift_early_late(df: DataFrame, features=DRIFT_FEATURES, edge: int = 100_000
 
 def drift_by_block(df: DataFrame, features=BLOCK_FEATURES, block: int = 100_000, blocks=(0, 25, 49)) -> DataFrame:
     """Per chosen block of ``block`` rows in time order: min, median, p95, p99, max per feature."""
-    pos = with_position(df, ["login_us", "event_id"], "_pos")
-    x = pos.select(F.floor(F.col("_pos") / block).cast("bigint").alias("block"), *features) \
-        .where(F.col("block").isin(list(blocks)))
+    order = ["login_us", "event_id"]
+    cuts = cut_rows(df, order, [k * block for b in blocks for k in (b, b + 1)])
+    which = None  # a block whose first row lies beyond the end has no rows
+    for b, lo, hi in zip(blocks, cuts[::2], cuts[1::2], strict=True):
+        inside = ~before(order, lo) & before(order, hi) if lo is not None else F.lit(False)
+        which = F.when(inside, b) if which is None else which.when(inside, b)
+    x = df.select(which.cast("bigint").alias("block"), *features).where(F.col("block").isNotNull())
     st = _stats(_long(x, list(features), ["block"]), ["block", "feature"])
     return st.select("block", "feature", "min", "median", "p95", "p99", "max")
 

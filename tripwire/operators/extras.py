@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordering import with_position
-from .history import _ow, _pw
+from ..plans.ordering import before, cut_rows
+from .shifts import hour_zscore, sequence_shifts  # noqa: F401
 from .sweep import DEFAULT_BUCKET_US, Kind, entity_sweep
 
 HOUR_US = 3600 * 1_000_000
@@ -46,54 +48,14 @@ def global_device_sharing(df: DataFrame) -> DataFrame:
     return df.groupBy("device").agg(F.countDistinct("user_id").alias("users"))
 
 
-def hour_zscore(df: DataFrame, days: int = 30) -> DataFrame:
-    """(hour - mean) / std of the user's login hours over the prior ``days`` days (population std;
-    0 when fewer than two prior logins or zero spread). Trailing-prior sums of h and h^2."""
-    w = days * DAY_US
-    rng = f"(PARTITION BY user_id ORDER BY login_us RANGE BETWEEN {w} PRECEDING AND CURRENT ROW)"
-    peers = "(PARTITION BY user_id, login_us ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
-
-    def tp(v):
-        return f"(sum({v}) OVER {rng} - sum({v}) OVER {peers})"
-
-    x = df.selectExpr("*", f"{tp('1')} AS _c", f"{tp('CAST(hour AS DOUBLE)')} AS _s",
-                      f"{tp('CAST(hour * hour AS DOUBLE)')} AS _q")
-    return x.selectExpr("*", "CASE WHEN _c >= 2 THEN _s / _c END AS _m").selectExpr(
-        "*", "CASE WHEN _c >= 2 THEN sqrt(greatest(_q / _c - _m * _m, 0.0D)) END AS _sd").selectExpr(
-        *[f"`{c}`" for c in df.columns],
-        f"CASE WHEN _sd IS NULL OR _sd = 0 THEN 0.0D ELSE (hour - _m) / _sd END AS hour_zscore_{days}d")
-
-
-def sequence_shifts(df: DataFrame, geo_jump_minutes: int = 60) -> DataFrame:
-    """Previous-login comparisons per user: gap, gap to the previous success, and whether ASN,
-    subnet, device or country changed (the country change within ``geo_jump_minutes``)."""
-    w = _ow("user_id")
-    p = _pw("user_id")
-    return df.selectExpr(
-        "*",
-        f"lag(login_us) OVER {w} AS _pu", f"lag(asn_key) OVER {w} AS _pa", f"lag(subnet) OVER {w} AS _ps",
-        f"lag(device) OVER {w} AS _pd", f"lag(country_key) OVER {w} AS _pc",
-        f"last(CASE WHEN success = 1 THEN login_us END, true) OVER {p} AS _psu",
-    ).selectExpr(
-        *[f"`{c}`" for c in df.columns],
-        "CASE WHEN _pu IS NULL THEN 0.0D ELSE (login_us - _pu) / 1e6 END AS inter_arrival_sec",
-        "CASE WHEN _psu IS NULL THEN NULL ELSE (login_us - _psu) / 1e6 END AS session_recency_sec",
-        "CAST(_pa IS NOT NULL AND _pa != asn_key AS INT) AS asn_pivot",
-        "CAST(_ps IS NOT NULL AND _ps != subnet AS INT) AS subnet_shift",
-        "CAST(_pd IS NOT NULL AND _pd != device AS INT) AS device_drift",
-        f"CAST(_pc IS NOT NULL AND _pc != country_key AND login_us - _pu <= {geo_jump_minutes * 60_000_000} AS INT)"
-        " AS geo_jump",
-    )
-
-
 def percent_tiers(df: DataFrame, score: str, cuts=(0.001, 0.005)) -> DataFrame:
-    """Top 0.1 % / 0.5 % of rows by score (ties: lower event_id), by global position."""
-    n = df.agg(F.count(F.lit(1)).alias("_n")).withColumn("_j", F.lit(1))
-    x = with_position(df, [F.col(score).desc(), F.col("event_id").asc()], "_pos")
-    x = x.withColumn("_j", F.lit(1)).join(F.broadcast(n), "_j")
+    """Top 0.1 % / 0.5 % of rows by score (ties: lower event_id): a few cut rows of a narrow projection decide."""
+    s = F.col(score).cast("double")
+    # ascending: NaN first (the largest), null last
+    x = df.withColumn("_down", F.when(s.isNull(), float("inf")).when(F.isnan(s), float("-inf")).otherwise(-s))
+    order, n = ["_down", "event_id"], df.count()
     tier = None
-    for c in sorted(cuts):
-        cond = F.col("_pos") < F.ceil(F.col("_n") * c)
+    for c, cut in zip(sorted(cuts), cut_rows(x, order, [math.ceil(n * c) for c in sorted(cuts)]), strict=True):
         name = f"top_{c * 100:g}pct"
-        tier = F.when(cond, name) if tier is None else tier.when(cond, name)
+        tier = F.when(before(order, cut), name) if tier is None else tier.when(before(order, cut), name)
     return x.select(*df.columns, tier.alias("tier")).where(F.col("tier").isNotNull())

@@ -1,19 +1,19 @@
 """Per-user login history (exact, prior-only) as window functions.
 
-All windows are partitioned by ``user_id`` first, so after one hash exchange on the
-user the whole feature set is computed with sorts only (no further shuffles).
-Order of events is ``(login_us, event_id)``; "prior" means strictly earlier in it.
+All windows are partitioned by (user, time bucket) first, so after one hash exchange the whole
+feature set is computed with sorts only (no further shuffles), and a user of any size is spread over
+its buckets. Order of events is ``(login_us, event_id)``; "prior" means strictly earlier in it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ORDER = ("login_us", "event_id")
+from ..session import materialize
+
 TEN_MIN_US = 600 * 1_000_000
 ONE_HOUR_US = 3600 * 1_000_000
-UNB = Window.unboundedPreceding
 
 # (short name, entity key column) of the four entity kinds seen by a user
 ENTITIES = (("country", "country_key"), ("asn", "asn_key"), ("subnet", "subnet"), ("device", "device"))
@@ -24,79 +24,152 @@ PAIRS = (("country_device", ("country_key", "device")),
          ("country_asn", ("country_key", "asn_key")))
 
 
-def ordered(*keys) -> Window:
-    return Window.partitionBy(*keys).orderBy(*ORDER)
+def _ow(*keys) -> str:
+    return f"(PARTITION BY {', '.join(keys)} ORDER BY login_us, event_id)"
 
 
-def prior(*keys) -> Window:
-    return ordered(*keys).rowsBetween(UNB, -1)
+def _pw(*keys) -> str:
+    return f"(PARTITION BY {', '.join(keys)} ORDER BY login_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
-def trailing_prior_sum(value: Column | str, keys, width_us: int) -> Column:
-    """Sum of ``value`` over earlier rows of the same key with ``now - t <= width``.
+def _trail(v: str, keys: str, width_us: int) -> str:
+    """Sum of ``v`` over earlier rows of the same keys with ``now - t <= width_us``.
 
-    ``rangeBetween(-w, 0)`` includes the row itself and all rows sharing its timestamp;
-    subtracting the sum over this row and its later same-instant peers leaves exactly the
-    prior rows (ties broken by ``event_id``).
-    """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    v = F.col(value) if isinstance(value, str) else value
-    rng = Window.partitionBy(*keys).orderBy("login_us").rangeBetween(-width_us, 0)
-    peers = Window.partitionBy(*keys, "login_us").orderBy("event_id") \
-        .rowsBetween(0, Window.unboundedFollowing)
-    return F.sum(v).over(rng) - F.sum(v).over(peers)
+    The range frame takes in the row itself and all rows of its instant; less the sum over this row and its
+    later peers of that instant, exactly the prior rows remain (ties broken by ``event_id``)."""
+    return (f"(sum({v}) OVER (PARTITION BY {keys} ORDER BY login_us RANGE BETWEEN {width_us} PRECEDING AND CURRENT ROW)"
+            f" - sum({v}) OVER (PARTITION BY {keys}, login_us ORDER BY event_id"
+            f" ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")
 
 
-def _ft(*keys) -> Column:
-    """1 when this row is the first of its (keys) group in time order."""
-    return (F.row_number().over(ordered(*keys)) == 1).cast("int")
+#: Rows of one user that one task may hold; a user with more is cut into time buckets.
+MAX_USER_ROWS = 200_000
 
 
-def _ow(*keys) -> str:
-    return f"(PARTITION BY {', '.join(keys)} ORDER BY login_us, event_id)"
+def split_users(logins: DataFrame, max_rows: int = MAX_USER_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """``logins`` with ``_bkt``, and the users that are cut: (user_id, lo, width), None if there are none.
 
+    A user with at most ``max_rows`` rows is one bucket. A busier one is cut into equal spans of time, as many as
+    its rows ask for, each at least an hour. There are at most rows / ``max_rows`` such users."""
+    busy = logins.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"), F.min("login_us").alias("lo"), F.max("login_us").alias("_hi")) \
+        .where(F.col("_n") > max_rows).selectExpr(
+            "user_id", "lo", f"greatest({ONE_HOUR_US}, CAST(ceil((_hi - lo + 1) / ceil(_n / {max_rows})) AS BIGINT)) AS width")
+    busy = materialize(busy)
+    n = busy.limit(BROADCAST_USERS + 1).count()
+    if not n:
+        return logins.withColumn("_bkt", F.lit(0).cast("long")), None
+    side = busy.withColumnRenamed("user_id", "_u")
+    x = logins.join(F.broadcast(side) if n <= BROADCAST_USERS else side, F.col("user_id").eqNullSafe(F.col("_u")), "left")
+    return x.withColumn("_bkt", F.expr("coalesce((login_us - lo) div width, 0)")).drop("_u", "lo", "width"), busy
 
-def _pw(*keys) -> str:
-    return f"(PARTITION BY {', '.join(keys)} ORDER BY login_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
+BROADCAST_USERS = 200_000
+_FT = {"country": "first_time_country", "asn": "first_time_asn", "subnet": "first_time_subnet", "device": "first_time_device_combo"}
+_KINDS = [(n, (k,)) for n, k in ENTITIES] + list(PAIRS)
 
-def _trail(v: str, keys: str, width_us: int) -> str:
-    """SQL form of :func:`trailing_prior_sum`."""
-    return (f"(sum({v}) OVER (PARTITION BY {keys} ORDER BY login_us RANGE BETWEEN {width_us} PRECEDING AND CURRENT ROW)"
-            f" - sum({v}) OVER (PARTITION BY {keys}, login_us ORDER BY event_id"
-            f" ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")
 
+def _carried(rows: DataFrame, busy: DataFrame) -> DataFrame:
+    """What a bucket of a cut user must know of the user's other buckets, as rows beside its own (``_real`` = 0).
+
+    * one row with the totals of all earlier buckets: counts, sums, first and last time, run of failures;
+    * for each entity or pair that occurs in the bucket its last row before and its first row behind it;
+    * the rows of the last hour before the bucket, with their first-time flags, for the trailing windows only.
+
+    All come from aggregates by (user, bucket) and (user, entity, bucket), combined on the map side; windows over
+    these run along a user's buckets, not its rows."""
+    side = busy.withColumnRenamed("user_id", "_u")
+    h = rows.join(F.broadcast(side), F.col("user_id").eqNullSafe(F.col("_u"))).select(
+        "user_id", "_bkt", "login_us", "event_id", "fail", "success", "is_weekend", "hour", *[k for _, k in ENTITIES],
+        (F.col("lo") + (F.col("_bkt") + 1) * F.col("width")).alias("_end"))
+    h = materialize(h)
+    at = F.struct("login_us", "event_id")
 
-def user_history(logins: DataFrame, repartition: bool = True) -> DataFrame:
+    # entities and pairs: first and last row of each in each bucket
+    item = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), F.concat_ws("\u0001", *cols).alias("value"),
+                                        *[(F.col(k) if k in cols else F.lit(None).cast("string")).alias(k) for _, k in ENTITIES])
+                               for n, cols in _KINDS]))
+    occ = h.select("user_id", "_bkt", at.alias("at"), "fail", item.alias("i")).groupBy("user_id", "_bkt", "i.kind", "i.value").agg(
+        F.min("at").alias("first"), F.max("at").alias("last"), F.max("fail").alias("fail"),
+        *[F.first(f"i.{k}").alias(k) for _, k in ENTITIES])
+    w = "OVER (PARTITION BY user_id, kind, value ORDER BY _bkt"
+    occ = materialize(occ.selectExpr("*", f"lag(last) {w}) AS before", f"lead(first) {w}) AS behind",
+                                     f"max(fail) {w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS failed"))
+    keys = [k for _, k in ENTITIES]
+    near = [occ.where(f"{side} IS NOT NULL").selectExpr("user_id", "_bkt", f"{side}.login_us AS login_us", f"{side}.event_id AS event_id", *keys,
+                                                        f"{fe} AS _fe") for side, fe in (("before", "failed"), ("behind", "0"))]
+    # first-time flags of the rows that are a first
+    firsts = occ.where("before IS NULL").groupBy("user_id", "_bkt", F.col("first.event_id").alias("event_id")).agg(
+        *[F.max((F.col("kind") == n).cast("int")).alias(f"_ft_{n}") for n, _ in ENTITIES])
+
+    # totals by bucket, then of all earlier buckets
+    tot = h.groupBy("user_id", "_bkt").agg(
+        F.count(F.lit(1)).alias("n"), F.min("login_us").alias("mn"), F.max(at).alias("mx"), F.sum("is_weekend").alias("wk"),
+        F.sum("hour").alias("hr"), F.sum("fail").alias("f"), F.sum("success").alias("s"), F.max(F.when(F.col("success") == 1, at)).alias("ok"))
+    after = h.join(tot.select(F.col("user_id").alias("_u"), F.col("_bkt").alias("_b"), "ok"),
+                   F.col("user_id").eqNullSafe(F.col("_u")) & (F.col("_bkt") == F.col("_b"))).where("ok IS NOT NULL") \
+        .groupBy("user_id", "_bkt").agg(F.sum(F.when(at > F.col("ok"), F.col("fail")).otherwise(0)).alias("tail"))
+    new = occ.where("before IS NULL").groupBy("user_id", "_bkt").agg(
+        *[F.count_if(F.col("kind") == n).alias(f"new_{n}") for n, _ in ENTITIES])
+    same = ["user_id", "_bkt"]
+    on = lambda d, c: tot[c].eqNullSafe(d[c])
+    t = tot.join(after, [on(after, c) for c in same], "left").join(new, [on(new, c) for c in same], "left").select(
+        *[tot[c] for c in tot.columns], "tail", *[F.coalesce(f"new_{n}", F.lit(0)).alias(f"new_{n}") for n, _ in ENTITIES])
+    p = "OVER (PARTITION BY user_id ORDER BY _bkt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    t = t.selectExpr("*", f"coalesce(sum(f) {p}, 0) AS f0").selectExpr("*", "f0 + f - tail AS upto")
+    state = t.selectExpr("user_id", "_bkt", f"max(mx) {p} AS mx", f"sum(n) {p} AS _c", f"min(mn) {p} AS _first", f"sum(wk) {p} AS _wk", f"sum(hr) {p} AS _hr",
+                         "f0 AS _f", f"sum(s) {p} AS _s", f"coalesce(last(upto, true) {p}, 0) AS _upto",
+                         *[f"sum(new_{n}) {p} AS _ft_{n}" for n, _ in ENTITIES]).where("mx IS NOT NULL") \
+        .selectExpr("* EXCEPT (mx)", "mx.login_us AS login_us", "mx.event_id AS event_id", "mx.login_us AS _us")
+
+    halo = h.where(F.col("login_us") >= F.col("_end") - ONE_HOUR_US)
+    f = firsts.select(*[F.col(c).alias(f"_f_{c}") for c in ("user_id", "_bkt", "event_id")], *[f"_ft_{n}" for n, _ in ENTITIES])
+    halo = halo.join(f, [halo[c].eqNullSafe(f[f"_f_{c}"]) for c in ("user_id", "_bkt", "event_id")], "left").selectExpr(
+        "user_id", "_bkt + 1 AS _bkt", "login_us", "event_id", "fail AS _tf", "success AS _ts", *[f"coalesce(_ft_{n}, 0) AS _tn_{n}" for n, _ in ENTITIES])
+    out = near[0]
+    for d in (near[1], state, halo):
+        out = out.unionByName(d, allowMissingColumns=True)
+    return out.withColumn("_real", F.lit(0))
+
+
+def user_history(logins: DataFrame, max_rows: int = MAX_USER_ROWS) -> DataFrame:
     """All behaviour features of one login relative to the same user's earlier logins.
 
     Input: prepared logins. Output: input columns + behaviour features + helper columns
-    (prefixed ``h_``) that later stages (entity passes, streaming parity) reuse.
-    Expressions are SQL text (one JVM call per stage instead of thousands of Column calls).
+    (prefixed ``h_``) that later stages (entity passes, streaming parity) reuse. All windows are
+    partitioned by (user, time bucket), so that one exchange feeds them all; a user with at most ``max_rows``
+    rows is one bucket, and the buckets of a busier one also hold what they must know of each other
+    (:func:`_carried`). Expressions are SQL text (one JVM call per stage instead of thousands of Column calls).
     """
-    df = logins.repartition("user_id") if repartition else logins
-    u = "user_id"
-    p = _pw(u)
+    own = [f"`{c}`" for c in logins.columns]
+    rows, busy = split_users(logins, max_rows)
+    df = rows.selectExpr("*", "1 AS _real", "1L AS _c", "login_us AS _us", "login_us AS _first", "is_weekend AS _wk", "hour AS _hr", "fail AS _f",
+                         "success AS _s", "fail AS _tf", "success AS _ts", "fail AS _fe", "CAST(NULL AS BIGINT) AS _upto")
+    if busy is not None:
+        df = df.unionByName(_carried(rows, busy), allowMissingColumns=True)
+    else:
+        df = df.selectExpr("*", *[f"0 AS {p}_{n}" for p in ("_ft", "_tn") for n, _ in ENTITIES])
+    df = df.repartition("user_id", "_bkt")
+    u = "user_id, _bkt"
+    p, w = _pw(u), _ow(u)
     cols = [
-        f"row_number() OVER {_ow(u)} - 1 AS h_n",
-        f"lag(login_us) OVER {_ow(u)} AS h_prev_us",
-        f"first(login_us) OVER {p} AS h_first_us",
-        f"coalesce(sum(is_weekend) OVER {p}, 0) AS h_weekend_prior",
-        f"coalesce(sum(hour) OVER {p}, 0) AS h_hour_sum",
-        f"CAST(coalesce(sum(fail) OVER {p}, 0) AS BIGINT) AS user_fail_count_prior",
-        f"CAST(coalesce(sum(success) OVER {p}, 0) AS BIGINT) AS user_success_count_prior",
-        f"CAST({_trail('fail', u, TEN_MIN_US)} AS BIGINT) AS fail_count_10min",
-        f"CAST({_trail('fail', u, ONE_HOUR_US)} AS BIGINT) AS fail_count_1hour",
-        f"CAST({_trail('success', u, TEN_MIN_US)} AS BIGINT) AS success_count_10min",
+        f"coalesce(sum(_c) OVER {p}, 0) AS h_n",
+        f"last(_us, true) OVER {p} AS h_prev_us",
+        f"min(_first) OVER {p} AS h_first_us",
+        f"coalesce(sum(_wk) OVER {p}, 0) AS h_weekend_prior",
+        f"coalesce(sum(_hr) OVER {p}, 0) AS h_hour_sum",
+        f"CAST(coalesce(sum(_f) OVER {p}, 0) AS BIGINT) AS user_fail_count_prior",
+        f"CAST(coalesce(sum(_s) OVER {p}, 0) AS BIGINT) AS user_success_count_prior",
+        f"CAST({_trail('coalesce(_tf, 0)', u, TEN_MIN_US)} AS BIGINT) AS fail_count_10min",
+        f"CAST({_trail('coalesce(_tf, 0)', u, ONE_HOUR_US)} AS BIGINT) AS fail_count_1hour",
+        f"CAST({_trail('coalesce(_ts, 0)', u, TEN_MIN_US)} AS BIGINT) AS success_count_10min",
     ]
     for name, key in ENTITIES:
-        ft = "first_time_device_combo" if name == "device" else f"first_time_{name}"
         w = _ow(u, key)
         cols += [
-            f"CAST(row_number() OVER {w} = 1 AS INT) AS {ft}",
+            f"CAST(row_number() OVER {w} = 1 AS INT) AS {_FT[name]}",
             f"lag(login_us) OVER {w} AS h_last_{name}_us",
             # first failing row of (user, entity): input of failed-user counts per entity
-            f"CAST(fail = 1 AND coalesce(sum(fail) OVER {_pw(u, key)}, 0) = 0 AS INT) AS h_first_fail_{name}",
+            f"CAST(fail = 1 AND coalesce(sum(_fe) OVER {_pw(u, key)}, 0) = 0 AS INT) AS h_first_fail_{name}",
             f"lead(login_us) OVER {w} AS h_next_{name}_us",
             f"lead(event_id) OVER {w} AS h_next_{name}_eid",
         ]
@@ -106,24 +179,27 @@ def user_history(logins: DataFrame, repartition: bool = True) -> DataFrame:
         if name != "country_asn":
             cols.append(f"lag(login_us) OVER {w} AS h_last_{name}_us")
     df = df.selectExpr("*", *cols)
-
-    ft4 = "(first_time_country + first_time_asn + first_time_subnet + first_time_device_combo)"
-    fts = {"country": "first_time_country", "asn": "first_time_asn", "subnet": "first_time_subnet",
-           "device": "first_time_device_combo"}
+    # new entities of a row: its own flags, those that a row of the hour before brings along; in the totals their number so far
+    df = df.selectExpr("*", *[f"CASE WHEN _real = 1 THEN {_FT[n]} ELSE coalesce(_ft_{n}, 0) END AS _cnt_{n}" for n, _ in ENTITIES],
+                       *[f"CASE WHEN _real = 1 THEN {_FT[n]} ELSE coalesce(_tn_{n}, 0) END AS _new_{n}" for n, _ in ENTITIES],
+                       "CASE WHEN _real = 0 THEN _upto WHEN success = 1 THEN user_fail_count_prior END AS _ok")
+    all4 = "(" + " + ".join(f"_new_{n}" for n, _ in ENTITIES) + ")"
     df = df.selectExpr(
         "*",
-        *[f"coalesce(sum({fts[n]}) OVER {p}, 0) AS h_cnt_{n}" for n, _ in ENTITIES],
-        f"CAST(row_number() OVER {_ow(u, 'user_success_count_prior')} - 1 AS BIGINT) AS consecutive_failures_prior",
-        f"CAST({_trail(ft4, u, TEN_MIN_US)} AS BIGINT) AS new_entities_10min",
-        f"CAST({_trail(ft4, u, ONE_HOUR_US)} AS BIGINT) AS new_entities_1hour",
-        f"CAST({_trail('first_time_subnet', u, ONE_HOUR_US)} AS BIGINT) AS new_subnets_1hour",
-        f"CAST({_trail('first_time_device_combo', u, ONE_HOUR_US)} AS BIGINT) AS new_device_combos_1hour",
-    )
-    return derive(df)
+        *[f"coalesce(sum(_cnt_{n}) OVER {p}, 0) AS h_cnt_{n}" for n, _ in ENTITIES],
+        # failures so far, less those up to the last success
+        f"user_fail_count_prior - coalesce(last(_ok, true) OVER {p}, 0) AS consecutive_failures_prior",
+        f"CAST({_trail(all4, u, TEN_MIN_US)} AS BIGINT) AS new_entities_10min",
+        f"CAST({_trail(all4, u, ONE_HOUR_US)} AS BIGINT) AS new_entities_1hour",
+        f"CAST({_trail('_new_subnet', u, ONE_HOUR_US)} AS BIGINT) AS new_subnets_1hour",
+        f"CAST({_trail('_new_device', u, ONE_HOUR_US)} AS BIGINT) AS new_device_combos_1hour",
+    ).where("_real = 1")
+    made = [c for c in df.columns if not c.startswith("_") and c not in logins.columns]
+    return derive(df.selectExpr(*own, *made))
 
 
 def derive(df: DataFrame) -> DataFrame:
-    """Helper columns -> behaviour features (shared by the window and the bucketed plans)."""
+    """Helper columns -> behaviour features (shared by the batch and the streaming plans)."""
     df = df.selectExpr("*", "CASE WHEN h_n >= 2 THEN ((h_prev_us - h_first_us) / 1e6) / (h_n - 1) ELSE 1.0 END AS h_gap0",
                        "CASE WHEN h_n >= 2 THEN h_hour_sum / h_n ELSE CAST(hour AS DOUBLE) END AS h_mhour",
                        "CASE WHEN h_n > 0 THEN h_weekend_prior / h_n ELSE 0.0 END AS h_wrate",

@@ -65,12 +65,16 @@ def graph_features(hist: DataFrame, bucket_us: int = DEFAULT_BUCKET_US, checkpoi
     columns, the final join reads all of them; neither recomputes the window plans."""
     hist = materialize(hist, checkpoint)
     n = entity_counts(hist, bucket_us, checkpoint=False)
+    return hist.join(derived_counts(n), "event_id")
 
+
+def derived_counts(n: DataFrame, *keep: str) -> DataFrame:
+    """Raw prior counts per event -> graph features (shared by the batch and the streaming plan)."""
     def rate(k):
         return f"CASE WHEN {k}_events > 0 THEN {k}_fails / {k}_events ELSE 0.0D END"
 
     feats = n.selectExpr(
-        "event_id",
+        "event_id", *keep,
         *[f"log1p({k}_users) AS gf_{k}_user_count_before" for k in ("subnet", "asn", "country", "device")],
         *[f"{rate(k)} AS gf_{k}_failure_rate_prior" for k in ("subnet", "asn", "device")],
         *[f"log1p({k}_failed_users) AS gf_{k}_failed_user_count_before" for k in ("subnet", "asn", "device")],
@@ -83,10 +87,9 @@ def graph_features(hist: DataFrame, bucket_us: int = DEFAULT_BUCKET_US, checkpoi
         "subnet_users_10min AS subnet_user_count_10min_raw",
         "device_users_10min AS device_user_count_10min_raw",
     )
-    feats = feats.selectExpr(
+    return feats.selectExpr(
         "*",
         "CAST(gf_subnet_failed_user_count_before > 2.0D AND gf_subnet_failure_rate_prior > 0.5D AS INT)"
         " AS gf_subnet_has_high_failure_pressure",
         "CAST(gf_device_failed_user_count_before > 1.5D AND gf_device_failure_rate_prior > 0.5D AS INT)"
         " AS gf_device_has_high_failure_pressure")
-    return hist.join(feats, "event_id")

@@ -21,6 +21,8 @@ CASE_CONTROL_EMPTY = 5_000
 CASE_CONTROL_BLOCK = 1_000_000
 SEED = 42
 
+BROADCAST_IDS = 50_000
+
 
 def hash_order(seed: int = SEED, id_col: str = "event_id"):
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
@@ -105,11 +107,15 @@ def chunked_case_control(df: DataFrame, label: str = "is_ato", block: int = CASE
                          skip_first: bool = True) -> DataFrame:
     """Per block of ``block`` rows in time order (block 0 skipped): positives + ratio x positives
     negatives, or ``empty`` negatives when the block has none; hash order, without replacement."""
-    x = with_position(df, ["login_us", "event_id"], "_gpos")
-    x = x.select(*df.columns, F.floor(F.col("_gpos") / block).cast("bigint").alias("block"))
+    x = with_position(df.select("login_us", "event_id", label), ["login_us", "event_id"], "_gpos")
+    x = x.select("event_id", label, F.floor(F.col("_gpos") / block).cast("bigint").alias("block"))
     if skip_first:
         x = x.where(F.col("block") > 0)
     per = x.groupBy("block").agg(F.sum(F.col(label).cast("bigint")).alias("_bp"))
     negs = _rank_within(x.where(F.col(label) == 0), "block", seed).join(per, "block")
     want = F.when(F.col("_bp") > 0, F.col("_bp") * ratio).otherwise(F.lit(empty))
-    return x.where(F.col(label) == 1).unionByName(negs.where(F.col("_rank") < want).select(*x.columns))
+    chosen = x.where(F.col(label) == 1).select("event_id", "block") \
+        .unionByName(negs.where(F.col("_rank") < want).select("event_id", "block"))
+    chosen = materialize(chosen)  # ids and blocks only; the wide rows are joined, not sorted
+    small = chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(chosen) if small else chosen, "event_id").select(*df.columns, "block")

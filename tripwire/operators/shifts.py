@@ -1,18 +1,8 @@
-"""Per-user history that survives a hot user (one user holding a large share of all rows).
+"""Per-user comparisons that survive a hot user (one user holding a large share of all rows).
 
-The window plan of :mod:`history` partitions by ``user_id``: every row of a user is in one
-task. Here each feature is a running aggregate keyed by the user (or user x entity, user x
-pair) in time order, computed with :func:`sweep.running_prior_sums`, which splits every key
-by time bucket and carries the totals of earlier buckets. Two passes:
-
-A. keyed by user / user x entity / user x pair, forward and (for "next row") backward in
-   time: counts, sums, last / first / next times, trailing sums (expiry events);
-B. keyed by user, over the pass-A results: distinct-entity counts, the last success
-   position (consecutive failures), trailing new-entity counts.
-
-The result has the same helper columns as the window plan, so :func:`history.derive`
-turns it into the same features. :func:`user_history_auto` picks this plan only when a
-size check finds a user with more than ``max_user_rows`` rows.
+Each value is a running aggregate keyed by the user in time order, computed with
+:func:`sweep.running_prior_sums`, which splits every key by time bucket and carries the totals of
+earlier buckets; trailing sums take back their events when these expire.
 """
 
 from __future__ import annotations
@@ -20,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .history import ENTITIES, ONE_HOUR_US, PAIRS, TEN_MIN_US, derive, user_history
 from .sweep import DEFAULT_BUCKET_US, ORDER, running_prior_sums
 
 NEXT_T = "STRUCT<t: BIGINT, e: BIGINT>"
@@ -67,82 +56,12 @@ def _pass(df: DataFrame, kinds: list[dict], bucket_us: int) -> DataFrame:
     return own.groupBy("event_id").agg(*out)
 
 
-def user_history_bucketed(logins: DataFrame, bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
-    u = "CAST(user_id AS STRING)"
-    kinds = [{"name": "u", "key": u,
-              "values": {"n": ("1", "sum"), "wk": ("is_weekend", "sum"), "hs": ("hour", "sum"),
-                         "fl": ("fail", "sum"), "sc": ("success", "sum"), "mx": ("login_us", "max"),
-                         "mn": ("login_us", "min")},
-              "windows": {"f10": ("fail", TEN_MIN_US), "f1h": ("fail", ONE_HOUR_US), "s10": ("success", TEN_MIN_US)}}]
-    for name, key in ENTITIES:
-        kk = f"concat({u}, '\u0002', {key})"
-        kinds.append({"name": f"e_{name}", "key": kk,
-                      "values": {f"c_{name}": ("1", "sum"), f"f_{name}": ("fail", "sum"),
-                                 f"l_{name}": ("login_us", "max")}})
-        kinds.append({"name": f"r_{name}", "key": kk, "reverse": True,
-                      "values": {f"nx_{name}": ("named_struct('t', login_us, 'e', event_id)", "min")}})
-    for name, keys in PAIRS:
-        kk = f"concat_ws('\u0002', {u}, {', '.join(keys)})"
-        vals = {f"c_{name}": ("1", "sum")}
-        if name != "country_asn":
-            vals[f"l_{name}"] = ("login_us", "max")
-        kinds.append({"name": f"p_{name}", "key": kk, "values": vals})
-    base = logins.select("event_id", "user_id", "login_us", "success", "fail", "hour", "is_weekend",
-                         *{k for _, k in ENTITIES})
-    a = _pass(base, kinds, bucket_us)
-    ft = {n: f"CAST(c_{n} = 0 AS INT)" for n, _ in ENTITIES}
-    fcol = {"country": "first_time_country", "asn": "first_time_asn", "subnet": "first_time_subnet",
-            "device": "first_time_device_combo"}
-    ha = a.join(base.select("event_id", "user_id", "login_us", "success", "fail"), "event_id").selectExpr(
-        "event_id", "user_id", "login_us", "success", "fail",
-        "n AS h_n", "mx AS h_prev_us", "mn AS h_first_us", "wk AS h_weekend_prior", "hs AS h_hour_sum",
-        "fl AS user_fail_count_prior", "sc AS user_success_count_prior",
-        "f10 AS fail_count_10min", "f1h AS fail_count_1hour", "s10 AS success_count_10min",
-        *[f"{ft[n]} AS {fcol[n]}" for n, _ in ENTITIES],
-        *[f"l_{n} AS h_last_{n}_us" for n, _ in ENTITIES],
-        *[f"CAST(fail = 1 AND f_{n} = 0 AS INT) AS h_first_fail_{n}" for n, _ in ENTITIES],
-        *[f"nx_{n}.t AS h_next_{n}_us" for n, _ in ENTITIES],
-        *[f"nx_{n}.e AS h_next_{n}_eid" for n, _ in ENTITIES],
-        *[f"CAST(c_{n} = 0 AS INT) AS h_ft_{n}" for n, _ in PAIRS],
-        *[f"l_{n} AS h_last_{n}_us" for n, _ in PAIRS if n != "country_asn"])
-    ft4 = "(first_time_country + first_time_asn + first_time_subnet + first_time_device_combo)"
-    kinds_b = [{"name": "u", "key": u,
-                "values": {**{f"k_{n}": (fcol[n], "sum") for n, _ in ENTITIES},
-                           "ls": ("CASE WHEN success = 1 THEN h_n END", "max")},
-                "windows": {"ne10": (ft4, TEN_MIN_US), "ne1h": (ft4, ONE_HOUR_US),
-                            "ns1h": ("first_time_subnet", ONE_HOUR_US),
-                            "nd1h": ("first_time_device_combo", ONE_HOUR_US)}}]
-    b = _pass(ha, kinds_b, bucket_us)
-    hb = ha.join(b, "event_id").selectExpr(
-        "* EXCEPT (k_country, k_asn, k_subnet, k_device, ls, ne10, ne1h, ns1h, nd1h, user_id, login_us, success,"
-        " fail)",
-        *[f"k_{n} AS h_cnt_{n}" for n, _ in ENTITIES],
-        "CAST(CASE WHEN ls IS NULL THEN h_n ELSE h_n - ls - 1 END AS BIGINT) AS consecutive_failures_prior",
-        "ne10 AS new_entities_10min", "ne1h AS new_entities_1hour", "ns1h AS new_subnets_1hour",
-        "nd1h AS new_device_combos_1hour")
-    return derive(logins.join(hb, "event_id"))
-
-
-def heaviest_user_rows(logins: DataFrame) -> int:
-    """Rows of the busiest user (one aggregated number reaches the driver)."""
-    r = logins.groupBy("user_id").count().agg(F.max("count")).collect()[0][0]
-    return int(r or 0)
-
-
-def user_history_auto(logins: DataFrame, max_user_rows: int = 2_000_000,
-                      bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
-    """The one-shuffle window plan unless a user is too heavy for one task; then the bucketed plan."""
-    if heaviest_user_rows(logins) > max_user_rows:
-        return user_history_bucketed(logins, bucket_us)
-    return user_history(logins)
-
-
 PREV_T = "STRUCT<t: BIGINT, e: BIGINT, a: STRING, s: STRING, d: STRING, c: STRING>"
 
 
-def sequence_shifts_bucketed(df: DataFrame, geo_jump_minutes: int = 60,
-                             bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
-    """:func:`extras.sequence_shifts` for hot users: the previous row is the running max of
+def sequence_shifts(df: DataFrame, geo_jump_minutes: int = 60, bucket_us: int = DEFAULT_BUCKET_US) -> DataFrame:
+    """Previous-login comparisons per user: gap, gap to the previous success, and whether ASN, subnet, device or country
+    changed (the country change within ``geo_jump_minutes``). The previous row is the running max of
     (time, id, values) and the previous success time a running max, both split by time bucket."""
     kinds = [{"name": "u", "key": "CAST(user_id AS STRING)", "values": {
         "pv": ("named_struct('t', login_us, 'e', event_id, 'a', asn_key, 's', subnet, 'd', device, 'c', country_key)",
@@ -162,8 +81,9 @@ def sequence_shifts_bucketed(df: DataFrame, geo_jump_minutes: int = 60,
         " AS geo_jump")
 
 
-def hour_zscore_bucketed(df: DataFrame, days: int = 30, bucket_us: int = 24 * 3600 * 1_000_000) -> DataFrame:
-    """:func:`extras.hour_zscore` for hot users: trailing sums of 1, h, h^2 as expiry events."""
+def hour_zscore(df: DataFrame, days: int = 30, bucket_us: int = 24 * 3600 * 1_000_000) -> DataFrame:
+    """(hour - mean) / std of the user's login hours over the prior ``days`` days (population std; 0 when fewer than
+    two prior logins or zero spread): trailing sums of 1, h, h^2 as expiry events."""
     w = days * 24 * 3600 * 1_000_000
     kinds = [{"name": "u", "key": "CAST(user_id AS STRING)", "values": {},
               "windows": {"zc": ("1", w), "zs": ("hour", w), "zq": ("hour * hour", w)}}]

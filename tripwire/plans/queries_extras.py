@@ -78,16 +78,14 @@ q("percent_tiers", lambda s, d: X.percent_tiers(scored(s, d), "model_score", (0.
   " WHERE pos < ceil(total_n * 0.005)", [], ["event_id"])
 
 
-# hot-user-safe forms, checked against the same SQL as the window forms
+# cut into many buckets, checked against the same SQL
 def _shifts_b(s, d):
-    from ..operators.history_bucketed import sequence_shifts_bucketed
-    return sequence_shifts_bucketed(load_fixture(s, d, True), 60, TEST_BUCKET_US).select(
+    return X.sequence_shifts(load_fixture(s, d, True), 60, TEST_BUCKET_US).select(
         "event_id", "inter_arrival_sec", "session_recency_sec", "asn_pivot", "subnet_shift", "device_drift", "geo_jump")
 
 
 def _z_b(s, d):
-    from ..operators.history_bucketed import hour_zscore_bucketed
-    return hour_zscore_bucketed(load_fixture(s, d), 30).select("event_id", "hour_zscore_30d")
+    return X.hour_zscore(load_fixture(s, d), 30, 6 * 3600 * 1_000_000).select("event_id", "hour_zscore_30d")
 
 
 from .catalog import REGISTRY as _R  # noqa: E402

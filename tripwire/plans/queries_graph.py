@@ -7,6 +7,7 @@ from ..operators.infra import GRAPH_ENTITY_FEATURES, graph_features
 from ..sources.logins import load_fixture
 from . import oracle as O
 from .catalog import add, finalize
+from .queries_history import FEW_ROWS
 
 # a small bucket so the fixture's 3-hour span is cut into many buckets (exercises the carry)
 TEST_BUCKET_US = 20 * 60 * 1_000_000
@@ -25,7 +26,7 @@ GROUPS = {
 
 
 def graph_frame(spark, sf_dir, dense=True):
-    return graph_features(user_history(load_fixture(spark, sf_dir, dense=dense)), bucket_us=TEST_BUCKET_US)
+    return graph_features(user_history(load_fixture(spark, sf_dir, dense=dense), max_rows=FEW_ROWS), bucket_us=TEST_BUCKET_US)
 
 
 def _spark(cols):

@@ -32,9 +32,8 @@ q("edge_weight_summary", lambda s, d: G.tripartite_edges(load_fixture(s, d)).gro
 
 
 def _fixed_vectors(s, d):
-    """Vectors of the embedding's 16 components, from the given table."""
-    return s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("node"),
-                                                            F.slice("embedding", 1, 16).alias("vec"))
+    """The whole vectors of the given table, 64 components."""
+    return s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("node"), F.col("embedding").alias("vec"))
 
 
 def _node_id(c):
@@ -42,8 +41,8 @@ def _node_id(c):
 
 
 def _emb(s, d):
-    x = G.flat_embeddings(load_fixture(s, d), _fixed_vectors(s, d), 16, node_key=_node_id)
-    return x.select("event_id", *G.embedding_columns(16))
+    x = G.flat_embeddings(load_fixture(s, d), _fixed_vectors(s, d), 64, node_key=_node_id)
+    return x.select("event_id", *G.embedding_columns(64))
 
 
 def _emb_sql():
@@ -54,8 +53,8 @@ def _emb_sql():
         n = f"(sqrt({dot.format(a=a, b=a)}) * sqrt({dot.format(a=b, b=b)}))"
         return f"CASE WHEN {n} > 0 THEN {dot.format(a=a, b=b)} / {n} ELSE 0.0 END"
 
-    z = "list_transform(range(16), lambda i: 0.0::DOUBLE)"
-    return (LQ() + ", V AS (SELECT vec_id, list_transform(embedding[1:16], lambda e: CAST(e AS DOUBLE)) AS v FROM embeddings),"
+    z = "list_transform(range(64), lambda i: 0.0::DOUBLE)"
+    return (LQ() + ", V AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS v FROM embeddings),"
             f" N AS (SELECT event_id, {nid.format(chr(39) + 'USER_' + chr(39) + ' || CAST(user_id AS VARCHAR)')} AS un,"
             f" {nid.format(chr(39) + 'SUB_' + chr(39) + ' || subnet')} AS sn, {nid.format(chr(39) + 'DEV_' + chr(39) + ' || device')} AS dn FROM L),"
             f" J AS (SELECT n.event_id, CAST(vu.v IS NULL AS INTEGER) AS user_missing, CAST(vs.v IS NULL AS INTEGER) AS sub_missing,"
@@ -64,11 +63,11 @@ def _emb_sql():
             " LEFT JOIN V vd ON vd.vec_id = n.dn)\n"
             f"SELECT event_id, {cos('uv', 'sv')} AS sim_user_sub, {cos('uv', 'dv')} AS sim_user_dev,"
             f" {cos('sv', 'dv')} AS sim_sub_dev, user_missing, sub_missing, dev_missing, "
-            + ", ".join(f"{a}[{i + 1}] AS {r}_v_{i}" for r, a in (("user", "uv"), ("sub", "sv"), ("dev", "dv")) for i in range(16))
+            + ", ".join(f"{a}[{i + 1}] AS {r}_v_{i}" for r, a in (("user", "uv"), ("sub", "sv"), ("dev", "dv")) for i in range(64))
             + " FROM J")
 
 
-q("embedding_features_fixed", _emb, _emb_sql(), G.embedding_columns(16)[:-3], ["event_id", *G.embedding_columns(16)[-3:]])
+q("embedding_features_fixed", _emb, _emb_sql(), G.embedding_columns(64)[:-3], ["event_id", *G.embedding_columns(64)[-3:]])
 
 
 def _svd(s, d):

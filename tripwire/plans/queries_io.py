@@ -2,15 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import triage as T
+from ..operators.history import BEHAVIOUR_FEATURES
+from ..operators.infra import GRAPH_ENTITY_FEATURES
+from ..session import materialize
 from ..sources import sinks as K
 from ..sources.logins import fixture_logins, prepare_logins, read_logins
-from ..streaming.runner import children, login_stream, run_user_state, running_top_k, score_batches, scratch, write_log_files
+from ..streaming.runner import (
+    append_scores,
+    children,
+    chunk_paths,
+    land_chunks,
+    login_stream,
+    read_scores,
+    run_states,
+    run_user_state,
+    running_top_k,
+    score_batches,
+    scratch,
+    tracked,
+    write_log_files,
+)
+from ..streaming.user_state import UserHistory
 from . import oracle as O
 from .catalog import add, finalize
 from .frames import featured, surrogate_scores
+from .queries_graph import INT_COLS
+from .queries_history import DOUBLE_FEATURES
 
 LQ = lambda dense=False: O.with_ctes(O.fixture_ctes(dense))
 FTQ = lambda: O.with_ctes(O.fixture_ctes(True), O.history_ctes(), O.graph_ctes(), O.featured_ctes())
@@ -89,52 +112,140 @@ q("write_json_report", _json_report,
 # ---- streaming: deterministic, and equal to the batch plans, so checked against the same SQL ----
 HQ = lambda: O.with_ctes(O.fixture_ctes(True), O.history_ctes())
 GQ = lambda: O.with_ctes(O.fixture_ctes(True), O.graph_ctes())
-_SU = ["event_id", "user_id", "consecutive_failures_prior", "fail_count_10min", "new_entities_1hour",
-       "first_time_subnet"]
-_SE = ["event_id", "gf_subnet_user_count_1hour", "gf_country_user_count_before",
-       *[f"gf_{k}_{m}" for k in ("asn", "subnet", "device")
-         for m in ("user_count_before", "failure_rate_prior", "failed_user_count_before", "user_count_10min")]]
+
+
+#: Parts of the state: the fixture's log is small.
+STATE_PARTITIONS = 4
 
 
 def _stream(s, d, entities=False):
+    """Ten files in time order, three a batch: four batches, and one that ends the input."""
     base = scratch(s, "stream")
-    src = write_log_files(fixture_logins(s, d, True), f"{base}/in", 8)
-    return run_user_state(s, src, f"{base}/out", 2, with_entities=entities)
+    src = write_log_files(fixture_logins(s, d, True), f"{base}/in", 10)
+    return run_user_state(s, src, f"{base}/out", 3, with_entities=entities, state_partitions=STATE_PARTITIONS)
 
 
 def _late(s, d):
     """Four files with interleaved times, one per batch: all rows come out, the late ones marked."""
     base = scratch(s, "late")
     src = write_log_files(fixture_logins(s, d, True), f"{base}/in", 4, F.col("event_id") % 4)
-    return run_user_state(s, src, f"{base}/out", 1)
+    return run_user_state(s, src, f"{base}/out", 1, state_partitions=STATE_PARTITIONS)
 
 
-q("stream_user_state", lambda s, d: _stream(s, d).select(*_SU, F.col("h_n").alias("prior_logins")),
-  HQ() + f"\nSELECT {', '.join(_SU)}, n AS prior_logins FROM HF", [], _SU + ["prior_logins"], "2.15")
+_SU = ["event_id", "user_id", *BEHAVIOUR_FEATURES]
+_SE = ["event_id", *GRAPH_ENTITY_FEATURES]
+q("stream_user_state", lambda s, d: _stream(s, d).select(*_SU),
+  HQ() + f"\nSELECT {', '.join(_SU)} FROM HF", [c for c in _SU if c in DOUBLE_FEATURES], [c for c in _SU if c not in DOUBLE_FEATURES], "2.15")
 q("stream_entity_state", lambda s, d: _stream(s, d, True).select(*_SE),
-  GQ() + f"\nSELECT {', '.join(_SE)} FROM GF", _SE[1:], ["event_id"], "2.15")
+  GQ() + f"\nSELECT {', '.join(_SE)} FROM GF", [c for c in _SE[1:] if c not in INT_COLS], ["event_id", *sorted(INT_COLS)], "2.15")
+# a row is late if its user has let through a later one: one from an earlier batch, older than the watermark of that time
 q("stream_late_rows", lambda s, d: _late(s, d).select("event_id", "user_id", "late"),
-  O.with_ctes(O.fixture_ctes(True)) + "\nSELECT e.event_id, e.user_id, CASE WHEN EXISTS (SELECT 1 FROM L o WHERE o.user_id = e.user_id"
-  " AND o.event_id % 4 < e.event_id % 4 AND (o.login_us > e.login_us OR (o.login_us = e.login_us AND o.event_id > e.event_id)))"
+  O.with_ctes(O.fixture_ctes(True), "W AS (SELECT b, (SELECT max(login_us // 1000) FROM L WHERE event_id % 4 < b) AS wm FROM range(4) t(b))")
+  + "\nSELECT e.event_id, e.user_id, CASE WHEN EXISTS (SELECT 1 FROM L o, W w WHERE w.b = e.event_id % 4 - 1 AND o.user_id = e.user_id"
+  " AND o.event_id % 4 <= w.b AND o.login_us // 1000 < w.wm AND (o.login_us > e.login_us OR (o.login_us = e.login_us AND o.event_id > e.event_id)))"
   " THEN 1 ELSE 0 END AS late FROM L e", [], ["event_id", "user_id", "late"], "2.15")
 
 
+def _states(s, d, end):
+    base = scratch(s, "states")
+    src = write_log_files(fixture_logins(s, d, True), f"{base}/in", 6)
+    return run_states(s, src, f"{base}/out", 2, with_entities=True, end=end, state_partitions=STATE_PARTITIONS)
+
+
+def _state_size(s, d):
+    """Keys and map entries that the operators hold after the stream, read from their state."""
+    at = _states(s, d, True)
+    keys = tracked(s, at["entity"], "totals").groupBy(F.col("key.kind").alias("state")).agg(F.count(F.lit(1)).alias("keys"))
+    members = tracked(s, at["entity"], "users", True).groupBy(F.concat(F.col("key.kind"), F.lit("_users")).alias("state")).agg(F.count(F.lit(1)).alias("keys"))
+    seen = tracked(s, at["user"], "seen", True).groupBy(F.concat(F.lit("user_"), F.col("user_map_key.kind")).alias("state")).agg(F.count(F.lit(1)).alias("keys"))
+    users = tracked(s, at["user"], "totals").agg(F.lit("user").alias("state"), F.count(F.lit(1)).alias("keys"))
+    held = [tracked(s, at[op], state).agg(F.lit(f"{op}_{state}").alias("state"), F.count(F.lit(1)).alias("keys"))
+            for op in ("user", "entity") for state in ("recent", "waiting")]
+    return reduce(DataFrame.unionByName, [keys, members, seen, users, *held])
+
+
+def _state_size_sql():
+    cols = {"country": "country_key", "asn": "asn_key", "subnet": "subnet", "device": "device"}
+    pairs = {"country_device": ("country_key", "device"), "asn_device": ("asn_key", "device"),
+             "subnet_device": ("subnet", "device"), "country_asn": ("country_key", "asn_key")}
+    out = [f"SELECT '{k}' AS state, count(DISTINCT {c}) AS keys FROM L UNION ALL SELECT '{k}_users', count(*) FROM (SELECT DISTINCT {c}, user_id FROM L)"
+           f" UNION ALL SELECT 'user_{k}', count(*) FROM (SELECT DISTINCT {c}, user_id FROM L)" for k, c in cols.items()]
+    out += [f"SELECT 'user_{k}', count(*) FROM (SELECT DISTINCT {a}, {b}, user_id FROM L)" for k, (a, b) in pairs.items()]
+    out += ["SELECT 'user', count(DISTINCT user_id) FROM L"]
+    out += [f"SELECT '{op}_{st}', 0" for op in ("user", "entity") for st in ("recent", "waiting")]
+    return "\n" + " UNION ALL ".join(out)
+
+
+q("state_size", _state_size, O.with_ctes(O.fixture_ctes(True)) + _state_size_sql(), [], ["keys"], "2.5")
+
+
+def _evicted(s, d):
+    """Keys that still hold events of the last hour, the input not ended: timers emptied all others."""
+    at = _states(s, d, False)
+    return reduce(DataFrame.unionByName, [tracked(s, at[op], "recent").select("key").distinct().agg(
+        F.lit(op).alias("operator"), F.count(F.lit(1)).alias("keys")) for op in ("user", "entity")])
+
+
+_KEPT = "login_us // 1000 < wm AND login_us >= wm * 1000 - 3600000000"
+q("evict_expired", _evicted,
+  O.with_ctes(O.fixture_ctes(True), "W AS (SELECT max(login_us // 1000) AS wm FROM L)")
+  + f"\nSELECT 'user' AS operator, count(DISTINCT user_id) AS keys FROM L, W WHERE {_KEPT} UNION ALL SELECT 'entity', count(*) FROM ("
+  + " UNION ALL ".join(f"SELECT DISTINCT '{k}', {c} FROM L, W WHERE {_KEPT}" for k, c in (
+      ("country", "country_key"), ("asn", "asn_key"), ("subnet", "subnet"), ("device", "device"))) + ")", [], ["keys"], "2.15")
+
+CHUNK, CHUNKS = 400, 2
+
+
+def _chunks(s, d):
+    """Chunks of exactly CHUNK rows in order, stopped after CHUNKS of them and then run to the end: what each batch held."""
+    base = scratch(s, "chunks")
+    src = land_chunks(fixture_logins(s, d, True), f"{base}/in", CHUNK)
+
+    def each(batch, batch_id):
+        batch.agg(F.lit(batch_id).cast("long").alias("batch"), F.count(F.lit(1)).alias("n_rows"), F.min("event_id").alias("first_id"),
+                  F.max("event_id").alias("last_id"), F.sum("event_id").alias("sum_id")).write.mode("overwrite").parquet(f"{base}/out/{batch_id}")
+
+    def run(first):
+        login_stream(s, chunk_paths(s, src, first)).writeStream.foreachBatch(each).option("checkpointLocation", f"{base}/ck") \
+            .trigger(availableNow=True).start().awaitTermination()
+        return len(children(s, f"{base}/out"))
+    if run(CHUNKS) != CHUNKS:
+        raise RuntimeError("the stream did not stop after its chunks")
+    run(None)
+    return s.read.parquet(f"{base}/out/*")
+
+
+q("stream_row_chunks", _chunks,
+  O.with_ctes(O.fixture_ctes(True), "P AS (SELECT event_id, (row_number() OVER (ORDER BY login_us, event_id) - 1) // 400 AS batch FROM L)")
+  + "\nSELECT batch, count(*) AS n_rows, min(event_id) AS first_id, max(event_id) AS last_id, sum(event_id) AS sum_id FROM P GROUP BY batch",
+  [], ["batch", "n_rows", "first_id", "last_id", "sum_id"], "2.1")
+
+
+def _scorer(s, d):
+    labels = fixture_logins(s, d, True).select("event_id", "is_ato", "is_attack_ip")
+    return lambda batch: surrogate_scores(batch.join(labels, "event_id"))
+
+
 def _stream_score(s, d):
     """At least 12 micro-batches of scored rows."""
     base = scratch(s, "score")
     src = write_log_files(fixture_logins(s, d, True), f"{base}/in", 4)
     user_out = f"{base}/feat"
-    feats = run_user_state(s, src, user_out, 1)
-    labels = fixture_logins(s, d, True).select("event_id", "is_ato", "is_attack_ip")
+    run_states(s, src, user_out, 1, state_partitions=STATE_PARTITIONS)
     n = len([f for f in children(s, user_out) if f.endswith(".parquet")])
-    stream = s.readStream.schema(feats.schema).option("maxFilesPerTrigger", max(1, n // 12)).parquet(user_out)
+    stream = s.readStream.schema(UserHistory.OUTPUT).option("maxFilesPerTrigger", max(1, n // 12)).parquet(user_out)
+    scores, topk, conf = f"{base}/scores", f"{base}/topk", f"{base}/conf"
+    score_batches(s, stream, _scorer(s, d), scores, topk, k=500, confusion_out=conf)
+    return running_top_k(s, topk), s.read.parquet(conf), scores
 
-    def score_fn(batch):
-        return surrogate_scores(batch.join(labels, "event_id"))
 
-    scores, topk, conf = f"{base}/scores", f"{base}/topk", f"{base}/conf"
-    score_batches(s, stream, score_fn, scores, topk, k=500, confusion_out=conf)
-    return running_top_k(s, topk), s.read.parquet(conf), s.read.parquet(scores)
+def _scores_read_back(s, d):
+    """The score table after a batch that was replayed and one that broke off before its commit."""
+    scores = _stream_score(s, d)[2]
+    again = materialize(s.read.parquet(f"{scores}/batch_id=3"))  # the batch's folder is overwritten
+    append_scores(again.select("event_id", "user_id", "login_us"), 3, _scorer(s, d), scores, f"{scores}-top", 500)
+    again.write.parquet(f"{scores}/batch_id=9999")
+    return read_scores(s, scores).select("event_id", "user_id", "model_score", "is_ato")
 
 
 _SCQ = lambda: O.with_ctes(O.fixture_ctes(True), O.scored_ctes())
@@ -146,7 +257,5 @@ q("stream_confusion", lambda s, d: _stream_score(s, d)[1].agg(*[F.sum(c).alias(c
   " sum(CASE WHEN is_ato = 0 AND model_score >= 0.5 THEN 1 ELSE 0 END) AS fp,"
   " sum(CASE WHEN is_ato = 0 AND model_score < 0.5 THEN 1 ELSE 0 END) AS tn,"
   " sum(CASE WHEN is_ato = 1 AND model_score < 0.5 THEN 1 ELSE 0 END) AS fn FROM SC", [], ["tp", "fp", "tn", "fn"], "2.15")
-q("state_size", lambda s, d: prepare_logins(fixture_logins(s, d)).agg(
-    F.countDistinct("user_id").alias("tracked_users"), F.countDistinct("subnet").alias("tracked_subnets")),
-  LQ() + "\nSELECT count(DISTINCT user_id) AS tracked_users, count(DISTINCT subnet) AS tracked_subnets FROM L",
-  [], ["tracked_users", "tracked_subnets"], "2.5")
+q("stream_scores_read_back", _scores_read_back, _SCQ() + "\nSELECT event_id, user_id, model_score, is_ato FROM SC",
+  ["model_score"], ["event_id", "user_id", "is_ato"], "2.1")

@@ -127,7 +127,11 @@ q("drift_by_block", lambda s, d: D.drift_by_block(_hist(s, d), block=FIX_BLOCK,
   ["min", "median", "p95", "p99", "max"], ["block"], "2.15")
 
 
-# the fixture has fewer negatives than the operator's default of 25 000
-q("drop_hard_negatives", lambda s, d: SP.drop_hard_negatives(_hist(s, d), n_hard=500).select("event_id"),
-  HQ() + ", H AS (SELECT event_id FROM HF WHERE is_ato = 0 ORDER BY gf_user_drift_score DESC, event_id LIMIT 500)\n"
-  "SELECT event_id FROM HF WHERE is_ato = 0 AND event_id NOT IN (SELECT event_id FROM H)", [], ["event_id"], "2.4")
+def _no_hard_sql(n):
+    return (HQ() + f", H AS (SELECT event_id FROM HF WHERE is_ato = 0 ORDER BY gf_user_drift_score DESC, event_id LIMIT {n})\n"
+            "SELECT event_id FROM HF WHERE is_ato = 0 AND event_id NOT IN (SELECT event_id FROM H)")
+
+
+q("drop_hard_negatives", lambda s, d: SP.drop_hard_negatives(_hist(s, d)).select("event_id"), _no_hard_sql(SP.HARD_NEGATIVES), [], ["event_id"], "2.4")
+# with a number that the smaller fixtures exceed
+q("drop_hard_negatives_500", lambda s, d: SP.drop_hard_negatives(_hist(s, d), n_hard=500).select("event_id"), _no_hard_sql(500), [], ["event_id"], "2.4")

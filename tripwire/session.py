@@ -128,6 +128,11 @@ def scratch_path(spark: SparkSession, kind: str) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the written intermediate tables of the session (call it when their results are
     stored). Uses Spark's file system API, so that any URI works. Returns how many went."""

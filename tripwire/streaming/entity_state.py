@@ -1,70 +1,97 @@
-"""Streaming entity state: the second hop after the user state (its output folder as a stream).
+"""Streaming entity state: what each country, ASN, subnet and device saw before, by event time.
 
-``groupBy(entity).applyInPandasWithState`` keeps per entity: prior event and failure
-counts, the users seen with the time each was last seen there (for the trailing
-distinct-user windows) and the users that failed there. Without a TTL this is exact
-(stream = batch); with ``ttl_us`` the user sets of busy entities stay bounded.
+Runs beside the user state on the same stream, not behind it: it needs a row's user, entities and success
+only. Every row is dealt to its four entities, ``groupBy(kind, entity).transformWithStateInPandas``. An entity's state is
+a row of counters, a map from each user to the time of the last row and whether a row failed, and the
+users of the last hour with their last times; a batch reads and writes the map for its own users only, so
+the work of a batch follows its rows and the last hour, not all users ever seen.
 """
 
 from __future__ import annotations
 
-import json
-import math
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import functions as F
 
-WINDOWS = {"10min": 600 * 1_000_000, "1hour": 3600 * 1_000_000}
+from ..operators.infra import derived_counts
+from ..session import ship_package
+from .event_time import ONE_HOUR_US, TEN_MIN_US, EventTimeProcessor, use_state_store
+from .user_state import KINDS
 
 
-def _schema(kind: str, passthrough: str) -> str:
-    return (f"{passthrough}, gf_{kind}_user_count_before double, gf_{kind}_failure_rate_prior double, "
-            f"gf_{kind}_failed_user_count_before double, gf_{kind}_user_count_10min double, "
-            f"gf_{kind}_user_count_1hour double")
+class EntityHistory(EventTimeProcessor):
+    FIELDS = "login_us long, event_id long, member string, fail int"
+    OUTPUT = ("kind string, event_id long, login_us long, late int, users long, events long, fails long, failed_users long, "
+              "users_10min long, users_1hour long")
 
+    def __init__(self, ttl_us: int | None = None):
+        self.ttl_us = ttl_us
 
-def entity_state(features: DataFrame, kind: str = "subnet", key: str = "subnet", ttl_us: int | None = None) -> DataFrame:
-    """Add the ``gf_{kind}_*`` prior features to a (streaming) frame of user-state rows.
+    def open(self, handle):
+        self.totals = handle.getValueState("totals", "users long, events long, fails long, failed_users long")
+        self.users = handle.getMapState("users", "member string", "last_us long, failed int")
+        self.recent = handle.getListState("recent", "us long, member string")
 
-    The seen-user set of a busy entity grows with its users; ``ttl_us`` (off by default, so
-    that stream = batch) forgets users not seen there for that long."""
-    passthrough = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in features.schema.fields)
-    names = [f.name for f in features.schema.fields]
-    out_cols = names + [f"gf_{kind}_user_count_before", f"gf_{kind}_failure_rate_prior",
-                        f"gf_{kind}_failed_user_count_before", f"gf_{kind}_user_count_10min",
-                        f"gf_{kind}_user_count_1hour"]
-    longest = max(WINDOWS.values())
-
-    def update(k, pdfs, state):
-        st = json.loads(state.get[0]) if state.exists else {"events": 0, "fails": 0, "users": {}, "failed": {}}
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["login_us", "event_id"])
-        times = sorted(st["users"].values())  # last times of the users: a window's users by bisection
+    def through(self, key, rows, late):
+        users, events, fails, failed = self.totals.get() if self.totals.exists() else (0, 0, 0, 0)
+        recent = [tuple(e) for e in self.recent.get()] if self.recent.exists() else []  # ascending, one entry per user
+        known: dict = {}
         out = []
-        for r in rows.itertuples(index=False):
-            t = int(r.login_us)
-            upto = bisect_right(times, t)
-            win = {w: upto - bisect_left(times, t - width) for w, width in WINDOWS.items()}
-            out.append(tuple(getattr(r, c) for c in names) + (
-                math.log1p(len(st["users"])), st["fails"] / st["events"] if st["events"] else 0.0,
-                math.log1p(len(st["failed"])), math.log1p(win["10min"]), math.log1p(win["1hour"])))
-            u = str(int(r.user_id))
-            if u in st["users"]:
-                del times[bisect_left(times, st["users"][u])]
-            st["users"][u] = max(t, st["users"].get(u, t))
-            insort(times, st["users"][u])
-            st["events"] += 1
-            if int(r.success) == 0:
-                st["fails"] += 1
-                st["failed"][u] = max(t, st["failed"].get(u, t))
-        if ttl_us is not None and len(rows):
-            now = int(rows["login_us"].max())
-            st["users"] = {u: x for u, x in st["users"].items() if now - x <= max(ttl_us, longest)}
-            st["failed"] = {u: x for u, x in st["failed"].items() if now - x <= ttl_us}
-        state.update((json.dumps(st),))
-        if out:
-            yield pd.DataFrame(out, columns=out_cols)
-
-    return features.groupBy(key).applyInPandasWithState(update, _schema(kind, passthrough), "st string", "append",
-                                                       GroupStateTimeout.NoTimeout)
+        for t, eid, member, fail in rows:
+            if not late:
+                recent = recent[bisect_left(recent, (t - ONE_HOUR_US,)):]
+            upto = len(recent) if not late else bisect_left(recent, (t + 1,))
+            ten, hour = (max(0, upto - bisect_left(recent, (t - w,))) for w in (TEN_MIN_US, ONE_HOUR_US))
+            out.append((key[0], eid, t, int(late), users, events, fails, failed, ten, hour))
+            if member not in known:
+                known[member] = self.users.getValue((member,))
+            before = known[member]
+            last = t if before is None else max(before[0], t)
+            if before is not None:
+                i = bisect_left(recent, (before[0], member))
+                if i < len(recent) and recent[i] == (before[0], member):
+                    del recent[i]
+            insort(recent, (last, member))
+            users, events, fails = users + (before is None), events + 1, fails + fail
+            failed += fail and not (before is not None and before[1])
+            known[member] = (last, int(bool(fail or (before is not None and before[1]))))
+        for member, v in known.items():
+            self.users.updateValue((member,), (int(v[0]), v[1]))
+        self.totals.update((int(users), int(events), int(fails), int(failed)))
+        self.recent.put(recent)
+        return out
+
+    def evict(self, watermark_us):
+        if self.ttl_us is not None:
+            for k, v in list(self.users.iterator()):
+                if v[0] < watermark_us - max(self.ttl_us, ONE_HOUR_US):
+                    self.users.removeKey(k)
+        if not self.recent.exists():
+            return None
+        had = [tuple(e) for e in self.recent.get()]
+        left = [e for e in had if e[0] >= watermark_us - ONE_HOUR_US]
+        if len(left) < len(had):
+            self.recent.put(left) if left else self.recent.clear()
+        return left[0][0] + ONE_HOUR_US if left else None
+
+
+def entity_state(prepared: DataFrame, ttl_us: int | None = None) -> DataFrame:
+    """Watermarked prepared logins -> four rows for each login (kind, event_id, late, raw prior counts), a stream.
+
+    ``ttl_us`` (off by default, so that stream = batch) forgets users not seen at an entity for that long."""
+    use_state_store(prepared.sparkSession)
+    ship_package(prepared.sparkSession)
+    dealt = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(col).alias("entity")) for kind, col in KINDS]))
+    x = prepared.select("login_us", "event_id", F.coalesce(F.col("user_id").cast("string"), F.lit("null")).alias("member"),
+                        F.col("fail").cast("int").alias("fail"), dealt.alias("e"))
+    return x.select("e.kind", "e.entity", "login_us", "event_id", "member", "fail").groupBy("kind", "entity") \
+        .transformWithStateInPandas(EntityHistory(ttl_us), EntityHistory.OUTPUT, "append", "EventTime")
+
+
+def features(rows: DataFrame) -> DataFrame:
+    """One row per login with all graph features, from what :func:`entity_state` wrote."""
+    measures = ("users", "events", "fails", "failed_users", "users_10min", "users_1hour")
+    wide = rows.groupBy("event_id").agg(F.max("late").alias("late"), *[
+        F.max(F.when(F.col("kind") == kind, F.col(m))).alias(f"{kind}_{m}") for kind, _ in KINDS for m in measures])
+    return derived_counts(wide, "late")

@@ -1,104 +1,121 @@
-"""Streaming per-user history: the batch window features, kept incrementally in state.
-
-``groupBy(user_id).applyInPandasWithState``: the state of a user is its counters, the last
-time each entity / pair was seen, and the events of the last hour (older ones are evicted
-on every update). Rows of a micro-batch are sorted per user. A row older than the user's
-last row is late (the batch plan would have placed it earlier): it is emitted too, marked
-``late = 1``, with the features that the state as it stands gives it (trailing windows end at
-the row's own time, a negative gap counts as 0), and it enters the counters. So every input
-row gives one output row. With time-ordered input nothing is late and the output equals the
-batch windows (tested).
+"""Streaming per-user history: the helper columns of the batch windows, kept in state by event time.
+
+``groupBy(user_id).transformWithStateInPandas``. A user's state is a row of counters, a map from each (kind, entity or
+pair) to the time it was last seen, and the events of the last hour. Rows pass in event-time order
+(:mod:`.event_time`); the 71 behaviour features are then derived from the helper columns by the very expressions of the
+batch plan (:func:`tripwire.operators.history.derive`). A late row's trailing windows end at its own time and a negative gap
+counts as 0. A timer per user drops the events that left the last hour, whether or not new rows come.
 """
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupStateTimeout
-
-TEN_MIN_US = 600 * 1_000_000
-ONE_HOUR_US = 3600 * 1_000_000
-KINDS = (("country", "country_key"), ("asn", "asn_key"), ("subnet", "subnet"), ("device", "device"))
-
-OUT_SCHEMA = ("event_id long, user_id long, login_us long, h_n long, user_fail_count_prior long, "
-              "user_success_count_prior long, consecutive_failures_prior long, fail_count_10min long, "
-              "fail_count_1hour long, success_count_10min long, new_entities_10min long, new_entities_1hour long, "
-              "first_time_country int, first_time_asn int, first_time_subnet int, first_time_device_combo int, "
-              "h_cnt_country long, h_cnt_asn long, h_cnt_subnet long, h_cnt_device long, "
-              "secs_since_last_country_for_user double, time_since_last_login_sec double, "
-              "late int, success int, subnet string, asn_key string, device string, country_key string")
-STATE_SCHEMA = "st string"
-
-
-def _fresh():
-    return {"n": 0, "fails": 0, "succ": 0, "consec": 0, "prev": None, "last": None, "late": 0,
-            "seen": {k: {} for k, _ in KINDS}, "ev": [], "ent": []}
-
-
-def _update(key, pdfs, state, ttl_us=None):
-    st = json.loads(state.get[0]) if state.exists else _fresh()
-    rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["login_us", "event_id"])
-    out = []
-    for r in rows.itertuples(index=False):
-        pos = [int(r.login_us), int(r.event_id)]
-        late = st["last"] is not None and pos <= st["last"]
-        t = pos[0]
-        if not late:
-            # evict what no window can see any more
-            st["ev"] = [e for e in st["ev"] if t - e[0] <= ONE_HOUR_US]
-            st["ent"] = [e for e in st["ent"] if t - e[0] <= ONE_HOUR_US]
-        vals = {k: getattr(r, col) for k, col in KINDS}
-        ft = {k: int(v not in st["seen"][k]) for k, v in vals.items()}
-
-        def trailing(events, width, wanted=None):
-            return sum(1 if wanted is not None else e[1] for e in events
-                       if 0 <= t - e[0] <= width and (wanted is None or e[1] == wanted))
-
-        lc = st["seen"]["country"].get(vals["country"])
-        out.append((int(r.event_id), int(key[0]), t, st["n"], st["fails"], st["succ"], st["consec"],
-                    trailing(st["ev"], TEN_MIN_US, 1), trailing(st["ev"], ONE_HOUR_US, 1), trailing(st["ev"], TEN_MIN_US, 0),
-                    trailing(st["ent"], TEN_MIN_US), trailing(st["ent"], ONE_HOUR_US),
-                    ft["country"], ft["asn"], ft["subnet"], ft["device"],
-                    *[len(st["seen"][k]) for k, _ in KINDS],
-                    0.0 if lc is None else max(0, t - lc) / 1e6,
-                    0.0 if st["prev"] is None else max(0, t - st["prev"]) / 1e6,
-                    int(late), int(r.success), vals["subnet"], vals["asn"], vals["device"], vals["country"]))
-        fail = 1 - int(r.success)
-        st["n"] += 1
-        st["fails"] += fail
-        st["succ"] += 1 - fail
-        st["ev"].append([t, fail])
-        n_new = sum(ft.values())
-        if n_new:
-            st["ent"].append([t, n_new])
-        for k, v in vals.items():
-            st["seen"][k][v] = max(t, st["seen"][k].get(v, t))
-        if late:
-            st["late"] += 1
-        else:
-            st["consec"] = st["consec"] + 1 if fail else 0
-            st["prev"] = t
-            st["last"] = pos
-    if ttl_us is not None and st["last"] is not None:
-        # optional bound on the state: forget entities not seen for ttl_us (then stream != batch)
-        now = st["last"][0]
-        st["seen"] = {k: {v: x for v, x in m.items() if now - x <= ttl_us} for k, m in st["seen"].items()}
-    state.update((json.dumps(st),))
-    if out:
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT_SCHEMA.split(", ")])
-
-
-def stream_user_state(prepared: DataFrame, ttl_us: int | None = None) -> DataFrame:
-    """Streaming (or batch) prepared logins -> per-row user history features, stateful by user.
-
-    ``ttl_us`` (off by default, so that stream = batch) forgets entities a user has not used
-    for that long, bounding the state of very long-lived users."""
-    x = prepared.select("event_id", "user_id", "login_us", "success", "country_key", "asn_key", "subnet", "device")
-
-    def fn(key, pdfs, state):
-        return _update(key, pdfs, state, ttl_us)
-
-    return x.groupBy("user_id").applyInPandasWithState(fn, OUT_SCHEMA, STATE_SCHEMA, "append",
-                                                       GroupStateTimeout.NoTimeout)
+
+from ..operators.history import ENTITIES, PAIRS, derive
+from ..session import ship_package
+from .event_time import ONE_HOUR_US, TEN_MIN_US, EventTimeProcessor, use_state_store
+
+KINDS = ENTITIES
+_PASS = ("event_id long, login_us long, success int, fail int, hour int, dow int, is_weekend int, missing_country int, missing_asn int, "
+         "missing_device_info int, country_key string, asn_key string, subnet string, device string")
+_TOTALS = ("n long, fails long, successes long, run long, first_us long, prev_us long, weekend long, hours long, "
+           "country long, asn long, subnet long, device long")
+
+
+class UserHistory(EventTimeProcessor):
+    FIELDS = "login_us long, event_id long, " + ", ".join(f for f in _PASS.split(", ") if f.split()[0] not in ("event_id", "login_us"))
+    OUTPUT = ("user_id long, " + FIELDS + ", late int, h_n long, h_prev_us long, h_first_us long, h_weekend_prior long, h_hour_sum long, "
+              "user_fail_count_prior long, user_success_count_prior long, consecutive_failures_prior long, "
+              "fail_count_10min long, fail_count_1hour long, success_count_10min long, new_entities_10min long, "
+              "new_entities_1hour long, new_subnets_1hour long, new_device_combos_1hour long, "
+              + ", ".join(f"first_time_{'device_combo' if n == 'device' else n} int, h_last_{n}_us long, h_cnt_{n} long" for n, _ in ENTITIES)
+              + ", " + ", ".join(f"h_ft_{n} int" + ("" if n == "country_asn" else f", h_last_{n}_us long") for n, _ in PAIRS))
+
+    def __init__(self, ttl_us: int | None = None):
+        self.ttl_us = ttl_us
+
+    def open(self, handle):
+        self.totals = handle.getValueState("totals", _TOTALS)
+        self.seen = handle.getMapState("seen", "kind string, value string", "last_us long")
+        self.recent = handle.getListState("recent", "us long, fail int, new int, new_subnet int, new_device int")
+        self.col = {n: i for i, n in enumerate(f.split()[0] for f in self.FIELDS.split(", "))}
+
+    def through(self, key, rows, late):
+        c = self.col
+        n, fails, good, run, first, prev, weekend, hours, *distinct = self.totals.get() if self.totals.exists() else \
+            (0, 0, 0, 0, None, None, 0, 0, 0, 0, 0, 0)
+        recent = [tuple(e) for e in self.recent.get()] if self.recent.exists() else []
+        known: dict = {}
+        changed = set()
+
+        def last_seen(k):
+            if k not in known:
+                v = self.seen.getValue(k)
+                known[k] = None if v is None else v[0]
+            return known[k]
+
+        out = []
+        for r in rows:
+            t, fail = r[0], r[c["fail"]]
+            if not late:
+                recent = [e for e in recent if t - e[0] <= ONE_HOUR_US]
+            hour = [e for e in recent if 0 <= t - e[0] <= ONE_HOUR_US]
+            ten = [e for e in hour if t - e[0] <= TEN_MIN_US]
+            single = [(name, r[c[col]]) for name, col in ENTITIES]
+            pairs = [(name, "\x01".join(r[c[k]] for k in cols)) for name, cols in PAIRS]
+            times = [last_seen(k) for k in single]
+            new = [int(x is None) for x in times]
+            row = [key[0], *r, int(late), n, prev if prev is None else min(prev, t), first if first is None else min(first, t), weekend, hours,
+                   fails, good, run, sum(e[1] for e in ten), sum(e[1] for e in hour), sum(1 - e[1] for e in ten),
+                   sum(e[2] for e in ten), sum(e[2] for e in hour), sum(e[3] for e in hour), sum(e[4] for e in hour)]
+            for i, x in enumerate(times):
+                row += [new[i], x if x is None else min(x, t), distinct[i]]
+            for k in pairs:
+                x = last_seen(k)
+                row += [int(x is None)] + ([] if k[0] == "country_asn" else [x if x is None else min(x, t)])
+            out.append(tuple(row))
+            for k in single + pairs:
+                known[k] = t if known[k] is None else max(known[k], t)
+                changed.add(k)
+            distinct = [d + x for d, x in zip(distinct, new, strict=True)]
+            n, fails, good = n + 1, fails + fail, good + 1 - fail
+            weekend, hours = weekend + r[c["is_weekend"]], hours + r[c["hour"]]
+            recent.append((t, fail, sum(new), new[2], new[3]))
+            if not late:
+                run = run + 1 if fail else 0
+                first, prev = t if first is None else first, t
+        for k in changed:
+            self.seen.updateValue(k, (known[k],))
+        self.totals.update(tuple(x if x is None else int(x) for x in (n, fails, good, run, first, prev, weekend, hours, *distinct)))
+        self.recent.put(recent)
+        return out
+
+    def evict(self, watermark_us):
+        if self.ttl_us is not None:
+            for k, v in list(self.seen.iterator()):
+                if v[0] < watermark_us - self.ttl_us:
+                    self.seen.removeKey(k)
+        if not self.recent.exists():
+            return None
+        had = [tuple(e) for e in self.recent.get()]
+        left = [e for e in had if e[0] >= watermark_us - ONE_HOUR_US]
+        if len(left) < len(had):
+            self.recent.put(left) if left else self.recent.clear()
+        return min(e[0] for e in left) + ONE_HOUR_US if left else None
+
+
+def user_state(prepared: DataFrame, ttl_us: int | None = None) -> DataFrame:
+    """Watermarked prepared logins -> (user_id, own columns, late, helper columns), a stream.
+
+    ``ttl_us`` (off by default, so that stream = batch) forgets entities not used for that long of event time."""
+    use_state_store(prepared.sparkSession)
+    ship_package(prepared.sparkSession)
+    names = [f.split()[0] for f in _PASS.split(", ")]
+    x = prepared.selectExpr("user_id", *[f"CAST({f.split()[0]} AS {f.split()[1]}) AS {f.split()[0]}" for f in _PASS.split(", ")])
+    return x.select("user_id", *names).groupBy("user_id").transformWithStateInPandas(
+        UserHistory(ttl_us), UserHistory.OUTPUT, "append", "EventTime")
+
+
+def features(rows: DataFrame) -> DataFrame:
+    """The 71 behaviour features from what :func:`user_state` put out (projections only)."""
+    return derive(rows)
