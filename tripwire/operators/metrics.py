@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ordering import global_prior_sums
-from ..session import materialize
 
 KS = (10, 50, 100, 500, 1000)
 
@@ -30,8 +29,7 @@ def score_curve(df: DataFrame, label: str, score: str, group=None) -> DataFrame:
         F.sum(F.col(label).cast("bigint")).alias("pos"),
         F.sum(1 - F.col(label).cast("bigint")).alias("neg"))
     # running counts over (group, distinct score), split at range bounds: however scores pile up, no task holds a pile
-    agg = materialize(agg.select("*", key.alias("_gk")))
-    r = global_prior_sums(agg, ["_gk", "_s"], ["pos", "neg"], "_cum_")
+    r = global_prior_sums(agg.select("*", key.alias("_gk")), ["_gk", "_s"], ["pos", "neg"], "_cum_")
     tot = r.groupBy("_gk").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
                                F.min("_cum_pos").alias("_p0"), F.min("_cum_neg").alias("_n0"))
     r = r.join(F.broadcast(tot) if not g else tot, "_gk")

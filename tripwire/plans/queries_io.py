@@ -69,7 +69,7 @@ def _full_log(s, d):
     cols = [c for c in _RAW_COLS if c != "event_id"]
     a = prepare_logins(read_logins(s, f"{base}/a", "csv")).select(cols)
     out = f"{base}/out"
-    w = prepare_logins(login_stream(s, f"{base}/b", 2, "csv")).writeStream.format("parquet").option("path", out)
+    w = prepare_logins(login_stream(s, f"{base}/b", 2, "csv", repeats_share_id=True)).writeStream.format("parquet").option("path", out)
     w.option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start().awaitTermination()
     return a.unionByName(s.read.parquet(out).select(cols))
 
@@ -79,6 +79,25 @@ q("read_logins_full_header", _full_log,
   " is_ato FROM L", ["rtt_ms"], ["user_id", "login_us", "asn", "success", "is_attack_ip", "is_ato"])
 
 
+_CONTENT = ["user_id", "login_us", "ip", "country", "asn", "device_type", "os_name", "browser", "success"]
+
+
+def _repeats(s, d):
+    """A log that holds every row twice, in one file: all rows are read, each with an id of its own."""
+    path, rows = scratch(s, "twice-csv"), fixture_logins(s, d)
+    K.write_raw_logins_csv(rows.unionByName(rows).coalesce(1), path)
+    back = materialize(prepare_logins(read_logins(s, path, "csv")))
+    again = prepare_logins(read_logins(s, path, "csv")).select("event_id")
+    if again.exceptAll(back.select("event_id")).limit(1).count():
+        raise RuntimeError("ids changed between two reads")
+    return back.groupBy(*_CONTENT).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("event_id").alias("n_ids"))
+
+
+q("read_logins_repeated_rows", _repeats,
+  LQ() + f"\nSELECT {', '.join(_CONTENT)}, 2 * count(*) AS n_rows, 2 * count(*) AS n_ids FROM L GROUP BY ALL",
+  [], ["user_id", "login_us", "asn", "success", "n_rows", "n_ids"])
+
+
 def _table_roundtrip(s, d):
     path = scratch(s, "critical")
     K.write_table(T.critical_tier(featured(s, d)).select("alert_tier", "alert_rank", "event_id", "final_score",

@@ -6,7 +6,7 @@ Total order of events is ``(login_us, event_id)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,29 +52,37 @@ OPTIONAL_HEADERS = {"Login Successful", "Is Account Takeover"}
 
 
 def read_logins(spark: SparkSession, path: str, fmt: str = "csv", limit: int | None = None,
-                id_col: str | None = None, number_repeats: bool = False) -> DataFrame:
+                id_col: str | None = None) -> DataFrame:
     """Read a raw login log (CSV with the log's headers in any order, or Parquet in our schema).
 
     CSV columns are found by their header; extra columns stay out, a missing one is an error
     (``OPTIONAL_HEADERS`` become null). All columns are read as strings (no inference pass over
     100 TB) and cast one by one; the timestamp may be a date and time or epoch seconds.
-    ``event_id`` is ``id_col``, or else a hash of the file's name and the row's content, which
-    does not depend on how files are split. Rows of a file that are equal in every column share that
-    hash; ``number_repeats`` tells them apart (one shuffle by the hash).
+    ``event_id`` is ``id_col``, or else a hash of the file's name, the row's content and, where rows of
+    a file are equal in every column, their number among these, which does not depend on how files are split. Equal
+    rows are counted (combined on the map side) and unfolded again, so that none is gathered.
     """
     if fmt == "parquet":
         df = spark.read.parquet(path)
     else:
-        df = parse_raw(spark.read.option("header", True).csv(path), id_col, number_repeats)
+        df = parse_raw(spark.read.option("header", True).csv(path), id_col)
     df = df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in LOGIN_SCHEMA.fields])
     return df.limit(limit) if limit else df
 
 
-def parse_raw(raw: DataFrame, id_col: str | None = None, number_repeats: bool = False) -> DataFrame:
-    """Raw string columns under the log's headers -> the login schema (works on a stream too)."""
+#: Copies of one row that are unfolded at once.
+UNFOLD = 100_000
+
+
+def parse_raw(raw: DataFrame, id_col: str | None = None, repeats_share_id: bool = False) -> DataFrame:
+    """Raw string columns under the log's headers -> the login schema.
+
+    A stream cannot number equal rows of a file: it needs ``id_col``, or the word that they may share an id."""
     missing = [h for h in RAW_HEADER_MAP if h not in raw.columns and h not in OPTIONAL_HEADERS]
     if missing:
         raise ValueError(f"the log lacks the columns {missing}")
+    if raw.isStreaming and not id_col and not repeats_share_id:
+        raise ValueError("a stream of logs needs id_col, or repeats_share_id=True where no two rows of a file are equal")
     if id_col:
         event_id = F.col(f"`{id_col}`").cast("bigint")
     else:
@@ -82,9 +90,12 @@ def parse_raw(raw: DataFrame, id_col: str | None = None, number_repeats: bool =
         event_id = F.xxhash64(name, *[F.col(f"`{c}`") for c in raw.columns])
     x = raw.select(event_id.alias("event_id"), *[
         (F.col(f"`{h}`") if h in raw.columns else F.lit(None)).cast("string").alias(c) for h, c in RAW_HEADER_MAP.items()])
-    if number_repeats and not id_col:
-        again = F.row_number().over(Window.partitionBy("event_id").orderBy("event_id"))
-        x = x.withColumn("event_id", F.when(again == 1, F.col("event_id")).otherwise(F.xxhash64("event_id", again)))
+    if not id_col and not repeats_share_id:
+        names = x.columns
+        x = x.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+        x = x.withColumn("_b", F.explode(F.expr(f"sequence(0L, (_n - 1) div {UNFOLD})"))).withColumn(
+            "_k", F.explode(F.expr(f"sequence(_b * {UNFOLD} + 1, least(_n, (_b + 1) * {UNFOLD}))")))
+        x = x.select(F.when(F.col("_k") == 1, F.col("event_id")).otherwise(F.xxhash64("event_id", "_k")).alias("event_id"), *names[1:])
     ts = F.trim("login_ts")
     epoch = ts.rlike("^[0-9]+([.][0-9]*)?$")
     us = (F.when(epoch, ts).cast("decimal(26,6)") * 1_000_000).cast("bigint")

@@ -81,11 +81,13 @@ def first_files(spark: SparkSession, path: str, n: int) -> str:
     return f"{path}/{{{','.join(f.getPath().getName() for f in files[:n])}}}"
 
 
-def login_stream(spark: SparkSession, path: str, files_per_trigger: int = 1, fmt: str = "parquet") -> DataFrame:
-    """Files of logins as a stream: Parquet in our schema, or CSV under the log's headers (of the files there now)."""
+def login_stream(spark: SparkSession, path: str, files_per_trigger: int = 1, fmt: str = "parquet", id_col: str | None = None,
+                 repeats_share_id: bool = False) -> DataFrame:
+    """Files of logins as a stream: Parquet in our schema, or CSV under the log's headers (of the files there now), with
+    ``id_col`` or where no two rows of a file are equal (``repeats_share_id``)."""
     r = spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
     if fmt == "csv":
-        return parse_raw(r.option("header", True).schema(spark.read.option("header", True).csv(path).schema).csv(path))
+        return parse_raw(r.option("header", True).schema(spark.read.option("header", True).csv(path).schema).csv(path), id_col, repeats_share_id)
     return r.schema(LOGIN_SCHEMA).parquet(path)
 
 
