@@ -49,7 +49,7 @@ def conversations(seed=5):
     rows += [(77, t // 3, ["user", "assistant"][t % 2], f"hot {t % 50}.") for t in range(400)]  # a hot conversation with ties
     rows += [(78, 5, "user", "same.")] * 60                                                     # one row, often
     rows += [(79, 0, "user", "w " * 200_000 + "."), (79, 1, "assistant", "x" * 300_000)]        # very long texts
-    rows += [(80, -(1 << 62), "user", "far."), (80, (1 << 62) - 1, "assistant", "away.")]
+    rows += [(80, -(1 << 61), "user", "far."), (80, (1 << 61) - 1, "assistant", "away.")]
     rng.shuffle(rows)
     return rows
 

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tripwire.llm import sharding
 
@@ -77,7 +78,7 @@ def test_each_new_shard_takes_rows_only_into_itself(spark):
 def test_written_shards_hold_every_row(spark, docs, tmp_path):
     d = docs.drop("shard")
     sharding.write(d, sharding.standard(16), str(tmp_path / "s"))
-    back = spark.read.schema(d.schema.add("shard", "int")).parquet(str(tmp_path / "s"))
+    back = spark.read.schema(StructType([*d.schema.fields, StructField("shard", IntegerType())])).parquet(str(tmp_path / "s"))
     assert back.drop("shard").exceptAll(d).count() == 0 and back.count() == d.count()
     assert back.where(F.col("shard") != sharding.place(F.col("doc_id"), sharding.standard(16))).count() == 0
 

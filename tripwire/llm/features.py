@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, materialize
 from .texthash import _LOWER_BYTE, Slice, mix, prefix_hash, runs, slices, span_hash
 
 BITS = 20
@@ -84,18 +84,25 @@ def word_stems(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int, featurise: Callable, *,
                     use: Column | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = 1) -> DataFrame:
-    """(y, h, indices, counts, tokens) of at most ``most`` labelled documents, picked by a hash ``h`` of the id.
+    """(y, h, indices, counts, tokens) of at most ``most`` labelled documents, picked by a hash of id and text.
 
-    Ids that are null, unlabelled, or labelled both ways are left out. ``use`` restricts the labels.
-    Only the sample's ids (at most ``most`` rows) are broadcast; documents are never shuffled.
+    Ids that are null, unlabelled, or labelled both ways are left out; rows that repeat id and text count once. ``use``
+    restricts the labels. Labels meet (id, hash of the text) first, so that all of the ``most`` are rows that exist; only
+    the picked pairs (at most ``most``) are broadcast, and texts are never shuffled but for the picked ones.
     """
     lab = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     if use is not None:
         lab = lab.where(use)
     lab = (lab.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("z"))
-           .where("y = z").orderBy(F.xxhash64("__id", F.lit(seed)), "__id").limit(most).select("__id", F.col("y").cast("int").alias("y")))
-    rows = (docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("text"))
-            .join(F.broadcast(lab), "__id").select("y", F.xxhash64("__id", F.lit(seed + 1)).alias("h"), "text"))
+           .where("y = z").select("__id", F.col("y").cast("int").alias("y")))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text, F.lit(seed)).alias("__t"), text.alias("text"))
+    by = F.xxhash64("__id", "__t", F.lit(seed))
+    picked = rows.select("__id", "__t").distinct().join(lab, "__id").orderBy(by, "__id", "__t").limit(most)
+    rows = rows.join(F.broadcast(materialize(picked)), ["__id", "__t"])
+    # copies of a picked row: one stays (combined on the map side)
+    rows = rows.groupBy("__id", "__t", "y").agg(F.min("text").alias("text"))
+    rows = rows.select("y", F.xxhash64("__id", "__t", F.lit(seed + 1)).alias("h"), "text")
 
     def make(b: pa.RecordBatch):
         ends, idx, cnt, tok = [0], [], [], []

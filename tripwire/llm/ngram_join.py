@@ -312,5 +312,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mine = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("__id"), F.col(id_col).cast("long").isNull().alias("__no"),
                        F.xxhash64(F.col(text_col)).alias("__tk"), F.struct(*whole).alias("__row"))
     kept = mine.join(keep, ["__id", "__no", "__tk"])
-    one = (kept.where("not __blank").groupBy("__id", "__no", "__tk").agg(F.min("__row").alias("__row")).select("__row.*"))
+    first = F.min("__row")
+    if any("map<" in t for _, t in docs.dtypes):  # maps have no order: their JSON has
+        first = F.min_by("__row", F.struct(*[F.to_json(F.col(f"__row.`{c}`")) if t.startswith("map<") else F.to_json(
+            F.struct(F.col(f"__row.`{c}`"))) if "map<" in t else F.col(f"__row.`{c}`") for c, t in docs.dtypes]))
+    one = (kept.where("not __blank").groupBy("__id", "__no", "__tk").agg(first.alias("__row")).select("__row.*"))
     return one.unionByName(kept.where("__blank").select("__row.*"))
