@@ -1,17 +1,21 @@
 """License scans: a trained paragraph classifier, confirmed by template comparison. DataFrame functions only.
 
 A paragraph is a line, or a run of non-blank lines joined by blanks (a wrapped notice). A run is reported in place
-of its lines of the same family, with the number of its first line, if it confirms more templates than they do. Features are its word 1- to 3-grams that hold an *anchor* (license,
-copyright, permission, ...); a paragraph without an anchor has no features and is unknown, so only
-paragraphs with one are scored. Multinomial logistic regression (Spark ML, L1 and L2 terms, sparse
-weights) is trained on the templates below, on variations of them (a word left out, words of the
-corpus around them) and, for the class 'unknown', on sentences that hold anchors without being
-licences and on a bounded sample of the corpus's words. A temperature, fitted on variations that training did not see,
-calibrates the probabilities; below ``MIN_PROB`` a paragraph is unknown. A prediction is confirmed
-if enough of a template's word pairs stand in the paragraph.
-
-Scoring joins n-grams to the broadcast weight table (its size is that of the templates) and sums
-per distinct paragraph; equal paragraphs are scored once.
+of its lines of the same family, with the number of its first line, if it confirms more templates than they do.
+
+Features are all word 1- to 3-grams of the templates below that are rare in the corpus (in fewer than ``COMMON`` of a
+bounded sample of its paragraphs) and hold a word that is: what stands in every other paragraph tells no licence. Multinomial logistic
+regression (Spark ML, L1 and L2 terms, sparse weights) is trained on the templates, on variations of them
+(a word left out, words of the corpus around them) and, for the class 'unknown', on sentences that speak of licences
+without being any and on sampled paragraphs of the corpus that resemble no template. A temperature calibrates the
+probabilities: it is fitted on templates, variations and corpus paragraphs that a first model did not see; the
+final model is trained on all. Below ``MIN_PROB`` a paragraph is unknown. A prediction is confirmed if enough of a template's word
+pairs stand in the paragraph.
+
+Every paragraph is scored. One that holds no weighted n-gram has the intercepts alone for a score, which is
+checked to be 'unknown'; so only paragraphs with a word of some weighted n-gram (:meth:`LicenseModel.words`, taken from
+the trained weights) are taken apart. Scoring joins their n-grams to the broadcast weight table (its size is that of the
+templates) and sums per distinct paragraph; equal paragraphs are scored once.
 
 Defined results: null and blank texts have no paragraphs and no rows; repeated rows give repeated
 rows; null ids are kept; other columns are ignored; an empty table gives an empty result.
@@ -23,7 +27,7 @@ import json
 import math
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +48,7 @@ TEMPLATES = {
         "You may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS basis, without warranties or conditions of any kind",
         "SPDX-License-Identifier: Apache-2.0",
+        "Apache-2.0",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -51,6 +56,11 @@ TEMPLATES = {
         "either version 2 of the License, or (at your option) any later version",
         "You should have received a copy of the GNU General Public License along with this program",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GPL-2.0-only",
+        "LGPL-2.1",
+        "AGPL-3.0-or-later",
+        "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License",
+        "under the terms of the GNU Affero General Public License",
     ],
     "creative_commons": [
         "Licensed under CC BY-NC 4.0.",
@@ -59,18 +69,44 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-4.0",
+        "Creative Commons Attribution 4.0 International",
+        "CC BY-SA 4.0",
+        "CC0 1.0 Universal",
+        "To the extent possible under law, the author has waived all copyright and related rights to this work",
     ],
     "bsd": [
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products",
     ],
     "mozilla": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ],
+    "eclipse": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "boost": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Boost Software License - Version 1.0",
+        "SPDX-License-Identifier: BSL-1.0",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "For more information, please refer to unlicense.org",
+        "SPDX-License-Identifier: Unlicense",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "Licensed under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ],
     "proprietary": [
         "Copyright. All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.",
@@ -95,16 +131,17 @@ TEMPLATES = {
 }
 FAMILIES = list(TEMPLATES)
 UNKNOWN = FAMILIES.index("unknown")
-#: Beginnings of words; a word that begins so is an anchor.
-ANCHORS = "licens|licenc|copyright|permission|redistribut|warrant|spdx|copyleft|gnu\\b|gpl|apache|mozilla|reserved\\b"
-_ANCHOR = f"\\b(?:{ANCHORS})"
 MIN_PROB = 0.5
 #: Share of a template's word pairs that confirms a prediction.
 CONFIRM = 0.6
+#: Texts of the corpus, picked by a hash, and paragraphs of them that train and calibrate 'unknown', at most.
+SAMPLE_TEXTS, SAMPLE_PARAGRAPHS = 400, 1500
+#: A sampled paragraph with this share of a template's word pairs is left out of 'unknown'.
+RESEMBLES = 0.3
+#: An n-gram in at least this share of the sampled paragraphs is no feature.
+COMMON = 0.01
 #: Words of the corpus that surround templates in training, at most.
 BACKGROUND_WORDS = 400
-#: Texts they are taken from, picked by a hash.
-BACKGROUND_ROWS = 30
 
 
 def words(line: Column) -> Column:
@@ -122,7 +159,7 @@ def ngrams(w: Column, n: int) -> Column:
 
 def features(line: Column) -> Column:
     w = words(line)
-    return F.filter(F.array_distinct(F.concat(ngrams(w, 1), ngrams(w, 2), ngrams(w, 3))), lambda g: F.rlike(g, F.lit(_ANCHOR)))
+    return F.array_distinct(F.concat(ngrams(w, 1), ngrams(w, 2), ngrams(w, 3)))
 
 
 def _rows(spark: SparkSession, values: list, schema: str) -> DataFrame:
@@ -135,34 +172,70 @@ def templates(spark: SparkSession) -> DataFrame:
                  "family int, tid int, t string")
 
 
-def _training(spark: SparkSession, corpus: DataFrame) -> DataFrame:
-    """(family, fold, line): templates, each with a word left out, and inside words of the corpus."""
+def _pairs(spark: SparkSession) -> DataFrame:
+    """(family, tid, n, g): the distinct word pairs of each licence template; n of them."""
+    t = templates(spark).where(F.col("family") != UNKNOWN).select("family", "tid", F.array_distinct(ngrams(words(F.col("t")), 2)).alias("g"))
+    return t.select("family", "tid", F.size("g").alias("n"), F.explode("g").alias("g"))
+
+
+def _sample(docs: DataFrame, text_col: str) -> DataFrame:
+    """(line): at most SAMPLE_PARAGRAPHS different lines of at most SAMPLE_TEXTS texts, picked by hashes, that resemble no template."""
+    text = F.col(text_col).cast("string")
+    few = docs.where(text.isNotNull()).select(text.alias("t")).distinct().orderBy(F.xxhash64("t"), "t").limit(SAMPLE_TEXTS)
+    lines = few.select(F.explode(F.split("t", "\n")).alias("line")).where(F.size(words(F.col("line"))) > 0).distinct()
+    lines = lines.select("line", F.md5("line").alias("lid")).orderBy("lid").limit(4 * SAMPLE_PARAGRAPHS)
+    lines = materialize(lines)
+    g = lines.select("lid", F.explode(F.array_distinct(ngrams(words(F.col("line")), 2))).alias("g"))
+    like = g.join(F.broadcast(_pairs(docs.sparkSession)), "g").groupBy("lid", "tid", "n").agg(F.count(F.lit(1)).alias("c"))
+    like = like.where(F.col("c") >= RESEMBLES * F.col("n")).select("lid").distinct()
+    return materialize(lines.join(like, "lid", "left_anti").orderBy("lid").limit(SAMPLE_PARAGRAPHS).select("line", "lid"))
+
+
+def _training(spark: SparkSession, sample: DataFrame) -> DataFrame:
+    """(family, held, line): templates, each with a word left out, and inside words of the corpus; sampled paragraphs.
+
+    ``held``: every fourth template of a family, a third of the variations of the others, and every fourth sampled paragraph."""
     t = templates(spark).withColumn("w", F.split("t", " "))
     n = F.size("w")
     cut = t.select("family", "tid", F.explode(F.sequence(F.lit(0), n)).alias("i"), "w", n.alias("n"))
     cut = cut.where((F.col("i") == 0) | (F.col("n") > 3)).select(
         "family", "tid", "i", F.array_join(F.concat(F.slice("w", 1, F.greatest(F.col("i") - 1, F.lit(0))),
                                                     F.slice("w", F.col("i") + 1, F.col("n"))), " ").alias("line"))
-    noise = corpus.agg(F.collect_list("w").alias("noise"))  # at most BACKGROUND_WORDS
+    some = sample.select(F.explode(words(F.col("line"))).alias("w")).distinct().orderBy(F.md5("w")).limit(BACKGROUND_WORDS)
+    noise = some.agg(F.array_sort(F.collect_list("w")).alias("noise"))  # at most BACKGROUND_WORDS
     around = cut.select("family", "tid", "i", "line", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).withColumn("one", F.lit(1))
     around = around.join(F.broadcast(noise.withColumn("one", F.lit(1))), "one")
     size = F.greatest(F.size("noise") - 8, F.lit(1))
     some = lambda seed: F.array_join(F.slice("noise", F.pmod(F.xxhash64("tid", "i", "k", F.lit(seed)), size).cast("int") + 1, 6), " ")
-    made = around.select("family", F.pmod(F.xxhash64("tid", "i", "k"), F.lit(4)).alias("fold"), F.when(F.col("k") == 0, F.col("line"))
+    unseen = (F.pmod("tid", F.lit(100)) % 4 == 3) | (F.pmod(F.xxhash64("tid", "i", "k"), F.lit(3)) == 0)
+    made = around.select("family", unseen.alias("held"), F.when(F.col("k") == 0, F.col("line"))
                          .when(F.col("k") == 1, F.concat_ws(" ", some(1), "line"))
                          .otherwise(F.concat_ws(" ", some(2), "line", some(3))).alias("line"))
-    return made
+    return made.unionByName(sample.select(F.lit(UNKNOWN).alias("family"), (F.pmod(F.xxhash64("lid"), F.lit(4)) == 0).alias("held"), "line"))
 
 
 class LicenseModel:
     """Sparse weights of n-grams for each family, intercepts, and the temperature."""
 
     def __init__(self, vocabulary: list[str], weights, intercepts, temperature: float = 1.0):
-        self.vocabulary, self.weights, self.intercepts, self.temperature = vocabulary, weights, intercepts, temperature
+        on = [j for j in range(len(vocabulary)) if abs(weights[:, j]).max() > 1e-6]
+        self.vocabulary, self.weights = [vocabulary[j] for j in on], weights[:, on]
+        self.intercepts, self.temperature = [float(x) for x in intercepts], temperature
+        # a paragraph without any of them
+        top = max(self.intercepts)
+        rest = {k: math.exp((x - top) / temperature) for k, x in enumerate(self.intercepts)}
+        if max((p for k, p in rest.items() if k != UNKNOWN), default=0) / sum(rest.values()) >= MIN_PROB:
+            raise ValueError("without any feature a paragraph would be a licence")
+
+    def words(self) -> list[str]:
+        """Words of which a paragraph with a weighted n-gram holds at least one: single ones, and for longer n-grams without
+        these their longest word."""
+        alone = {g for g in self.vocabulary if " " not in g}
+        more = {max(g.split(" "), key=lambda w: (len(w), w)) for g in self.vocabulary if not alone & set(g.split(" "))}
+        return sorted(alone | more)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        w = [{"g": g, "w": [round(float(x), 6) for x in self.weights[:, j]]} for j, g in enumerate(self.vocabulary)
-             if abs(self.weights[:, j]).max() > 1e-6]
+        w = [{"g": g, "w": [round(float(x), 6) for x in self.weights[:, j]]} for j, g in enumerate(self.vocabulary)]
         return _rows(spark, w, "g string, w array<double>")
 
     def probabilities(self, lines: DataFrame) -> DataFrame:
@@ -171,7 +244,7 @@ class LicenseModel:
         hit = grams.join(F.broadcast(self.table(lines.sparkSession)), "g")  # as many rows as the templates have n-grams
         sums = hit.groupBy("lid").agg(*[F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(len(FAMILIES))])
         all_ = lines.select("lid").join(sums, "lid", "left")
-        z = F.array(*[(F.coalesce(f"s{k}", F.lit(0.0)) + float(self.intercepts[k])) / self.temperature for k in range(len(FAMILIES))])
+        z = F.array(*[(F.coalesce(f"s{k}", F.lit(0.0)) + self.intercepts[k]) / self.temperature for k in range(len(FAMILIES))])
         scored = all_.select("lid", z.alias("z")).withColumn("top", F.array_max("z"))
         scored = scored.select("lid", F.transform("z", lambda x: F.exp(x - F.col("top"))).alias("e"))
         scored = scored.withColumn("total", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
@@ -179,65 +252,79 @@ class LicenseModel:
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> LicenseModel:
-    """Train on the templates, with words of a bounded sample of ``docs`` as background."""
+    """Train on the templates and a bounded sample of the paragraphs of ``docs``."""
     spark = docs.sparkSession
-    few = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("t")).orderBy(F.xxhash64(F.col(text_col)), "t").limit(BACKGROUND_ROWS)
-    corpus = few.select(F.explode(words(F.col("t"))).alias("w")).where(~F.rlike("w", F.lit(_ANCHOR))).distinct().orderBy("w").limit(BACKGROUND_WORDS)
-    made = materialize(_training(spark, corpus).withColumn("f", features(F.col("line"))))
-    cv = CountVectorizer(inputCol="f", outputCol="x", binary=True, minDF=1, vocabSize=1 << 16).fit(made.where("size(f) > 0"))
-    seen = cv.transform(made).withColumn("label", F.col("family").cast("double"))
+    sample = _sample(docs, text_col)
+    made = materialize(_training(spark, sample).withColumn("f", features(F.col("line"))))
+    # n-grams of the templates that are rare in the corpus
+    often = sample.select("lid", F.explode(features(F.col("line"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    often = often.where(F.col("n") >= F.lit(max(2, math.ceil(COMMON * sample.count())))).select("g")
+    own = templates(spark).where(F.col("family") != UNKNOWN).select(F.explode(features(F.col("t"))).alias("g")).distinct()
+    own = own.join(often.select("g", F.lit(True).alias("often")), "g", "left").collect()  # of the templates
+    common = {r["g"] for r in own if r["often"]}
+    vocabulary = sorted(r["g"] for r in own if r["g"] not in common and set(r["g"].split(" ")) - common)
+    cv = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="f", outputCol="x")
+    cv.setBinary(True)
+    seen = materialize(cv.transform(made).select("x", "held", F.col("family").cast("double").alias("label"), "family"))
     lr = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", regParam=0.0005, elasticNetParam=0.1,
-                            standardization=False, maxIter=60).fit(seen.where("fold <> 0"))
-    raw = lr.transform(seen.where("fold = 0")).select("family", vector_to_array("rawPrediction").alias("z"))
-    # negative log likelihood on the unseen variations for a few temperatures
+                            standardization=False, maxIter=60)
+    first = lr.fit(seen.where("not held"))
+    raw = first.transform(seen.where("held")).select("family", vector_to_array("rawPrediction").alias("z")).where("family < size(z)")
+    # negative log likelihood of what the first model did not see, for a few temperatures; a family counts alike however many rows it has
     grid = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0]
+
     def loss(t: float) -> Column:
         top = F.array_max("z")
         total = F.aggregate(F.transform("z", lambda x: F.exp((x - top) / t)), F.lit(0.0), lambda a, x: a + x)
         return F.avg(F.log(total) - (F.expr("z[family]") - top) / t)
-    nll = [loss(t).alias(f"t{i}") for i, t in enumerate(grid)]
-    r = raw.agg(*nll).first()
+    r = raw.groupBy("family").agg(*[loss(t).alias(f"t{i}") for i, t in enumerate(grid)]).agg(*[F.avg(f"t{i}").alias(f"t{i}") for i in range(len(grid))]).first()
     best = min(range(len(grid)), key=lambda i: r[i] if r[i] is not None else math.inf)
-    return LicenseModel(cv.vocabulary, lr.coefficientMatrix.toArray(), lr.interceptVector.toArray(), grid[best])
+    final = lr.fit(seen)
+    return LicenseModel(vocabulary, final.coefficientMatrix.toArray(), final.interceptVector.toArray(), grid[best])
 
 
-def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, paragraph, family, prob, template, similarity, confirmed, line): paragraphs whose family is not unknown."""
-    spark = docs.sparkSession
-    has = f"(?i){_ANCHOR}"
-    text = docs.where(F.rlike(F.col(text_col), F.lit(has))).select(
-        F.col(id_col).alias("__id"), F.monotonically_increasing_id().alias("__doc"), F.split(F.col(text_col), "\n").alias("ls"))
-    text = materialize(text)  # numbered once
-    single = text.select("__id", "__doc", F.posexplode("ls").alias("paragraph", "line")).withColumn("last", F.col("paragraph"))
+def _paragraphs(docs: DataFrame, gate: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(__id, __doc, paragraph, last, line, lid): lines, and runs of several non-blank ones, that hold a word of ``gate``."""
+    some = F.array(*[F.lit(w) for w in gate])
+    text = docs.select(F.col(id_col).alias("__id"), F.monotonically_increasing_id().alias("__doc"), F.col(text_col).cast("string").alias("t"))
+    text = text.where(F.arrays_overlap(words(F.col("t")), some)).select("__id", "__doc", F.split("t", "\n").alias("ls"))
     blank = F.transform("ls", lambda x: F.rlike(x, F.lit(r"^\s*$")))
     edge = F.array(F.lit(True))
     # a line and its neighbour: where runs of non-blank lines begin and end
     first = F.zip_with("blank", F.concat(edge, F.slice("blank", F.lit(1), F.size("blank") - 1)), lambda x, y: ~x & y)
     final = F.zip_with("blank", F.concat(F.slice("blank", F.lit(2), F.size("blank")), edge), lambda x, y: ~x & y)
     at = lambda c: F.filter(F.transform(c, lambda x, i: F.when(x, i)), lambda x: x.isNotNull())
-    runs = text.withColumn("blank", blank).select("__id", "__doc", "ls", F.explode(F.arrays_zip(at(first).alias("a"), at(final).alias("z"))).alias("r"))
-    runs = runs.where("r.a < r.z").select("__id", "__doc", F.col("r.a").alias("paragraph"), F.array_join(
-        F.slice("ls", F.col("r.a") + 1, F.col("r.z") - F.col("r.a") + 1), " ").alias("line"), F.col("r.z").alias("last"))
-    hit = materialize(single.unionByName(runs).where(F.rlike("line", F.lit(has))))
-    lines = hit.select("line").distinct()
-    lines = materialize(lines.withColumn("lid", F.monotonically_increasing_id()))
+    text = text.withColumn("blank", blank).select("*", F.arrays_zip(at(first).alias("a"), at(final).alias("z")).alias("runs"))
+    one = F.transform("ls", lambda x, i: F.struct(i.cast("int").alias("paragraph"), i.cast("int").alias("last")))
+    several = F.transform(F.filter("runs", lambda r: r["a"] < r["z"]), lambda r: F.struct(
+        r["a"].cast("int").alias("paragraph"), r["z"].cast("int").alias("last")))
+    p = text.select("__id", "__doc", "ls", F.explode(F.concat(one, several)).alias("p")).select("__id", "__doc", "p.*", "ls")
+    p = p.withColumn("line", F.when(F.col("paragraph") == F.col("last"), F.get("ls", F.col("paragraph"))).otherwise(
+        F.array_join(F.slice("ls", F.col("paragraph") + 1, F.col("last") - F.col("paragraph") + 1), " "))).drop("ls")
+    p = p.where(F.arrays_overlap(words(F.col("line")), some))
+    return materialize(p.withColumn("lid", F.md5("line")))
+
+
+def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, paragraph, family, prob, template, similarity, confirmed, line): paragraphs whose family is not unknown."""
+    spark = docs.sparkSession
+    hit = _paragraphs(docs, model.words(), id_col, text_col)
+    lines = materialize(hit.groupBy("lid").agg(F.min("line").alias("line")))  # equal ones once
     p = model.probabilities(lines)
     top = F.array_max("p")
     p = p.select("lid", top.alias("prob"), (F.array_position("p", top) - 1).cast("int").alias("family"))
-    p = p.where((F.col("prob") >= MIN_PROB) & (F.col("family") != UNKNOWN))
+    p = materialize(p.where((F.col("prob") >= MIN_PROB) & (F.col("family") != UNKNOWN)))
 
-    t = templates(spark).where(F.col("family") != UNKNOWN).select("family", "tid", F.array_distinct(ngrams(words(F.col("t")), 2)).alias("g"))
-    t = t.select("family", "tid", F.size("g").alias("n"), F.explode("g").alias("g"))
     grams = lines.join(p, "lid").select("lid", "family", F.explode(F.array_distinct(ngrams(words(F.col("line")), 2))).alias("g"))
-    like = grams.join(F.broadcast(t), ["family", "g"]).groupBy("lid", "tid", "n").agg(F.count(F.lit(1)).alias("c"))
+    like = grams.join(F.broadcast(_pairs(spark)), ["family", "g"]).groupBy("lid", "tid", "n").agg(F.count(F.lit(1)).alias("c"))
     like = like.select("lid", "tid", (F.col("c") / F.col("n")).alias("sim")).groupBy("lid").agg(
         F.max(F.struct("sim", (-F.col("tid")).alias("t"))).alias("b"), F.sum((F.col("sim") >= CONFIRM).cast("int")).alias("n"))
     name = F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family") + 1)
-    found = lines.join(p, "lid").join(like, "lid", "left").select(
-        "line", name.alias("family"), "prob", (-F.col("b.t")).cast("int").alias("template"), F.coalesce("b.sim", F.lit(0.0)).alias("similarity"),
+    found = p.join(like, "lid", "left").select(
+        "lid", name.alias("family"), "prob", (-F.col("b.t")).cast("int").alias("template"), F.coalesce("b.sim", F.lit(0.0)).alias("similarity"),
         F.coalesce("n", F.lit(0)).alias("__n"))
     found, _ = bounded_broadcast(materialize(found))
-    out = materialize(hit.join(found, "line"))
+    out = materialize(hit.join(found, "lid").drop("lid"))
     alone, run = out.where("paragraph = last"), out.where("paragraph < last and __n > 0")
     r = run.select("__doc", "family", F.col("paragraph").alias("__a"), F.col("last").alias("__z"), "__n")
     parts = alone.select("__doc", "family", "paragraph", F.col("__n").alias("__m")).join(r, ["__doc", "family"]).where("paragraph between __a and __z")
