@@ -114,3 +114,11 @@ def test_compare_names_a_winner(spark):
     assert t["good"]["winner"] == 1 and t["poor"]["winner"] == 0
     assert t["good"]["pr_auc"] > t["poor"]["pr_auc"] and t["good"]["p_at_50"] > 0.5 and t["good"]["p_at_1000"] is None
     assert t["good"]["tp"] + t["good"]["fn"] == 60 and t["good"]["threshold"] > 0
+
+
+def test_recon_does_not_depend_on_partitions(spark):
+    df = _planted(spark, n=5000)
+    cols = ["a", "b", "c", "d"]
+    one, many = (recon.fit(df.repartition(k), df, cols, epochs=3)[1] for k in (1, 8))
+    assert len(one) == 3 and one[-1] < one[0] and np.allclose(one, many, rtol=1e-6)
+    assert recon.fit(df.limit(0), df, cols, epochs=2)[1] == []

@@ -2,8 +2,8 @@
 
 The adjacency matrix is never materialised: it is an edge table ``(src, dst, w)`` (both
 directions). The SVD is block subspace iteration: each round multiplies the current basis
-by the adjacency with one join + grouped sum (partial aggregation, so a hub node does not
-overload one task), then re-orthonormalises with the k x k Gram matrix (on the
+by the adjacency with one join + grouped sum (a hub node's edges are split by a salt for the join and
+combined on the map side for the sum), then re-orthonormalises with the k x k Gram matrix (on the
 driver: only k*k numbers travel; an eigen-decomposition of the Gram keeps it stable when the
 graph is rank deficient). A final Rayleigh-Ritz step gives the singular triplets.
 """
@@ -48,25 +48,46 @@ def _vcols(k):
     return [f"q{i}" for i in range(k)]
 
 
-def _multiply(adj: DataFrame, q: DataFrame, k: int) -> DataFrame:
-    """Y = A Q as (node, q0..q(k-1))."""
-    j = adj.join(q, adj["dst"] == q["node"])
+#: Edges of one node that one task may hold; a hub with more is split by a salt.
+HUB_EDGES = 100_000
+
+
+def _split_hubs(adj: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The adjacency with a salt, and (node, parts) of the hubs: at most edges / ``most`` of them."""
+    hubs = materialize(adj.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+                       .select(F.col("dst").alias("hub"), F.ceil(F.col("n") / F.lit(most)).cast("long").alias("parts")))
+    small = F.broadcast(hubs) if hubs.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else hubs
+    x = adj.join(small, adj["dst"] == F.col("hub"), "left")
+    salt = F.pmod(F.xxhash64("src"), F.coalesce("parts", F.lit(1)))
+    return materialize(x.select("src", "dst", "weight", salt.alias("salt"))), hubs
+
+
+def _multiply(adj: DataFrame, hubs: DataFrame, q: DataFrame, k: int) -> DataFrame:
+    """Y = A Q as (node, q0..q(k-1)): a hub's row of Q goes to each of its parts, its sums are combined on the map side."""
+    small = F.broadcast(hubs) if hubs.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else hubs
+    q = q.join(small, q["node"] == F.col("hub"), "left").select(
+        q["node"], *_vcols(k), F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
+    j = adj.join(q, (adj["dst"] == q["node"]) & (adj["salt"] == q["salt"]))
     return j.groupBy(F.col("src").alias("node")).agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in _vcols(k)])
 
 
-def _gram(y: DataFrame, k: int) -> np.ndarray:
-    """Y^T Y: one partial k x k product per partition (numpy), summed on the driver."""
-    cs = _vcols(k)
+def _products(y: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
+    """Sum over the rows of left x right: numpy inside the tasks, the partial matrices added by position in a shuffle, so that only
+    one number per position reaches the driver."""
+    n, m = len(left), len(right)
 
     def part(batches):
-        g = np.zeros((k, k))
+        g = np.zeros((n, m))
         for pdf in batches:
-            a = pdf[cs].to_numpy(dtype=float)
-            g += a.T @ a
-        yield pd.DataFrame({"g": [g.ravel().tolist()]})
+            g += pdf[left].to_numpy(dtype=float).T @ pdf[right].to_numpy(dtype=float)
+        yield pd.DataFrame({"i": np.arange(n * m), "g": g.ravel()})
 
-    rows = y.select(*cs).mapInPandas(part, "g array<double>").collect()  # one row per partition
-    return sum(np.array(r["g"]).reshape(k, k) for r in rows)
+    cols = list(dict.fromkeys([*left, *right]))
+    rows = y.select(*cols).mapInPandas(part, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()
+    out = np.zeros(n * m)
+    for r in rows:
+        out[r["i"]] = r["g"]
+    return out.reshape(n, m)
 
 
 def _apply(y: DataFrame, m: np.ndarray, k_out: int, k_in: int) -> DataFrame:
@@ -86,10 +107,10 @@ def _apply(y: DataFrame, m: np.ndarray, k_out: int, k_in: int) -> DataFrame:
 
 
 def graph_svd_fit(edges: DataFrame, k: int = 16, oversample: int = 8, iterations: int = 12,
-                  seed: int = 7) -> tuple[DataFrame, np.ndarray]:
+                  seed: int = 7, hub_edges: int = HUB_EDGES) -> tuple[DataFrame, np.ndarray]:
     """Top-k singular vectors of the symmetric weighted adjacency. Returns (node, vec) with
     vec = u * sqrt(s) sorted by singular value, and the singular values."""
-    adj = materialize(symmetric(edges))
+    adj, hubs = _split_hubs(materialize(symmetric(edges)), hub_edges)
     b = k + oversample
     nodes = adj.select(F.col("src").alias("node")).distinct()
     # deterministic start: a hash of (node, column) mapped to [-1, 1)
@@ -98,25 +119,18 @@ def graph_svd_fit(edges: DataFrame, k: int = 16, oversample: int = 8, iterations
     q = materialize(q)
     for it in range(iterations):
         # Y is read twice (Gram, then the update): write it once, so no round recomputes the chain
-        y = materialize(_multiply(adj, q, b))
-        d, v = np.linalg.eigh(_gram(y, b))
+        y = materialize(_multiply(adj, hubs, q, b))
+        d, v = np.linalg.eigh(_products(y, _vcols(b), _vcols(b)))
         # Y V D^-1/2: orthonormal columns; near-null directions are kept but not blown up
         q = _apply(y, v / np.sqrt(np.maximum(d, d.max() * 1e-14)), b, b)
     # Rayleigh-Ritz on the generalized problem (Q^T A Q) x = lambda (Q^T Q) x, restricted to the
     # well-conditioned part of Q^T Q, then keep the k largest |eigenvalues|
-    aq = _multiply(adj, q, b)
+    q = materialize(q)
     cs = _vcols(b)
-    j = aq.select("node", *[F.col(c).alias(f"a{c}") for c in cs]).join(q, "node")
-    row = j.agg(*[F.sum(F.col(f"a{ci}") * F.col(cj)).alias(f"b_{i}_{jj}") for i, ci in enumerate(cs)
-                  for jj, cj in enumerate(cs)],
-                *[F.sum(F.col(ci) * F.col(cj)).alias(f"m_{i}_{jj}") for i, ci in enumerate(cs)
-                  for jj, cj in enumerate(cs) if jj >= i]).collect()[0]
-    bm = np.array([[row[f"b_{i}_{jj}"] or 0.0 for jj in range(b)] for i in range(b)])
-    bm = (bm + bm.T) / 2
-    mm = np.zeros((b, b))
-    for i in range(b):
-        for jj in range(i, b):
-            mm[i, jj] = mm[jj, i] = row[f"m_{i}_{jj}"] or 0.0
+    aq = _multiply(adj, hubs, q, b).select("node", *[F.col(c).alias(f"a{c}") for c in cs])
+    j = materialize(aq.join(q, "node"))
+    bm = _products(j, [f"a{c}" for c in cs], cs)
+    bm, mm = (bm + bm.T) / 2, _products(j, cs, cs)
     dm, vm = np.linalg.eigh(mm)
     keep = dm > dm.max() * 1e-10
     w = vm[:, keep] / np.sqrt(dm[keep])

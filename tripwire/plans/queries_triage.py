@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import fusion as FU
 from ..operators import rules as R
+from ..operators import sketches as K
 from ..operators import triage as T
+from ..session import materialize
 from . import oracle as O
 from .catalog import add, finalize
 from .frames import featured, scored
@@ -201,3 +203,21 @@ q("brute_force_success_top_users", _flagship,
   " max(final_score) AS max_final_score FROM FT WHERE success_after_fail_burst = 1 GROUP BY user_id"
   " ORDER BY burst_logins DESC, max_rule_score DESC, user_id LIMIT 10",
   ["max_rule_score", "max_final_score"], ["user_id", "burst_logins"], "7")
+
+
+def _sketched(s, d):
+    """Users of every ASN and device: exact ones, and whether the merged daily sketches hold them within their bounds."""
+    f = scored(s, d)
+    daily = materialize(K.daily_sketches(f, "model_score"))
+    m = K.merged(daily).select("type", "value", "users_low", "users_high", "alerts", "risk")
+    exact = [f.where(f"{c} IS NOT NULL").groupBy(F.lit(t).alias("type"), v.alias("value")).agg(F.countDistinct("user_id").alias("users"))
+             for t, c, v in (("ASN_NETWORK", "asn", F.concat(F.lit("AS"), F.col("asn").cast("string"))), ("DEVICE_FINGERPRINT", "device", F.col("device")))]
+    x = exact[0].unionByName(exact[1]).join(m, ["type", "value"], "left")
+    return x.select("type", "value", "users", "alerts", "risk", F.col("users").between(F.col("users_low"), F.col("users_high")).cast("int").alias("within"))
+
+
+q("attack_cluster_sketches", _sketched, O.with_ctes(O.fixture_ctes(False), O.scored_ctes())
+  + "\nSELECT 'ASN_NETWORK' AS type, 'AS' || CAST(asn AS VARCHAR) AS value, count(DISTINCT user_id) AS users, count(*) AS alerts,"
+  " avg(model_score) AS risk, 1 AS within FROM SC WHERE asn IS NOT NULL GROUP BY asn UNION ALL"
+  " SELECT 'DEVICE_FINGERPRINT', device, count(DISTINCT user_id), count(*), avg(model_score), 1 FROM SC GROUP BY device",
+  ["risk"], ["users", "alerts", "within"], "2.5")
