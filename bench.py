@@ -23,7 +23,7 @@ from tripwire.operators.infra import graph_features  # noqa: E402
 from tripwire.operators.metrics import average_precision, roc_auc  # noqa: E402
 from tripwire.plans import queries_models  # noqa: E402
 from tripwire.plans.frames import featured, scored  # noqa: E402
-from tripwire.session import build_session  # noqa: E402
+from tripwire.session import build_session, release  # noqa: E402
 from tripwire.sources.logins import load_fixture  # noqa: E402
 
 
@@ -47,6 +47,7 @@ def main():
         df = build()
         run(df)
         timings[name] = round(time.time() - t, 3)
+        release(spark)
 
     # warm-up (JVM, codegen caches) on the smallest pieces, not timed
     run(load_fixture(spark, sf_dir, True).select("event_id"))
