@@ -28,6 +28,8 @@ from .forest import GBT_PARAMS, RF_BALANCED_PARAMS, RF_PARAMS, with_weights
 # fixed values: fills of missing inputs, recall that the threshold must reach, threshold if none does
 NUMERIC_FILL, TEXT_FILL = 0, "Unknown"
 TARGET_RECALL, FALLBACK_THRESHOLD = 0.70, 0.30
+#: Training rows of a task.
+ROWS_OF_A_TASK = 20_000
 SETTINGS = {"rf": RF_PARAMS, "rf_balanced": RF_BALANCED_PARAMS, "gbt": GBT_PARAMS}
 
 
@@ -64,6 +66,9 @@ class LoginDetector(Estimator, _Inputs):
             m._set(**{p: self._get(p)})
         m._set(vocabularyJson=json.dumps(words))
         x = with_weights(dataset.select(*m.inputs(), F.col(label).cast("double").alias(label)), label, "fixed" if kind == "rf" else "balanced")
+        # hundreds of trees are hundreds of jobs: no more tasks than the rows need (also without an empty one)
+        x = materialize(x)
+        x = x.coalesce(max(1, -(-x.count() // ROWS_OF_A_TASK)))
         make = GBTClassifier if kind == "gbt" else RandomForestClassifier
         est = make(featuresCol="_f", labelCol=label, weightCol="_w", **{**SETTINGS[kind], **self.settings})
         asm = VectorAssembler(inputCols=m.names(), outputCol="_f")
