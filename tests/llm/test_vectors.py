@@ -28,12 +28,14 @@ def usable(x, zero=True):
 
 
 def brute_topk(rows, is_query, k):
-    v = [(r[0], [int(np.floor(256 * float(np.float32(c)))) for c in r[1]]) for r in rows if r[0] is not None and usable(r[1])]
+    def scaled(x):
+        return [int(np.floor(max(min(256 * float(np.float32(c)), 1e14), -1e14))) for c in x]
+    v = [(r[0], scaled(r[1])) for r in rows if r[0] is not None and usable(r[1])]
     out = []
-    for q, x in v:
+    for i, (q, x) in enumerate(v):
         if is_query(q):
-            s = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), c) for c, y in v if c != q and len(x) == len(y))[:k]
-            out += [(q, i + 1, c, -t) for i, (t, c) in enumerate(s)]
+            s = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), c) for j, (c, y) in enumerate(v) if j != i and len(x) == len(y))[:k]
+            out += [(q, n + 1, c, max(min(-t, (1 << 63) - 1), -(1 << 63))) for n, (t, c) in enumerate(s)]
     return sorted(out)
 
 
@@ -59,6 +61,22 @@ def test_topk_large_components(spark):
     assert sorted(tuple(r) for r in got) == brute_topk(rows, lambda i: i % 2 == 0, 5)
 
 
+def test_topk_beyond_64_bits(spark):
+    """Ranked exactly, shown as the nearest 64-bit number."""
+    big = [1e10, 1e8, -1e9, 3e37, 2e10, 1.0, 0.0, -5.0]
+    rows = [(i, [x, float(i)], 0, "x", 9) for i, x in enumerate(big)]
+    got = topk.top_k(spark.createDataFrame(rows, SCHEMA), topk.F.col("id") >= 0, k=4).collect()
+    assert sorted(tuple(r) for r in got) == brute_topk(rows, lambda i: True, 4)
+
+
+def test_topk_repeated_ids_and_equal_vectors(spark):
+    """A row that repeats a query's id is its candidate; many equal vectors lose no tie."""
+    rows = [(50, [1.0, 2.0], 0, "x", 9)] * 2 + [(50, [0.5, 2.0], 0, "x", 9)] + [(i, [1.0, 2.0], 0, "x", 9) for i in range(60, 100)] \
+        + [(1, [-1.0, 0.0], 0, "x", 9)]
+    got = topk.top_k(spark.createDataFrame(rows, SCHEMA).repartition(3), topk.F.col("id") % 50 == 0).collect()
+    assert sorted(tuple(r) for r in got) == brute_topk(rows, lambda i: i % 50 == 0, 5)
+
+
 def brute_links(rows, cos):
     ok = [r[2] is not None and usable(r[1], False) for r in rows]
     v = [np.array(r[1], np.float32).astype(float) if k else None for r, k in zip(rows, ok, strict=True)]

@@ -1,33 +1,38 @@
 """Exact top-k search by inner product with a three-phase uniform threshold.
 
-The components are cut into ``nodes`` slices; a node holds one slice of every candidate, so a
-candidate's score is the sum of one partial score from each node.
+The components are cut into ``nodes`` slices, each a row of its own, so that a task of a node holds one slice of
+its vectors and never the others. A candidate's score is the sum of one partial score from each node.
 
 1. Every node gathers its local list: the k best partial scores for each query, and its least
    one. Partial scores count from that least one, so that they are never negative.
 2. For each query, partial sums over what the lists hold give a lower bound of the k-th best
    total. A candidate that reaches it has a partial score of at least 1 / nodes of it at some node:
-   this uniform threshold is broadcast as a safe cutoff, and every node returns all entries at
-   or above its cutoff.
-3. A candidate that some node returned may still lack other nodes' scores. What it can reach at most
-   (the cutoff where it is unseen) is compared with the bound, raised by phase 2, and the
-   remaining candidates are resolved exactly from their whole vectors.
-
-Candidates and queries are dealt in blocks of bounded size, so a task holds one block of each;
-a query's lists meet as k entries from each block, merged by a bounded aggregate. Ties go to the
-smaller id. Vectors of different lengths are not compared.
+   this uniform threshold goes to all nodes as a safe cutoff, and every node returns its entries at
+   or above it.
+3. What a returned candidate has at least (the least score where it is unseen) gives a better bound, and what it
+   can reach at most (less than the cutoff where it is unseen) is compared with that. The candidates left get the
+   partial scores that they lack from those nodes' slices, and are ranked exactly.
+
+Candidates and queries are dealt in blocks of bounded size, so a task holds one block of each. Of candidates with equal
+vectors, which score alike, only the k + 1 with the smallest ids can be among the k best of a query (itself may be
+one of them), so the others are left out before the blocks, by a limit that works ahead of the shuffle. Entries of
+a query are limited to k ahead of each shuffle, or dealt by query and salt. Ties go to the smaller id. Vectors of
+different lengths are not compared.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, neither
-do rows without an id; rows that repeat an id are separate queries and candidates, but no candidates of
-each other; a query
-with fewer than k candidates gets all of them; empty tables give an empty result.
+do rows without an id; rows that repeat an id are separate queries, and candidates also of each other (a row is never
+its own candidate); a query with fewer than k candidates gets all of them; scaled components beyond +-10^14 count
+as that; scores are exact whole numbers of any size, ranked as such and shown as the nearest 64-bit number;
+empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, ship_package
@@ -35,6 +40,9 @@ from .common import materialize, ship_package
 #: Candidates and queries of a block.
 CANDIDATES, QUERIES = 4096, 512
 NODES = 2
+#: Largest scaled component.
+LARGEST = 10 ** 14
+WIDE = "decimal(38,0)"
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -42,162 +50,142 @@ def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame
     x = F.col(vec_col)
     fine = F.col(id_col).isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(
         x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
-    v = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long"))
+    most = F.lit(float(LARGEST))
+    v = F.transform(x, lambda c: F.floor(F.greatest(F.least(c.cast("double") * scale, most), -most)).cast("long"))
     return df.where(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), v.alias("v")) \
         .withColumn("dim", F.size("v"))
 
 
-def _matrix(col) -> np.ndarray:
-    m = np.array(col.tolist(), np.int64)
-    # exact in doubles as long as no sum can pass 2 ** 53
-    top = int(np.abs(m).max()) if m.size else 0
-    return m.astype(np.float64) if top * top * m.shape[1] < 1 << 53 and top < 1 << 26 else m
-
-
-def _cuts(dim: int, nodes: int) -> list[tuple[int, int]]:
-    e = np.linspace(0, dim, nodes + 1).astype(int).tolist()
-    return list(zip(e[:-1], e[1:], strict=True))
+def _matrix(col: pa.ChunkedArray) -> np.ndarray:
+    """The lists of one length as rows."""
+    return np.array(col.combine_chunks().flatten(), np.int64).reshape(len(col), -1)
 
 
 def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    if q.dtype != c.dtype:
-        q, c = q.astype(np.int64), c.astype(np.int64)
-    if q.dtype == np.int64 and q.size and c.size and int(np.abs(q).max()) * int(np.abs(c).max()) * q.shape[1] >= 1 << 63:
-        q, c = q.astype(object), c.astype(object)  # whole numbers of any size
-        out = q @ c.T
-        if max(abs(x) for x in out.ravel()) >= 1 << 63:
-            raise OverflowError("inner products do not fit 64 bits")
-        return out.astype(np.int64)
-    return (q @ c.T).astype(np.int64)
-
-
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best by score, ties to smaller ids."""
-    if len(score) > 4 * k:
-        kth = np.partition(score, len(score) - k)[len(score) - k]
-        at = np.flatnonzero(score >= kth)
-    else:
-        at = np.arange(len(score))
-    return at[np.lexsort((ids[at], -score[at]))[:k]]
-
-
-def _node_lists(k: int, nodes: int):
-    """Phase 1 in one block pair: for each query and node, k local entries and the least partial score."""
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        q, c = p[p["isq"]], p[~p["isq"]]
-        if q.empty or c.empty:
-            return pd.DataFrame([], columns=["q", "node", "c", "s", "least"])
-        qm, cm, qi, ci = _matrix(q["v"]), _matrix(c["v"]), q["id"].to_numpy(), c["id"].to_numpy()
-        qr, cr = q["rid"].to_numpy(), c["rid"].to_numpy()
-        out = []
-        for node, (a, b) in enumerate(_cuts(qm.shape[1], nodes)):
-            s = _product(qm[:, a:b], cm[:, a:b])
-            for i in range(len(qi)):
-                other = np.flatnonzero(ci != qi[i])
-                if len(other):
-                    t = s[i, other]
-                    at = _best(t, cr[other], k)
-                    out.append((qr[i], node, cr[other][at], t[at], int(t.min())))
-        return pd.DataFrame(out, columns=["q", "node", "c", "s", "least"])
-    return run
-
-
-def _merged(k: int):
-    """The k best of a query's lists at a node (k entries from every block; merged in two levels)."""
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        c, s = np.concatenate(p["c"].tolist()), np.concatenate(p["s"].tolist())
-        at = _best(s, c, k)
-        return pd.DataFrame({"q": p["q"].iloc[:1], "node": p["node"].iloc[:1], "part": p["part"].iloc[:1],
-                             "c": [c[at]], "s": [s[at]], "least": [int(p["least"].min())]})
+    """Exact inner products: in doubles below 2 ** 53, in longs, or as whole numbers of any size."""
+    top = max(int(np.abs(q).max(initial=0)), 1) * max(int(np.abs(c).max(initial=0)), 1) * max(q.shape[1], 1)
+    if top < 1 << 53:
+        return (q.astype(np.float64) @ c.T.astype(np.float64)).astype(np.int64)
+    return q @ c.T if top < 1 << 63 else q.astype(object) @ c.T.astype(object)
+
+
+def _numbers(values: np.ndarray, wide: bool) -> pa.Array:
+    return pa.array([Decimal(int(x)) for x in values], pa.decimal128(38, 0)) if wide else pa.array(values.astype(np.int64))
+
+
+def _given(col: pa.ChunkedArray, wide: bool) -> np.ndarray:
+    return np.array([int(x) for x in col.to_pylist()], object) if wide else np.asarray(col)
+
+
+def _node_lists(k: int, wide: bool):
+    """Phase 1 at one node in one block pair: for each query, k local entries and the least partial score."""
+    kind = pa.decimal128(38, 0) if wide else pa.int64()
+    schema = pa.schema([("q", pa.int64()), ("node", pa.int32()), ("c", pa.int64()), ("s", kind), ("least", kind)])
+
+    def run(cand: pa.Table, ask: pa.Table) -> pa.Table:
+        if not cand.num_rows or not ask.num_rows:
+            return schema.empty_table()
+        qr, cr = np.asarray(ask["rid"]), np.asarray(cand["rid"])
+        s = _product(_matrix(ask["v"]), _matrix(cand["v"]))
+        s = s.astype(object) if wide else s
+        own, far = qr[:, None] == cr[None, :], 1 << (200 if wide else 62)
+        least = np.where(own, far, s).min(axis=1)
+        t = np.where(own, -far, s)
+        n = min(k, len(cr))
+        best = (np.argsort(t, axis=1, kind="stable") if wide else np.argpartition(t, len(cr) - n, axis=1))[:, len(cr) - n:]
+        i, j = np.repeat(np.arange(len(qr)), n), best.ravel()
+        i, j = i[~own[i, j]], j[~own[i, j]]
+        return pa.Table.from_arrays([pa.array(qr[i]), pa.array(np.full(len(i), ask["node"][0].as_py()), pa.int32()), pa.array(cr[j]),
+                                     _numbers(s[i, j], wide), _numbers(least[i], wide)], schema=schema)
     return run
 
 
-def _cutoffs(k: int, nodes: int):
-    """The bound on the k-th best total of a query, and the cutoff of each node."""
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        least = np.zeros(nodes, np.int64)
-        least[p["node"]] = p["least"]
-        total: dict[int, int] = {}
-        for c, s, n in zip(p["c"], p["s"], p["node"], strict=True):
-            for a, b in zip(c.tolist(), s.tolist(), strict=True):
-                total[a] = total.get(a, 0) + b - int(least[n])
-        best = sorted(total.values(), reverse=True)
-        bound = best[k - 1] if len(best) >= k else 0
-        cut = least + -(-bound // nodes)
-        return pd.DataFrame({"rid": p["q"].iloc[:1], "bound": [bound + int(least.sum())], "cut": [cut], "least": [least]})
-    return run
-
-
-def _sufficient(k: int, nodes: int):
-    """Phases 2 and 3 in one block pair: entries at or above the cutoffs, then exact scores of those that can
-    still reach the bound; the block's k best for each query."""
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        q, c = p[p["isq"]], p[~p["isq"]]
-        if q.empty or c.empty:
-            return pd.DataFrame([], columns=["q", "id", "c", "s"])
-        qm, cm, qi, ci = _matrix(q["v"]), _matrix(c["v"]), q["id"].to_numpy(), c["id"].to_numpy()
-        qr = q["rid"].to_numpy()
-        cut, bound = np.array(q["cut"].tolist()), q["bound"].to_numpy()
-        cuts = _cuts(qm.shape[1], nodes)
-        part = [_product(qm[:, a:b], cm[:, a:b]) for a, b in cuts]
-        seen = [s >= cut[:, [n]] for n, s in enumerate(part)]
-        # the most that a returned entry can reach: its seen scores, and the cutoffs elsewhere
-        reach = sum(np.where(e, s, cut[:, [n]]) for n, (s, e) in enumerate(zip(part, seen, strict=True)))
-        left = np.logical_or.reduce(seen) & (reach >= bound[:, None]) & (ci[None, :] != qi[:, None])
-        out = []
-        for i in range(len(qi)):
-            at = np.flatnonzero(left[i])
-            if len(at):
-                s = _product(qm[i:i + 1], cm[at])[0]
-                best = _best(s, ci[at], k)
-                out.append((qr[i], qi[i], ci[at][best], s[best]))
-        return pd.DataFrame(out, columns=["q", "id", "c", "s"])
+def _sufficient(wide: bool):
+    """Phase 2 at one node in one block pair: the entries at or above the cutoff."""
+    kind = pa.decimal128(38, 0) if wide else pa.int64()
+    schema = pa.schema([("q", pa.int64()), ("node", pa.int32()), ("c", pa.int64()), ("id", pa.int64()),
+                        ("s", kind), ("above_least", kind), ("above_cut", kind)])
+
+    def run(cand: pa.Table, ask: pa.Table) -> pa.Table:
+        if not cand.num_rows or not ask.num_rows:
+            return schema.empty_table()
+        qr, cr = np.asarray(ask["rid"]), np.asarray(cand["rid"])
+        cut, least = _given(ask["cut"], wide), _given(ask["least"], wide)
+        s = _product(_matrix(ask["v"]), _matrix(cand["v"]))
+        i, j = np.nonzero((s >= cut[:, None]) & (qr[:, None] != cr[None, :]))
+        t = s[i, j]
+        return pa.Table.from_arrays([
+            pa.array(qr[i]), pa.array(np.full(len(i), ask["node"][0].as_py()), pa.int32()), pa.array(cr[j]), cand["id"].take(pa.array(j)),
+            _numbers(t, wide), _numbers(t - least[i], wide), _numbers(t - cut[i], wide)], schema=schema)
     return run
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
           scale: int = 256, nodes: int = NODES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each row that ``is_query`` (of ``id``) marks."""
-    spark = vectors.sparkSession
-    ship_package(spark)
+    ship_package(vectors.sparkSession)
     rows = materialize(quantised(vectors, id_col, vec_col, scale).withColumn("rid", F.monotonically_increasing_id()))
-    n = rows.count()
-    isq = rows.where(is_query)
-    nq = isq.count()
-    cb, qb = max(1, -(-n // CANDIDATES)), max(1, -(-nq // QUERIES))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("nq"), F.max("dim").alias("dim"),
+                    F.max(F.array_max(F.transform("v", F.abs))).alias("top")).first()
+    cb, qb = max(1, -(-size["n"] // CANDIDATES)), max(1, -(-size["nq"] // QUERIES))
+    # sums and differences of two scores in longs, or in decimals
+    wide = (size["dim"] or 0) * (size["top"] or 0) ** 2 >= 1 << 61
+    kind = WIDE if wide else "long"
+    asked = rows.where(is_query)
+
+    # a row for each node: its slice of the vector
+    start = lambda node: F.floor(node * F.col("dim") / nodes).cast("int")
+    part = F.slice("v", start(F.col("node")) + 1, start(F.col("node") + 1) - start(F.col("node")))
+
+    def slices(df: DataFrame) -> DataFrame:
+        return df.withColumn("node", F.explode(F.sequence(F.lit(0), F.lit(nodes - 1)))).select("dim", "node", "rid", "id", part.alias("v"))
+
     deal = lambda b, seed: F.pmod(F.xxhash64("rid", F.lit(seed)), F.lit(b)).cast("int")
-    cand = rows.withColumn("cb", deal(cb, 1)).withColumn("isq", F.lit(False))
-    ask = isq.withColumn("qb", deal(qb, 2)).withColumn("isq", F.lit(True))
-    each_q = F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))
-    each_c = F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))
-
-    def pairs(extra: DataFrame | None = None) -> DataFrame:
-        cols = ["dim", "qb", "cb", "isq", "rid", "id", "v"]
-        right = cand.withColumn("qb", each_q).select(cols)
-        left = ask.withColumn("cb", each_c).select(cols)
-        if extra is not None:
-            left = left.join(extra, "rid").select(*cols, "cut", "bound")
-            right = right.select("*", F.lit(None).cast("array<long>").alias("cut"), F.lit(None).cast("long").alias("bound"))
-        return left.unionByName(right).groupBy("dim", "qb", "cb")
-
-    lists = pairs().applyInPandas(_node_lists(k, nodes), "q long, node int, c array<long>, s array<long>, least long")
-    schema = "q long, node int, part int, c array<long>, s array<long>, least long"
-    lists = lists.withColumn("part", F.pmod(F.hash(F.element_at("c", 1)), F.lit(max(1, cb // 64))))
-    lists = lists.groupBy("q", "node", "part").applyInPandas(_merged(k), schema)
-    if cb > 64:
-        lists = lists.withColumn("part", F.lit(0)).groupBy("q", "node", "part").applyInPandas(_merged(k), schema)
-    cut = materialize(lists.groupBy("q").applyInPandas(_cutoffs(k, nodes), "rid long, bound long, cut array<long>, least array<long>"))
-    found = pairs(cut.select("rid", "cut", "bound")).applyInPandas(_sufficient(k, nodes), "q long, id long, c array<long>, s array<long>")
-    # k entries from each block at most: fold them in two levels
-    order = F.struct((-F.col("s")).alias("s"), "c")
-
-    def fold(df: DataFrame, *by: str) -> DataFrame:
-        return df.groupBy("q", "id", *by).agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("best"))
-
-    flat = found.select("q", "id", F.explode(F.arrays_zip("s", "c")).alias("e")).select("q", "id", "e.s", "e.c")
-    if cb > 64:
-        flat = fold(flat.withColumn("part", F.pmod(F.hash("c"), F.lit(cb // 64))), "part").select("q", "id", F.explode("best").alias("e")) \
-            .select("q", "id", (-F.col("e.s")).alias("s"), F.col("e.c").alias("c"))
-    out = fold(flat).select("id", F.posexplode("best").alias("pos", "e"))
-    return out.select(F.col("id").alias("query_id"), (F.col("pos") + 1).cast("int").alias("rank"),
-                      F.col("e.c").alias("vec_id"), (-F.col("e.s")).alias("score"))
+    copies = F.row_number().over(Window.partitionBy("v").orderBy("id", "rid"))
+    unlike = materialize(rows.withColumn("copy", copies).where(F.col("copy") <= k + 1).drop("copy"))
+    at = ["dim", "node", "qb", "cb"]
+    cand = slices(unlike).withColumn("cb", deal(cb, 1)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
+    ask = slices(asked).withColumn("qb", deal(qb, 2))
+    to_all = F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))
+
+    # 1. local lists
+    lists = materialize(cand.groupBy(*at).cogroup(ask.withColumn("cb", to_all).groupBy(*at)).applyInArrow(
+        _node_lists(k, wide), f"q long, node int, c long, s {kind}, least {kind}"))
+    least = lists.groupBy("q", "node").agg(F.min("least").alias("least"))
+    # 2. bound, cutoff, sufficient entries
+    place = F.row_number().over(Window.partitionBy("q", "node").orderBy(F.desc("s"), "c"))
+    local = lists.select("q", "node", "c", "s").withColumn("place", place).where(F.col("place") <= k)
+    total = local.join(least, ["q", "node"]).groupBy("q", "c").agg(F.sum(F.col("s") - F.col("least")).alias("total"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("total"), "c"))
+    bound = total.withColumn("place", place).where(F.col("place") == k).select("q", "total")
+    share = F.floor(F.coalesce("total", F.lit(0)) / nodes) if wide else F.expr(f"coalesce(total, 0L) div {nodes}L")
+    cut = materialize(least.join(bound, "q", "left").select(F.col("q").alias("rid"), "node", "least",
+                                                            (F.col("least") + share).cast(kind).alias("cut")))
+    ask = ask.join(cut, ["rid", "node"]).withColumn("cb", to_all)
+    entries = cand.groupBy(*at).cogroup(ask.groupBy(*at)).applyInArrow(
+        _sufficient(wide), f"q long, node int, c long, id long, s {kind}, above_least {kind}, above_cut {kind}")
+    seen = materialize(entries.groupBy("q", "c").agg(
+        F.first("id").alias("id"), F.sum("s").alias("s"), F.sum("above_least").alias("low"),
+        F.sum(F.col("above_cut") + 1).alias("high"), F.collect_set("node").alias("at")))
+    # 3. a better bound; the rest exactly. low counts from all least scores, high from all cutoffs less one
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low"), "c"))
+    floor = seen.select("q", "c", "low").withColumn("place", place).where(F.col("place") == k).select("q", "low")
+    gap = cut.groupBy(F.col("rid").alias("q")).agg(F.sum(F.col("cut") - 1 - F.col("least")).alias("gap"))
+    floor = gap.join(floor, "q").select("q", (F.col("low") - F.col("gap")).alias("floor"), F.explode(
+        F.sequence(F.lit(0), F.lit(cb - 1))).alias("salt"))
+    left = seen.withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(cb)).cast("int")).join(floor, ["q", "salt"], "left") \
+        .where(F.col("floor").isNull() | (F.col("high") >= F.col("floor")))
+    every = F.array(*[F.lit(n) for n in range(nodes)])
+    left = materialize(left.select("q", "c", "id", "s", F.array_except(every, "at").alias("lacks")))
+    lacking = left.select("q", "c", F.explode("lacks").alias("node"))
+    number = lambda x: x.cast(kind)
+    dot = F.aggregate(F.zip_with("v", "w", lambda a, b: (number(a) * b).cast(kind)), F.lit(0).cast(kind), lambda a, b: (a + b).cast(kind))
+    other = lacking.join(slices(unlike).select(F.col("rid").alias("c"), "node", "v"), ["c", "node"]) \
+        .join(slices(asked).select(F.col("rid").alias("q"), "node", F.col("v").alias("w")), ["q", "node"]) \
+        .groupBy("q", "c").agg(F.sum(dot).alias("more"))
+    scored = left.join(other, ["q", "c"], "left").select("q", "c", "id", (F.col("s") + F.coalesce("more", F.lit(0))).alias("score"))
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id", "c"))
+    best = scored.withColumn("rank", place).where(F.col("rank") <= k)
+    shown = F.least(F.greatest("score", F.lit(-(1 << 63)).cast(WIDE)), F.lit((1 << 63) - 1).cast(WIDE)) if wide else F.col("score")
+    return best.join(asked.select(F.col("rid").alias("q"), F.col("id").alias("query_id")), "q").select(
+        "query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), shown.cast("long").alias("score"))
