@@ -119,3 +119,25 @@ def test_two_sources_and_no_words(spark):
 def test_empty(spark):
     e = spark.createDataFrame([], DOC_SCHEMA)
     assert mixing.mixed(e).collect() == [] and plan_rows(spark, [], 1)[2] == []
+
+
+def test_taken_goes_through_the_tree(spark, many):
+    docs = spark.createDataFrame(many, DOC_SCHEMA)
+    mix, narrow = mixing.plan(docs, block_words=500)
+    decided = mix.decide(narrow)
+    at = {(r["skey"], r["blk"], r["copy"]): r["shard"] for r in mixing.shards(mix, decided, 5).collect()}
+    got = mixing.taken(mix, decided, 5).collect()
+    assert len(got) == len(many) and sum(map(len, (r["__shards"] for r in got)))
+    for r in got:
+        assert r["__shards"] == [at[r["__skey"], r["__blk"], c] for c in range(1, r["__copies"] + 1)]
+
+
+def test_ranks_in_parts_are_ranks(spark, many, monkeypatch):
+    """The tree does not depend on the parts in which a node is ranked."""
+    docs = spark.createDataFrame(many, DOC_SCHEMA)
+    mix, narrow = mixing.plan(docs, block_words=200)
+    got = []
+    for bits in (1, 8):
+        monkeypatch.setattr(mixing, "RANK_BITS", bits)
+        got.append(sorted(tuple(r) for r in mixing.shards(mix, mix.decide(narrow), 7).collect()))
+    assert got[0] == got[1]

@@ -43,6 +43,8 @@ BLOCK_WORDS = 20_000
 MAX_BLOCKS = 1 << 20
 #: Rounds that fill a gap, at most.
 MAX_ROUNDS = 16
+#: A node of the splitting tree is ranked in 2 ** RANK_BITS parts.
+RANK_BITS = 8
 
 
 def _key(source: Column) -> Column:
@@ -210,18 +212,25 @@ def shards(mix: Mix, decided: DataFrame, n: int) -> DataFrame:
     """(skey, blk, copy, shard): the splitting tree over the drawn blocks of ``decided`` rows.
 
     A block table of at most ``most`` * (MAX_BLOCKS + sources) narrow rows; a level of the tree ranks the
-    blocks of each node by a fresh hash and sends the first half (by share of the shards) to the left.
+    blocks of each node by a fresh hash and sends the first half (by share of the shards) to the left, so that the
+    number of each source's blocks there is a multivariate hypergeometric draw. A node is ranked in 2 ** RANK_BITS parts of the
+    hash's range, each counting on from the parts before it.
     """
     drawn = (decided.where("__copies > 0").select("__skey", "__blk", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("copy"))
              .groupBy(F.col("__skey").alias("skey"), F.col("__blk").alias("blk"), "copy").agg(F.count(F.lit(1)).alias("docs")))
     node = materialize(drawn.select("skey", "blk", "copy", F.lit(0).alias("lo"), F.lit(n).alias("hi")))
     level = 0
     while (1 << level) < n:
-        w = Window.partitionBy("lo", "hi")
-        rank = F.row_number().over(w.orderBy(F.xxhash64("skey", "blk", "copy", F.lit(100 + level)), "skey", "blk", "copy"))
-        mid = F.expr("(lo + hi) div 2").cast("int")
-        left = F.col("rank") <= F.round(F.col("all") * (F.col("mid") - F.col("lo")) / (F.col("hi") - F.col("lo")))
-        t = node.select("*", rank.alias("rank"), F.count(F.lit(1)).over(w).alias("all"), mid.alias("mid"))
+        h = F.xxhash64("skey", "blk", "copy", F.lit(100 + level))
+        node = node.withColumn("h", h).withColumn("part", F.shiftright("h", 64 - RANK_BITS))
+        parts = node.groupBy("lo", "hi", "part").agg(F.count(F.lit(1)).alias("n"))
+        whole = Window.partitionBy("lo", "hi")
+        parts = parts.select("lo", "hi", "part", F.sum("n").over(whole).alias("all"),
+                             (F.sum("n").over(whole.orderBy("part")) - F.col("n")).alias("before"))
+        inside = F.row_number().over(Window.partitionBy("lo", "hi", "part").orderBy("h", "skey", "blk", "copy"))
+        t = node.withColumn("inside", inside).join(parts, ["lo", "hi", "part"]).withColumn("mid", F.expr("(lo + hi) div 2").cast("int"))
+        rank = F.col("before") + F.col("inside")
+        left = rank <= F.round(F.col("all") * (F.col("mid") - F.col("lo")) / (F.col("hi") - F.col("lo")))
         one = F.col("hi") - F.col("lo") <= 1
         node = t.select("skey", "blk", "copy", F.when(one | left, F.col("lo")).otherwise(F.col("mid")).alias("lo"),
                         F.when(one | ~left, F.col("hi")).otherwise(F.col("mid")).alias("hi"))
@@ -229,6 +238,16 @@ def shards(mix: Mix, decided: DataFrame, n: int) -> DataFrame:
     return node.select("skey", "blk", "copy", F.col("lo").alias("shard"))
 
 
+def taken(mix: Mix, decided: DataFrame, n: int) -> DataFrame:
+    """``decided`` rows with ``__shards``: where the tree puts each copy, in order; empty for a document not taken."""
+    tree = shards(mix, decided, n).groupBy(F.col("skey").alias("__t_skey"), F.col("blk").alias("__t_blk")).agg(
+        F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("__placed"))  # at most ``most`` a block
+    tree, _ = bounded_broadcast(materialize(tree))
+    out = decided.join(tree, (F.col("__skey") == F.col("__t_skey")) & (F.col("__blk") == F.col("__t_blk")), "left")
+    own = F.filter(F.coalesce("__placed", F.array().cast("array<struct<copy:int,shard:int>>")), lambda p: p["copy"] <= F.col("__copies"))
+    return out.select(*_all(decided), own["shard"].alias("__shards"))
+
+
 def mixed(docs: DataFrame, n_shards: int = 8, **options) -> DataFrame:
     """The mix itself: the columns of ``docs``, a row for every copy taken, dealt to ``n_shards`` ranges of
     partitions and shuffled inside each."""

@@ -69,11 +69,10 @@ def op10_toxicity(spark, sf_dir):
 def op8_mixing(spark, sf_dir):
     """Words that the mix takes from every document."""
     mix, rows = mixing.plan(table(spark, sf_dir, "documents"))
-    tree = mixing.shards(mix, mix.decide(rows), 8).groupBy("skey", "blk").agg(F.collect_set("shard").alias("shards"))
-    out = mix.decide(rows).join(tree, (F.col("__skey") == F.col("skey")) & (F.col("__blk") == F.col("blk")), "left")
+    out = mixing.taken(mix, mix.decide(rows), 8)
     return out.select("doc_id", F.col("__size").alias("size"), F.col("__words").alias("source_size"),
-                      F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"),
-                      F.when(F.col("__copies") > 0, F.array_sort("shards")).alias("shards"))
+                      F.col("__target").alias("target"), (F.col("__size") * F.size("__shards")).cast("long").alias("taken"),
+                      F.array_sort("__shards").alias("shards"))
 
 
 @query
