@@ -5,9 +5,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tripwire.llm import ngram_join as J
-from tripwire.llm.components import components
+from tripwire.llm.components import components, with_minimum
 from tripwire.llm.texthash import shingle_sets, slices
 
 from .cases import DOC_SCHEMA, documents, sentence
@@ -128,3 +129,25 @@ def test_no_pairs_of_a_group_are_written(spark, monkeypatch):
     assert links.count() < 300 * 40
     got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4, threshold_pct=85)
     assert {r["component_id"] for r in got.collect()} == {0}
+
+
+def test_components_of_stars(spark):
+    """A small hub, a hub in the middle of a chain of hubs, and links both ways."""
+    links = [(10_000, i) for i in range(700)] + [(i, 20_000) for i in range(699, 1400)] + [(30_000 + i, 30_000) for i in range(900)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "u long, v long").repartition(9)).collect()}
+    assert set(got.values()) == {0, 30_000} and len(got) == 1401 + 899 and got[20_000] == 0  # all but the two smallest
+
+
+def test_a_hubs_links_are_dealt(spark):
+    """No task of the join by node holds over twice the mean of a star of 100 000 leaves."""
+    star = spark.range(1, 100_001).selectExpr("0L as u", "id as v")
+    low = star.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = with_minimum(star, low, 100_000)
+        per = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(per) == 100_000 and max(per) <= 2 * 100_000 / 8

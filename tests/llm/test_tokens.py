@@ -115,3 +115,17 @@ def test_counts_in_spark(spark):
     with_column = with_column.selectExpr("* EXCEPT (edits)", "filter(edits, x -> x is not null) AS edits")
     assert T.recount(with_column, RANKS, P.PATTERN, "edits").first()["text_edited"].startswith("zzail")
     assert isinstance(ranks, tiktoken.Encoding)
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("mail a.b+c@x-y.org, or call +1 (017) 555-7713.", "mail [EMAIL], or call [PHONE]."),
+    ("(017) 555-7713 017-555-7713 017.555.7713 +49 30 1234 5678", "[PHONE] [PHONE] [PHONE] [PHONE]"),
+    ("9807915762804490!! 4845 1681 1440 7329 3782-822463-10005", "[CARD]!! [CARD] [CARD]"),
+    ("from 233.254.104.120. or 8.8.8.8:53", "from [IP]. or [IP]:53"),
+    ("1.2.3.4.5 256.1.1.1 v10.0.0.1 2024-05-06 12345678 9b0b3c6a43eb78aa99cbd7049c572391524f37a8 12 345 6789 3.14159265358979 +5", None),
+    ("\uff11\uff12\uff13 555 7713 \u0661", None), ("", None)])
+def test_redactions(text, want):
+    got, at = "", 0
+    for start, end, new in T.redactions(text):
+        got, at = got + text[at:start] + new, end
+    assert got + text[at:] == (text if want is None else want)

@@ -1,7 +1,7 @@
 """Connected components of a link table, by alternating large-star and small-star passes.
 
-Each pass is a ``groupBy`` (with map-side minima) and a join on a node, so a hub's links
-are spread by the adaptive skew join and never gathered. Passes are written to the shared
+Each pass is a ``groupBy`` (with map-side minima) and a join on a node. The links of a hub are dealt over
+SALTS keys for that join, so that no task gets them all (:func:`with_minimum`). Passes are written to the shared
 folder, so a lost executor replays one pass. Links are first thinned to a spanning forest
 inside each partition (linear memory), which shortens long chains.
 """
@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from .common import materialize, ship_package
 
 
+#: Keys over which a hub's links are dealt, and the share and least number of links that make a node a hub.
+SALTS, HUB_SHARE, HUB_LINKS = 64, 1024, 200
+
+
 class Forest:
     """Disjoint sets over the nodes seen so far; the root is the smallest node."""
 
@@ -61,6 +65,20 @@ def _state(e: DataFrame) -> tuple:
     return r["n"], r["h"]
 
 
+def with_minimum(links: DataFrame, low: DataFrame, n_links: int) -> DataFrame:
+    """``links`` (u, v) with the minimum ``m`` of u, from ``low`` (u, m, n: its number of links).
+
+    A hub has over HUB_LINKS links and over 1 / HUB_SHARE of all ``n_links``, so that there are fewer than HUB_SHARE:
+    their list is broadcast, and their links are joined by node and salt.
+    """
+    is_hub = F.col("n") > max(HUB_LINKS, n_links // HUB_SHARE)
+    hubs = F.broadcast(low.where(is_hub).select("u", F.lit(True).alias("hub")))
+    salt = F.when(F.col("hub"), F.pmod(F.xxhash64("v"), F.lit(SALTS)) + 1).otherwise(0)
+    dealt = links.join(hubs, "u", "left").select("u", "v", salt.cast("int").alias("salt"))
+    salts = F.when(is_hub, F.sequence(F.lit(1), F.lit(SALTS))).otherwise(F.array(F.lit(0)))
+    return dealt.join(low.select("u", "m", F.explode(salts).alias("salt")), ["u", "salt"]).select("u", "v", "m")
+
+
 def components(links: DataFrame, u: str = "u", v: str = "v", most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node with a link to another; component = its smallest node.
 
@@ -76,12 +94,13 @@ def components(links: DataFrame, u: str = "u", v: str = "v", most_rounds: int =
         return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")) \
+        n = F.count(F.lit(1)).alias("n")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), n)
+        large = with_minimum(both.where("v > u"), low, 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")) \
             .where("u <> v").distinct()
         # small-star: every link points from the larger to the smaller node already
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(
+        low = large.groupBy("u").agg(F.min("v").alias("m"), n)
+        small = with_minimum(large, low, 2 * seen[0]).select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
             F.struct(F.col("u"), F.col("m").alias("v")))).alias("s")).select("s.*").where("u <> v").distinct()
         e = materialize(small)

@@ -205,9 +205,16 @@ def recount(counted: DataFrame, ranks_path: str, pattern: str, edits: str | Call
     return arrow_map(src, rows, ", ".join([*_schema(src.schema.fields[:k]), "text_edited string, n_edits long, n_tokens_edited long, chars_encoded long", TREE]))
 
 
-_PERSONAL = re.compile(r"(?P<mail>[\w.+-]+@[\w-]+\.[\w.-]*\w)|(?P<phone>\+\d{1,3} \(\d{3}\) \d{3}-\d{4})")
+_BYTE = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_PERSONAL = re.compile(rf"""
+    (?P<EMAIL>[\w.+-]+@[\w-]+\.[\w.-]*\w)
+  | (?P<IP>(?<![\w.]){_BYTE}(?:\.{_BYTE}){{3}}(?![\w]|\.[0-9]))
+  | (?P<CARD>(?<![\w+])(?<![0-9][.,-])(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{3}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}})(?!\w|-[0-9]))
+  | (?P<PHONE>(?<!\w)(?:(?:\+[0-9]{{1,3}}[ .-]?)?(?:\([0-9]{{2,4}}\)[ .-]?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-]?[0-9]{{4}}
+      |\+[0-9]{{1,3}}(?:[ .-]?[0-9]{{2,4}}){{3,4}})(?!\w))""", re.VERBOSE)
 
 
 def redactions(text: str) -> list[tuple[int, int, str]]:
-    """Edits that put a place-holder for each e-mail address and phone number."""
-    return [(m.start(), m.end(), "[EMAIL]" if m["mail"] else "[PHONE]") for m in _PERSONAL.finditer(text)]
+    """Edits that put a place-holder for each e-mail address, IPv4 address, card number (13 to 19 digits in one, or in
+    groups of 4 or of 4, 6 and 5) and phone number (an area code in brackets or 3 digits, or any that begins with +)."""
+    return [(m.start(), m.end(), f"[{m.lastgroup}]") for m in _PERSONAL.finditer(text)]
