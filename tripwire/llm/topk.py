@@ -3,15 +3,15 @@
 The components are cut into ``nodes`` slices, each a row of its own, so that a task of a node holds one slice of
 its vectors and never the others. A candidate's score is the sum of one partial score from each node.
 
-1. Every node gathers its local list: the k best partial scores for each query, and its least
+1. Every node gathers its local list: the LIST * k best partial scores for each query, and its least
    one. Partial scores count from that least one, so that they are never negative.
-2. For each query, partial sums over what the lists hold give a lower bound of the k-th best
-   total. A candidate that reaches it has a partial score of at least 1 / nodes of it at some node:
-   this uniform threshold goes to all nodes as a safe cutoff, and every node returns its entries at
-   or above it.
-3. What a returned candidate has at least (the least score where it is unseen) gives a better bound, and what it
-   can reach at most (less than the cutoff where it is unseen) is compared with that. The candidates left get the
-   partial scores that they lack from those nodes' slices, and are ranked exactly.
+2. The lists' candidates, a bounded number for each query, get the partial scores that they lack, and the k-th
+   best of their totals is a lower bound of the k-th best of all. A candidate that reaches it has a partial score
+   of at least 1 / nodes of it at some node: this uniform threshold goes to all nodes as a safe cutoff, and every
+   node returns its entries at or above it.
+3. What a returned candidate has at least (the least score where it is unseen) may give a better bound, and what it
+   can reach at most (less than the cutoff where it is unseen) is compared with the better of the two. The candidates
+   left get the partial scores that they lack from those nodes' slices, and are ranked exactly.
 
 Candidates and queries are dealt in blocks of bounded size, so a task holds one block of each. Of candidates with equal
 vectors, which score alike, only the k + 1 with the smallest ids can be among the k best of a query (itself may be
@@ -40,6 +40,8 @@ from .common import materialize, ship_package
 #: Candidates and queries of a block.
 CANDIDATES, QUERIES = 4096, 512
 NODES = 2
+#: Entries of a local list, in multiples of k: they decide how good the bound is, never the result.
+LIST = 4
 #: Largest scaled component.
 LARGEST = 10 ** 14
 WIDE = "decimal(38,0)"
@@ -78,7 +80,7 @@ def _given(col: pa.ChunkedArray, wide: bool) -> np.ndarray:
 
 
 def _node_lists(k: int, wide: bool):
-    """Phase 1 at one node in one block pair: for each query, k local entries and the least partial score."""
+    """Phase 1 at one node in one block pair: for each query, LIST * k local entries and the least partial score."""
     kind = pa.decimal128(38, 0) if wide else pa.int64()
     schema = pa.schema([("q", pa.int64()), ("node", pa.int32()), ("c", pa.int64()), ("s", kind), ("least", kind)])
 
@@ -91,7 +93,7 @@ def _node_lists(k: int, wide: bool):
         own, far = qr[:, None] == cr[None, :], 1 << (200 if wide else 62)
         least = np.where(own, far, s).min(axis=1)
         t = np.where(own, -far, s)
-        n = min(k, len(cr))
+        n = min(LIST * k, len(cr))
         best = (np.argsort(t, axis=1, kind="stable") if wide else np.argpartition(t, len(cr) - n, axis=1))[:, len(cr) - n:]
         i, j = np.repeat(np.arange(len(qr)), n), best.ravel()
         i, j = i[~own[i, j]], j[~own[i, j]]
@@ -152,38 +154,47 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     lists = materialize(cand.groupBy(*at).cogroup(ask.withColumn("cb", to_all).groupBy(*at)).applyInArrow(
         _node_lists(k, wide), f"q long, node int, c long, s {kind}, least {kind}"))
     least = lists.groupBy("q", "node").agg(F.min("least").alias("least"))
+    # the partial scores that pairs (q, c, s, nodes seen as bits) lack
+    number = lambda x: x.cast(kind)
+    dot = F.aggregate(F.zip_with("v", "w", lambda a, b: (number(a) * b).cast(kind)), F.lit(0).cast(kind), lambda a, b: (a + b).cast(kind))
+    bit = F.sum(F.expr("shiftleft(1L, node)")).alias("at")
+
+    def resolved(pairs: DataFrame) -> DataFrame:
+        unseen = F.filter(F.sequence(F.lit(0), F.lit(nodes - 1)), lambda n: F.call_function("getbit", F.col("at"), n) == 0)
+        more = pairs.select("q", "c", F.explode(unseen).alias("node")) \
+            .join(slices(unlike).select(F.col("rid").alias("c"), "node", "v"), ["c", "node"]) \
+            .join(slices(asked).select(F.col("rid").alias("q"), "node", F.col("v").alias("w")), ["q", "node"]) \
+            .groupBy("q", "c").agg(F.sum(dot).alias("more"))
+        return pairs.join(more, ["q", "c"], "left").withColumn("score", F.col("s") + F.coalesce("more", F.lit(0)))
+
     # 2. bound, cutoff, sufficient entries
     place = F.row_number().over(Window.partitionBy("q", "node").orderBy(F.desc("s"), "c"))
-    local = lists.select("q", "node", "c", "s").withColumn("place", place).where(F.col("place") <= k)
-    total = local.join(least, ["q", "node"]).groupBy("q", "c").agg(F.sum(F.col("s") - F.col("least")).alias("total"))
-    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("total"), "c"))
-    bound = total.withColumn("place", place).where(F.col("place") == k).select("q", "total")
-    share = F.floor(F.coalesce("total", F.lit(0)) / nodes) if wide else F.expr(f"coalesce(total, 0L) div {nodes}L")
-    cut = materialize(least.join(bound, "q", "left").select(F.col("q").alias("rid"), "node", "least",
-                                                            (F.col("least") + share).cast(kind).alias("cut")))
-    ask = ask.join(cut, ["rid", "node"]).withColumn("cb", to_all)
+    local = lists.select("q", "node", "c", "s").withColumn("place", place).where(F.col("place") <= LIST * k)
+    local = materialize(local.groupBy("q", "c").agg(F.sum("s").alias("s"), bit))
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))
+    bound = resolved(local).select("q", "c", "score").withColumn("place", place).where(F.col("place") == k) \
+        .select("q", F.col("score").alias("bound"))
+    total = least.groupBy("q").agg(F.sum("least").alias("from")).join(bound, "q", "left")
+    above = F.greatest(F.coalesce(F.col("bound") - F.col("from"), F.lit(0)), F.lit(0))
+    share = F.floor(above / nodes) if wide else F.call_function("div", above, F.lit(nodes))
+    cut = materialize(least.join(total, "q").select(F.col("q").alias("rid"), "node", "least", "bound",
+                                                    (F.col("least") + share).cast(kind).alias("cut")))
+    ask = ask.join(cut.select("rid", "node", "least", "cut"), ["rid", "node"]).withColumn("cb", to_all)
     entries = cand.groupBy(*at).cogroup(ask.groupBy(*at)).applyInArrow(
         _sufficient(wide), f"q long, node int, c long, id long, s {kind}, above_least {kind}, above_cut {kind}")
     seen = materialize(entries.groupBy("q", "c").agg(
         F.first("id").alias("id"), F.sum("s").alias("s"), F.sum("above_least").alias("low"),
-        F.sum(F.col("above_cut") + 1).alias("high"), F.collect_set("node").alias("at")))
-    # 3. a better bound; the rest exactly. low counts from all least scores, high from all cutoffs less one
+        F.sum(F.col("above_cut") + 1).alias("high"), bit))
+    # 3. the better bound; the rest exactly. low counts from all least scores, high from all cutoffs less one
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low"), "c"))
     floor = seen.select("q", "c", "low").withColumn("place", place).where(F.col("place") == k).select("q", "low")
-    gap = cut.groupBy(F.col("rid").alias("q")).agg(F.sum(F.col("cut") - 1 - F.col("least")).alias("gap"))
-    floor = gap.join(floor, "q").select("q", (F.col("low") - F.col("gap")).alias("floor"), F.explode(
-        F.sequence(F.lit(0), F.lit(cb - 1))).alias("salt"))
+    sums = cut.groupBy(F.col("rid").alias("q")).agg(F.sum("least").alias("from"), F.sum(F.col("cut") - 1).alias("to"),
+                                                    F.first("bound").alias("bound"))
+    floor = sums.join(floor, "q", "left").select("q", (F.greatest(F.col("low") + F.col("from"), "bound") - F.col("to")).alias("floor"),
+                                                 F.explode(F.sequence(F.lit(0), F.lit(cb - 1))).alias("salt"))
     left = seen.withColumn("salt", F.pmod(F.xxhash64("c"), F.lit(cb)).cast("int")).join(floor, ["q", "salt"], "left") \
         .where(F.col("floor").isNull() | (F.col("high") >= F.col("floor")))
-    every = F.array(*[F.lit(n) for n in range(nodes)])
-    left = materialize(left.select("q", "c", "id", "s", F.array_except(every, "at").alias("lacks")))
-    lacking = left.select("q", "c", F.explode("lacks").alias("node"))
-    number = lambda x: x.cast(kind)
-    dot = F.aggregate(F.zip_with("v", "w", lambda a, b: (number(a) * b).cast(kind)), F.lit(0).cast(kind), lambda a, b: (a + b).cast(kind))
-    other = lacking.join(slices(unlike).select(F.col("rid").alias("c"), "node", "v"), ["c", "node"]) \
-        .join(slices(asked).select(F.col("rid").alias("q"), "node", F.col("v").alias("w")), ["q", "node"]) \
-        .groupBy("q", "c").agg(F.sum(dot).alias("more"))
-    scored = left.join(other, ["q", "c"], "left").select("q", "c", "id", (F.col("s") + F.coalesce("more", F.lit(0))).alias("score"))
+    scored = resolved(materialize(left.select("q", "c", "id", "s", "at")))
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id", "c"))
     best = scored.withColumn("rank", place).where(F.col("rank") <= k)
     shown = F.least(F.greatest("score", F.lit(-(1 << 63)).cast(WIDE)), F.lit((1 << 63) - 1).cast(WIDE)) if wide else F.col("score")
