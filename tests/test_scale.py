@@ -2,8 +2,19 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from tripwire.operators import sweep
+from tripwire.operators.detectors import recon
+from tripwire.operators.history import user_history
+from tripwire.operators.infra import entity_counts
+from tripwire.plans import queries_io
+from tripwire.session import materialize, parts_for
+from tripwire.sources.logins import load_fixture
 from tripwire.streaming.event_time import Slots
 
+from .conftest import SF001
+
 
 class _State:
     """A map state that counts its calls."""
@@ -46,3 +57,48 @@ def test_slots_hold_a_map_of_any_size_in_few_calls():
     slots.begin(*size)
     left = {k: v for k, v in want.items() if v[0] >= 3000}
     assert {k: slots.get(k) for k in want} == {k: left.get(k) for k in want} and size[1] == len(left)
+
+
+def test_rows_of_a_task_are_set_by_their_number(spark):
+    """The user windows and the entity sweep ask for partitions by rows, not by the bytes of a shuffle."""
+    h = user_history(load_fixture(spark, SF001, True), max_rows=20)
+    assert "REPARTITION_BY_NUM" in h._jdf.queryExecution().sparkPlan().toString()
+    assert "REPARTITION_BY_NUM" in entity_counts(h)._jdf.queryExecution().sparkPlan().toString()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert parts_for(spark, 10) <= parts and parts_for(spark, 600_000_000) >= 10_000
+
+
+def test_narrower_buckets_give_the_same_counts(spark, monkeypatch):
+    h = materialize(user_history(load_fixture(spark, SF001, True)))
+    want = sorted(map(tuple, entity_counts(h).collect()))
+    buckets = []
+    plain = sweep.running_prior_sums
+    monkeypatch.setattr(sweep, "running_prior_sums", lambda *a, **k: (buckets.append(a[5]), plain(*a, **k))[1])
+    monkeypatch.setattr(sweep, "MAX_BUCKET_ROWS", 30)
+    assert sorted(map(tuple, entity_counts(h).collect())) == want
+    assert buckets[0] < sweep.DEFAULT_BUCKET_US / 5
+
+
+def test_a_step_of_the_network_reads_its_own_rows(spark):
+    x = spark.range(5000).select(F.col("id").cast("double").alias("a"), F.xxhash64("id").alias("_key"))
+    seen = []
+    for epoch in (0, 1):
+        path = recon._deal(x, epoch, 4, 5000)
+        parts = {s: {r["a"] for r in spark.read.schema(x.schema).parquet(f"{path}/_s={s}").collect()} for s in range(4)}
+        assert sum(map(len, parts.values())) == 5000 and len(set().union(*parts.values())) == 5000
+        assert parts[0] == {r["a"] for r in x.where(F.pmod(F.xxhash64("_key", F.lit(epoch)), F.lit(4)) == 0).collect()}
+        seen.append(parts[0])
+    assert seen[0] != seen[1]
+
+
+def test_many_chunks_come_in_few_batches(spark, monkeypatch):
+    """Ten chunks, three batches: each chunk is told apart, none is cut or joined."""
+    batches = []
+    plain = queries_io.login_stream
+    monkeypatch.setattr(queries_io, "MAX_BATCHES", 3)
+    monkeypatch.setattr(queries_io, "CHUNK", 100)
+    monkeypatch.setattr(queries_io, "login_stream", lambda s, p, n: (batches.append(n), plain(s, p, n))[1])
+    got = {r["batch"]: (r["n_rows"], r["sum_id"]) for r in queries_io._chunks(spark, SF001).collect()}
+    ids = [r["event_id"] for r in load_fixture(spark, SF001, True).orderBy("login_us", "event_id").collect()]
+    assert got == {i: (len(c), sum(c)) for i in range(-(-len(ids) // 100)) for c in [ids[100 * i:100 * i + 100]]}
+    assert batches == [-(-len(got) // 3)] * 2

@@ -221,21 +221,25 @@ q("evict_expired", _evicted,
       ("country", "country_key"), ("asn", "asn_key"), ("subnet", "subnet"), ("device", "device"))) + ")", [], ["keys"], "2.15")
 
 CHUNK, CHUNKS = 400, 2
+#: Batches of a run to the end at most: a batch takes more whole chunks as there are more of them.
+MAX_BATCHES = 32
 
 
 def _chunks(s, d):
-    """Chunks of exactly CHUNK rows in order, stopped after CHUNKS of them and then run to the end: what each batch held."""
+    """Chunks of exactly CHUNK rows in order, stopped after CHUNKS of them and then run to the end: what each chunk held."""
     base = scratch(s, "chunks")
     src = land_chunks(fixture_logins(s, d, True), f"{base}/in", CHUNK)
+    per_batch = max(1, -(-len([n for n in children(s, src) if n.startswith("chunk=")]) // MAX_BATCHES))
 
     def each(batch, batch_id):
-        batch.agg(F.lit(batch_id).cast("long").alias("batch"), F.count(F.lit(1)).alias("n_rows"), F.min("event_id").alias("first_id"),
+        batch.groupBy(F.regexp_extract("_file", "chunk=([0-9]+)/", 1).cast("long").alias("batch")).agg(F.count(F.lit(1)).alias("n_rows"), F.min("event_id").alias("first_id"),
                   F.max("event_id").alias("last_id"), F.sum("event_id").alias("sum_id")).write.mode("overwrite").parquet(f"{base}/out/{batch_id}")
 
     def run(first):
-        login_stream(s, chunk_paths(s, src, first)).writeStream.foreachBatch(each).option("checkpointLocation", f"{base}/ck") \
+        rows = login_stream(s, chunk_paths(s, src, first), per_batch)
+        rows.select("*", F.col("_metadata.file_path").alias("_file")).writeStream.foreachBatch(each).option("checkpointLocation", f"{base}/ck") \
             .trigger(availableNow=True).start().awaitTermination()
-        return len(children(s, f"{base}/out"))
+        return s.read.parquet(f"{base}/out/*").count()
     if run(CHUNKS) != CHUNKS:
         raise RuntimeError("the stream did not stop after its chunks")
     run(None)
