@@ -4,13 +4,13 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tripwire.operators import sweep
+from tripwire.operators import history, sweep
 from tripwire.operators.detectors import recon
 from tripwire.operators.history import user_history
-from tripwire.operators.infra import entity_counts
+from tripwire.operators.infra import entity_counts, graph_features
 from tripwire.plans import queries_io
 from tripwire.session import materialize, parts_for
-from tripwire.sources.logins import load_fixture
+from tripwire.sources.logins import load_fixture, prepare_logins
 from tripwire.streaming.event_time import Slots
 
 from .conftest import SF001
@@ -68,6 +68,52 @@ def test_rows_of_a_task_are_set_by_their_number(spark):
     assert parts_for(spark, 10) <= parts and parts_for(spark, 600_000_000) >= 10_000
 
 
+def _shuffles(df):
+    return [ln for ln in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in ln]
+
+
+def test_rows_of_uncut_users_are_shuffled_once(spark):
+    """The constant bucket of uncut users must not bring a second shuffle, whose partitions are set by bytes."""
+    shuffles = _shuffles(user_history(load_fixture(spark, SF001, True)))
+    assert len(shuffles) == 1 and "REPARTITION_BY_NUM" in shuffles[0], shuffles
+
+
+def test_feature_join_shuffles_by_rows_only(spark):
+    """Both sides of the wide join have the same partitions: neither is shuffled again to the session's number."""
+    joined = [ln for ln in _shuffles(graph_features(user_history(load_fixture(spark, SF001, True)))) if "hashpartitioning(event_id" in ln]
+    assert len(joined) == 2 and all("REPARTITION_BY_NUM" in ln for ln in joined), joined
+
+
+def test_sorts_of_cut_users_follow_on_shuffles_by_rows(spark, monkeypatch):
+    """No table of the cut users is sorted in partitions set by bytes, nor as a task reads it from a file."""
+    written = []
+    plain = history.materialize
+    monkeypatch.setattr(history, "materialize", lambda d, *a: (written.append(d), plain(d, *a))[1])
+    rows, _ = history.split_users(load_fixture(spark, SF001, True), 20)
+    written.append(history._carried(rows))
+    for d in written:
+        assert "SortMergeJoin" not in d._jdf.queryExecution().executedPlan().toString()
+        for ln in _shuffles(d):
+            # by bytes: only counts of a user or a bucket, combined before
+            assert "REPARTITION_BY_NUM" in ln or "[user_id" not in ln.split("ENSURE_REQUIREMENTS")[1].split("plan_id")[0], ln
+        p = d._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in p or "REPARTITION_BY_NUM" in p
+
+
+def test_cut_users_with_null_and_repeated_keys(spark):
+    """Null users, rows that repeat their id and rows of one instant: cut users have the features of whole ones."""
+    x = spark.range(240).selectExpr(
+        "id div 2 AS event_id", "CASE WHEN id % 3 = 0 THEN NULL ELSE id % 2 END AS user_id",
+        "timestampadd(MINUTE, CAST(id div 2 * 7 AS INT), TIMESTAMP_NTZ '2024-01-01 00:00:00') AS login_ts",
+        "concat('10.0.', id % 5, '.1') AS ip", "CASE WHEN id % 7 = 0 THEN NULL ELSE concat('C', id % 4) END AS country", "CAST(1 AS BIGINT) AS asn",
+        "'d' AS device_type", "'o' AS os_name", "concat('b', id % 2) AS browser", "CAST(id % 4 > 0 AS INT) AS success", "1.0D AS rtt_ms",
+        "0 AS is_attack_ip", "0 AS is_ato")
+    x = materialize(prepare_logins(x.dropDuplicates(["event_id", "user_id"])))
+    cols = ["event_id", "user_id", *history.BEHAVIOUR_FEATURES]
+    whole, cut = (sorted(map(str, user_history(x, max_rows=m).select(*cols).collect())) for m in (1000, 8))
+    assert whole == cut and len(whole) == x.count()
+
+
 def test_narrower_buckets_give_the_same_counts(spark, monkeypatch):
     h = materialize(user_history(load_fixture(spark, SF001, True)))
     want = sorted(map(tuple, entity_counts(h).collect()))
