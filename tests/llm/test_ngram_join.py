@@ -1,8 +1,11 @@
 import math
+import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +14,7 @@ from tripwire.llm import ngram_join as J
 from tripwire.llm.components import components, with_minimum
 from tripwire.llm.texthash import shingle_sets, slices
 
-from .cases import DOC_SCHEMA, documents, sentence
+from .cases import DOC_SCHEMA, documents, edited, sentence
 
 UPPER = {i: i + 32 for i in range(65, 91)}
 
@@ -151,3 +154,34 @@ def test_a_hubs_links_are_dealt(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sum(per) == 100_000 and max(per) <= 2 * 100_000 / 8
+
+
+def test_blocks_of_different_texts_stay_small():
+    """A block's table of common shingles must not grow with the shingles that only one of its texts has."""
+    rng = random.Random(4)
+    same = sentence(rng, 300)
+    texts = [edited(rng, same, rng.randint(0, 60)) for _ in range(768)]
+    texts = [f"{t} {' '.join(f'u{i}v{k}' for k in range(400))}" for i, t in enumerate(texts)]
+    sets = J._sets(pd.Series(texts), 5)
+    p = pd.DataFrame({"gid": range(768), "size": [len(x) for x in sets], "blk": [1, 2] * 384, "b1": 1, "b2": 2, "text": "w",
+                      "prefix": [np.sort(x)[:J.prefix_length(len(x), 80)].view(np.int64) for x in sets]})
+    tracemalloc.start()
+    J._block_links(5, 80)(p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6, peak
+    pre = p["prefix"][:20].tolist()
+    assert J._common(pre, np.arange(13), np.arange(13, 20)).tolist() == [[len(np.intersect1d(x, y)) for y in pre[13:]] for x in pre[:13]]
+
+
+def test_links_are_written_before_they_are_thinned(spark, monkeypatch):
+    """Else a task of the thinning holds two Python workers, one for the links and one for itself."""
+    plans = []
+
+    def thin(links):
+        plans.append(links._jdf.queryExecution().executedPlan().toString())
+        return components(links)
+    monkeypatch.setattr(J, "components", thin)
+    rows = [(i, "a b c d e f g h", None, None, None, None, None, None) for i in range(3)]
+    assert J.near_duplicates(spark.createDataFrame(rows, DOC_SCHEMA)).count() == 3
+    assert plans and not re.search("MapInPandas|FlatMapGroupsInPandas", plans[0]), plans

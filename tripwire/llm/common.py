@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from ..session import prepare as _prepare
 #: Rows of an Arrow batch: some MB of text, so that a worker's memory does not depend on the partition's size.
 BATCH_ROWS = 1500
 
-__all__ = ["arrow_map", "bounded_broadcast", "materialize", "prepare", "ship_package", "table", "words_of"]
+__all__ = ["arrow_map", "bounded_broadcast", "give_back", "materialize", "prepare", "ship_package", "table", "words_of"]
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -28,6 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """At the end of a task: an idle worker gives back what it can of the memory it has freed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch; the package is importable in the workers."""
     ship_package(df.sparkSession)
@@ -36,7 +45,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
         for b in batches:
             if b.num_rows:
                 yield from fn(b)
-        pa.default_memory_pool().release_unused()  # an idle worker gives back what it can
+        give_back()
     return df.mapInArrow(run, schema)
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship_package
+from .common import give_back, materialize, ship_package
 
 
 #: Keys over which a hub's links are dealt, and the share and least number of links that make a node a hub.
@@ -58,6 +58,8 @@ def _thin(parts):
             f.join(a, b)
     u, v = f.links()
     yield pd.DataFrame({"u": u, "v": v})
+    del f
+    give_back()
 
 
 def _state(e: DataFrame) -> tuple:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize, ship_package
+from .common import arrow_map, give_back, materialize, ship_package
 from .components import Forest, components
 from .texthash import mix, shingle_sets, slices
 
@@ -46,6 +46,8 @@ BLOCK = 384
 #: Bounds of the histogram's slots (a power of two, about four to a document between them).
 MIN_BITS, MAX_BITS = 16, 24
 _CHUNK = 1 << 12
+#: Shingles of a block that are compared at once.
+_COLUMNS = 1 << 10
 
 
 def _slot(h: np.ndarray, bits: int) -> np.ndarray:
@@ -68,6 +70,8 @@ def shingle_histogram(docs: DataFrame, text: str, n: int, bits: int) -> np.ndarr
         yield pa.RecordBatch.from_pydict({
             "chunk": pa.array(np.arange(k, dtype=np.int32)), "part": pa.array(np.full(k, pid, np.int32)),
             "counts": pa.array([x.astype(np.uint32).tobytes() for x in total.reshape(k, -1)], pa.binary())})
+        del total
+        give_back()
 
     def add(p: pd.DataFrame) -> pd.DataFrame:
         t = np.zeros(_CHUNK, np.uint64)
@@ -153,21 +157,36 @@ def _verify(n: int, pct: int):
                     u.append(a)
                     v.append(b)
             yield pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+        give_back()
     return run
 
 
+def _common(prefixes: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Shingles that each prefix at ``i`` has in common with each at ``j``. Only shingles of several prefixes are looked at,
+    ``_COLUMNS`` at a time, so that the tables stay small however different the texts are."""
+    _, at, n = np.unique(np.concatenate(prefixes), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(prefixes)), [len(x) for x in prefixes])
+    several = n[at] > 1
+    row, at = row[several], (np.cumsum(n > 1) - 1)[at[several]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    c = np.zeros((len(i), len(j)), np.float32)
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, _COLUMNS):
+        lo, hi = np.searchsorted(at, [first, first + _COLUMNS])
+        has = np.zeros((len(prefixes), _COLUMNS), np.float32)
+        has[row[lo:hi], at[lo:hi] - first] = 1
+        c += has[i] @ has[j].T
+    return c
+
+
 def _block_links(n: int, pct: int):
     def run(p: pd.DataFrame) -> pd.DataFrame:
         ids, size = p["gid"].tolist(), p["size"].to_numpy(np.int64)
         same, left = p["b1"].iloc[0] == p["b2"].iloc[0], (p["blk"] == p["b1"]).to_numpy()
         pre = [np.asarray(x, np.int64) for x in p["prefix"]]
         length = np.array([len(x) for x in pre], np.int64)
-        tok, at = np.unique(np.concatenate(pre), return_inverse=True)
-        has = np.zeros((len(ids), len(tok)), np.float32)
-        has[np.repeat(np.arange(len(ids)), length), at] = 1
-        has = has[:, has.sum(axis=0) > 1]
         i, j = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
-        c = has[i] @ has[j].T
+        c = _common(pre, i, j)
         si, sj = size[i][:, None], size[j][None, :]
         need = -(-pct * (si + sj) // (100 + pct)) - np.maximum((size - length)[i][:, None], (size - length)[j][None, :])
         ok = (c >= np.maximum(need, 1)) & (100 * np.minimum(si, sj) >= pct * np.maximum(si, sj))
@@ -285,7 +304,8 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def _resolved(docs: DataFrame, id_col: str, text_col: str, words: int, threshold_pct: int) -> DataFrame:
     """id, tk, size, component_id, and rep: the one row (by id, null last, and text) that stands for the component."""
     rows, classes, links = similarity_links(docs, id_col, text_col, words, threshold_pct)
-    comp = components(links).select(F.col("node").alias("gid"), "component")
+    # written before they are thinned: a task then has one Python worker at a time
+    comp = components(materialize(links)).select(F.col("node").alias("gid"), "component")
     classes = classes.join(comp, "gid", "left").withColumn("component", F.coalesce("component", "gid"))
     least = classes.groupBy("component").agg(F.min("min_id").alias("component_id"), F.min("rep").alias("rep"))
     named = classes.select("gid", "component").join(least, "component").select("gid", "component_id", "rep")

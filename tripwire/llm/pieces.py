@@ -27,7 +27,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ship_package
+from .common import arrow_map, give_back, ship_package
 
 MARK = "▁"
 TABLE_ROWS = 100_000
@@ -115,7 +115,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", keep: tuple
             if b.num_rows:
                 yield from rows(b, table)
         del table
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     src = docs.select(*(F.col(c) for c in keep), F.col(text_col).cast("string").alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]] + [f"`{o}` {OUTPUTS[o]}" for o in outputs]
