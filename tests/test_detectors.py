@@ -122,3 +122,25 @@ def test_recon_does_not_depend_on_partitions(spark):
     one, many = (recon.fit(df.repartition(k), df, cols, epochs=3)[1] for k in (1, 8))
     assert len(one) == 3 and one[-1] < one[0] and np.allclose(one, many, rtol=1e-6)
     assert recon.fit(df.limit(0), df, cols, epochs=2)[1] == []
+
+
+def test_a_query_writes_the_features_once(spark, monkeypatch):
+    """Fitting and scoring share the splits, and the forest's rows keep their nodes (the same trees either way)."""
+    from tripwire.operators.detectors import bundle
+    from tripwire.plans import queries_models as Q
+    made, train, small = [], bundle.train, {"gbt": {"maxIter": 2, "maxDepth": 2}}
+
+    def features(s, d):
+        made.append(d)
+        x = s.range(200).selectExpr("id AS event_id", "id AS login_us", "CAST(id % 3 = 0 AS INT) AS is_ato", "'desktop' AS device_type")
+        return x.select("*", *[(F.col("event_id") % (i % 7 + 2)).alias(c) for i, c in enumerate(Q.SUPERVISED_COLS)])
+
+    monkeypatch.setattr(Q, "features", features)
+    monkeypatch.setattr(Q.bundle, "train", lambda tr, va, cols, kind: train(tr, va, cols, kind=kind, **small.get(kind, {"numTrees": 3, "maxDepth": 3})))
+    assert Q._score("gbt")(spark, "a").count() == 40 and made == ["a"]
+    assert Q._compare(spark, "b").count() == 2 and made == ["a", "b"]
+    assert Q._score("rf_balanced")(spark, "b").count() == 40 and made == ["a", "b", "b"]  # fitted already
+
+    kept, walked = (train(*Q._splits(spark, "c")[:2], Q.SUPERVISED_COLS, numTrees=5, **kw).classifier.stages[-1] for kw in ({}, {"cacheNodeIds": False}))
+    assert kept.getCacheNodeIds() and not walked.getCacheNodeIds()
+    assert kept.toDebugString.split("\n", 1)[1] == walked.toDebugString.split("\n", 1)[1]
