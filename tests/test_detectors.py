@@ -150,3 +150,30 @@ def test_a_query_writes_the_features_once(spark, monkeypatch):
     kept, walked = forest(), forest(cacheNodeIds=False)
     assert kept.getCacheNodeIds() and not walked.getCacheNodeIds()
     assert kept.toDebugString.split("\n", 1)[1] == walked.toDebugString.split("\n", 1)[1]
+
+
+def test_training_rows_lie_in_even_shares(spark):
+    """One share a core where the rows are worth it, whatever pieces they come in; a small table in one."""
+    from tripwire.operators.detectors import bundle
+    pieces = spark.range(39_000).union(spark.range(500)).union(spark.range(500)).coalesce(3)
+    sizes = bundle._in_tasks(pieces).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) == 4 and max(sizes) < 10_500
+    assert bundle._in_tasks(spark.range(9_000).repartition(5)).rdd.getNumPartitions() == 1
+
+
+def test_compared_detectors_share_a_sample(spark, monkeypatch):
+    """The sample of a comparison is drawn once, and is the one that each detector would draw."""
+    from tripwire.operators.detectors import bundle
+    from tripwire.plans import queries_models as Q
+    drawn, fitted, draw, fit = [], [], bundle.hard_negative_sample, bundle.LoginDetector._fit
+    x = spark.range(300).selectExpr("id AS event_id", "id AS login_us", "CAST(id % 3 = 0 AS INT) AS is_ato", "'desktop' AS device_type")
+    x = x.select("*", *[(F.col("event_id") % (i % 7 + 2)).alias(c) for i, c in enumerate(Q.SUPERVISED_COLS[:5])])
+    monkeypatch.setattr(Q, "SUPERVISED_COLS", Q.SUPERVISED_COLS[:5])
+    monkeypatch.setattr(Q, "features", lambda s, d: x)
+    monkeypatch.setattr(bundle, "hard_negative_sample", lambda df, label: drawn.append(1) or draw(df.withColumn("gf_user_drift_score", F.lit(0.0)), label))
+    monkeypatch.setattr(bundle.LoginDetector, "_fit", lambda self, df: fitted.append(sorted(r[0] for r in df.select("event_id").collect())) or fit(self, df))
+    monkeypatch.setattr(bundle, "SETTINGS", {"rf_balanced": {"numTrees": 3, "maxDepth": 3}, "gbt": {"maxIter": 2, "maxDepth": 2}})
+    assert {r["model"] for r in Q._compare(spark, "shared").collect()} == {"random_forest", "gradient_boosting"}
+    assert drawn == [1] and len(fitted) == 2 and fitted[0] == fitted[1]
+    bundle.train(Q._splits(spark, "shared")[0], x.where("event_id >= 210"), Q.SUPERVISED_COLS, kind="rf_balanced")
+    assert drawn == [1, 1] and fitted[2] == fitted[0]
