@@ -187,3 +187,106 @@ def test_a_log_lacking_a_column_is_an_error(spark):
     spark.createDataFrame([("1", "x")], "`User ID` string, Extra string").write.option("header", True).csv(d + "/l")
     with pytest.raises(ValueError, match="Login Timestamp"):
         read_logins(spark, d + "/l")
+
+
+class _Handle:
+    """The states of one key in memory, every value through a copy, and how often they were called."""
+
+    def __init__(self):
+        self.made, self.calls, self.timers = {}, 0, set()
+
+    def getValueState(self, name, schema):
+        return self.made.setdefault(name, _Kept(self))
+
+    getListState = getMapState = lambda self, name, *schema: self.made.setdefault(name, _Kept(self))
+
+    def registerTimer(self, t):
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.timers.remove(t)
+
+
+class _Kept:
+    def __init__(self, handle):
+        self.handle, self.value, self.map = handle, None, {}
+
+    def _call(self):
+        self.handle.calls += 1
+
+    def get(self):
+        self._call()
+        return iter(self.value) if isinstance(self.value, list) else self.value
+
+    def update(self, v):
+        self._call()
+        self.value = v
+
+    def put(self, v):
+        self._call()
+        self.handle.values = getattr(self.handle, "values", 0) + len(v)
+        self.value = list(v)
+
+    def appendList(self, v):
+        self.put((self.value or []) + list(v))
+
+    def clear(self):
+        self._call()
+        self.value = []
+
+    def getValue(self, k):
+        self._call()
+        return self.map.get(k)
+
+    def updateValue(self, k, v):
+        self._call()
+        self.map[k] = v
+
+    def removeKey(self, k):
+        self.map.pop(k, None)
+
+
+def _walked(rows):
+    """Prior counts of one entity, row by row."""
+    for i, (t, eid, member, _) in enumerate(rows):
+        prior = rows[:i]
+        last = {m: u for u, _, m, _ in prior}
+        yield (eid, len(last), i, sum(r[3] for r in prior), len({r[2] for r in prior if r[3]}),
+               sum(u >= t - 600_000_000 for u in last.values()), sum(u >= t - 3_600_000_000 for u in last.values()))
+
+
+def test_a_busy_entity_crosses_to_the_state_in_pieces():
+    """Windows with gaps of hours, ties, equal times of one user; thousands of rows wait as a few values, and come out right."""
+    import pickle
+    import random
+
+    from tripwire.streaming.entity_state import EntityHistory
+    from tripwire.streaming.event_time import PIECE, pack
+    rng, t, rows = random.Random(4), 10**12, []
+    for i in range(1200):
+        t += rng.choice([0, 0, 10**6, 60 * 10**6, 650 * 10**6, 3600 * 10**6 + rng.randrange(-1, 2), 9000 * 10**6 if i % 97 == 0 else 0])
+        rows.append((t, i, f"u{rng.randrange(25)}", int(rng.random() < 0.3)))
+    h = _Handle()
+    p = EntityHistory()
+    p.init(h)
+    got = []
+    for lo in range(0, 1200, 400):
+        batch = rows[lo:lo + 400]
+        rng.shuffle(batch)
+        mark = (rows[lo - 1][0] // 1000 if lo else 0)
+        packed = [{"packed": pack(batch[i:i + 100])} for i in range(0, 400, 100)]
+        got += [(r.n, r.numbers, r.words) for r in p._pass(("country", "C"), p.rows_of(iter(packed)), mark)]
+    got += [(r.n, r.numbers, r.words) for r in p._pass(("country", "C"), [], 10**12)]
+    assert sum(n for n, *_ in got) == 1200 and len(got) <= 4 and h.values < 12  # not a value for each row
+    flat = [v for _, numbers, _ in got for v in numbers]
+    out = [tuple(flat[i:i + 9]) for i in range(0, len(flat), 9)]  # event_id, login_us, late, users, events, fails, failed, 10 min, hour
+    assert [(o[0], *o[3:]) for o in out] == list(_walked(rows)) and not any(o[2] for o in out)
+    assert pickle.loads(h.made["totals"].value[1])[3] is None and not h.made["recent"].value and PIECE >= 400
+
+
+def test_state_parts_follow_cores_and_rows(spark, monkeypatch):
+    from tripwire.plans import queries_io as Q
+    monkeypatch.setattr(Q, "ROWS_OF_A_PART", 10)
+    monkeypatch.setattr(Q, "MOST_ROWS_OF_A_PART", 40)
+    cores = spark.sparkContext.defaultParallelism
+    assert [Q.state_parts(spark.range(n)) for n in (0, 35, 40 * cores, 40 * cores + 1)] == [4, 4, cores, 2 * cores]
