@@ -1,6 +1,7 @@
 """Property tests for the learned detectors: planted outliers rank first; loss falls."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tripwire.operators.detectors import iforest, recon
@@ -177,3 +178,21 @@ def test_compared_detectors_share_a_sample(spark, monkeypatch):
     assert drawn == [1] and len(fitted) == 2 and fitted[0] == fitted[1]
     bundle.train(Q._splits(spark, "shared")[0], x.where("event_id >= 210"), Q.SUPERVISED_COLS, kind="rf_balanced")
     assert drawn == [1, 1] and fitted[2] == fitted[0]
+
+
+def test_plain_figures_form_no_pairs(spark):
+    """Ties, and more rows than the top 500: the figures of all pairs, without a join of the rows with themselves."""
+    from tripwire.plans import queries_models as Q
+    rows = [(i, int(i * 7919 % 13 == 0), (i * 104729 % 211) / 211, int(i % 4 == 0)) for i in range(900)]
+    x = spark.createDataFrame(rows, "event_id long, is_ato int, model_score double, model_flag int")
+    plain = Q._plain_figures(x)
+    got = plain.first()
+    pos, neg = ([r[2] for r in rows if r[1] == y] for y in (1, 0))
+    assert got["auc"] == pytest.approx(sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg)))
+    best = sorted(rows, key=lambda r: (-r[2], r[0]))
+    assert got["p50"] == pytest.approx(sum(r[1] for r in best[:50]) / 50)
+    assert got["r500"] == pytest.approx(sum(r[1] for r in best[:500]) / len(pos))
+    ap = sum(sum(r[1] for r in rows if r[2] == s) * sum(r[1] for r in rows if r[2] >= s) / sum(r[2] >= s for r in rows) for s in {r[2] for r in rows})
+    assert got["ap"] == pytest.approx(ap / len(pos))
+    assert (got["tp"], got["fp"]) == tuple(sum(r[3] for r in rows if r[1] == y) for y in (1, 0))
+    assert "Join Inner, (" not in plain._jdf.queryExecution().analyzed().toString()
