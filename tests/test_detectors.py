@@ -196,3 +196,21 @@ def test_plain_figures_form_no_pairs(spark):
     assert got["ap"] == pytest.approx(ap / len(pos))
     assert (got["tp"], got["fp"]) == tuple(sum(r[3] for r in rows if r[1] == y) for y in (1, 0))
     assert "Join Inner, (" not in plain._jdf.queryExecution().analyzed().toString()
+
+
+def test_only_the_sample_gets_embeddings(spark, monkeypatch):
+    """The ablation draws its sample once, from rows without embeddings, and embeds that, the validation and the test part."""
+    from tripwire.operators import graph as G
+    from tripwire.operators.detectors import bundle
+    from tripwire.plans import queries_models as Q
+    drawn, embedded, draw, flat = [], [], bundle.hard_negative_sample, G.flat_embeddings
+    x = spark.range(400).selectExpr("id AS event_id", "id AS login_us", "CAST(id % 3 = 0 AS INT) AS is_ato", "'desktop' AS device_type",
+                                    "id % 20 AS user_id", "concat('s', id % 4) AS subnet", "concat('d', id % 5) AS device")
+    x = x.select("*", *[(F.col("event_id") % (i % 7 + 2)).alias(c) for i, c in enumerate(Q.SUPERVISED_COLS[:5])])
+    monkeypatch.setattr(Q, "SUPERVISED_COLS", Q.SUPERVISED_COLS[:5])
+    monkeypatch.setattr(Q, "features", lambda s, d: x)
+    monkeypatch.setattr(bundle, "hard_negative_sample", lambda df, label: drawn.append(df.columns) or draw(df, label, "user_id").where("event_id % 2 = 0"))
+    monkeypatch.setattr(G, "flat_embeddings", lambda df, v, k: embedded.append(df.count()) or flat(df, v, k))
+    monkeypatch.setattr(bundle, "SETTINGS", {"rf": {"numTrees": 3, "maxDepth": 3}})
+    assert [r["variant"] for r in Q._embedding_ablation(spark, "x").collect()] == ["without_embeddings", "with_embeddings"]
+    assert embedded == [140, 40, 80] and len(drawn) == 1 and not {*drawn[0]} & {*G.embedding_columns(16)}
